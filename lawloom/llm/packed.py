@@ -52,13 +52,19 @@ def steps(a: np.ndarray) -> np.ndarray:
     return np.diff(a.astype(np.int64), prepend=0)
 
 
-def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(did, th, text): a null id counts as the largest; ``th`` tells texts of one id apart."""
-    return docs.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("did"),
-        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    )
+def key_columns(id_column: str, text: str) -> dict:
+    """did and th, which identify a document: a null id counts as the largest; ``th`` tells texts of one id apart."""
+    return {
+        "did": F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)),
+        "th": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))),
+    }
+
+
+def keyed(docs: DataFrame, id_column: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(did, th, text), and the columns of ``carry`` in a struct ``rest`` if there are any."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    return docs.select(*[c.alias(k) for k, c in key_columns(id_column, text).items()], body, *rest)
 
 
 def bucket_bits(docs: DataFrame, text: str = "text") -> int:

@@ -359,19 +359,22 @@ def _compare():
     return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, th, kept binary, n_bytes, n_removed, n_spans) for each row of ``docs``.
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, th, kept, n_bytes, n_removed, n_spans) and the columns of ``carry`` for each row of ``docs``.
 
     A byte is removed if a ``window``-byte string that also starts anywhere else
     covers it.  Null texts count as empty; texts shorter than the window stay.
     Repeated rows are places of their own, so each loses what the others have.
-    ``th`` tells texts of one id apart; null ids are allowed.
+    ``th`` tells texts of one id apart; null ids are allowed.  ``kept`` is
+    binary, or with ``as_text`` a string, without characters that were cut apart.
     """
-    rows = keyed(docs, id_column, text)
+    rows = keyed(docs, id_column, text, carry)
     bits = bucket_bits(docs, text)
-    scanned = rows.mapInArrow(_scan(bits, window), ENTRIES)
+    scanned = rows.select("did", "th", "text").mapInArrow(_scan(bits, window), ENTRIES)
     judged = scanned.groupBy("bucket").applyInArrow(_judge(window), FOUND)
-    pieces = rows.join(by_document(judged), ["did", "th"]).mapInArrow(_cut_out(bits, window), ENTRIES)
+    # All columns of the documents, so that both joins read one exchange.
+    columns = [*rows.columns, "parts"]
+    pieces = rows.join(by_document(judged), ["did", "th"]).select(*columns).mapInArrow(_cut_out(bits, window), ENTRIES)
     covered = by_document(pieces.groupBy("bucket").applyInArrow(_compare(), FOUND))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,14 +398,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             left = data[~gone].tobytes()
             ends = (offsets - sums[offsets]).tolist()
             kept = [left[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            column = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            rest = [batch.column("rest")] if carry else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("did"), batch.column("th"), pa.array(kept, pa.binary()), pa.array(size), pa.array(removed), pa.array(spans)],
-                names=["did", "th", "kept", "n_bytes", "n_removed", "n_spans"],
+                [batch.column("did"), batch.column("th"), *rest, column, pa.array(size), pa.array(removed), pa.array(spans)],
+                names=["did", "th", *["rest"] * len(rest), "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    out = rows.join(covered, ["did", "th"], "left").select("did", "th", "text", "parts")
-    out = out.mapInArrow(strip, "did long, th long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return out.select(F.when(F.col("did") < LAST_ID, F.col("did")).alias("doc_id"), "th", "kept", "n_bytes", "n_removed", "n_spans")
+    out = rows.join(covered, ["did", "th"], "left").select(*columns)
+    head = out.select("did", "th", *["rest"] * bool(carry), F.lit("" if as_text else b"").alias("kept"), *[F.lit(0).cast("long").alias(k) for k in ("n_bytes", "n_removed", "n_spans")])
+    out = out.mapInArrow(strip, head.schema)
+    return out.select(F.when(F.col("did") < LAST_ID, F.col("did")).alias("doc_id"), "th", "kept", "n_bytes", "n_removed", "n_spans", *["rest.*"] * bool(carry))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
