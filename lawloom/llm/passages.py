@@ -73,7 +73,7 @@ def _probe(bits: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=4 * common.SLICE_BYTES):
+        for batch in common.slices(batches, limit=2 * common.SLICE_BYTES):
             w = _Words(batch)
             at = w.windows(BLOCK)
             if not len(at):
@@ -157,7 +157,7 @@ def _extend(bits: int):
     """SPAN-word windows around candidates to their buckets; where a slice has a smaller document with it, it is a repeat already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=4 * common.SLICE_BYTES):
+        for batch in common.slices(batches, limit=2 * common.SLICE_BYTES):
             w = _Words(batch)
             at = w.windows(SPAN)
             sums = np.concatenate(([0], np.cumsum(_marks(batch, w))))
