@@ -160,7 +160,7 @@ def _scan(bits: int, window: int):
             found += found_rows(did, th, doc[many], np.full(many.sum(), COUNTED), within[many], count[many], lead[many], repeated[many].astype(np.int64))
             send = (first & ~hot) | (hot & _firsts(by_anchor))
             flags = repeated + 2 * loose + 4 * hot
-            sent = _by_bucket(bits, anchor[send], did, th, doc[send], within[send], count[send], lead[send], anchor[send], content[send], flags[send])
+            sent = _by_bucket(bits, common.mix(anchor[send]), did, th, doc[send], within[send], count[send], lead[send], anchor[send], content[send], flags[send])
             yield _rows(bits, found, [*sent])
 
     return run
