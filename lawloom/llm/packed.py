@@ -9,14 +9,15 @@ bucket therefore stays small however many documents there are.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 #: Characters of text for each bucket.
 BUCKET_CHARS = 20_000_000
 LAST_ID = (1 << 63) - 1
@@ -73,27 +74,85 @@ def bucket_bits(docs: DataFrame, text: str = "text") -> int:
     return max(4, int(np.ceil(np.log2(max(1, total / BUCKET_CHARS)))))
 
 
-def by_document(rows: DataFrame) -> DataFrame:
-    """(did, th, parts): what was found for each document, of a size that its own text bounds."""
-    return rows.groupBy("did", "th").agg(F.collect_list("data").alias("parts"))
+#: What was found, packed by buckets of documents: few rows, however many documents a task has.
+FOUND = "shelf int, data binary"
 
 
-FOUND = "did long, th long, data binary"
+def shelves(bits: int, did: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """The bucket of each document."""
+    return (mix(did.astype(np.uint64) ^ mix(th.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def found_rows(did: np.ndarray, th: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """One packed row for each document; ``doc`` indexes ``did`` and ``th``, and the columns are sorted with it."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    columns = tuple(c[order] for c in columns)
-    edges = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)])) if len(doc) else np.zeros(1, np.int64)
+def found_rows(bits: int, did: np.ndarray, th: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """Packed rows of entries by their documents' shelves; ``doc`` indexes ``did`` and ``th``."""
+    if not len(doc):
+        return []
+    shelf = shelves(bits, did, th)[doc]
+    order = np.lexsort((doc, shelf))
+    shelf = shelf[order]
+    edges = np.concatenate(([0], np.flatnonzero(shelf[1:] != shelf[:-1]) + 1, [len(doc)]))
+    out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        d = doc[a]
-        yield int(did[d]), int(th[d]), pack(*(c[a:b] for c in columns))
+        at = order[a:b]
+        docs, place = np.unique(doc[at], return_inverse=True)
+        out.append((int(shelf[a]), pack(did[docs].astype(np.uint64), th[docs].astype(np.uint64), steps(place), *(c[at] for c in columns))))
+    return out
+
+
+def found_table(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"shelf": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+
+#: Entries on their way to a bucket, and results that only pass through it (``found``).
+ENTRIES = "bucket int, shelf int, found boolean, data binary"
+
 
+def entry_rows(bits: int, found: list[tuple[int, bytes]], sent: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    n, m = len(found), len(sent)
+    rows = [*found, *sent]
+    return pa.record_batch({
+        "bucket": pa.array([r[0] for r in rows], pa.int32()),
+        "shelf": pa.array([r[0] for r in found] + [0] * m, pa.int32()),
+        "found": pa.array([True] * n + [False] * m, pa.bool_()),
+        "data": pa.array([r[1] for r in rows], pa.binary()),
+    })
 
-def found_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.record_batch({"did": pa.array([r[0] for r in rows], pa.int64()), "th": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+def entries(table: pa.Table) -> list[list[np.ndarray]]:
+    """The packed entries of a bucket."""
+    return [unpack(x.as_py()) for x in table.filter(pa.compute.invert(table["found"]))["data"]]
+
+
+def passed(table: pa.Table, rows: list[tuple[int, bytes]]) -> pa.Table:
+    """Results that were on their way, and those of this bucket."""
+    out = found_table(rows)
+    return pa.concat_tables([out, table.filter(table["found"]).select(["shelf", "data"]).cast(out.schema)])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """All that was found for the documents of a shelf, one row for each document."""
+    by: dict[int, list[list[np.ndarray]]] = {}
+    for x in table["data"]:
+        p = unpack(x.as_py())
+        by.setdefault(len(p), []).append(p)
+    out: dict[tuple[int, int], list[bytes]] = {}
+    for parts in by.values():
+        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+        did, th = (np.concatenate([p[k] for p in parts]).view(np.int64) for k in (0, 1))
+        doc = np.concatenate([np.cumsum(p[2].astype(np.int64)) + s for p, s in zip(parts, shift[:-1], strict=True)])
+        columns = [np.concatenate([p[k] for p in parts]) for k in range(3, len(parts[0]))]
+        order = np.lexsort((th[doc], did[doc]))
+        d, t = did[doc][order], th[doc][order]
+        edges = np.concatenate(([0], np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1, [len(d)]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out.setdefault((int(d[a]), int(t[a])), []).append(pack(*(c[order[a:b]] for c in columns)))
+    keys = [*out]
+    return pa.table({"did": pa.array([k[0] for k in keys], pa.int64()), "th": pa.array([k[1] for k in keys], pa.int64()), "parts": pa.array([*out.values()], pa.list_(pa.binary()))})
+
+
+def by_document(rows: DataFrame) -> DataFrame:
+    """(did, th, parts): what was found for each document, of a size that its own text bounds."""
+    return rows.groupBy("shelf").applyInArrow(_merge, "did long, th long, parts array<binary>")
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, int]:

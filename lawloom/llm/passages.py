@@ -16,16 +16,14 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .packed import FOUND, LAST_ID, bucket_bits, by_document, found_batch, found_rows, groups, keyed, pack, steps, unpack
+from .packed import ENTRIES, FOUND, LAST_ID, bucket_bits, by_document, entries, entry_rows, found_rows, groups, keyed, pack, passed, steps, unpack
 
 BLOCK = 7
 SPAN = 2 * BLOCK - 1
-ENTRIES = "bucket int, did long, th long, found boolean, data binary"
 
 
 class _Words:
@@ -45,15 +43,26 @@ class _Words:
         return np.flatnonzero(self.doc[:n] == self.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
-def _result(bits: int, found: Iterator[tuple[int, int, bytes]], sent: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    found = [*found]
-    return pa.record_batch({
-        "bucket": pa.array([d % (1 << bits) for d, _, _ in found] + [b for b, _ in sent], pa.int32()),
-        "did": pa.array([r[0] for r in found] + [0] * len(sent), pa.int64()),
-        "th": pa.array([r[1] for r in found] + [0] * len(sent), pa.int64()),
-        "found": pa.array([True] * len(found) + [False] * len(sent), pa.bool_()),
-        "data": pa.array([r[2] for r in found] + [x for _, x in sent], pa.binary()),
-    })
+def _places(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Ascending places as differences; a document's first stands as it is."""
+    out = place.copy()
+    same = doc[1:] == doc[:-1]
+    out[1:][same] -= place[:-1][same]
+    return out
+
+
+def _unfold(doc: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places that ``_places`` wrote."""
+    sums = np.cumsum(places)
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    base = sums[first] - places[first]
+    return sums - np.repeat(base, np.diff(np.append(first, len(doc))))
+
+
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of a slice without repeated ones, which get the same result."""
+    keys = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in ("did", "th")])
+    return batch.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))
 
 
 def _split(bits: int, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,7 +83,7 @@ def _probe(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=2 * common.SLICE_BYTES):
-            w = _Words(batch)
+            w = _Words(_once(batch))
             at = w.windows(BLOCK)
             if not len(at):
                 continue
@@ -99,21 +108,21 @@ def _probe(bits: int):
                 docs, place = np.unique(w.doc[at[k]], return_inverse=True)
                 # The low half of the hash tells windows of a bucket apart well enough for candidates.
                 small = h[k] & np.uint64(0xFFFFFFFF)
-                sent.append((b, pack(w.did[docs].astype(np.uint64), w.th[docs].astype(np.uint64), steps(place), steps(at[k]), w.first[docs], small, settled[k].astype(np.int64))))
-            found = found_rows(w.did, w.th, w.doc[at[settled]], w.place[at[settled]])
-            yield _result(bits, found, sent)
+                sent.append((b, pack(w.did[docs].astype(np.uint64), w.th[docs].astype(np.uint64), steps(place), _places(place, w.place[at[k]]), small, settled[k].astype(np.int64))))
+            found = found_rows(bits, w.did, w.th, w.doc[at[settled]], w.place[at[settled]])
+            yield entry_rows(bits, found, sent)
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(table: pa.Table, bits: int) -> pa.Table:
     """One bucket: windows of BLOCK words that another document has too, one of them as a block."""
     out = []
-    parts = [unpack(x.as_py()) for x in table.filter(pa.compute.invert(table["found"]))["data"]]
+    parts = entries(table)
     if parts:
         did, th, doc, place = _documents(parts)
-        h = np.concatenate([p[5] for p in parts]).astype(np.uint32)
-        settled = np.concatenate([p[6] for p in parts]) > 0
+        h = np.concatenate([p[4] for p in parts]).astype(np.uint32)
+        settled = np.concatenate([p[5] for p in parts]) > 0
         del parts
         code, n = groups(h)
         del h
@@ -125,8 +134,8 @@ def _meet(table: pa.Table) -> pa.Table:
         block[code[settled | (place % BLOCK == 0)]] = True
         several[code[settled]] = True
         hit = (several & block)[code] & ~settled
-        out = [*found_rows(did, th, doc[hit], place[hit])]
-    return _joined(out, table)
+        out = found_rows(bits, did, th, doc[hit], place[hit])
+    return passed(table, out)
 
 
 def _documents(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,16 +143,10 @@ def _documents(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, n
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
     did, th = (np.concatenate([p[k] for p in parts]).view(np.int64) for k in (0, 1))
     doc = np.concatenate([np.cumsum(p[2].astype(np.int64)) + s for p, s in zip(parts, shift[:-1], strict=True)])
-    first = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    place = np.concatenate([np.cumsum(p[3].astype(np.int64)) for p in parts]) - first[doc]
+    place = np.concatenate([_unfold(np.cumsum(p[2].astype(np.int64)), p[3].astype(np.int64)) for p in parts])
     return did, th, doc, place
 
 
-def _joined(rows: list[tuple[int, int, bytes]], table: pa.Table) -> pa.Table:
-    out = pa.Table.from_batches([found_batch(rows)])
-    return pa.concat_tables([out, table.filter(table["found"]).select(["did", "th", "data"]).cast(out.schema)])
-
-
 def _marks(batch: pa.RecordBatch, w: _Words) -> np.ndarray:
     """Words of the slice that the places in ``parts`` name."""
     out = np.zeros(len(w.doc) + 1, bool)
@@ -158,6 +161,7 @@ def _extend(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, limit=2 * common.SLICE_BYTES):
+            batch = _once(batch)
             w = _Words(batch)
             at = w.windows(SPAN)
             sums = np.concatenate(([0], np.cumsum(_marks(batch, w))))
@@ -170,30 +174,30 @@ def _extend(bits: int):
             low = np.full(n, LAST_ID)
             np.minimum.at(low, code, did)
             repeat = did > low[code]
-            found = found_rows(w.did, w.th, w.doc[at[repeat]], w.place[at[repeat]])
+            found = found_rows(bits, w.did, w.th, w.doc[at[repeat]], w.place[at[repeat]])
             send = np.flatnonzero(~repeat)
             sent = []
             for b, order in _split(bits, h[send]):
                 k = send[order]
                 docs, place = np.unique(w.doc[at[k]], return_inverse=True)
-                sent.append((b, pack(w.did[docs].astype(np.uint64), w.th[docs].astype(np.uint64), steps(place), steps(at[k]), w.first[docs], h[k])))
-            yield _result(bits, found, sent)
+                sent.append((b, pack(w.did[docs].astype(np.uint64), w.th[docs].astype(np.uint64), steps(place), _places(place, w.place[at[k]]), h[k])))
+            yield entry_rows(bits, found, sent)
 
     return run
 
 
-def _confirm(table: pa.Table) -> pa.Table:
+def _confirm(table: pa.Table, bits: int) -> pa.Table:
     """One bucket: SPAN-word windows that a document with a smaller id has too."""
     out = []
-    parts = [unpack(x.as_py()) for x in table.filter(pa.compute.invert(table["found"]))["data"]]
+    parts = entries(table)
     if parts:
         did, th, doc, place = _documents(parts)
-        code, n = groups(np.concatenate([p[5] for p in parts]))
+        code, n = groups(np.concatenate([p[4] for p in parts]))
         low = np.full(n, LAST_ID)
         np.minimum.at(low, code, did[doc])
         hit = did[doc] > low[code]
-        out = [*found_rows(did, th, doc[hit], place[hit])]
-    return _joined(out, table)
+        out = found_rows(bits, did, th, doc[hit], place[hit])
+    return passed(table, out)
 
 
 def remove_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,9 +211,9 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """
     rows = keyed(docs, id_column, text)
     bits = bucket_bits(docs, text)
-    candidates = rows.mapInArrow(_probe(bits), ENTRIES).groupBy("bucket").applyInArrow(_meet, FOUND)
+    candidates = rows.mapInArrow(_probe(bits), ENTRIES).groupBy("bucket").applyInArrow(lambda table: _meet(table, bits), FOUND)
     hits = rows.join(by_document(candidates), ["did", "th"]).mapInArrow(_extend(bits), ENTRIES)
-    repeats = by_document(hits.groupBy("bucket").applyInArrow(_confirm, FOUND))
+    repeats = by_document(hits.groupBy("bucket").applyInArrow(lambda table: _confirm(table, bits), FOUND))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):

@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .packed import FOUND, LAST_ID, bucket_bits, by_document, found_batch, found_rows, groups, keyed, pack, steps, unpack
+from .packed import ENTRIES, FOUND, LAST_ID, bucket_bits, by_document, entries, entry_rows, found_rows, groups, keyed, pack, passed, steps, unpack
 from .suffix_array import suffix_array
 
 WINDOW = 200
@@ -90,18 +89,6 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tup
     return a[start], np.searchsorted(offsets, start, "right") - 1, start, count, loose, found[start] - start
 
 
-def _rows(bits: int, found: list[tuple[int, int, bytes]], sent: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    """Results of documents and packed entries of buckets, in the columns of ENTRIES."""
-    bucket = [d % (1 << bits) for d, _, _ in found] + [b for b, _ in sent]
-    did, th, data = ([r[k] for r in found] + [0] * len(sent) for k in (0, 1, 2))
-    data[len(found) :] = [x for _, x in sent]
-    flags = [True] * len(found) + [False] * len(sent)
-    return pa.record_batch({"bucket": pa.array(bucket, pa.int32()), "did": pa.array(did, pa.int64()), "th": pa.array(th, pa.int64()), "found": pa.array(flags, pa.bool_()), "data": pa.array(data, pa.binary())})
-
-
-ENTRIES = "bucket int, did long, th long, found boolean, data binary"
-
-
 def _by_bucket(bits: int, key: np.ndarray, did: np.ndarray, th: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Entries packed by the high bits of ``key``, with the ids of their documents; ``doc`` ascends."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
@@ -115,7 +102,7 @@ def _by_bucket(bits: int, key: np.ndarray, did: np.ndarray, th: np.ndarray, doc:
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, ...] | None:
     """did, th, doc and the columns of all packed entries of a bucket."""
-    parts = [unpack(x.as_py()) for x in table.filter(pa.compute.invert(table["found"]))["data"]]
+    parts = entries(table)
     if not parts:
         return None
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -124,12 +111,6 @@ def _entries(table: pa.Table) -> tuple[np.ndarray, ...] | None:
     return did, th, doc, *(np.concatenate([p[k] for p in parts]) for k in range(3, len(parts[0])))
 
 
-def _passed(table: pa.Table, rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    """Results that were on their way, and those of this bucket."""
-    out = pa.Table.from_batches([found_batch(rows)])
-    return pa.concat_tables([out, table.filter(table["found"]).select(["did", "th", "data"]).cast(out.schema)])
-
-
 def _firsts(code: np.ndarray) -> np.ndarray:
     """Which entries are the first of their code."""
     first = np.zeros(len(code), bool)
@@ -154,25 +135,25 @@ def _scan(bits: int, window: int):
             by_anchor, m = groups(anchor)
             hot = (np.bincount(by_anchor[first], minlength=m) > SLICE_SEGMENTS)[by_anchor]
             within = start - offsets[doc]
-            found = [*found_rows(did, th, doc[repeated], np.full(repeated.sum(), COVERED), within[repeated], count[repeated])]
+            found = found_rows(bits, did, th, doc[repeated], np.full(repeated.sum(), COVERED), within[repeated], count[repeated])
             # An anchor with many segments in this slice: their windows are counted, and the bucket hears of it once.
             many = hot & first
-            found += found_rows(did, th, doc[many], np.full(many.sum(), COUNTED), within[many], count[many], lead[many], repeated[many].astype(np.int64))
+            found += found_rows(bits, did, th, doc[many], np.full(many.sum(), COUNTED), within[many], count[many], lead[many], repeated[many].astype(np.int64))
             send = (first & ~hot) | (hot & _firsts(by_anchor))
             flags = repeated + 2 * loose + 4 * hot
             sent = _by_bucket(bits, common.mix(anchor[send]), did, th, doc[send], within[send], count[send], lead[send], anchor[send], content[send], flags[send])
-            yield _rows(bits, found, [*sent])
+            yield entry_rows(bits, found, [*sent])
 
     return run
 
 
-def _judge(window: int):
+def _judge(bits: int):
     """One bucket: what is covered, what is compared in blocks, and what is counted by window."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, bytes]] = []
-        if entries := _entries(table):
-            did, th, doc, within, count, lead, anchor, content, flags = entries
+        rows: list[tuple[int, bytes]] = []
+        if got := _entries(table):
+            did, th, doc, within, count, lead, anchor, content, flags = got
             many, loose, hot = ((flags & np.uint64(k)) > 0 for k in (1, 2, 4))
             by_anchor, n = groups(anchor)
             code, m = groups(common.mix(anchor) ^ content)
@@ -184,9 +165,9 @@ def _judge(window: int):
             covered = known & ~many
             mixed = first & ~hot & ((different > 1) | (loose & ~known) | any_hot)
             kind = np.where(any_hot | any_loose, COUNTED, BLOCKS)
-            rows += found_rows(did, th, doc[covered], np.full(covered.sum(), COVERED), within[covered], count[covered])
-            rows += found_rows(did, th, doc[mixed], kind[mixed], within[mixed], count[mixed], lead[mixed], known[mixed].astype(np.int64))
-        return _passed(table, rows)
+            rows += found_rows(bits, did, th, doc[covered], np.full(covered.sum(), COVERED), within[covered], count[covered])
+            rows += found_rows(bits, did, th, doc[mixed], kind[mixed], within[mixed], count[mixed], lead[mixed], known[mixed].astype(np.int64))
+        return passed(table, rows)
 
     return run
 
@@ -204,17 +185,19 @@ def _cut_out(bits: int, window: int):
         for batch in common.slices(batches):
             data, offsets = common.utf8(batch.column("text"))
             did, th = (batch.column(k).to_numpy().astype(np.int64) for k in ("did", "th"))
-            found: list[tuple[int, int, bytes]] = []
+            plain_doc, plain_at, plain_count = [], [], []
             wanted: list[np.ndarray] = []
             for i, parts in enumerate(batch.column("parts")):
                 for part in parts.values or ():
                     kind, within, count, *more = (x.astype(np.int64) for x in unpack(part.as_py()))
                     plain = kind == COVERED
-                    if plain.any():
-                        found.append((int(did[i]), int(th[i]), pack(within[plain], count[plain])))
+                    plain_doc.append(np.full(plain.sum(), i))
+                    plain_at.append(within[plain])
+                    plain_count.append(count[plain])
                     if not plain.all():
                         lead, known = more
                         wanted.append(np.column_stack([np.full(len(kind), i), kind, within, count, lead, known])[~plain])
+            found = found_rows(bits, did, th, *map(np.concatenate, (plain_doc, plain_at, plain_count))) if plain_doc else []
             sent: list[tuple[int, bytes]] = []
             if wanted:
                 roll = common.Rolling(common.BYTE_VALUES[data], common.BASES[2])
@@ -235,13 +218,13 @@ def _cut_out(bits: int, window: int):
                     repeated = (np.bincount(code, minlength=n) > 1)[code]
                     settled = repeated & ~is_known
                     a, b = _windows(at[settled] - offsets[d[settled]], mask[settled])
-                    found += found_rows(did, th, d[settled][b], a, np.ones(len(a), np.int64))
+                    found += found_rows(bits, did, th, d[settled][b], a, np.ones(len(a), np.int64))
                     # The one that is sent stands for all of its kind, so a known one comes first.
                     order = np.lexsort((~is_known, code))
                     send = np.sort(order[np.concatenate(([True], code[order][1:] != code[order][:-1]))])
                     flags = (repeated | is_known)[send] + 2 * (what == COUNTED)
                     sent += _by_bucket(bits, key[send], did, th, d[send], at[send] - offsets[d[send]] + BLOCK, mask[send], key[send], full[send], left[send], right[send], flags)
-            yield _rows(bits, found, sent)
+            yield entry_rows(bits, found, sent)
 
     return run
 
@@ -315,13 +298,13 @@ def _counted_blocks(core: np.ndarray, mask: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def _compare():
+def _compare(bits: int):
     """One bucket of blocks and windows: equal ones by hash, the rest by suffix arrays."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, bytes]] = []
-        if entries := _entries(table):
-            did, th, doc, at, mask, key, full, left, right, flags = entries
+        rows: list[tuple[int, bytes]] = []
+        if got := _entries(table):
+            did, th, doc, at, mask, key, full, left, right, flags = got
             at, mask = at.astype(np.int64) - BLOCK, mask.astype(np.int64)
             known, single = (flags & np.uint64(1)) > 0, (flags & np.uint64(2)) > 0
             code, n = groups(common.mix(key ^ single.astype(np.uint64)) ^ full)
@@ -353,8 +336,8 @@ def _compare():
                 hit |= np.where(single, 0, of_code[code])
             hit[known] = 0
             a, of = _windows(at, hit)
-            rows += found_rows(did, th, doc[of], a, np.ones(len(a), np.int64))
-        return _passed(table, rows)
+            rows += found_rows(bits, did, th, doc[of], a, np.ones(len(a), np.int64))
+        return passed(table, rows)
 
     return run
 
@@ -371,11 +354,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     rows = keyed(docs, id_column, text, carry)
     bits = bucket_bits(docs, text)
     scanned = rows.select("did", "th", "text").mapInArrow(_scan(bits, window), ENTRIES)
-    judged = scanned.groupBy("bucket").applyInArrow(_judge(window), FOUND)
+    judged = scanned.groupBy("bucket").applyInArrow(_judge(bits), FOUND)
     # All columns of the documents, so that both joins read one exchange.
     columns = [*rows.columns, "parts"]
     pieces = rows.join(by_document(judged), ["did", "th"]).select(*columns).mapInArrow(_cut_out(bits, window), ENTRIES)
-    covered = by_document(pieces.groupBy("bucket").applyInArrow(_compare(), FOUND))
+    covered = by_document(pieces.groupBy("bucket").applyInArrow(_compare(bits), FOUND))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
