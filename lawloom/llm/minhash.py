@@ -7,8 +7,9 @@ estimated (equal registers, corrected for accidental equality), then verified
 on their full shingle sets.  Links make components.
 
 No pair of a group is listed needlessly: members of a key are first compared
-with a few pivots; pairs of one component need no link of their own; the rest,
-others against all, are estimated in blocks of bounded size.
+with a few pivots; pairs of one component need no link of their own; the few
+that are left outside are compared with the rest of their family in chunks of
+bounded size, and only links come out.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .packed import LAST_ID, keyed
+from .packed import LAST_ID, groups, keyed
 
 #: Registers of a sketch, and the mantissa bits that each keeps.
 REGISTERS, MANTISSA = 128, 10
 #: A pair is verified if its estimate is within this many standard errors of the threshold, at least.
 DEVIATIONS = 6.0
-#: Members compared in one block: outsiders, and all.
-OTHERS, ALL = 256, 4096
+#: Turns in which each key's members are compared with one of them.
+PIVOTS = 2
+#: Characters of text on each side of one comparison of a component with its outsiders.
+CHUNK_CHARS = 8_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -168,40 +171,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _outsiders(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components in one group: those outside its largest component against all.
+def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components that share a key, at least one for each pair of them that has any.
 
-    ``groups`` has (key, nid, comp).  Sketches meet in blocks of OTHERS
-    outsiders and ALL members, whatever the size of the group.
+    ``members`` has (key, nid, comp).  In each key, those outside its largest
+    component are its outsiders; outsiders join the family of that component and
+    are compared with all of it and with each other, on their full sets.  Both
+    sides of a family come in chunks of CHUNK_CHARS of text.
     """
-    by = groups.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = by.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("total")).select("key", F.col("m.comp").alias("main"), (F.col("total") - F.col("m.k")).alias("others"), "total")
-    marked = groups.join(main, "key").join(nodes.select("nid", "n", "sketch"), "nid")
-    outer = F.ceil(F.col("others") / OTHERS)
-    chunks = F.ceil(F.col("total") / ALL)
-    spread = lambda n, salt: F.pmod(F.xxhash64("nid", F.lit(salt)), n).cast("long")
-    zero_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
-    base = marked.withColumns({"outer": outer.cast("long"), "chunks": chunks.cast("long")})
-    left = base.where("comp <> main").withColumn("o", spread(F.col("outer"), 1)).withColumn("c", zero_to(F.col("chunks"))).withColumn("side", F.lit(0))
-    right = base.withColumn("c", spread(F.col("chunks"), 2)).withColumn("o", zero_to(F.col("outer"))).withColumn("side", F.lit(1))
-    columns = ["key", "o", "c", "side", "nid", "comp", "n", "sketch"]
-    rows = left.select(*columns).unionByName(right.select(*columns))
+    by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = by.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("m.comp").alias("family"))
+    family = common.cut(members.join(main, "key").select("family", "nid", "comp").distinct())
+    sized = family.join(texts.select("nid", F.length("text").cast("long").alias("chars")), "nid")
+    outer = F.when(F.col("comp") != F.col("family"), F.col("chars")).otherwise(0)
+    sums = sized.groupBy("family").agg(F.ceil(F.sum(outer) / CHUNK_CHARS).cast("long").alias("outer"), F.ceil(F.sum("chars") / CHUNK_CHARS).cast("long").alias("all"))
+    base = family.join(sums, "family").join(texts, "nid")
+    part = lambda n: F.pmod(F.xxhash64("nid"), F.greatest(n, F.lit(1))).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
+    columns = ["family", "o", "c", "outside", "nid", "comp", "text"]
+    left = base.where("comp <> family").withColumn("o", part(F.col("outer"))).withColumn("c", each(F.col("all"))).withColumn("outside", F.lit(True))
+    right = base.withColumn("c", part(F.col("all"))).withColumn("o", each(F.col("outer"))).withColumn("outside", F.lit(False))
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        nid, comp, n = (table[k].to_numpy() for k in ("nid", "comp", "n"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        outside = table["outside"].to_numpy(zero_copy_only=False)
+        nid, comp = (table[k].to_numpy() for k in ("nid", "comp"))
+        sets: list[np.ndarray] = []
+        for batch in common.slices(table.select(["text"]).to_batches()):
+            sets += shingles(*common.utf8(batch.column("text")), size)
+        n = np.array([len(x) for x in sets], np.int64)
+        code, total = groups(np.concatenate(sets))
+        at = np.concatenate(([0], np.cumsum(n)))
+        two = np.flatnonzero(~outside)
+        inside = np.concatenate([code[at[j] : at[j + 1]] for j in two]) if len(two) else code[:0]
+        bounds = np.concatenate(([0], np.cumsum(n[two])))
+        flag = np.zeros(total, np.int32)
         a, b = [], []
-        for i in one.tolist():
-            some = two[(comp[two] != comp[i]) & (nid[two] != nid[i]) & (100 * np.minimum(n[two], n[i]) >= percent * np.maximum(n[two], n[i]))]
-            j, error = estimate(sketch[some], sketch[i])
-            some = some[j + DEVIATIONS * error >= percent / 100]
-            a += np.minimum(nid[some], nid[i]).tolist()
-            b += np.maximum(nid[some], nid[i]).tolist()
+        for i in np.flatnonzero(outside).tolist():
+            own = code[at[i] : at[i + 1]]
+            flag[own] = 1
+            sums = np.concatenate(([0], np.cumsum(flag[inside])))
+            flag[own] = 0
+            both = sums[bounds[1:]] - sums[bounds[:-1]]
+            linked = two[(100 * both >= percent * (n[two] + n[i] - both)) & (comp[two] != comp[i])]
+            # One link for each component will do.
+            for j in linked[np.unique(comp[linked], return_index=True)[1]].tolist():
+                a.append(min(nid[i], nid[j]))
+                b.append(max(nid[i], nid[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "o", "c").applyInArrow(compare, "a long, b long").distinct()
+    return left.select(*columns).unionByName(right.select(*columns)).groupBy("family", "o", "c").applyInArrow(compare, "a long, b long")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of keys in which more than one component is left, with ``comp``."""
+    marked = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    left = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    return marked.join(left, "key")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -221,34 +246,35 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     least = F.min(F.struct("did", "th", "n", "sketch", "keys")).alias("r")
     nodes = common.cut(every.where("n > 0").groupBy("s1", "s2").agg(least).select("s1", "s2", "r.*", F.monotonically_increasing_id().alias("nid")))
     keys = nodes.select("nid", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high")
-    groups = common.cut(keys.join(shared, "key").select("key", "nid", "low", "high"))
-    texts = groups.select("nid").distinct().join(nodes.select("nid", "did", "th"), "nid").join(rows, ["did", "th"])
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    in_keys = common.cut(keys.join(shared, "key").select("key", "nid", "k"))
+    # A document whose keys many others have is near the middle of its group.
+    central = in_keys.groupBy("nid").agg(F.sum("k").alias("degree"))
+    texts = central.join(nodes.select("nid", "did", "th"), "nid").join(rows, ["did", "th"])
     # Repeated rows of one document would repeat its text.
-    texts = common.cut(texts.groupBy("nid").agg(F.first("text").alias("text")))
+    texts = common.cut(texts.groupBy("nid").agg(F.first("degree").alias("degree"), F.first("text").alias("text")))
+    degrees, texts = texts.select("nid", "degree"), texts.select("nid", "text")
 
-    links = tested = None
-    labels = None
-    pivots = (F.col("low"), F.col("high"), None)
-    for pivot in pivots:
-        members = groups if labels is None else groups.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    links = tested = labels = None
+    for turn in range(PIVOTS):
+        members = in_keys.select("key", "nid").join(degrees, "nid")
         if labels is not None:
-            open_keys = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-            members = members.join(open_keys, "key")
-        if pivot is not None:
-            pairs = members.where(F.col("nid") != pivot).select(F.least("nid", pivot).alias("a"), F.greatest("nid", pivot).alias("b")).distinct()
-        else:
-            pairs = _outsiders(members.select("key", "nid", "comp"), nodes, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if labels is not None and pivot is not None:
-            la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = common.cut(_likely(pairs, nodes, percent) if pivot is not None else pairs)
+            members = _open(members, labels)
+        # First the most central of each key, then any other of another component.
+        choice = F.max(F.struct("degree", "nid")) if labels is None else F.max(F.struct(F.xxhash64("nid", F.lit(turn)), "nid"))
+        pivot = members.groupBy("key").agg(choice.alias("p")).select("key", F.col("p.nid").alias("pivot"))
+        pairs = members.join(pivot, "key").where("nid <> pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
+        if labels is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        pairs = common.cut(_likely(pairs, nodes, percent))
         found = common.cut(_verified(pairs, texts, size, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+    found = common.cut(_across(_open(in_keys.select("key", "nid"), labels).select("key", "nid", "comp"), texts, size, percent))
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
 
     named = nodes.select("s1", "s2", "did", "th", F.col("nid").alias("node")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min(F.struct("did", "th")).alias("least"))
