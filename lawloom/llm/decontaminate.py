@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,12 @@ BLOCK_CHARS = 16_000_000
 #: An overlap has this many tokens at least (or all of a shorter item's), of which this part agree.
 LEAST_TOKENS, AGREEMENT = 13, 0.8
 
-WORD_BYTES = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + bytes(range(128, 256))
+WORD_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of each run of ASCII letters (lower-cased), digits and other non-ASCII characters."""
-    _, _, doc, hashes = common.words(data, offsets, *common.byte_table(WORD_BYTES, lower=True))
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each run of letters, digits and non-ASCII characters of the lower-cased texts."""
+    _, _, doc, hashes = common.words(*common.utf8(pc.utf8_lower(texts)), *common.byte_table(WORD_BYTES))
     return hashes, doc
 
 
@@ -61,8 +62,7 @@ class Items:
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]]) -> Items:
-        data, offsets = common.utf8(pa.array([t for _, t in rows], pa.string()))
-        hashes, doc = tokens(data, offsets)
+        hashes, doc = tokens(pa.array([t for _, t in rows], pa.string()))
         bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
         size = np.diff(bounds)
         span = max(map(len, MASKS))
@@ -170,7 +170,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in common.slices(batches, text):
-                hashes, doc = tokens(*common.utf8(batch.column(text)))
+                hashes, doc = tokens(batch.column(text))
                 found = overlaps(hashes, doc, batch.num_rows, shared.value)
                 at = batch.schema.get_field_index(out)
                 if found:

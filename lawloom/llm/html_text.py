@@ -209,7 +209,7 @@ def main_text(page: str | None) -> str:
     # The deepest element with most of the selected text that holds more than one text element.
     holders = [n for n, w in weight.items() if w >= MAJORITY * total and len(leaves[n]) > 1]
     holder = max(holders, key=lambda n: depth[n]) if holders else None
-    names = {n: t for b in found for n, t in zip(b.elements, b.path.split("."), strict=True)}
+    names = {n: t for b in found for n, t in zip(b.elements, b.path.split(".") if b.path else (), strict=True)}
     if holder is not None and names[holder] not in ("body", "html"):
         kept = [b for b in found if holder in b.elements]
     else:

@@ -153,8 +153,8 @@ def parse(media: bytes) -> Stream:
     while at < end:
         h = header(media[at : at + 4])
         after = at + h.size if h else 0
-        # A header counts if another one, or the end, follows its frame.
-        if not h or after > end or not (trusted or after == end or header(media[after : after + 4])):
+        # A header counts if another one, or the end, follows its frame, or if its checksum is right.
+        if not h or after > end or not (trusted or after == end or header(media[after : after + 4]) or _sum_is_right(media, at, h)):
             found = media.find(b"\xff", at + 1, end)
             out.skipped += (found if found >= 0 else end) - at
             at, trusted = (found if found >= 0 else end), False
@@ -163,7 +163,7 @@ def parse(media: bytes) -> Stream:
         body = at + 4 + 2 * h.crc
         if h.crc and h.layer == 3:
             out.checked += 1
-            out.wrong += crc16(media[at + 2 : at + 4] + media[body : body + h.side]) != int.from_bytes(media[at + 4 : at + 6])
+            out.wrong += not _sum_is_right(media, at, h)
         data = body + h.side
         out.frame_bytes += h.size
         if not out.offsets and out.table_frames is None and media[data : data + 4] in (b"Xing", b"Info"):
@@ -178,6 +178,12 @@ def parse(media: bytes) -> Stream:
     return out
 
 
+def _sum_is_right(media: bytes, at: int, h: Header) -> bool:
+    """Whether a layer III frame has a checksum that fits its header and side information."""
+    body = at + 6
+    return h.crc and h.layer == 3 and crc16(media[at + 2 : at + 4] + media[body : body + h.side]) == int.from_bytes(media[at + 4 : body])
+
+
 def _read_tag(out: Stream, tag: bytes, version: int) -> None:
     at = 0
     while at + 10 <= len(tag) and tag[at : at + 4].isalnum():
