@@ -397,10 +397,17 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compiles the ``size`` most frequent words; returns the name under which every worker finds the file."""
+    """Compiles the most frequent words, at most ``size``; returns the name under which every worker finds the file."""
     spark = docs.sparkSession
-    counts = word_counts(docs, vocab_path, text)
-    frequent = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    counts = common.cut(word_counts(docs, vocab_path, text).where("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    # The lowest level of frequency from which on no more than ``size`` words are left.
+    lowest, left = 1 << 30, size
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r.level):
+        left -= r["count"]
+        if left < 0:
+            break
+        lowest = r.level
+    frequent = counts.where(F.col("level") >= lowest).select("word")
     vocab = vocabulary(vocab_path)
     found = [r.word.encode() for r in frequent.collect()]
     data = Lexicon.compile(zip(found, vocab.merge_all(found), strict=True))
