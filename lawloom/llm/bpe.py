@@ -34,7 +34,7 @@ from . import common
 #: Frequent words that the lexicon takes; it bounds what the driver gathers and ships.
 LEXICON_WORDS = 60_000
 #: Words that a worker remembers, and distinct words that it counts, before it starts afresh.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Rows whose ids are turned into text in one vector pass.
 ROWS_DECODED = 500
 

@@ -7,6 +7,9 @@ prefix sums of a polynomial modulo 2**64, so each costs a few vector passes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vector pass takes; bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of one Arrow batch: whole texts can be long.
 BATCH_ROWS = 1000
 
@@ -74,6 +77,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives a worker's unused memory back: Spark keeps workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
