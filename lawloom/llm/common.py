@@ -66,8 +66,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts sum to about ``limit`` bytes; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts sum to about ``limit`` bytes; a longer text comes alone.
+
+    ``last`` says that a task ends with them; functions of small groups deny it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,7 +80,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
-    release()
+    if last:
+        release()
 
 
 def release() -> None:

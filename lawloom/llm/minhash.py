@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """Those of ``pairs`` whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(common.slices(batches, "ta"), "tb"):
+        for batch in common.slices(common.slices(batches, "ta", last=False), "tb"):
             one, two = (shingles(*common.utf8(batch.column(k)), size) for k in ("ta", "tb"))
             ok = []
             for x, y in zip(one, two, strict=True):
@@ -196,7 +196,7 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         outside = table["outside"].to_numpy(zero_copy_only=False)
         nid, comp = (table[k].to_numpy() for k in ("nid", "comp"))
         sets: list[np.ndarray] = []
-        for batch in common.slices(table.select(["text"]).to_batches()):
+        for batch in common.slices(iter(table.select(["text"]).to_batches()), last=False):
             sets += shingles(*common.utf8(batch.column("text")), size)
         n = np.array([len(x) for x in sets], np.int64)
         code, total = groups(np.concatenate(sets))
