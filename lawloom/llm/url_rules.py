@@ -73,7 +73,6 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     rules = rules.withColumn("rule_digest", F.sha2(F.concat("rule_host", folder), 256)).withColumn("rule_prefix", F.substring("rule_digest", 1, PREFIX_DIGITS))
 
     places = pages.select("host", "path").where("path <> ''").distinct()
-    # A deeper expression than any rule can't fit: the rules' own depth bounds the expansion.
     expression = F.explode(F.flatten(F.transform(_suffixes(F.col("host")), lambda s: F.transform(_prefixes(F.col("path")), lambda p: F.concat(s, p)))))
     looked_up = places.select("host", "path", expression.alias("expression")).withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     hits = looked_up.join(rules, F.col("prefix") == F.col("rule_prefix")).where("digest = rule_digest and startswith(path, rule_path)")
