@@ -47,3 +47,30 @@ def with_overlap(rows: DataFrame, n: int = 20) -> DataFrame:
         F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"),
         F.array_join(tail, " ").alias("overlap_text"), (F.size(tail) > 0).alias("has_overlap"),
     )
+
+
+def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(doc_id, chunk_id, n_members, token_count, text): siblings below ``least`` tokens on average, packed in order.
+
+    A buffer below ``least`` takes the next sibling while both have at most
+    ``most`` tokens.  Parents whose children are large enough keep them.  What
+    is folded is the children of one parent of one document.
+    """
+    sized = rows.withColumn("tokens", F.size(word_tokens(F.col("text"))))
+    parent = F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")
+    kin = sized.groupBy("doc_id", parent).agg(F.array_sort(F.collect_list(F.struct("path", "pos", "tokens", "text"))).alias("kin"), F.avg("tokens").alias("mean"))
+
+    def step(a, x):
+        joins = (a["n"] > 0) & (F.col("mean") < least) & (a["held"] < least) & (a["held"] + x["tokens"] <= most)
+        n = F.when(joins, a["n"]).otherwise(a["n"] + 1)
+        return F.struct(n.alias("n"), F.when(joins, a["held"] + x["tokens"]).otherwise(x["tokens"]).alias("held"), F.concat(a["out"], F.array(n)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
+    number = F.aggregate("kin", start, step, lambda a: a["out"])
+    each = kin.select("doc_id", "parent", F.inline(F.arrays_zip("kin", number.alias("number"))))
+    packed = each.groupBy("doc_id", "parent", "number").agg(F.array_sort(F.collect_list("kin")).alias("kin"))
+    first, n = F.col("kin")[0], F.size("kin")
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join(first["path"], "/"), first["pos"].cast("string"))
+    texts = F.transform(F.filter("kin", lambda x: x["text"].rlike(r"\S")), lambda x: x["text"])
+    total = F.aggregate("kin", F.lit(0), lambda a, x: a + x["tokens"])
+    return packed.select("doc_id", F.when(n > 1, F.concat(name, F.lit("+"), (n - 1).cast("string"))).otherwise(name).alias("chunk_id"), n.alias("n_members"), total.alias("token_count"), F.array_join(texts, "\n\n").alias("text"))

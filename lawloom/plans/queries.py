@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intent, text
 from ..operators import bm25, chunks, fusion, vectors
+from ..streaming import spacing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,7 +150,25 @@ def embedding_summary(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min(F.size("embedding")).cast("long").alias("min_dim"), F.max(F.size("embedding")).cast("long").alias("max_dim"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary)}
+def merge_small_siblings(spark, sf_dir):
+    m = chunks.merge_small_siblings(chunks.paragraphs(table(spark, sf_dir, "documents")), 40, 120)
+    return m.select("doc_id", "chunk_id", F.col("n_members").cast("long").alias("n_members"), F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def answer_cache_ttl(spark, sf_dir):
+    """Events as requests, their type as the question: which would be answered from the cache."""
+    found = spacing.spaced(table(spark, sf_dir, "events"), "event_type", "ts", "event_id", spacing.CACHE_SECONDS, strict=True)
+    return found.select("event_type", "event_id", (~F.col("opened")).alias("from_cache"), "elapsed_us")
+
+
+def llm_cooldown(spark, sf_dir):
+    """Events as requests, their type as the caller: which wait, and for how many whole seconds."""
+    found = spacing.spaced(table(spark, sf_dir, "events"), "event_type", "ts", "event_id", spacing.COOLDOWN_SECONDS, strict=False)
+    left = F.floor((F.lit(spacing.COOLDOWN_SECONDS * 1_000_000) - F.col("elapsed_us")) / 1_000_000)
+    return found.select("event_type", "event_id", (~F.col("opened")).alias("skipped"), F.when(~F.col("opened"), left).cast("long").alias("retry_after"))
+
+
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -175,6 +194,10 @@ LEVELS = PARAGRAPHS + """,
 up AS (SELECT doc_id, pos, text, a AS path, 1 AS depth FROM paras WHERE text <> '' UNION ALL SELECT doc_id, pos, text, a || '/' || b, 2 FROM paras WHERE text <> ''),
 levels AS (SELECT doc_id, path, depth, count(*) AS n_members, string_agg(text, chr(10) ORDER BY pos) AS text FROM up GROUP BY doc_id, path, depth)"""
 
+SPACED = """RECURSIVE r AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+f AS (SELECT event_type, event_id, rn, us, us AS last, true AS opened FROM r WHERE rn = 1
+  UNION ALL SELECT r.event_type, r.event_id, r.rn, r.us, CASE WHEN r.us - f.last {0} THEN r.us ELSE f.last END, r.us - f.last {0} FROM f JOIN r ON r.event_type = f.event_type AND r.rn = f.rn + 1)"""
+
 ORACLE_SQL = {
     "clean_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g')), '\(\s*([^)]+?)\s*\)', '(\1)', 'g'), '\s+([,;:.])', '\1', 'g'))) AS clean_md5 FROM documents""",
     "token_counts": f"SELECT doc_id, len({WORDS.format('text')}) AS token_count, len({TOKENS.format('text')}) AS search_tokens, length(coalesce(text, '')) AS char_count FROM documents",
@@ -212,4 +235,14 @@ SELECT question_id, doc_id, round(final, 4) AS final, rank, section_ref FROM g W
     "upsert_latest": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, round(value, 4) AS value FROM k WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND event_id IS NOT NULL)",
     "manifest_counts": f"WITH {RECORDS} SELECT part, count(*) AS n_records, count(DISTINCT namespace) AS n_namespaces, CAST(sum(CASE WHEN coalesce(content, '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_rejected FROM records GROUP BY part",
     "embedding_summary": "SELECT label, count(*) AS count, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings GROUP BY label",
+    "merge_small_siblings": rf"""WITH RECURSIVE {PARAGRAPHS},
+s AS (SELECT doc_id, a, b, pos, text, len({WORDS.format('text')}) AS t FROM paras),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a ORDER BY b, pos) AS rn, avg(t) OVER (PARTITION BY doc_id, a) AS mean FROM s),
+f AS (SELECT doc_id, a, rn, t AS held, 1 AS n FROM r WHERE rn = 1
+  UNION ALL SELECT r.doc_id, r.a, r.rn, CASE WHEN mean < 40 AND held < 40 AND held + t <= 120 THEN held + t ELSE t END, CASE WHEN mean < 40 AND held < 40 AND held + t <= 120 THEN n ELSE n + 1 END
+  FROM f JOIN r ON r.doc_id = f.doc_id AND r.a = f.a AND r.rn = f.rn + 1)
+SELECT doc_id, doc_id || ':' || a || '/' || arg_min(b, rn) || ':' || arg_min(pos, rn) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS chunk_id, count(*) AS n_members, CAST(sum(t) AS BIGINT) AS token_count, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rn) FILTER (regexp_matches(text, '\S')), '')) AS text_md5
+FROM f JOIN r USING (doc_id, a, rn) GROUP BY doc_id, a, n""",
+    "answer_cache_ttl": f"WITH {SPACED.format('> 1800000000')} SELECT event_type, event_id, NOT opened AS from_cache, us - last AS elapsed_us FROM f",
+    "llm_cooldown": f"WITH {SPACED.format('>= 45000000')} SELECT event_type, event_id, NOT opened AS skipped, CASE WHEN NOT opened THEN CAST(floor((45000000 - (us - last)) / 1000000) AS BIGINT) END AS retry_after FROM f",
 }
