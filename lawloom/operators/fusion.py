@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import intent
 from ..functions.text import blank, rank_tokens
 
 RRF_K, GATE = 60, 0.23
@@ -39,6 +40,19 @@ def final_score(question: Column, ref: Column, content: Column, url: Column, aut
     return F.lit(0.70) * base + F.lit(0.25) * overlap(question, whole) + F.lit(0.05) * overlap(question, early) + meta - long
 
 
+def asked_score(question: Column, ref: Column, content: Column, node: Column, part: Column) -> Column:
+    """What a paragraph, part or citation in the question adds to a record's score; 0 if it names none."""
+    cited, asked, hint = intent.citation_ref(question), intent.explicit_node_id(question), intent.part_hint(question)
+    low_ref, low_text, low_node = F.lower(blank(ref)), F.lower(blank(content)), F.lower(blank(node))
+    tight = F.regexp_replace(F.concat_ws(" ", low_text, low_ref), " ", "")
+    named = F.contains(low_text, cited) | F.contains(low_ref, cited)
+    citation = F.when(cited == "", 0.0).when(named, 0.07).when(F.contains(tight, F.regexp_replace(cited, " ", "")), 0.05).otherwise(0.0)
+    merged = F.when(F.contains(low_ref, F.lit("merged")), 0.05).otherwise(0.0)
+    explicit = F.when((asked == "") | (low_node == ""), 0.0).when(low_node == asked, 0.35).when(F.contains(low_node, asked), 0.10).otherwise(0.0)
+    in_part = F.when(hint == "", 0.0).when(blank(part) == hint, 0.22).otherwise(-0.08)
+    return citation + explicit - F.when(asked != "", merged).otherwise(0.0) + in_part
+
+
 def gate(ranked: DataFrame, final: str = "final") -> DataFrame:
     """All rows of a question whose best final score reaches GATE, none of the others."""
     best = F.max(final).over(Window.partitionBy("question_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent, text
-from ..operators import bm25, chunks, fusion, vectors
+from ..operators import answers, bm25, chunks, fusion, limits, vectors
 from ..streaming import spacing
 
 
@@ -168,7 +168,59 @@ def llm_cooldown(spark, sf_dir):
     return found.select("event_type", "event_id", (~F.col("opened")).alias("skipped"), F.when(~F.col("opened"), left).cast("long").alias("retry_after"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown)}
+def _line_chunks(spark, sf_dir):
+    """The lines of documents as chunks, one label deep under their own document."""
+    rows = chunks.paragraphs(table(spark, sf_dir, "documents"))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("path", "/"), F.col("pos").cast("string"))
+    return rows.select("doc_id", "path", name.alias("chunk_id"), F.lit(0).alias("part"), "text", "pos")
+
+
+def split_oversized(spark, sf_dir):
+    s = limits.split_oversized(_line_chunks(spark, sf_dir), 60)
+    return s.select("doc_id", "chunk_id", "part_label", limits.token_count(F.col("text")).cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def merge_under_min(spark, sf_dir):
+    m = limits.merge_under_min(_line_chunks(spark, sf_dir).withColumn("part", F.col("pos")), 20, 60)
+    return m.select("doc_id", "chunk_id", F.col("n_members").cast("long").alias("n_members"), F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def enforce_limits(spark, sf_dir):
+    e = limits.enforce(_line_chunks(spark, sf_dir).drop("pos"), 20, 60)
+    return e.select("doc_id", "chunk_id", "part_label", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _top(spark, sf_dir, k):
+    """The first ``k`` fused records of each question."""
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("rrf", 8)), "doc_id")
+    top = _hybrid(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    r = records(spark, sf_dir).withColumns({"source_name": F.when(F.col("doc_id") % 2 == 0, F.col("namespace")), "source_type": F.lit("regulation"), "node_id": F.lit("")})
+    return top.join(r, "doc_id")
+
+
+def citations(spark, sf_dir):
+    c = answers.citations(_top(spark, sf_dir, 10))
+    return c.select("question_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("base", 5).alias("score"), "label", "citation", F.md5(F.col("snippet").cast("binary")).alias("snippet_md5"))
+
+
+def context_blocks(spark, sf_dir):
+    return answers.contexts(_top(spark, sf_dir, 5)).select("question_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.char_length("context").cast("long").alias("n_chars"))
+
+
+def citation_footers(spark, sf_dir):
+    return answers.footers(answers.citations(_top(spark, sf_dir, 5)))
+
+
+def asked_scores(spark, sf_dir):
+    """What a reference in the question adds for each of its first records; the question names its own section."""
+    top = _top(spark, sf_dir, 10).withColumn("node_id", F.concat(F.lit("p-"), F.col("part"), F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit("(a)(1)")))
+    part = (F.lit(600) + F.col("question_id") % 100).cast("string")
+    q = F.concat(F.lit("Part "), part, F.lit(" asks for "), part, F.lit("."), (F.col("question_id") % 3).cast("string"), F.lit("(a)"))
+    score = fusion.asked_score(q, *[F.col(c) for c in ("section_ref", "content", "node_id", "part")])
+    return top.select("question_id", "doc_id", F.round(score, 4).alias("asked"))
+
+
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -198,6 +250,12 @@ SPACED = """RECURSIVE r AS (SELECT event_type, event_id, epoch_us(ts) AS us, row
 f AS (SELECT event_type, event_id, rn, us, us AS last, true AS opened FROM r WHERE rn = 1
   UNION ALL SELECT r.event_type, r.event_id, r.rn, r.us, CASE WHEN r.us - f.last {0} THEN r.us ELSE f.last END, r.us - f.last {0} FROM f JOIN r ON r.event_type = f.event_type AND r.rn = f.rn + 1)"""
 
+TOP = HYBRID + ", " + RECORDS + """,
+top AS (SELECT question_id, doc_id, base, rank, namespace, coalesce(content, '') AS content, part, section_ref, source_url, authority_level, CASE WHEN doc_id % 2 = 0 THEN namespace END AS source_name
+  FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 8) DESC, doc_id) AS rank FROM fused) JOIN records USING (doc_id)),
+cited AS (SELECT *, coalesce(nullif(trim(source_name), ''), CASE WHEN source_url IS NOT NULL THEN 'example.org' END, 'source') AS label,
+  section_ref || ' (' || coalesce(source_url, 'https://example.org/current/title-34/part-' || part || '/section-' || substr(section_ref, 2)) || ')' AS citation FROM top)"""
+
 ORACLE_SQL = {
     "clean_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g')), '\(\s*([^)]+?)\s*\)', '(\1)', 'g'), '\s+([,;:.])', '\1', 'g'))) AS clean_md5 FROM documents""",
     "token_counts": f"SELECT doc_id, len({WORDS.format('text')}) AS token_count, len({TOKENS.format('text')}) AS search_tokens, length(coalesce(text, '')) AS char_count FROM documents",
@@ -245,4 +303,39 @@ SELECT doc_id, doc_id || ':' || a || '/' || arg_min(b, rn) || ':' || arg_min(pos
 FROM f JOIN r USING (doc_id, a, rn) GROUP BY doc_id, a, n""",
     "answer_cache_ttl": f"WITH {SPACED.format('> 1800000000')} SELECT event_type, event_id, NOT opened AS from_cache, us - last AS elapsed_us FROM f",
     "llm_cooldown": f"WITH {SPACED.format('>= 45000000')} SELECT event_type, event_id, NOT opened AS skipped, CASE WHEN NOT opened THEN CAST(floor((45000000 - (us - last)) / 1000000) AS BIGINT) END AS retry_after FROM f",
+    "split_oversized": rf"""WITH RECURSIVE {PARAGRAPHS},
+c AS (SELECT doc_id, pos, doc_id || ':' || a || '/' || b || ':' || pos AS id, text, len({WORDS.format('text')}) AS t FROM paras),
+cut AS (SELECT doc_id, pos, string_split(regexp_replace(text, '([.!?;])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM c WHERE t > 60),
+segs AS (SELECT doc_id, pos, i, s, len({WORDS.format('s')}) AS t FROM (SELECT doc_id, pos, unnest(range(len(l))) AS i, regexp_replace(unnest(l), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS s FROM cut) WHERE s <> ''),
+words AS (SELECT doc_id, pos, i, unnest(range(len(w))) AS j, unnest(w) AS s FROM (SELECT doc_id, pos, i, regexp_split_to_array(s, '[\s\p{{Z}}]+') AS w FROM segs WHERE t > 60)),
+items AS (SELECT doc_id, pos, i, 0 AS j, -1 AS lane, s, t FROM segs WHERE t <= 60 UNION ALL SELECT doc_id, pos, i, j, i, s, len({WORDS.format('s')}) FROM words),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY i, j) AS rn FROM items),
+f AS (SELECT doc_id, pos, rn, lane, t AS held, 1 AS n FROM r WHERE rn = 1
+  UNION ALL SELECT r.doc_id, r.pos, r.rn, r.lane, CASE WHEN r.lane = f.lane AND held + t <= 60 THEN held + t ELSE t END, CASE WHEN r.lane = f.lane AND held + t <= 60 THEN n ELSE n + 1 END
+  FROM f JOIN r ON r.doc_id = f.doc_id AND r.pos = f.pos AND r.rn = f.rn + 1),
+p AS (SELECT doc_id, pos, n, string_agg(s, ' ' ORDER BY rn) AS text, max(n) OVER (PARTITION BY doc_id, pos) AS parts FROM f JOIN r USING (doc_id, pos, rn) GROUP BY doc_id, pos, n),
+o AS (SELECT c.doc_id, CASE WHEN parts > 1 THEN id || '::part' || n ELSE id END AS chunk_id, CASE WHEN parts > 1 THEN '(part ' || n || '/' || parts || ')' ELSE '' END AS part_label, CASE WHEN parts > 1 THEN p.text ELSE c.text END AS text FROM c LEFT JOIN p USING (doc_id, pos))
+SELECT doc_id, chunk_id, part_label, len({WORDS.format('text')}) AS token_count, md5(text) AS text_md5 FROM o""",
+    "merge_under_min": rf"""WITH RECURSIVE {PARAGRAPHS},
+s AS (SELECT doc_id, a, b, pos, text, len({WORDS.format('text')}) AS t, row_number() OVER (PARTITION BY doc_id, a ORDER BY b, pos) AS rn FROM paras),
+f AS (SELECT doc_id, a, rn, t AS held, 1 AS n FROM s WHERE rn = 1
+  UNION ALL SELECT s.doc_id, s.a, s.rn, CASE WHEN held < 20 AND held + t <= 60 THEN held + t ELSE t END, CASE WHEN held < 20 AND held + t <= 60 THEN n ELSE n + 1 END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.a = f.a AND s.rn = f.rn + 1),
+g AS (SELECT doc_id, a, n, sum(t) AS t, doc_id || ':' || a || '/' || arg_min(b, rn) || ':' || arg_min(pos, rn) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS id FROM f JOIN s USING (doc_id, a, rn) GROUP BY doc_id, a, n),
+h AS (SELECT doc_id, a, n, t AS held, 1 AS m, id FROM g WHERE n = 1
+  UNION ALL SELECT g.doc_id, g.a, g.n, CASE WHEN t < 20 AND held + t <= 60 THEN held + t ELSE t END, CASE WHEN t < 20 AND held + t <= 60 THEN m ELSE m + 1 END, CASE WHEN t < 20 AND held + t <= 60 THEN h.id || '+1' ELSE g.id END
+  FROM h JOIN g ON g.doc_id = h.doc_id AND g.a = h.a AND g.n = h.n + 1),
+ids AS (SELECT doc_id, a, m, arg_max(id, n) AS id FROM h GROUP BY doc_id, a, m)
+SELECT doc_id, any_value(ids.id) AS chunk_id, count(*) AS n_members, CAST(sum(t) AS BIGINT) AS token_count,
+  md5(CASE WHEN count(*) > 1 THEN coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rn) FILTER (regexp_matches(text, '\S')), '') ELSE any_value(text) END) AS text_md5
+FROM s JOIN f USING (doc_id, a, rn) JOIN (SELECT doc_id, a, n, m FROM h) USING (doc_id, a, n) JOIN ids USING (doc_id, a, m) GROUP BY doc_id, a, m""",
+    "citations": f"WITH {TOP} SELECT question_id, doc_id, rank, round(base, 5) AS score, label, citation, md5(CASE WHEN length(trim(content)) > 300 THEN substr(trim(content), 1, 300) || '...' ELSE trim(content) END) AS snippet_md5 FROM cited WHERE rank <= 10",
+    "context_blocks": f"""WITH {TOP}, b AS (SELECT question_id, string_agg(concat_ws(chr(10), '[SOURCE ' || rank || ']', 'Section: ' || section_ref, 'Source Name: ' || coalesce(source_name, ''), 'Source Type: regulation', 'Authority Level: ' || authority_level, 'Source URL: ' || coalesce(source_url, ''), 'Content: ' || content), chr(10) || chr(10) ORDER BY rank) AS context FROM top WHERE rank <= 5 GROUP BY question_id)
+SELECT question_id, md5(context) AS context_md5, length(context) AS n_chars FROM b""",
+    "citation_footers": f"WITH {TOP} SELECT question_id, string_agg('- ' || rank || '. ' || citation, chr(10) ORDER BY rank) AS footer FROM cited WHERE rank <= 3 GROUP BY question_id",
+    "asked_scores": f"""WITH {TOP},
+q AS (SELECT *, CAST(600 + question_id % 100 AS VARCHAR) AS hint, (600 + question_id % 100) || '.' || (question_id % 3) AS cited, 'p-' || part || '.' || (doc_id % 3) || '(a)(1)' AS node FROM top WHERE rank <= 10),
+s AS (SELECT *, contains(lower(content), cited) OR contains(lower(section_ref), cited) AS named, replace(lower(content) || ' ' || lower(section_ref), ' ', '') AS tight FROM q)
+SELECT question_id, doc_id, round(CASE WHEN named THEN 0.07::DOUBLE WHEN contains(tight, cited) THEN 0.05::DOUBLE ELSE 0 END
+  + CASE WHEN node = 'p-' || cited || '(a)' THEN 0.35::DOUBLE WHEN contains(node, 'p-' || cited || '(a)') THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN part = hint THEN 0.22::DOUBLE ELSE -0.08::DOUBLE END, 4) AS asked FROM s""",
 }
