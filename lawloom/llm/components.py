@@ -26,3 +26,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
         if new.where("comp <> old").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``labels`` and of further ``links`` (a, b), by work on the new links alone."""
+    ends = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    upper = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("comp", "top")
+    new = [links.select(F.col(c).alias("node"), F.col(c).alias("comp")) for c in ("a", "b")]
+    # A component's label is its least node, so a node that was known keeps its old label here.
+    every = labels.unionByName(new[0]).unionByName(new[1]).groupBy("node").agg(F.min("comp").alias("comp"))
+    return common.cut(every.join(upper, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))

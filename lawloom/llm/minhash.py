@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, joined
 from .packed import LAST_ID, groups, keyed
 
 #: Registers of a sketch, and the mantissa bits that each keeps.
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts = common.cut(texts.groupBy("nid").agg(F.first("degree").alias("degree"), F.first("text").alias("text")))
     degrees, texts = texts.select("nid", "degree"), texts.select("nid", "text")
 
-    links = tested = labels = None
+    tested = labels = None
     for turn in range(PIVOTS):
         members = in_keys.select("key", "nid").join(degrees, "nid")
         if labels is not None:
@@ -270,11 +270,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         pairs = common.cut(_likely(pairs, nodes, percent))
         found = common.cut(_verified(pairs, texts, size, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = joined(labels, found)
     found = common.cut(_across(_open(in_keys.select("key", "nid"), labels).select("key", "nid", "comp"), texts, size, percent))
     if not found.isEmpty():
-        labels = components(links.unionByName(found))
+        labels = joined(labels, found)
 
     named = nodes.select("s1", "s2", "did", "th", F.col("nid").alias("node")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min(F.struct("did", "th")).alias("least"))

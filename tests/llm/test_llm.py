@@ -255,3 +255,14 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     truth = minhash.brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
     assert kept == {i for i, (n, c) in truth.items() if i == c}
+
+
+def test_components_joined(spark):
+    """Links in two turns give the components of all of them; new nodes, repeated links and links to itself included."""
+    from lawloom.llm.components import components, joined
+
+    links = [(5, 9), (9, 12), (3, 4), (20, 21), (21, 22), (22, 23), (7, 7)]
+    more = [(12, 4), (23, 30), (30, 31), (40, 41), (12, 4), (3, 5)]
+    found = joined(components(spark.createDataFrame(links, "a long, b long")), spark.createDataFrame(more, "a long, b long"))
+    want = {n: 3 for n in (3, 4, 5, 9, 12)} | {n: 20 for n in (20, 21, 22, 23, 30, 31)} | {40: 40, 41: 40}
+    assert {r.node: r.comp for r in found.collect()} == want
