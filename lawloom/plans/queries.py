@@ -128,6 +128,14 @@ def best_depth(spark, sf_dir):
     return chunks.best_depth(chunks.depth_stats(c)).select("doc_id", F.col("depth").cast("long").alias("depth"), F.col("n").cast("long").alias("n"), F.col("median").cast("double").alias("median"), F.round("mean", 4).alias("mean"), F.col("score").cast("double").alias("score"))
 
 
+def level_summary(spark, sf_dir):
+    """Chunks, characters and tokens by document and depth; averages are cut to whole numbers."""
+    c = chunks.level_chunks(chunks.paragraphs(table(spark, sf_dir, "documents")))
+    sized = c.select("doc_id", "depth", F.char_length("text").alias("chars"), F.size(text.word_tokens(F.col("text"))).alias("tokens"))
+    g = sized.groupBy("doc_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
+    return g.select("doc_id", F.col("depth").cast("long").alias("depth"), "n", "chars", "tokens", F.floor(F.col("chars") / F.col("n")).alias("mean_chars"), F.floor(F.col("tokens") / F.col("n")).alias("mean_tokens"))
+
+
 def chunk_overlap(spark, sf_dir):
     o = chunks.with_overlap(chunks.paragraphs(table(spark, sf_dir, "documents")))
     return o.select("doc_id", *[F.col(k).cast("long").alias(k) for k in ("pos", "prev_pos", "next_pos", "total_chunks")], F.md5(F.col("overlap_text").cast("binary")).alias("overlap_md5"), "has_overlap")
@@ -220,7 +228,7 @@ def asked_scores(spark, sf_dir):
     return top.select("question_id", "doc_id", F.round(score, 4).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores)}
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -289,6 +297,7 @@ g AS (SELECT *, max(final) OVER (PARTITION BY question_id) AS best FROM r WHERE
 SELECT question_id, doc_id, round(final, 4) AS final, rank, section_ref FROM g WHERE best >= 0.23""",
     "level_chunks": f"WITH {LEVELS} SELECT doc_id, doc_id || ':' || path AS chunk_id, depth, n_members, md5(text) AS text_md5 FROM levels",
     "best_depth": f"WITH {LEVELS}, sized AS (SELECT doc_id, depth, len({WORDS.format('text')}) AS tokens FROM levels), st AS (SELECT doc_id, depth, count(*) AS n, median(tokens) AS median, avg(tokens) AS mean FROM sized WHERE tokens > 0 GROUP BY doc_id, depth), sc AS (SELECT *, abs(median - 800) + CASE WHEN median < 200 THEN 500 ELSE 0 END + CASE WHEN median > 1500 THEN 700 ELSE 0 END + CASE WHEN n = 1 THEN 100 ELSE 0 END AS score FROM st), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, depth) AS k FROM sc) SELECT doc_id, depth::BIGINT AS depth, n, median::DOUBLE AS median, round(mean, 4) AS mean, score::DOUBLE AS score FROM k WHERE k = 1",
+    "level_summary": f"WITH {LEVELS}, sized AS (SELECT doc_id, depth, length(text) AS c, len({WORDS.format('text')}) AS t FROM levels) SELECT doc_id, depth::BIGINT AS depth, count(*) AS n, sum(c)::BIGINT AS chars, sum(t)::BIGINT AS tokens, (sum(c) // count(*))::BIGINT AS mean_chars, (sum(t) // count(*))::BIGINT AS mean_tokens FROM sized GROUP BY doc_id, depth",
     "chunk_overlap": f"WITH {PARAGRAPHS}, t AS (SELECT doc_id, pos, lag(pos) OVER w AS prev_pos, lead(pos) OVER w AS next_pos, count(*) OVER (PARTITION BY doc_id) AS total_chunks, coalesce(lag({WORDS.format('text')}) OVER w, []) AS before FROM paras WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, prev_pos, next_pos, total_chunks, md5(coalesce(array_to_string(before[greatest(len(before) - 20, 0) + 1:], ' '), '')) AS overlap_md5, len(before) > 0 AS has_overlap FROM t",
     "upsert_latest": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, round(value, 4) AS value FROM k WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND event_id IS NOT NULL)",
     "manifest_counts": f"WITH {RECORDS} SELECT part, count(*) AS n_records, count(DISTINCT namespace) AS n_namespaces, CAST(sum(CASE WHEN coalesce(content, '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_rejected FROM records GROUP BY part",
