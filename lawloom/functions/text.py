@@ -12,6 +12,16 @@ BEFORE_SIGN = r"\s+([,;:.])"
 WORD_OR_SIGN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SEARCH_TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)?"
 RANK_TOKEN = r"[a-z0-9.]+"
+#: In this order: what is no text; a p element begins (SOH); another block begins or ends, or p ends (STX); tags left.
+MARKUP_STEPS = (
+    ("[\x01\x02]", " "),
+    (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", ""),
+    (r"(?i)<p(?:\s[^>]*|/)?>", "\x01"),
+    (r"(?i)</?(?:address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hgroup|hr|html|li|main|menu|nav|ol|p|pre|search|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)(?:[\s/][^>]*)?>", "\x02"),
+    (r"(?i)<br(?:[\s/][^>]*)?>", " "),
+    (r"(?s)</?[a-z!?A-Z][^>]*>", ""),
+)
+PARAGRAPH = "\x01([^\x01\x02]*)"
 
 
 def blank(text: Column) -> Column:
@@ -43,6 +53,14 @@ def rank_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(blank(text)), F.lit(RANK_TOKEN), F.lit(0)))
 
 
+def paragraphs(html: Column) -> Column:
+    """The whole text of each p element, '' for one without: up to the next block's tag, inner tags left out, white space collapsed; references like &amp; stay as written."""
+    out = blank(html)
+    for pattern, by in MARKUP_STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.transform(F.regexp_extract_all(out, F.lit(PARAGRAPH), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, WHITE, " ")))
+
+
 def section_ref(section: Column, path: Column) -> Column:
     """``§section(a)(1)``; parts that begin with p are left out, and an unknown section gives ''."""
     parts = F.transform(F.filter(path, lambda x: ~F.startswith(x, F.lit("p"))), lambda x: F.concat(F.lit("("), x, F.lit(")")))

@@ -66,6 +66,12 @@ def page_paragraphs(spark, sf_dir):
     return found.where("body <> ''").select("page_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+def whole_paragraphs(spark, sf_dir):
+    """The whole text of each paragraph, where ``page_paragraphs`` has what comes before its first inner tag."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.paragraphs(F.col("html"))).alias("pos", "body"))
+    return found.where("body <> ''").select("page_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def conversation_intent(spark, sf_dir):
     """Intent of every user turn, with a reference that its ids give it."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -228,11 +234,14 @@ def asked_scores(spark, sf_dir):
     return top.select("question_id", "doc_id", F.round(score, 4).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores)}
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
 RANKS = r"list_distinct(regexp_extract_all(lower({0}), '[a-z0-9.]+'))"
+BARE = "coalesce(html, '')"
+for _pattern, _by in text.MARKUP_STEPS:
+    BARE = f"regexp_replace({BARE}, '{_pattern}', '{_by}', 'g')"
 BM25 = f"""toks AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents),
 stats AS (SELECT count(*) AS n, CASE WHEN avg(len(t)) = 0 THEN 1 ELSE avg(len(t)) END AS avgdl FROM toks),
 post AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM toks) GROUP BY ALL),
@@ -272,6 +281,7 @@ ORACLE_SQL = {
 SELECT page_id, host || '::' || regexp_extract(path, '([^/]*)$', 1) AS source_name, md5(CASE WHEN length(bare) > 300 THEN substr(bare, 1, 300) || '...' ELSE bare END) AS snippet_md5 FROM p""",
     "page_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos FROM pages) SELECT page_id, href, min(pos) AS first_pos FROM l GROUP BY page_id, href""",
     "page_paragraphs": r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '<p>([^<]*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS body, generate_subscripts(ps, 1) - 1 AS pos FROM b) SELECT page_id, pos, md5(body) AS body_md5 FROM l WHERE body <> ''""",
+    "whole_paragraphs": f"""WITH b AS (SELECT page_id, regexp_extract_all({BARE}, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS pos FROM b), t AS (SELECT page_id, pos, trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body FROM l) SELECT page_id, pos, md5(body) AS body_md5 FROM t WHERE body <> ''""",
     "conversation_intent": r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
 q AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '34 CFR ' || (600 + conv_id % 100) || '.' || (turn + 1) || ' (a)(1) ' || text WHEN 1 THEN 'Part ' || (600 + conv_id % 100) || ' ' || text WHEN 2 THEN 'Hello! Good morning.' ELSE text END AS q FROM c),
 t AS (SELECT *, regexp_replace(q, '\s+', '', 'g') AS tight, lower(q) AS low FROM q)
