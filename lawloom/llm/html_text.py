@@ -2,8 +2,9 @@
 
 A page's text blocks are listed with their root-to-leaf tag paths.  For each
 path, text length and punctuation per node are aggregated, smoothed along the
-page, fused into one score and thresholded; the element that holds most of the
-selected text is the article, and its blocks, short ones too, are the content.
+page, fused into one score and thresholded.  The element that holds most of the
+selected text, with the article or main element around it, is the article; its
+blocks, short ones too, are the content, and so is what was selected elsewhere.
 """
 
 from __future__ import annotations
@@ -162,7 +163,9 @@ SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.5
 #: An element is the article if it holds this part of the selected text.
 MAJORITY = 0.8
-#: Outside a single article element, a block is content only if less than this part of it is links.
+#: Elements that mark an article as a whole.
+WHOLE = frozenset("article main".split())
+#: Outside the article's element, a block that wasn't selected is content only if less than this part of it is links.
 LINKED = 0.5
 
 
@@ -210,11 +213,18 @@ def main_text(page: str | None) -> str:
     holders = [n for n, w in weight.items() if w >= MAJORITY * total and len(leaves[n]) > 1]
     holder = max(holders, key=lambda n: depth[n]) if holders else None
     names = {n: t for b in found for n, t in zip(b.elements, b.path.split(".") if b.path else (), strict=True)}
-    if holder is not None and names[holder] not in ("body", "html"):
-        kept = [b for b in found if holder in b.elements]
-    else:
-        kept = [b for b in found if scores[b.path] >= limit or (b.linked < LINKED * len(b.text) and b.path.rpartition(".")[2] in TEXT_TAGS)]
-    return "\n".join(b.text for b in kept)
+    around = next((b.elements[: depth[holder] + 1] for b in chosen if holder in b.elements), ())
+    whole = next((n for n in around if names[n] in WHOLE), None)
+    if whole is not None:
+        holder = whole
+    elif holder is not None and names[holder] in ("body", "html"):
+        holder = None
+
+    def is_text(b: Block) -> bool:
+        # Where an article is marked as a whole, text beside it counts only within another such element.
+        return b.linked < LINKED * len(b.text) and b.path.rpartition(".")[2] in TEXT_TAGS and (whole is None or any(names[n] in WHOLE for n in b.elements))
+
+    return "\n".join(b.text for b in found if holder in b.elements or scores[b.path] >= limit or is_text(b))
 
 
 def extract(pages: DataFrame, markup: str = "html", text: str = "text") -> DataFrame:
