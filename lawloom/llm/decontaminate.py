@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed masks over spans of tokens: 1 is compared, 0 ignored.
-MASKS = ("111010011", "1101100101", "11110111")
+#: Fixed masks over spans of tokens: 1 is compared, 0 ignored.  One of them hits every overlap that the rule below allows.
+MASKS = ("1111011", "1101000111", "11001111", "111111", "1110100011")
 #: Characters of test items in one block, which bounds what is broadcast.
 BLOCK_CHARS = 16_000_000
 #: An overlap has this many tokens at least (or all of a shorter item's), of which this part agree.
@@ -50,13 +50,13 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of test items: their tokens, and the seeds' sorted hashes with item and position."""
+    """A block of test items: their tokens, and by mask, and whether it is for whole short items, the seeds' sorted hashes with item and position."""
 
     ids: list[int]
     hashes: np.ndarray
     offsets: np.ndarray
-    tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    filter: dict[str, np.ndarray]
+    tables: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    filter: dict[tuple[str, bool], np.ndarray]
 
     FILTER_BITS = 22
 
@@ -67,23 +67,23 @@ class Items:
         size = np.diff(bounds)
         span = max(map(len, MASKS))
         # Items shorter than the longest span are sought as they stand.
-        masks = [*MASKS, *("1" * int(n) for n in np.unique(size[(size > 0) & (size < span)]))]
+        masks = [*((m, False) for m in MASKS), *(("1" * int(n), True) for n in np.unique(size[(size > 0) & (size < span)]))]
         tables, filters = {}, {}
-        for mask in masks:
+        for mask, short in masks:
             found = seeds(hashes, mask)
             at = np.arange(len(found))
             item = np.searchsorted(bounds, at, "right") - 1
             ok = at + len(mask) <= bounds[item + 1]
-            ok &= (size[item] == len(mask)) if len(mask) < span and set(mask) == {"1"} else size[item] >= span
+            ok &= (size[item] == len(mask)) if short else size[item] >= span
             keys, at = found[ok], at[ok]
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
             if len(keys):
                 first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                tables[mask] = (keys[first], np.append(first, len(keys)), at)
+                tables[mask, short] = (keys[first], np.append(first, len(keys)), at)
                 bits = np.zeros(1 << cls.FILTER_BITS, bool)
                 bits[keys >> np.uint64(64 - cls.FILTER_BITS)] = True
-                filters[mask] = bits
+                filters[mask, short] = bits
         return cls([i for i, _ in rows], hashes, bounds, tables, filters)
 
 
@@ -112,9 +112,9 @@ def overlaps(hashes: np.ndarray, doc: np.ndarray, n_docs: int, items: Items) ->
     """For each document: by item, the longest verified overlap as (tokens, first, last + 1 in the document)."""
     bounds = np.searchsorted(doc, np.arange(n_docs + 1))
     pairs: dict[tuple[int, int], int] = {}
-    for mask, (keys, first, at) in items.tables.items():
+    for (mask, short), (keys, first, at) in items.tables.items():
         found = seeds(hashes, mask)
-        near = np.flatnonzero(items.filter[mask][found >> np.uint64(64 - Items.FILTER_BITS)])
+        near = np.flatnonzero(items.filter[mask, short][found >> np.uint64(64 - Items.FILTER_BITS)])
         if not len(near):
             continue
         k = np.minimum(np.searchsorted(keys, found[near]), len(keys) - 1)
