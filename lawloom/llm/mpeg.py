@@ -146,20 +146,24 @@ def parse(media: bytes) -> Stream:
         out.tags.append(f"ID3v2.{media[3]}")
         _read_tag(out, media[10 : 10 + size], media[3])
         at = min(end, 10 + size)
-    if end - at >= 128 and media[end - 128 : end - 125] == b"TAG":
-        out.tags.append("ID3v1")
-        end -= 128
+    # What looks like a tag may be data of a frame that reaches over it.
+    tag = end - 128 if end - at >= 128 and media[end - 128 : end - 125] == b"TAG" else end
     trusted = False
     while at < end:
+        if at == tag:
+            out.tags.append("ID3v1")
+            break
         h = header(media[at : at + 4])
         after = at + h.size if h else 0
-        # A header counts if another one, or the end, follows its frame, or if its checksum is right.
-        if not h or after > end or not (trusted or after == end or header(media[after : after + 4]) or _sum_is_right(media, at, h)):
-            found = media.find(b"\xff", at + 1, end)
-            out.skipped += (found if found >= 0 else end) - at
-            at, trusted = (found if found >= 0 else end), False
+        follows = after in (tag, end) or header(media[after : after + 4]) is not None
+        # A header counts if another one, a tag or the end follows its frame, or, short of the tag's place, if its checksum is right.
+        if not h or after > end or not (follows or ((after < tag or at > tag) and (trusted or _sum_is_right(media, at, h)))):
+            to = tag if at < tag else end
+            found = media.find(b"\xff", at + 1, to)
+            out.skipped += (found if found >= 0 else to) - at
+            at, trusted = (found if found >= 0 else to), False
             continue
-        trusted = after == end or header(media[after : after + 4]) is not None
+        trusted = follows
         body = at + 4 + 2 * h.crc
         if h.crc and h.layer == 3:
             out.checked += 1
