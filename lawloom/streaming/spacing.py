@@ -8,6 +8,7 @@ With the cooldown, opening is a model call, and others wait.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,25 +46,76 @@ def spaced(rows: DataFrame, key: str, ts: str, order: str, seconds: int, strict:
     """``rows`` with ``opened`` and ``elapsed_us`` since the last opening (0 for one that opens).
 
     Of requests at one time the one with the least ``order`` opens.  A request
-    that follows the one before it by the whole gap always opens, so runs
-    between such gaps are worked on apart; of a run, only times and ``order``
-    are gathered.  Rows without a time or a key are no requests and are left out.
+    that follows the one before it by the whole gap always opens; rows without
+    a time or a key are no requests and are left out.  Each key's time is cut
+    into blocks as long as the gap, so that a block has one opening at most,
+    and the next opening after a time lies in the next block or begins a later
+    one.  Which times open is found by following these links from the sure
+    openings, twice as far in each round.  No task takes more of a key at once
+    than a block, and of the list of blocks SPAN of them.
     """
-    gap = _gap(seconds, strict)
+    gap = max(1, _gap(seconds, strict))
     timed = rows.withColumn("us", micros(ts)).where(F.col("us").isNotNull() & F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy("us", order)
-    starts = F.coalesce(F.col("us") - F.lag("us").over(w) >= gap, F.lit(True))
-    runs = timed.select(key, "us", order, starts.alias("starts")).withColumn("run", F.sum(F.col("starts").cast("long")).over(w))
-    runs = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("us", order))).alias("all"))
-
-    @F.pandas_udf("array<long>")
-    def openings(times: pd.Series) -> pd.Series:
-        return times.map(lambda at: _openings(np.asarray(at, np.int64), gap, None))
-
-    found = runs.select(key, F.posexplode(F.arrays_zip("all", openings(F.transform("all", lambda x: x["us"])).alias("opening"))).alias("pos", "x"))
-    w = Window.partitionBy(key, "opening").orderBy("us", order)
-    found = found.select(key, F.col(f"x.all.{order}").alias(order), F.col("x.all.us").alias("us"), F.col("x.opening").alias("opening"))
-    return found.select(key, order, (F.row_number().over(w) == 1).alias("opened"), (F.col("us") - F.col("opening")).alias("elapsed_us"))
+    timed = timed.select(F.col(key).alias("key"), F.col(order).alias("order"), "us", F.expr(f"us - pmod(us, {gap}L)").alias("block"))
+    times = timed.select("key", "block", "us").distinct()
+    blocks = _neighbours(times.groupBy("key", "block").agg(F.min("us").alias("least"), F.max("us").alias("most")), gap)
+    blocks = _cut(blocks.select("key", "block", "least", F.coalesce(F.col("least") - F.col("before") >= gap, F.lit(True)).alias("sure"), "after"))
+    # The first time behind a block and the one that follows it.
+    following = blocks.select("key", (F.col("block") - gap).alias("block"), F.lit(True).alias("near"), F.col("after").alias("later"))
+    past = blocks.join(following, ["key", "block"], "left").select("key", "block", F.when(F.col("near"), F.col("later")).otherwise(F.col("after")).alias("past"))
+
+    # In each block, its times and those of the block before by one gap later, from the last on: the least time seen so far is the next opening.
+    both = times.select("key", "block", F.col("us").alias("at"), F.lit(False).alias("asks")).unionByName(times.select("key", (F.col("block") + gap).alias("block"), (F.col("us") + gap).alias("at"), F.lit(True).alias("asks")))
+    w = Window.partitionBy("key", "block").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    links = both.withColumn("to", F.min(F.when(~F.col("asks"), F.col("at"))).over(w)).where("asks").select("key", (F.col("block") - gap).alias("block"), (F.col("at") - gap).alias("us"), "to")
+    links = links.join(past, ["key", "block"]).select("key", "us", F.coalesce("to", "past").alias("to")).where("to is not null")
+    sure = blocks.where("sure").select("key", F.col("least").alias("us"))
+    # A link to a sure opening tells nothing new, and no run of requests goes on behind it.
+    links = _cut(links.join(sure.withColumnRenamed("us", "to"), ["key", "to"], "left_anti").select("key", "us", "to"))
+    opened = _cut(sure)
+    while not links.isEmpty():
+        further = links.join(opened, ["key", "us"], "left_semi").select("key", F.col("to").alias("us"))
+        opened = _cut(opened.unionByName(further).distinct())
+        links = _cut(links.join(links.select("key", F.col("us").alias("to"), F.col("to").alias("then")), ["key", "to"]).select("key", "us", F.col("then").alias("to")))
+
+    opened = opened.select("key", F.expr(f"us - pmod(us, {gap}L)").alias("block"), F.col("us").alias("own"))
+    earlier = opened.select("key", (F.col("block") + gap).alias("block"), F.col("own").alias("earlier"))
+    found = timed.join(opened, ["key", "block"], "left").join(earlier, ["key", "block"], "left")
+    found = found.withColumn("opening", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("earlier")))
+    w = Window.partitionBy("key", "opening").orderBy("us", "order")
+    return found.select(F.col("key").alias(key), F.col("order").alias(order), (F.row_number().over(w) == 1).alias("opened"), (F.col("us") - F.col("opening")).alias("elapsed_us"))
+
+
+#: Blocks of the gap's length in one span of the list of blocks.
+SPAN = 1024
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder that the cluster names, or in one of its own, without its lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lawloom-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def _neighbours(blocks: DataFrame, length: int) -> DataFrame:
+    """``blocks`` (key, block, least, most) with the last time ``before`` and the first one ``after`` each, null at the ends of a key.
+
+    Neighbours are sought within spans of SPAN blocks, and of spans in spans of
+    these, until a key has few.
+    """
+    span = length * SPAN
+    w = Window.partitionBy("key", "span").orderBy("block")
+    blocks = blocks.withColumn("span", F.expr(f"block - pmod(block, {span}L)"))
+    blocks = blocks.withColumn("before", F.lag("most").over(w)).withColumn("after", F.lead("least").over(w))
+    spans = _cut(blocks.groupBy("key", F.col("span").alias("block")).agg(F.min("least").alias("least"), F.max("most").alias("most")))
+    if (spans.groupBy("key").count().agg(F.max("count").alias("n")).first().n or 0) > SPAN:
+        spans = _neighbours(spans, span)
+    else:
+        w = Window.partitionBy("key").orderBy("block")
+        spans = spans.withColumn("before", F.lag("most").over(w)).withColumn("after", F.lead("least").over(w))
+    spans = spans.select("key", F.col("block").alias("span"), F.col("before").alias("b"), F.col("after").alias("a"))
+    return blocks.join(spans, ["key", "span"]).withColumn("before", F.coalesce("before", "b")).withColumn("after", F.coalesce("after", "a")).drop("span", "a", "b")
 
 
 def spaced_stream(rows: DataFrame, key: str, ts: str, order: str, seconds: int, strict: bool) -> DataFrame:
