@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import atexit
 import heapq
 import json
 import mmap
@@ -19,7 +20,6 @@ import struct
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,8 @@ from . import common
 
 #: Frequent words that the lexicon takes; it bounds what the driver gathers and ships.
 LEXICON_WORDS = 60_000
-#: Words that a worker remembers, and distinct words that it counts, before it starts afresh.
-MEMO_WORDS = 150_000
+#: Distinct words that a worker counts, and words that it remembers, before it starts afresh.
+COUNTED_WORDS, MEMO_WORDS = 150_000, 600_000
 #: Rows whose ids are turned into text in one vector pass.
 ROWS_DECODED = 500
 
@@ -49,7 +49,7 @@ def byte_alphabet() -> dict[str, int]:
 class Vocabulary:
     """Merges, token bytes and special tokens of a byte-level BPE file."""
 
-    NONE = 1 << 40
+    NONE = (1 << 31) - 1
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -93,62 +93,104 @@ class Vocabulary:
                 heapq.heappush(heap, (r[0], h, ids[h], new, r[1]))
         return tuple(t for t in ids if t >= 0)
 
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each pair and the token it becomes; ``NONE`` where no merge has it."""
-        if not hasattr(self, "_keys"):
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Ranks for many lookups at once: byte pairs as a square, all pairs by open addressing; and what each rank's pair becomes."""
+        if not hasattr(self, "_table"):
             keys = np.array([x << 32 | y for x, y in self.rank], np.int64)
-            order = np.argsort(keys)
-            ranks = np.array([*self.rank.values()], np.int64)[order]
-            self._keys, self._ranks, self._news = keys[order], ranks[:, 0], ranks[:, 1]
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], self.NONE), self._news[at]
+            ranks = np.array([r for r, _ in self.rank.values()], np.int32)
+            news = np.zeros(ranks.max(initial=0) + 2, np.int32)
+            news[ranks] = [n for _, n in self.rank.values()]
+            size = 1 << (16 * max(1, len(keys))).bit_length()
+            places, values = np.full(size, -1, np.int64), np.full(size, self.NONE, np.int32)
+            left, probes = np.arange(len(keys)), 0
+            while len(left):
+                at = (self._place(keys[left], size) + probes) % size
+                first = np.zeros(len(left), bool)
+                first[np.unique(at, return_index=True)[1]] = True
+                free = first & (places[at] < 0)
+                places[at[free]], values[at[free]] = keys[left[free]], ranks[left[free]]
+                left, probes = left[~free], probes + 1
+            single = np.array(self.single, np.int64)
+            self._table = None, places, values, news, probes
+            square = self._find(np.repeat(single, 256), np.tile(single, 256)).reshape(256, 256)
+            self._table = square, places, values, news, probes
+        return self._table
+
+    @staticmethod
+    def _place(key: np.ndarray, size: int) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair; ``NONE`` where no merge has it."""
+        _, places, values, _, probes = self._table
+        key = a.astype(np.int64) << 32 | b
+        at = self._place(key, len(places))
+        out = np.where(places[at] == key, values[at], self.NONE)
+        for _ in range(1, probes):
+            at = (at + 1) % len(places)
+            out = np.where(places[at] == key, values[at], out)
+        return out
 
-    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """``merge`` of many words: those of up to 32 bytes step by step together."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many words: all ids after one another, and how many each has; words of up to 32 bytes go step by step together."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 8), (8, 14), (14, 32)):
+        counts = np.zeros(len(words), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 18), (18, 32)):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            for k in range(0, len(rows), 4096):
-                some = rows[k : k + 4096]
-                for i, ids in zip(some.tolist(), self._merge_rows([words[i] for i in some], sizes[some], high), strict=True):
-                    out[i] = ids
-        for i in np.flatnonzero(sizes > 32).tolist():
-            out[i] = self.merge(words[i])
-        return out
+            for k in range(0, len(rows), 8192):
+                some = rows[k : k + 8192]
+                ids = self._merge_rows([words[i] for i in some.tolist()], sizes[some], high)
+                counts[some] = (ids >= 0).sum(1)
+                parts.append((some, ids))
+        long = np.flatnonzero(sizes > 32).tolist()
+        merged = [self.merge(words[i]) for i in long]
+        counts[long] = [len(m) for m in merged]
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for some, ids in parts:
+            r, c = np.nonzero(ids >= 0)
+            flat[starts[some[r]] + c] = ids[r, c]
+        for i, m in zip(long, merged, strict=True):
+            flat[starts[i] : starts[i] + len(m)] = m
+        return flat, counts
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        flat, counts = self.merge_flat(words)
+        flat, ends = flat.tolist(), np.cumsum(counts).tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple[int, ...]]:
+    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
+        """Ids of each word from the left, -1 behind them."""
+        square, _, _, news, _ = self.pair_table()
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        ids = np.full((len(words), width + 1), -1, np.int64)
-        ids[:, :width] = np.where(np.arange(width) < sizes[:, None], np.array(self.single)[raw], -1)
-        rank = np.full((len(words), width), self.NONE)
-        news = np.zeros((len(words), width), np.int64)
-        r, c = np.nonzero(ids[:, 1:] >= 0)
-        rank[r, c], news[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
         columns = np.arange(width)
-        rows = np.arange(len(words))
-        while len(rows):
-            at = rank[rows].argmin(1)
-            more = rank[rows, at] < self.NONE
-            rows, at = rows[more], at[more]
-            if not len(rows):
-                break
-            ids[rows, at] = news[rows, at]
-            move = columns + (columns > at[:, None])  # what follows the pair moves one place to the left
-            ids[rows[:, None], columns] = ids[rows[:, None], move]
-            move = np.minimum(move, width - 1)
-            rank[rows[:, None], columns], news[rows[:, None], columns] = rank[rows[:, None], move], news[rows[:, None], move]
-            rank[rows, -1] = self.NONE
+        ids = np.where(columns < sizes[:, None], np.array(self.single, np.int32)[raw], np.int32(-1))
+        rank = np.full((len(words), width), self.NONE, np.int32)
+        rank[:, :-1] = np.where(columns[1:] < sizes[:, None], square[raw[:, :-1], raw[:, 1:]], self.NONE)
+        out = np.full((len(words), width), -1, np.int32)
+        row = np.arange(len(words))
+        while len(row):
+            each = np.arange(len(row))
+            at = rank.argmin(1)
+            best = rank[each, at]
+            more = best < self.NONE
+            if not more.all():
+                out[row[~more]] = ids[~more]
+                row, at, best, ids, rank = row[more], at[more], best[more], ids[more], rank[more]
+                each = each[: len(row)]
+            # What follows the pair moves one place to the left.
+            behind = columns > at[:, None]
+            ids = np.where(behind, np.concatenate((ids[:, 1:], np.full((len(row), 1), -1, np.int32)), 1), ids)
+            rank = np.where(behind, np.concatenate((rank[:, 1:], np.full((len(row), 1), self.NONE, np.int32)), 1), rank)
+            ids[each, at] = news[best]
             for x in (at - 1, at):
-                ok = x >= 0
-                r, c = rows[ok], x[ok]
-                a, b = ids[r, c], ids[r, c + 1]
-                value, new = self.ranks(a, np.maximum(b, 0))
-                rank[r, c], news[r, c] = np.where(b >= 0, value, self.NONE), new
-        flat = ids[ids >= 0].tolist()
-        ends = np.cumsum((ids >= 0).sum(1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                k = each[(x >= 0) & (x < width - 1)]
+                c = x[k]
+                b = ids[k, c + 1]
+                rank[k, c] = np.where(b >= 0, self._find(ids[k, c], np.maximum(b, 0)), self.NONE)
+            rank[each[at == width - 1], width - 1] = self.NONE
+        return out
 
 
 class Lexicon:
@@ -236,6 +278,8 @@ class Lexicon:
         self.final = memoryview(buffer)[at : at + n]
         self.labels = at + n
         self.n_states, self.n_words = n, words
+        # A state's arcs stand in the order of their bytes, so state and byte together ascend.
+        self.arcs = np.repeat(np.arange(n) << 8, np.diff(np.asarray(self.first))) | np.frombuffer(buffer, np.uint8, arcs, self.labels)
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -256,30 +300,86 @@ class Lexicon:
             return None
         return tuple(self.ids[self.ends[number] : self.ends[number + 1]])
 
+    def find_all(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, by which ``ends`` has its ids, or -1: all walk through the automaton together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        targets, skips, final = np.asarray(self.targets), np.asarray(self.skips), np.frombuffer(self.final, np.uint8)
+        out = np.full(len(words), -1, np.int64)
+        row = np.flatnonzero(sizes > 0) if len(self.arcs) else starts[:0]
+        state, number = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        step = 0
+        while len(row):
+            key = state << 8 | raw[starts[row] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            known = self.arcs[arc] == key
+            row, arc, number = row[known], arc[known], number[known]
+            state, number = targets[arc].astype(np.int64), number + skips[arc]
+            step += 1
+            done = sizes[row] == step
+            ended = done & (final[state] > 0)
+            out[row[ended]] = number[ended]
+            row, state, number = row[~done], state[~done], number[~done]
+        return out
+
 
-class _Memo(dict):
-    """Ids of the words met lately: from the lexicon, else merged."""
+class _Memo:
+    """Ids of the words met lately, by two 64-bit hashes of each: from the lexicon, else merged."""
 
     def __init__(self, lexicon: Lexicon | None, vocabulary: Vocabulary):
         self.lexicon, self.vocabulary = lexicon, vocabulary
-
-    def learn(self, words: list[str]) -> None:
-        """Adds what it lacks of ``words``; the words that the lexicon lacks are merged together."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = words
-        get = self.lexicon.get if self.lexicon else lambda w: None
-        unseen, raw = [], []
-        for w in new:
-            b = w.encode()
-            ids = get(b)
-            if ids is None:
-                unseen.append(w)
-                raw.append(b)
-            else:
-                self[w] = ids
-        self.update(zip(unseen, self.vocabulary.merge_all(raw), strict=True))
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = self.checks = np.zeros(0, np.uint64)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.flat: list[np.ndarray] = [np.zeros(0, np.int32)]
+
+    def ids(self, keys: np.ndarray, checks: np.ndarray, word) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids kept, and where those of each key start and how many they are; ``word`` gives the bytes of keys by their places."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == keys) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            if len(self.keys) + len(keys) > MEMO_WORDS:
+                self.clear()
+                known[:] = False
+            self._learn(keys[~known], checks[~known], word(np.flatnonzero(~known)))
+            at = np.searchsorted(self.keys, keys)
+        return self.flat[0], self.starts[at], self.sizes[at]
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
+        number = self.lexicon.find_all(words) if self.lexicon else np.full(len(words), -1)
+        unseen = np.flatnonzero(number < 0)
+        merged, counts = self.vocabulary.merge_flat([words[i] for i in unseen.tolist()])
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        base = len(self.flat[0])
+        starts[unseen], sizes[unseen] = base + np.cumsum(counts) - counts, counts
+        parts = [self.flat[0], merged]
+        if self.lexicon:
+            hit = np.flatnonzero(number >= 0)
+            ends, ids = np.asarray(self.lexicon.ends), np.asarray(self.lexicon.ids)
+            first = ends[number[hit]].astype(np.int64)
+            sizes[hit] = ends[number[hit] + 1] - first
+            starts[hit] = base + len(merged) + np.cumsum(sizes[hit]) - sizes[hit]
+            parts.append(gathered(ids, first, sizes[hit]))
+        self.flat = [np.concatenate(parts)]
+        # A key that another word has too is taken anew by whoever comes last.
+        at = np.searchsorted(self.keys, keys)
+        clash = at[: len(at) * bool(len(self.keys))]
+        clash = clash[(clash < len(self.keys)) & (self.keys[np.minimum(clash, len(self.keys) - 1)] == keys)] if len(clash) else clash
+        order = np.argsort(keys)
+        fields = ("keys", keys), ("checks", checks), ("starts", starts), ("sizes", sizes)
+        old = {name: np.delete(getattr(self, name), clash) if len(clash) else getattr(self, name) for name, _ in fields}
+        places = np.searchsorted(old["keys"], keys[order])
+        for name, new in fields:
+            setattr(self, name, np.insert(old[name], places, new[order]))
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of ``values`` after one another."""
+    to = np.cumsum(sizes)
+    return values[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - sizes), sizes)]
 
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -335,14 +435,20 @@ def pre_tokens(pieces: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, at if len(at) and at[-1] == n else np.append(at, n), np.searchsorted(at, offsets)
 
 
-def distinct(joined: str, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The distinct pre-tokens, and each pre-token's place among them."""
+def distinct(joined: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct pre-tokens, two hashes and the number of one; and each pre-token's place among them."""
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    hashes = common.Rolling((points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).ranges(at[:-1], at[1:]) + np.diff(at).astype(np.uint64)
+    points = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = common.Rolling(points).ranges(at[:-1], at[1:]) + np.diff(at).astype(np.uint64)
     place, found = pd.factorize(hashes)
     first = np.empty(len(found), np.int64)
     first[place[::-1]] = np.arange(len(place))[::-1]
-    return [joined[a:b] for a, b in zip(at[first].tolist(), at[first + 1].tolist(), strict=True)], place
+    return found, common.Rolling(points, common.BASES[1]).ranges(at[first], at[first + 1]), first, place
+
+
+def spelled(joined: str, at: np.ndarray, which: np.ndarray) -> list[str]:
+    """The pre-tokens of these numbers."""
+    return [joined[a:b] for a, b in zip(at[which].tolist(), at[which + 1].tolist(), strict=True)]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -386,9 +492,10 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
 
         for batch in common.slices(batches, text):
             pieces, _, token = pieces_of(batch.column(0).to_pylist(), special)
-            words, place = distinct(*pre_tokens([p for p, t in zip(pieces, token, strict=True) if t < 0])[:2])
-            seen.update(dict(zip(words, np.bincount(place, minlength=len(words)).tolist(), strict=True)))
-            if len(seen) > MEMO_WORDS:
+            joined, at, _ = pre_tokens([p for p, t in zip(pieces, token, strict=True) if t < 0])
+            _, _, first, place = distinct(joined, at)
+            seen.update(dict(zip(spelled(joined, at, first), np.bincount(place, minlength=len(first)).tolist(), strict=True)))
+            if len(seen) > COUNTED_WORDS:
                 yield flush()
         yield flush()
 
@@ -415,9 +522,21 @@ def build_lexicon(docs: DataFrame, vocab_path: str, text: str = "text", size: in
     with os.fdopen(fd, "wb") as f:
         f.write(data)
     spark.sparkContext.addFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.unlink(path))
     return os.path.basename(path)
 
 
+_memos: dict[tuple[str | None, str], _Memo] = {}
+
+
+def _memo(lexicon: str | None, vocab_path: str) -> _Memo:
+    """The worker's memo, which later tasks of the same lexicon find again."""
+    if (lexicon, vocab_path) not in _memos:
+        _memos.clear()
+        _memos[lexicon, vocab_path] = _Memo(Lexicon.mapped(SparkFiles.get(lexicon)) if lexicon else None, vocabulary(vocab_path))
+    return _memos[lexicon, vocab_path]
+
+
 def encode(docs: DataFrame, lexicon: str | None, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` (array of int) added or replaced.
 
@@ -430,21 +549,16 @@ def encode(docs: DataFrame, lexicon: str | None, vocab_path: str, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        memo = _Memo(Lexicon.mapped(SparkFiles.get(lexicon)) if lexicon else None, vocab)
+        memo = _memo(lexicon, vocab_path)
         for batch in common.slices(batches, text):
             pieces, owner, token = pieces_of(batch.column(text).to_pylist(), vocab.special)
             token = np.array(token)
             joined, at, first = pre_tokens(["" if t >= 0 else p for p, t in zip(pieces, token.tolist(), strict=True)])
-            words, place = distinct(joined, at)
-            memo.learn(words)
-            known = [memo[w] for w in words]
-            sizes = np.fromiter(map(len, known), np.int64, len(known))
-            ends = np.cumsum(sizes)
-            table = np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum()))
+            keys, checks, one, place = distinct(joined, at)
+            table, starts, sizes = memo.ids(keys, checks, lambda which, j=joined, a=at, o=one: [w.encode() for w in spelled(j, a, o[which])])
             length = sizes[place]
-            to = np.concatenate(([0], np.cumsum(length)))
-            flat = table[np.arange(to[-1]) + np.repeat((ends - sizes)[place] - to[:-1], length)]
-            upto = to[first]
+            flat = gathered(table, starts[place], length)
+            upto = np.concatenate(([0], np.cumsum(length)))[first]
             if (token >= 0).any():
                 spots = upto[:-1][token >= 0]
                 flat = np.insert(flat, spots, token[token >= 0])
