@@ -24,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("further"))
         new = common.cut(step.join(jump, "to", "left").select("node", "old", F.coalesce(F.least("to", "further"), "to").alias("comp")))
         labels = new.select("node", "comp")
+        common.sweep(links.sparkSession)
         if new.where("comp <> old").isEmpty():
             return labels
 

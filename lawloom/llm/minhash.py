@@ -6,10 +6,13 @@ mantissa bits.  Bands of registers are join keys.  Pairs that share a key are
 estimated (equal registers, corrected for accidental equality), then verified
 on their full shingle sets.  Links make components.
 
-No pair of a group is listed needlessly: members of a key are first compared
-with a few pivots; pairs of one component need no link of their own; the few
-that are left outside are compared with the rest of their family in chunks of
-bounded size, and only links come out.
+No pair of a group is listed needlessly.  Shingles that only one document has
+can't be shared, so their number bounds what a document may have in common with
+any other; most documents that share a key by chance go out by that bound.
+Members of a key are then compared with a few pivots; pairs of one component
+need no link of their own; the few that are left outside are estimated, and
+verified, against the rest of their family in chunks of bounded size, and only
+links come out.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ REGISTERS, MANTISSA = 128, 10
 DEVIATIONS = 6.0
 #: Turns in which each key's members are compared with one of them.
 PIVOTS = 2
-#: Characters of text on each side of one comparison of a component with its outsiders.
-CHUNK_CHARS = 8_000_000
+#: Characters of text on each side of one comparison of a component with its outsiders: at most, and where at most CHUNKS are needed.
+CHUNK_CHARS, SMALL_CHARS, CHUNKS = 8_000_000, 100_000, 24
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -142,11 +145,30 @@ def sketches(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, SKETCH)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sizes and estimate allow a link."""
-    small = nodes.select("nid", "n", "sketch")
-    both = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
-    both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+def lone_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(nid, alone): how many shingles of a document no other one of ``texts`` (nid, text) has; none is left out as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            sets = shingles(*common.utf8(batch.column("text")), size)
+            nid = np.repeat(batch.column("nid").to_numpy(), [len(x) for x in sets])
+            yield pa.record_batch({"nid": pa.array(nid), "h": pa.array(np.concatenate(sets).view(np.int64))})
+
+    each = texts.select("nid", "text").mapInArrow(run, "nid long, h long")
+    # The least id of one is its id: no join goes back from a frequent shingle to those that have it.
+    once = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("nid")).where("k = 1")
+    return once.groupBy("nid").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+
+
+def possible(na, nb, ma, mb, percent: int):
+    """Whether sets of ``na`` and ``nb`` shingles, of which at most ``ma`` and ``mb`` can be shared, may be similar enough."""
+    return (F.least(ma, mb) * (100 + percent) >= (na + nb) * percent) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+
+
+def _likely(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and estimate allow a link; ``small`` has nid, n, m and sketch."""
+    both = pairs.join(small.toDF("a", "na", "ma", "sa"), "a").join(small.toDF("b", "nb", "mb", "sb"), "b")
+    both = both.where(possible(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,48 +195,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, small: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between different components that share a key, at least one for each pair of them that has any.
 
-    ``members`` has (key, nid, comp).  In each key, those outside its largest
-    component are its outsiders; outsiders join the family of that component and
-    are compared with all of it and with each other, on their full sets.  Both
-    sides of a family come in chunks of CHUNK_CHARS of text.
+    ``members`` has (key, nid, comp), ``small`` (nid, n, m, sketch).  In each
+    key, those outside its largest component are its outsiders; outsiders join
+    the family of that component and meet all of it and each other.  Pairs whose
+    sizes, shared shingles and estimate allow a link are verified on their full
+    sets.  Both sides of a family come in chunks of bounded size.
     """
     by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("m.comp").alias("family"))
     family = common.cut(members.join(main, "key").select("family", "nid", "comp").distinct())
     sized = family.join(texts.select("nid", F.length("text").cast("long").alias("chars")), "nid")
     outer = F.when(F.col("comp") != F.col("family"), F.col("chars")).otherwise(0)
-    sums = sized.groupBy("family").agg(F.ceil(F.sum(outer) / CHUNK_CHARS).cast("long").alias("outer"), F.ceil(F.sum("chars") / CHUNK_CHARS).cast("long").alias("all"))
-    base = family.join(sums, "family").join(texts, "nid")
-    part = lambda n: F.pmod(F.xxhash64("nid"), F.greatest(n, F.lit(1))).cast("long")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1))
-    columns = ["family", "o", "c", "outside", "nid", "comp", "text"]
+    chunks = lambda c: F.greatest(F.least(F.ceil(c / SMALL_CHARS), F.lit(CHUNKS)), F.ceil(c / CHUNK_CHARS), F.lit(1)).cast("long")
+    sums = sized.groupBy("family").agg(chunks(F.sum(outer)).alias("outer"), chunks(F.sum("chars")).alias("all"))
+    base = family.join(sums, "family").join(texts.select("nid", "text"), "nid").join(small, "nid")
+    part = lambda n: F.pmod(F.xxhash64("nid"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ["family", "o", "c", "outside", "nid", "comp", "n", "m", "sketch", "text"]
     left = base.where("comp <> family").withColumn("o", part(F.col("outer"))).withColumn("c", each(F.col("all"))).withColumn("outside", F.lit(True))
     right = base.withColumn("c", part(F.col("all"))).withColumn("o", each(F.col("outer"))).withColumn("outside", F.lit(False))
 
     def compare(table: pa.Table) -> pa.Table:
         outside = table["outside"].to_numpy(zero_copy_only=False)
-        nid, comp = (table[k].to_numpy() for k in ("nid", "comp"))
+        nid, comp, n, m = (table[k].to_numpy().astype(np.int64) for k in ("nid", "comp", "n", "m"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         sets: list[np.ndarray] = []
         for batch in common.slices(iter(table.select(["text"]).to_batches()), last=False):
             sets += shingles(*common.utf8(batch.column("text")), size)
-        n = np.array([len(x) for x in sets], np.int64)
         code, total = groups(np.concatenate(sets))
         at = np.concatenate(([0], np.cumsum(n)))
+        flag = np.zeros(total, bool)
         two = np.flatnonzero(~outside)
-        inside = np.concatenate([code[at[j] : at[j + 1]] for j in two]) if len(two) else code[:0]
-        bounds = np.concatenate(([0], np.cumsum(n[two])))
-        flag = np.zeros(total, np.int32)
         a, b = [], []
         for i in np.flatnonzero(outside).tolist():
+            ok = (np.minimum(m[two], m[i]) * (100 + percent) >= (n[two] + n[i]) * percent) & (np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * percent)
+            near = two[ok & (comp[two] != comp[i])]
+            if len(near):
+                j, error = estimate(sketch[near], sketch[i])
+                near = near[j + DEVIATIONS * error >= percent / 100]
+            if not len(near):
+                continue
             own = code[at[i] : at[i + 1]]
-            flag[own] = 1
-            sums = np.concatenate(([0], np.cumsum(flag[inside])))
-            flag[own] = 0
-            both = sums[bounds[1:]] - sums[bounds[:-1]]
-            linked = two[(100 * both >= percent * (n[two] + n[i] - both)) & (comp[two] != comp[i])]
+            flag[own] = True
+            both = np.array([np.count_nonzero(flag[code[at[j] : at[j + 1]]]) for j in near.tolist()])
+            flag[own] = False
+            linked = near[100 * both >= percent * (n[near] + n[i] - both)]
             # One link for each component will do.
             for j in linked[np.unique(comp[linked], return_index=True)[1]].tolist():
                 a.append(min(nid[i], nid[j]))
@@ -243,23 +271,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ``first`` holds for the one document of its group that has the least of both.
     """
     rows = keyed(docs, id_column, text)
-    every = common.cut(sketches(rows, size, percent))
+    every = common.written(sketches(rows, size, percent))
     # Equal sets make one node; its row with the smallest id stands for it.
     least = F.min(F.struct("did", "th", "n", "sketch", "keys")).alias("r")
-    nodes = common.cut(every.where("n > 0").groupBy("s1", "s2").agg(least).select("s1", "s2", "r.*", F.monotonically_increasing_id().alias("nid")))
+    nodes = common.written(every.where("n > 0").groupBy("s1", "s2").agg(least).select("s1", "s2", "r.*", F.monotonically_increasing_id().alias("nid")))
     keys = nodes.select("nid", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     in_keys = common.cut(keys.join(shared, "key").select("key", "nid", "k"))
     # A document whose keys many others have is near the middle of its group.
     central = in_keys.groupBy("nid").agg(F.sum("k").alias("degree"))
-    texts = central.join(nodes.select("nid", "did", "th"), "nid").join(rows, ["did", "th"])
+    texts = central.join(nodes.select("nid", "did", "th", "n"), "nid").join(rows, ["did", "th"])
     # Repeated rows of one document would repeat its text.
-    texts = common.cut(texts.groupBy("nid").agg(F.first("degree").alias("degree"), F.first("text").alias("text")))
-    degrees, texts = texts.select("nid", "degree"), texts.select("nid", "text")
+    texts = common.written(texts.groupBy("nid").agg(*[F.first(c).alias(c) for c in ("degree", "n", "text")]))
+    m = F.col("n") - F.coalesce("alone", F.lit(0))
+    partners = texts.select("nid", "degree", "n").join(lone_shingles(texts, size), "nid", "left").withColumn("m", m)
+    partners = common.cut(partners.where(F.col("m") * 100 >= F.col("n") * percent).select("nid", "degree", "n", "m"))
+    in_keys = common.cut(in_keys.join(partners.select("nid", "degree"), "nid").select("key", "nid", "degree"))
+    small = common.cut(nodes.select("nid", "sketch").join(partners.select("nid", "n", "m"), "nid").select("nid", "n", "m", "sketch"))
 
     tested = labels = None
     for turn in range(PIVOTS):
-        members = in_keys.select("key", "nid").join(degrees, "nid")
+        members = in_keys
         if labels is not None:
             members = _open(members, labels)
         # First the most central of each key, then any other of another component.
@@ -269,14 +301,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         if labels is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
             pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = common.cut(_likely(pairs, nodes, percent))
-        found = common.cut(_verified(pairs, texts, size, percent))
+        pairs = common.cut(_likely(pairs, small, percent))
+        found = common.cut(_verified(pairs, texts.select("nid", "text"), size, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if labels is None:
             labels = components(found)
         elif not found.isEmpty():
             labels = joined(labels, found)
-    found = common.cut(_across(_open(in_keys.select("key", "nid"), labels).select("key", "nid", "comp"), texts, size, percent))
+        common.sweep(docs.sparkSession)
+    found = common.cut(_across(_open(in_keys, labels).select("key", "nid", "comp"), small, texts, size, percent))
+    common.forget(texts)
     if not found.isEmpty():
         labels = joined(labels, found)
 
