@@ -24,10 +24,13 @@ LAST_ID = (1 << 63) - 1
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as byte planes, smallest bytes first; planes of zeros at the end are left out."""
+    """Integer arrays as byte planes, smallest bytes first; planes of zeros at the end are left out.  Arrays of bytes stay bytes."""
     out = io.BytesIO()
     for a in arrays:
         a = np.ascontiguousarray(a)
+        if a.dtype == np.uint8:
+            out.write(np.array([len(a), 0], "<u4").tobytes() + a.tobytes())
+            continue
         width = 1 if not len(a) else max(1, (int(a.max()).bit_length() + 7) // 8)
         planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         out.write(np.array([len(a), width], "<u4").tobytes())
@@ -36,10 +39,14 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    """The arrays of ``pack``, as unsigned 64-bit numbers."""
+    """The arrays of ``pack``, as unsigned 64-bit numbers, or as bytes."""
     out, at = [], 0
     while at < len(data):
         n, width = np.frombuffer(data, "<u4", 2, at).tolist()
+        if not width:
+            out.append(np.frombuffer(data, np.uint8, n, at + 8))
+            at += 8 + n
+            continue
         planes = np.frombuffer(data, np.uint8, n * width, at + 8).reshape(width, n)
         a = np.zeros((n, 8), np.uint8)
         a[:, :width] = planes.T

@@ -1,14 +1,16 @@
-"""Exact repeats of long byte strings, by suffix arrays over anchored blocks.
+"""Exact repeats of long byte strings, by suffix arrays over anchored segments.
 
 Every window of WINDOW bytes has an anchor value: the least hash of its short
 substrings.  Equal windows have equal anchors, so the windows of one anchor
 value, which come as short segments of text, can be judged apart from all
-others.  Segments whose anchor is met once, at one place, hold no repeat.  Equal
-segments are repeats as they stand.  Different segments of one anchor are cut
-into blocks of BLOCK windows, aligned at the anchor; all windows of a block
-contain its core.  Blocks that share a core but aren't equal are written as
-their few outer bytes around one symbol for the core, and a suffix array (linear
-grouping construction) over all of them puts equal windows side by side.
+others.  Segments whose anchor is met once, at one place, hold no repeat.  The
+bytes of all others come together by anchor.  Cut into pieces of PIECE bytes,
+counted from the anchor, each segment is a short string of symbols, and a suffix
+array (linear grouping construction) puts equal runs of pieces side by side:
+windows inside such a run are repeats.  Windows that end in a piece which
+differs are left; they are cut into blocks of BLOCK windows that share a core,
+each written as its outer bytes around one symbol for the core, and a second
+suffix array over these settles them.  Hashes only say where segments meet.
 """
 
 from __future__ import annotations
@@ -29,14 +31,18 @@ WINDOW = 200
 GRAIN = 48
 #: Windows in a block.
 BLOCK = 8
-#: Different segments of one anchor in a slice, or blocks of one core, beyond which windows are counted by hash instead.
-SLICE_SEGMENTS, ARRAY_BLOCKS = 8, 8192
+#: Bytes of a piece, which is one symbol of a suffix array.
+PIECE = 32
+#: Different segments of one anchor, in a slice and in a bucket, beyond which those that differ are counted by window instead: a hot anchor's windows go to many buckets.
+SLICE_SEGMENTS, BUCKET_SEGMENTS = 64, 4096
+#: Equal segments in one suffix array, and blocks of one core.
+EQUAL_SEGMENTS, ARRAY_BLOCKS = 256, 8192
 #: Symbols in one suffix array, unless one core has more.
 ARRAY_SYMBOLS = 40_000
 #: Windows in one segment; longer ones (of periodic text) are cut, which loses no window.
 SEGMENT_WINDOWS = 2048
 
-COVERED, BLOCKS, COUNTED = 0, 1, 2
+COVERED, COMPARED, COUNTED = 0, 1, 2
 
 
 def anchors(data: np.ndarray, window: int = WINDOW, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -89,20 +95,25 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tup
     return a[start], np.searchsorted(offsets, start, "right") - 1, start, count, loose, found[start] - start
 
 
-def _by_bucket(bits: int, key: np.ndarray, did: np.ndarray, th: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Entries packed by the high bits of ``key``, with the ids of their documents; ``doc`` ascends."""
+def _buckets(bits: int, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Entries by the high bits of their keys, in their order."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
-        at = order[edges[b] : edges[b + 1]]
+        yield b, order[edges[b] : edges[b + 1]]
+
+
+def _by_bucket(bits: int, key: np.ndarray, did: np.ndarray, th: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Entries packed by the high bits of ``key``, with the ids of their documents; ``doc`` ascends."""
+    for b, at in _buckets(bits, key):
         docs, place = np.unique(doc[at], return_inverse=True)
         yield b, pack(did[docs].astype(np.uint64), th[docs].astype(np.uint64), steps(place), *(c[at] for c in columns))
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, ...] | None:
-    """did, th, doc and the columns of all packed entries of a bucket."""
-    parts = entries(table)
+def _entries(table: pa.Table, columns: int | None = None) -> tuple[np.ndarray, ...] | None:
+    """did, th, doc and the columns of all packed entries of a bucket, or of those with so many columns."""
+    parts = [p for p in entries(table) if columns is None or len(p) == columns]
     if not parts:
         return None
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -118,6 +129,17 @@ def _firsts(code: np.ndarray) -> np.ndarray:
     return first
 
 
+def _runs(flags: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of flags of the windows of segments after one another: each run's segment, first window in it, and length."""
+    edges = np.concatenate(([0], np.cumsum(count)))
+    starts = np.zeros(len(flags) + 1, bool)
+    starts[edges] = True
+    on = np.flatnonzero(flags & np.concatenate(([True], ~flags[:-1] | starts[1 : len(flags)])))
+    off = np.flatnonzero(flags & np.concatenate((~flags[1:] | starts[1 : len(flags)], [True]))) + 1
+    of = np.searchsorted(edges, on, "right") - 1
+    return of, on - edges[of], off - on
+
+
 def _scan(bits: int, window: int):
     """Documents to packed segments by bucket; repeats within a slice are settled on the spot."""
 
@@ -135,43 +157,181 @@ def _scan(bits: int, window: int):
             by_anchor, m = groups(anchor)
             hot = (np.bincount(by_anchor[first], minlength=m) > SLICE_SEGMENTS)[by_anchor]
             within = start - offsets[doc]
-            found = found_rows(bits, did, th, doc[repeated], np.full(repeated.sum(), COVERED), within[repeated], count[repeated])
+            r = np.flatnonzero(repeated)
+            flags = shared_windows(data, start[r], count[r], lead[r], code[r], code[r], window)
+            of, x, length = _runs(flags, count[r])
+            found = found_rows(bits, did, th, doc[r[of]], np.full(len(of), COVERED), within[r[of]] + x, length)
             # An anchor with many segments in this slice: their windows are counted, and the bucket hears of it once.
             many = hot & first
             found += found_rows(bits, did, th, doc[many], np.full(many.sum(), COUNTED), within[many], count[many], lead[many], repeated[many].astype(np.int64))
-            send = (first & ~hot) | (hot & _firsts(by_anchor))
             flags = repeated + 2 * loose + 4 * hot
-            sent = _by_bucket(bits, common.mix(anchor[send]), did, th, doc[send], within[send], count[send], lead[send], anchor[send], content[send], flags[send])
+            sent = _by_bucket(bits, common.mix(anchor[first]), did, th, doc[first], within[first], count[first], lead[first], anchor[first], content[first], flags[first])
             yield entry_rows(bits, found, [*sent])
 
     return run
 
 
 def _judge(bits: int):
-    """One bucket: what is covered, what is compared in blocks, and what is counted by window."""
+    """One bucket: which segments are compared as they are, and which are counted by window."""
 
     def run(table: pa.Table) -> pa.Table:
         rows: list[tuple[int, bytes]] = []
         if got := _entries(table):
             did, th, doc, within, count, lead, anchor, content, flags = got
-            many, loose, hot = ((flags & np.uint64(k)) > 0 for k in (1, 2, 4))
+            known, loose, hot = ((flags & np.uint64(k)) > 0 for k in (1, 2, 4))
             by_anchor, n = groups(anchor)
             code, m = groups(common.mix(anchor) ^ content)
-            known = (np.bincount(code, minlength=m) + np.bincount(code, weights=many, minlength=m) > 1)[code]
             first = _firsts(code)
+            some = lambda x: (np.bincount(by_anchor, weights=x, minlength=n) > 0)[by_anchor]
             different = np.bincount(by_anchor[first], minlength=n)[by_anchor]
-            any_hot = (np.bincount(by_anchor, weights=hot, minlength=n) > 0)[by_anchor]
-            any_loose = (np.bincount(by_anchor, weights=loose, minlength=n) > 0)[by_anchor]
-            covered = known & ~many
-            mixed = first & ~hot & ((different > 1) | (loose & ~known) | any_hot)
-            kind = np.where(any_hot | any_loose, COUNTED, BLOCKS)
-            rows += found_rows(bits, did, th, doc[covered], np.full(covered.sum(), COVERED), within[covered], count[covered])
-            rows += found_rows(bits, did, th, doc[mixed], kind[mixed], within[mixed], count[mixed], lead[mixed], known[mixed].astype(np.int64))
+            any_hot = some(hot) | (different > BUCKET_SEGMENTS)
+            apart = any_hot | some(loose)
+            equal = np.bincount(code, minlength=m)[code] > 1
+            # Whoever is known has an equal one in its slice and only bears witness, once.
+            met = np.where(apart, equal, np.bincount(by_anchor, minlength=n)[by_anchor] > 1)
+            open_ones = (np.bincount(code, weights=~known, minlength=m) > 0)[code] | (~apart & some(~known))
+            witness = np.zeros(len(code), bool)
+            k = np.flatnonzero(known)
+            witness[k[np.unique(code[k], return_index=True)[1]]] = True
+            send = met & open_ones & (~known | witness)
+            kind = np.where(apart, COMPARED + 2, COMPARED)
+            rows += found_rows(bits, did, th, doc[send], kind[send], within[send], count[send], lead[send], known[send].astype(np.int64))
+            single = first & ~hot & apart & ((different > 1) | (loose & ~(known | equal)) | any_hot)
+            rows += found_rows(bits, did, th, doc[single], np.full(single.sum(), COUNTED), within[single], count[single], lead[single], (known | equal)[single].astype(np.int64))
         return passed(table, rows)
 
     return run
 
 
+def _pieces(start: np.ndarray, count: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and segment of each piece; pieces begin at multiples of PIECE from the anchor, a segment's first and last may be shorter."""
+    size = count + window - 1
+    head = lead % PIECE
+    number = (head > 0) + -(-(size - head) // PIECE)
+    nth, of = _spread(np.zeros(len(start), np.int64), number)
+    begin = np.maximum(start[of] + head[of] + (nth - (head > 0)[of]) * PIECE, start[of])
+    end = np.minimum(start[of] + head[of] + (nth + 1 - (head > 0)[of]) * PIECE, (start + size)[of])
+    return begin, end - begin, of
+
+
+def _symbols(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Numbers from 1 that are equal for pieces of equal bytes only."""
+    where = begin[:, None] + np.arange(PIECE)
+    raw = np.where(np.arange(PIECE) < length[:, None], data[np.minimum(where, len(data) - 1)], 0).astype(np.uint8)
+    words = raw.view(np.uint64)
+    key = length.astype(np.uint64)
+    for k in range(words.shape[1]):
+        key = common.mix(key + words[:, k])
+    code, n = groups(key)
+    first = np.zeros(n, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    if (words[first[code]] != words).any() or (length[first[code]] != length).any():
+        code = np.unique(np.column_stack([words, length.astype(np.uint64)]), axis=0, return_inverse=True)[1].ravel()
+    return code + 1
+
+
+def _in_arrays(symbols: np.ndarray, length: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of pieces of segments after one another: how many bytes from each piece on another suffix shares with it, by one suffix array."""
+    last = np.append(of[1:] != of[:-1], True)
+    at = np.arange(len(symbols)) + np.cumsum(last) - last  # a zero follows each segment
+    text = np.zeros(len(symbols) + int(last.sum()), np.int64)
+    text[at] = symbols
+    sizes = np.zeros(len(text), np.int64)
+    sizes[at] = length
+    order = np.array(suffix_array(text.tolist()), np.int64)
+    shared = np.zeros(len(text), np.int64)
+    pair = np.flatnonzero((text[order[1:]] > 0) & (text[order[1:]] == text[order[:-1]]))
+    run = np.zeros(len(order), np.int64)
+    k = 0
+    while len(pair):
+        run[pair + 1] += sizes[order[pair + 1] + k]
+        k += 1
+        a, b = order[pair] + k, order[pair + 1] + k
+        inside = np.maximum(a, b) < len(text)
+        pair, a, b = pair[inside], a[inside], b[inside]
+        pair = pair[(text[a] > 0) & (text[a] == text[b])]
+    shared[order] = np.maximum(run, np.append(run[1:], 0))
+    return shared[at]
+
+
+def shared_windows(data: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, group: np.ndarray, equal: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which windows of segments, one after another, are found elsewhere in segments of the same ``group``.
+
+    Segments of a group lie around one anchor, ``lead`` bytes behind their
+    starts; ``equal`` says which are likely the same, so that many of them are
+    compared by EQUAL_SEGMENTS, each time with the first.
+    """
+    total = int(count.sum())
+    flags = np.zeros(total, bool)
+    if not len(start):
+        return flags
+    order = np.lexsort((equal, group))
+    e = equal[order]
+    head = np.concatenate(([True], e[1:] != e[:-1]))
+    rank = np.arange(len(order)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+    turn = rank // EQUAL_SEGMENTS
+    again = np.flatnonzero((turn > 0) & (rank % EQUAL_SEGMENTS == 0))
+    # The first of its kind joins each later turn.
+    who = np.concatenate((order, order[again - rank[again]]))
+    key = np.concatenate((group[order], group[order[again]])), np.concatenate((turn, turn[again]))
+    by = np.lexsort((key[0], key[1]))
+    who, turn, grouped = who[by], key[1][by], key[0][by]
+    fresh = np.concatenate(([True], (turn[1:] != turn[:-1]) | (grouped[1:] != grouped[:-1])))
+    weight = np.cumsum((count[who] + window) // PIECE + 3)
+    starts = np.flatnonzero(fresh)
+    chunk = (weight[starts] - weight[0]) // ARRAY_SYMBOLS
+    edges = np.append(starts[np.concatenate(([True], chunk[1:] != chunk[:-1]))], len(who))
+    first_flag = np.cumsum(count) - count
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        some = who[a:b]
+        begin, length, of = _pieces(start[some], count[some], lead[some], window)
+        run = _in_arrays(_symbols(data, begin, length), length, of)
+        n = np.minimum(length, run - window + 1)
+        hit = np.flatnonzero(n > 0)
+        at, _ = _spread((first_flag[some[of[hit]]] + begin[hit] - start[some[of[hit]]]), n[hit])
+        flags[at] = True
+    _fringes(data, start, count, lead, group, window, flags)
+    return flags
+
+
+def _fringes(data: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, group: np.ndarray, window: int, flags: np.ndarray) -> None:
+    """Adds to ``flags`` the windows whose first or last piece differs though the window is equal, by suffix arrays over blocks."""
+    edges = np.concatenate(([0], np.cumsum(count)))
+    sums = np.concatenate(([0], np.cumsum(~flags)))
+    left = sums[edges[1:]] > sums[edges[:-1]]
+    code, n = groups(group)
+    some = np.flatnonzero((np.bincount(code, weights=left, minlength=n) > 0)[code])
+    if not len(some):
+        return
+    roll = common.Rolling(common.BYTE_VALUES[data], common.BASES[2])
+    ends = start + count + window - 1
+    at, of, mask, key, outer_left, outer_right = _blocks(data, np.column_stack([start[some], ends[some]]), roll, start[some], count[some], lead[some], window)
+    core, n = groups(key ^ common.mix(code[some][of].astype(np.uint64) + np.uint64(7)))
+    windows, block = _windows(at, mask)
+    place = edges[some[of[block]]] + windows - start[some[of[block]]]
+    undecided = np.bincount(core[block[~flags[place]]], minlength=n) > 0
+    take = np.flatnonzero(((np.bincount(core, minlength=n) > 1) & undecided)[core])
+    take = take[np.argsort(core[take], kind="stable")]
+    found = _by_arrays(core[take], mask[take], outer_left[take], outer_right[take])
+    windows, block = _windows(at[take], found)
+    of = some[of[take[block]]]
+    flags[edges[of] + windows - start[of]] = True
+
+
+def _by_arrays(core: np.ndarray, mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``repeated_blocks`` of blocks in the order of their cores, in arrays of about ARRAY_SYMBOLS."""
+    found = np.zeros(len(core), np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], core[1:] != core[:-1]))) if len(core) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(core)))
+    chunk = starts * 2 * BLOCK // ARRAY_SYMBOLS
+    chunk = np.where(sizes > ARRAY_BLOCKS, -1 - np.arange(len(starts)), chunk)
+    edges = np.append(starts[np.concatenate(([True], chunk[1:] != chunk[:-1]))], len(core)) if len(starts) else starts
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        judge = _counted_blocks if b - a > ARRAY_BLOCKS and core[a] == core[b - 1] else repeated_blocks
+        found[a:b] = judge(np.unique(core[a:b], return_inverse=True)[1], mask[a:b], left[a:b], right[a:b])
+    return found
+
+
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All members of ranges, and the range of each."""
     of = np.repeat(np.arange(len(start)), count)
@@ -179,7 +339,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _cut_out(bits: int, window: int):
-    """Documents with what was found in them: covered ranges pass, the rest goes on as blocks or windows."""
+    """Documents with what was found in them: covered ranges pass, the bytes of segments and the hashes of windows go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -200,30 +360,35 @@ def _cut_out(bits: int, window: int):
             found = found_rows(bits, did, th, *map(np.concatenate, (plain_doc, plain_at, plain_count))) if plain_doc else []
             sent: list[tuple[int, bytes]] = []
             if wanted:
-                roll = common.Rolling(common.BYTE_VALUES[data], common.BASES[2])
-                doc, kind, within, count, lead, known = np.concatenate(wanted)[np.lexsort((np.concatenate(wanted)[:, 2], np.concatenate(wanted)[:, 0]))].T
+                values = common.BYTE_VALUES[data]
+                roll = common.Rolling(values, common.BASES[2])
+                every = np.concatenate(wanted)
+                doc, kind, within, count, lead, known = every[np.lexsort((every[:, 2], every[:, 0]))].T
                 start = within + offsets[doc]
-                for what in (BLOCKS, COUNTED):
-                    k = np.flatnonzero(kind == what)
-                    if not len(k):
-                        continue
-                    if what == COUNTED:
-                        at, of = _spread(start[k], count[k])
-                        key = full = roll.ranges(at, at + window)
-                        mask, left, right = np.ones(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                    else:
-                        at, of, mask, key, full, left, right = _blocks(data, offsets, roll, doc[k], start[k], count[k], lead[k], window)
+                k = np.flatnonzero(kind != COUNTED)
+                if len(k):
+                    size = count[k] + window - 1
+                    content = common.Rolling(values, common.BASES[1]).ranges(start[k], start[k] + size) + count[k].astype(np.uint64)
+                    key = roll.ranges((start + lead)[k], (start + lead)[k] + GRAIN)
+                    # The anchor of very many segments, or of periodic ones: only equal ones meet.
+                    key = np.where(kind[k] == COMPARED, key, key ^ common.mix(content))
+                    for bucket, at in _buckets(bits, key):
+                        docs, place = np.unique(doc[k[at]], return_inverse=True)
+                        raw = data[_spread(start[k[at]], size[at])[0]]
+                        sent.append((bucket, pack(did[docs].astype(np.uint64), th[docs].astype(np.uint64), steps(place), within[k[at]], count[k[at]], lead[k[at]], key[at], content[at], known[k[at]], raw)))
+                k = np.flatnonzero(kind == COUNTED)
+                if len(k):
+                    at, of = _spread(start[k], count[k])
+                    key = roll.ranges(at, at + window)
                     d, is_known = doc[k][of], known[k][of] > 0
-                    code, n = groups(common.mix(key) ^ full)
+                    code, n = groups(key)
                     repeated = (np.bincount(code, minlength=n) > 1)[code]
                     settled = repeated & ~is_known
-                    a, b = _windows(at[settled] - offsets[d[settled]], mask[settled])
-                    found += found_rows(bits, did, th, d[settled][b], a, np.ones(len(a), np.int64))
+                    found += found_rows(bits, did, th, d[settled], at[settled] - offsets[d[settled]], np.ones(settled.sum(), np.int64))
                     # The one that is sent stands for all of its kind, so a known one comes first.
                     order = np.lexsort((~is_known, code))
                     send = np.sort(order[np.concatenate(([True], code[order][1:] != code[order][:-1]))])
-                    flags = (repeated | is_known)[send] + 2 * (what == COUNTED)
-                    sent += _by_bucket(bits, key[send], did, th, d[send], at[send] - offsets[d[send]] + BLOCK, mask[send], key[send], full[send], left[send], right[send], flags)
+                    sent += _by_bucket(bits, key[send], did, th, d[send], at[send] - offsets[d[send]], key[send], (repeated | is_known)[send].astype(np.int64))
             yield entry_rows(bits, found, sent)
 
     return run
@@ -235,8 +400,8 @@ def _windows(at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[of].astype(np.int64) + j, of
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray, roll: common.Rolling, doc: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Blocks of segments: where each starts (maybe before its document), its segment, windows, core, content and outer bytes."""
+def _blocks(data: np.ndarray, bounds: np.ndarray, roll: common.Rolling, start: np.ndarray, count: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Blocks of segments: where each starts (maybe before its segment), its segment, windows, core and outer bytes; ``bounds`` are the segments' bytes."""
     # Window x of a segment is lead - (x - start) before the anchor; BLOCK of these distances make a block.
     high, low = lead // BLOCK, (lead - count + 1) // BLOCK
     number, of = _spread(low, high - low + 1)
@@ -246,8 +411,11 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, roll: common.Rolling, doc: np
     x = at[:, None] + j
     valid = (x >= start[of][:, None]) & (x < (start + count)[of][:, None])
     mask = (valid * (1 << j)).sum(1)
+    # Without a window in a segment's block, its core may lie outside the segment.
+    inside = mask > 0
+    at, of, mask, number, last = (x[inside] for x in (at, of, mask, number, last))
     core = roll.ranges(last, at + window) ^ common.mix(number.astype(np.uint64) + np.uint64(1))
-    begin, end = offsets[doc[of]], offsets[doc[of] + 1]
+    begin, end = bounds[of].T
 
     def outer(first: np.ndarray) -> np.ndarray:
         where = first[:, None] + np.arange(BLOCK - 1)
@@ -256,7 +424,7 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, roll: common.Rolling, doc: np
         return (values << (np.uint64(9) * np.arange(BLOCK - 1, dtype=np.uint64))).sum(1, dtype=np.uint64)
 
     left, right = outer(at), outer(at + window)
-    return at, of, mask, core, common.mix(left * np.uint64(3)) + right + mask.astype(np.uint64), left, right
+    return at, of, mask, core, left, right
 
 
 def _unfold(outer: np.ndarray) -> np.ndarray:
@@ -298,45 +466,26 @@ def _counted_blocks(core: np.ndarray, mask: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def _compare(bits: int):
-    """One bucket of blocks and windows: equal ones by hash, the rest by suffix arrays."""
+def _compare(bits: int, window: int):
+    """One bucket: segments by suffix arrays, single windows by their count."""
 
     def run(table: pa.Table) -> pa.Table:
         rows: list[tuple[int, bytes]] = []
-        if got := _entries(table):
-            did, th, doc, at, mask, key, full, left, right, flags = got
-            at, mask = at.astype(np.int64) - BLOCK, mask.astype(np.int64)
-            known, single = (flags & np.uint64(1)) > 0, (flags & np.uint64(2)) > 0
-            code, n = groups(common.mix(key ^ single.astype(np.uint64)) ^ full)
-            times = np.bincount(code, minlength=n) + np.bincount(code, weights=known, minlength=n)
-            hit = np.where(times[code] > 1, mask, 0)
-            first = _firsts(code) & ~single
-            core, m = groups(key)
-            different = np.bincount(core[first], minlength=m)
-            left_over = np.flatnonzero(first & (different[core] > 1))
-            left_over = left_over[np.argsort(core[left_over], kind="stable")]
-            if len(left_over):
-                big = different[core[left_over]] > ARRAY_BLOCKS
-                found = np.zeros(len(left_over), np.int64)
-                if big.any():
-                    some = left_over[big]
-                    found[big] = _counted_blocks(core[some], mask[some], left[some], right[some])
-                small = np.flatnonzero(~big)
-                c = core[left_over[small]]
-                starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
-                chunk = starts * 2 * BLOCK // ARRAY_SYMBOLS
-                for k in np.unique(chunk).tolist():
-                    a = starts[np.searchsorted(chunk, k)]
-                    e = np.searchsorted(chunk, k, "right")
-                    some = small[a : starts[e] if e < len(starts) else len(small)]
-                    x = left_over[some]
-                    found[some] = repeated_blocks(np.unique(core[x], return_inverse=True)[1], mask[x], left[x], right[x])
-                of_code = np.zeros(n, np.int64)
-                of_code[code[left_over]] = found
-                hit |= np.where(single, 0, of_code[code])
-            hit[known] = 0
-            a, of = _windows(at, hit)
-            rows += found_rows(bits, did, th, doc[of], a, np.ones(len(a), np.int64))
+        if got := _entries(table, 10):
+            did, th, doc, within, count, lead, key, content, known, data = got
+            count, lead = count.astype(np.int64), lead.astype(np.int64)
+            size = count + window - 1
+            group, _ = groups(key)
+            equal, _ = groups(common.mix(key) ^ content)
+            flags = shared_windows(data, np.cumsum(size) - size, count, lead, group, equal, window)
+            flags[np.repeat(known > 0, count)] = False
+            of, x, length = _runs(flags, count)
+            rows += found_rows(bits, did, th, doc[of], within[of].astype(np.int64) + x, length)
+        if got := _entries(table, 6):
+            did, th, doc, at, key, known = got
+            code, n = groups(key)
+            hit = (np.bincount(code, minlength=n) + np.bincount(code, weights=known > 0, minlength=n) > 1)[code] & (known == 0)
+            rows += found_rows(bits, did, th, doc[hit], at[hit].astype(np.int64), np.ones(hit.sum(), np.int64))
         return passed(table, rows)
 
     return run
@@ -358,7 +507,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     # All columns of the documents, so that both joins read one exchange.
     columns = [*rows.columns, "parts"]
     pieces = rows.join(by_document(judged), ["did", "th"]).select(*columns).mapInArrow(_cut_out(bits, window), ENTRIES)
-    covered = by_document(pieces.groupBy("bucket").applyInArrow(_compare(bits), FOUND))
+    covered = by_document(pieces.groupBy("bucket").applyInArrow(_compare(bits, window), FOUND))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
