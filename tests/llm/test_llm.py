@@ -135,7 +135,9 @@ def test_decontamination_finds_every_planted_passage(spark):
     grams = {tuple(w[k : k + 13]) for r in items.collect() for w in [r.text.lower().replace(",", "").replace(".", "").split()] for k in range(len(w) - 12)}
     truth = {r.doc_id for r in docs.collect() for w in [r.text.lower().replace(",", "").replace(".", "").split()] if any(tuple(w[k : k + 13]) in grams for k in range(len(w) - 12))}
     got = {r.doc_id for r in decontaminate.find(docs, items).where("size(overlaps) > 0").collect()}
-    assert truth and truth <= got and len(got) <= len(truth) + 5
+    # What is found beyond whole 13-grams has substitutions or is a whole shorter item.
+    more = [r for r in docs.collect() if r.doc_id in got - truth]
+    assert truth and truth <= got and all(decontaminate.brute([r.text for r in more], [(r.item_id, r.text) for r in items.collect()]))
 
 
 def test_quality(spark, odd, empty):
