@@ -2,9 +2,10 @@
 
 A page's text blocks are listed with their root-to-leaf tag paths.  For each
 path, text length and punctuation per node are aggregated, smoothed along the
-page, fused into one score and thresholded.  The element that holds most of the
-selected text, with the article or main element around it, is the article; its
-blocks, short ones too, are the content, and so is what was selected elsewhere.
+page, fused into one score and thresholded: blocks on the paths that pass are
+content nodes.  What else lies in an article around content nodes, or beside
+one, goes with them, such as titles, lists and short quotes.  Scanning and
+selection take time in proportion to the page, however broken its markup is.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,209 +23,298 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed values of HTML: elements without end tag, with raw text, that end an open paragraph, and that begin a block.
+#: Fixed values of HTML: elements without end tag, with raw text, that begin a block, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
-STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
-
-TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt blockquote pre td th figcaption".split())
-
-#: Elements, roles, and parts of class names or ids that mark what is no article.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+CLOSES_P = BLOCK - frozenset("html head body td th tr tbody thead tfoot".split())
+#: Which open elements a start tag ends, unless one of STOPS is open within.
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead"), "tfoot": ("tbody", "thead"), "body": ("head",)}
+STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",), "body": ()}
+#: Fixed values of HTML and ARIA: elements and roles that are no part of an article's text.
 NOISE_TAGS = frozenset("head script style noscript template nav header footer aside form button select option iframe svg math object canvas audio video dialog menu textarea search title".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox banner banners sponsor sponsored sponsors promo promotion sidebar sidebars comment comments commentlist disqus cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager menu menus nav navbar navigation footer header masthead topbar toolbar popup modal overlay widget widgets skip login search copyright".split())
-CONTENT_NAMES = frozenset("article content post entry main body story text".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WHITE = re.compile(r"[ \t\n\r\f\v   -     　]+")
-PUNCTUATION = re.compile(r"[.,;:!?…¿¡。，]")
+#: Elements and roles that mark an article as a whole; in one, a header holds its title.
+WHOLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of HTML whose content is text.
+TEXT_TAGS = HEADINGS | frozenset("hgroup p blockquote pre ul ol dl table figure".split())
 
+#: Words by which authors name what is no article, in the last or first part of a class or id; a hint that lowers a path's score.
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments cookie cookies consent notice notification alert newsletter subscribe share sharing social related recommended breadcrumb breadcrumbs pagination menu nav navbar navigation footer header toolbar popup modal widget login copyright".split())
+PLAIN = frozenset("article content post entry main body story text with has no".split())
 
-def is_noise(tag: str, attributes: str) -> bool:
-    """Whether an element and all in it is menu, advert, notice or the like."""
-    if tag in NOISE_TAGS:
-        return True
-    if not attributes or tag in ("body", "html"):
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        for value in "".join(values).lower().split():
-            parts = [p for p in re.split(r"[^a-z0-9]+", value) if p]
-            if name.lower() == "role" and value in NOISE_ROLES:
-                return True
-            if name.lower() in ("class", "id") and parts and not {"with", "has", "no"} & set(parts):
-                if parts[-1] in NOISE_NAMES or (parts[0] in NOISE_NAMES and not CONTENT_NAMES & set(parts)):
-                    return True
-    return False
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=]?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?)?""")
+WHITE = re.compile("[ \\t\\n\\r\\f\\v\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+PUNCTUATION = re.compile(r"[.,;:!?\u2026\u00bf\u00a1\u3002\uff0c]")
 
 
 @dataclass
 class Block:
     text: str
     path: str
-    elements: tuple[int, ...]  # enclosing block elements, from the root
+    element: int  # the innermost block element
     linked: int  # characters inside links
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, without those in noise elements."""
-    out: list[Block] = []
-    # Open elements: tag, number, whether in noise.
-    stack: list[tuple[str, int, bool]] = []
+@dataclass
+class Page:
+    """Text blocks in page order, and the block elements by number; 0 is the page itself, and a parent comes before its children."""
+
+    blocks: list[Block] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    hinted: list[bool] = field(default_factory=lambda: [False])
+    whole: list[bool] = field(default_factory=lambda: [False])
+
+
+def attributes(page: str, at: int, ends: dict[str, int]) -> tuple[dict[str, str], int]:
+    """Attributes from ``at`` on to the tag's end, and the place behind it; ``ends`` has the last place of each quote and of >."""
+    found: dict[str, str] = {}
+    while at < len(page) and page[at] != ">":
+        m = ATTRIBUTE.match(page, at)
+        if m.end() == at or (page[m.end() - 1] == "=" and m.end() < len(page) and page[m.end()] in "\"'"):
+            # A quote that nothing closes: the tag goes up to the next >.
+            at = page.find(">", m.end())
+            if at < 0:
+                break
+            continue
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+        if at > ends[">"]:
+            return found, len(page)
+    return found, at + 1 if 0 <= at < len(page) else len(page)
+
+
+def is_noise(tag: str, attrs: dict[str, str], in_whole: bool) -> bool:
+    """Whether HTML itself says that an element is menu, advert, hidden or the like."""
+    if tag in NOISE_TAGS:
+        return not (tag == "header" and in_whole)
+    if tag in ("html", "body"):
+        return False
+    hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    return hidden or any(r in NOISE_ROLES for r in attrs.get("role", "").lower().split())
+
+
+def is_hinted(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether a class or id names what is no article."""
+    if tag in ("html", "body"):
+        return False
+    for value in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", value) if x]
+        if parts and not {"with", "has", "no"} & set(parts) and (parts[-1] in HINTS or (parts[0] in HINTS and not PLAIN & set(parts))):
+            return True
+    return False
+
+
+def scan(markup: str) -> Page:
+    """The page's text blocks outside what HTML itself marks as noise, each with its path of block elements."""
+    page = Page()
+    # Open elements: tag and block number (0 for inline ones); where each tag and each block stands in them.
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    paths: dict[int, str] = {0: ""}
     pieces: list[str] = []
     linked = 0
-    number = 0
+    noise_from = -1  # the place in the stack of the outermost noise element
+    ends = {c: markup.rfind(c) for c in ">\"'"}
+
+    def inner() -> int:
+        return stack[block_at[-1]][1] if block_at else 0
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces:
             text = WHITE.sub(" ", "".join(pieces)).strip()
             if text:
-                outer = [(t, n) for t, n, _ in stack if t in BLOCK]
-                out.append(Block(text, ".".join(t for t, _ in outer), tuple(n for _, n in outer), linked))
+                page.blocks.append(Block(text, paths[inner()], inner(), linked))
             pieces, linked = [], 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not (stack and stack[-1][2]):
+        if raw and noise_from < 0:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if opened["a"]:
                 linked += len(text)
 
     def close(to: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[to:]):
+        nonlocal noise_from
+        if block_at and block_at[-1] >= to:
             flush()
-        del stack[to:]
+        while len(stack) > to:
+            tag, number = stack.pop()
+            opened[tag].pop()
+            if number:
+                block_at.pop()
+        if noise_from >= to:
+            noise_from = -1
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((opened[t][-1] for t in tags if opened[t]), default=-1)
 
     at = 0
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    while True:
+        start = markup.find("<", at)
+        if start < 0:
+            break
+        begin = markup[start + 1 : start + 2]
+        if begin in ("!", "?"):
+            add(markup[at:start])
+            end = markup.find("-->", start + 4) + 3 if markup.startswith("<!--", start) else markup.find(">", start) + 1
+            at = end if end > 2 or (end > 0 and markup[start : start + 4] != "<!--") else len(markup)
+            continue
+        shut = begin == "/"
+        name = NAME.match(markup, start + 1 + shut)
+        if not name:
+            # No tag, but text.
+            add(markup[at : start + 1])
+            at = start + 1
             continue
-        if m[1] or m[4]:
-            if tag == "p" and not any(t == "p" for t, _, _ in stack):
+        add(markup[at:start])
+        if start > ends[">"]:
+            at = len(markup)  # the tag never ends
+            break
+        attrs, at = attributes(markup, name.end(), ends)
+        tag = name[0].lower()
+        if shut:
+            place = last((tag,))
+            if place >= 0 and (tag in BLOCK or stack[place][1] or not block_at or block_at[-1] < place):
+                close(place)
+            elif tag == "p" or tag in BLOCK:
                 flush()
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
             continue
-        attributes = m[3] or m[6] or ""
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and block_at and stack[block_at[-1]][0] == "p":
+            close(block_at[-1])
         if tag in CLOSED_BY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSED_BY[tag]:
-                    close(i)
-                    if tag in ("li", "dt", "dd", "option", "td", "th"):
-                        break
-                elif stack[i][0] in STOPS[tag]:
-                    break
-        if tag in BLOCK:
-            flush()
+            place = last(CLOSED_BY[tag])
+            if place > last(STOPS[tag]):
+                close(place)
         if tag in VOID:
-            if tag == "br":
+            if tag in BLOCK:
+                flush()
+            elif tag == "br":
                 add(" ")
             continue
-        if attributes.endswith("/") and tag in ("path", "circle", "rect", "use", "line"):
-            continue
-        number += 1
-        noise = (stack[-1][2] if stack else False) or is_noise(tag, attributes)
+        in_whole = page.whole[inner()]
+        noise, hinted = is_noise(tag, attrs, in_whole), is_hinted(tag, attrs)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(markup, at)
             if not end:
+                at = len(markup)
                 break
-        if noise and not (stack and stack[-1][2]):
-            flush() if tag in BLOCK else None
-        stack.append((tag, number, noise))
-    add(page[at:])
+            at = markup.find(">", end.start()) + 1 or len(markup)
+            continue
+        number = 0
+        if noise_from < 0 and (tag in BLOCK or hinted):
+            flush()
+            outer, number = inner(), len(page.parent)
+            page.parent.append(outer)
+            page.tag.append(tag)
+            page.hinted.append(hinted)
+            page.whole.append(in_whole or tag in WHOLE or attrs.get("role", "").lower() in WHOLE)
+            # A path is its parent's, the tag, and a mark for a hint; very deep ones keep their last part.
+            paths[number] = f"{paths[outer]}.{tag}{'!' * hinted}"[-200:]
+        opened[tag].append(len(stack))
+        if number:
+            block_at.append(len(stack))
+        if noise and noise_from < 0:
+            flush()
+            noise_from = len(stack)
+        stack.append((tag, number))
+    add(markup[at:])
     flush()
-    return out
+    return page
 
 
 #: Weights of the smoothing over neighbouring blocks.
-SMOOTHING = (0.25, 0.5, 0.25)
-#: A path is content if its fused score reaches this part of the scores' deviation.
-THRESHOLD = 0.5
-#: An element is the article if it holds this part of the selected text.
-MAJORITY = 0.8
-#: Elements that mark an article as a whole.
-WHOLE = frozenset("article main".split())
-#: Outside the article's element, a block that wasn't selected is content only if less than this part of it is links.
+SMOOTHING = (0.1, 0.8, 0.1)
+#: A path is content if its fused score reaches this part of the highest one.
+THRESHOLD = 0.35
+#: What a hint leaves of a path's score.
+HINTED = 0.05
+#: What is beside content nodes goes with them if less than this part of it is links.
 LINKED = 0.5
 
 
 def path_scores(found: list[Block]) -> dict[str, float]:
-    """For each tag path: smoothed text-to-path ratio fused with its punctuation-to-path ratio."""
+    """For each tag path: smoothed text-to-path ratio fused with its punctuation-to-path ratio, lowered by links and hints."""
     size: dict[str, float] = defaultdict(float)
     marks: dict[str, float] = defaultdict(float)
+    links: dict[str, float] = defaultdict(float)
     nodes: dict[str, int] = defaultdict(int)
     for b in found:
-        size[b.path] += len(b.text) - b.linked
+        size[b.path] += max(0, len(b.text) - b.linked)
+        links[b.path] += b.linked
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         nodes[b.path] += 1
-    ratio = [math.log1p(max(0.0, size[b.path]) / nodes[b.path]) * math.log1p(1 + marks[b.path] / nodes[b.path]) for b in found]
+    ratio = [math.log1p(size[b.path] / nodes[b.path]) * math.log1p(1 + marks[b.path] / nodes[b.path]) for b in found]
     sums: dict[str, float] = defaultdict(float)
     for i, b in enumerate(found):
         near = [(w, ratio[i + k]) for k, w in zip((-1, 0, 1), SMOOTHING, strict=True) if 0 <= i + k < len(found)]
         sums[b.path] += sum(w * r for w, r in near) / sum(w for w, _ in near)
-    # Longer paths of text count for more than a single long advert.
-    return {p: sums[p] / nodes[p] * math.log1p(nodes[p] + size[p] / 200) for p in sums}
+    # Paths with more text in all count for more than a single long advert.
+    fused = {p: sums[p] / nodes[p] * math.sqrt(math.log1p(nodes[p] + size[p] / 200)) for p in sums}
+    return {p: x * (size[p] + 1) / (size[p] + links[p] + 1) * (HINTED if "!" in p else 1) for p, x in fused.items()}
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line ends; '' for a null, empty or textless page."""
-    found = blocks(page) if page else []
-    if not found:
-        return ""
+def chosen_paths(found: list[Block]) -> set[str]:
+    """The paths whose score passes."""
     scores = path_scores(found)
-    values = list(scores.values())
-    mean = sum(values) / len(values)
-    deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    limit = min(max(values), max(mean, THRESHOLD * deviation))
-    chosen = [b for b in found if scores[b.path] >= limit]
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    for b in chosen:
-        for d, n in enumerate(b.elements):
-            weight[n] += len(b.text)
-            depth[n] = d
-    total = sum(len(b.text) for b in chosen)
-    leaves: dict[int, set[int]] = defaultdict(set)
+    limit = THRESHOLD * max(scores.values())
+    return {p for p, x in scores.items() if x >= limit}
+
+
+def select(page: Page) -> list[Block]:
+    """The content nodes, and what goes with them.
+
+    Of a block on another path, the nearest element around it that holds
+    content nodes decides: it is taken if that lies in an article or main
+    element, if a content node stands beside it there, or if it lies in a text
+    element there, such as a heading, paragraph or list (in the body, a heading
+    of the first level only); never if it is mostly links, or if a hint names it.
+    """
+    found = page.blocks
+    if not found:
+        return []
+    paths = chosen_paths(found)
+    n = len(page.parent)
+    held, beside, chars, linked, hints = [0] * n, [False] * n, [0] * n, [0] * n, [0] * n
     for b in found:
-        for n in b.elements:
-            leaves[n].add(b.elements[-1])
-    # The deepest element with most of the selected text that holds more than one text element.
-    holders = [n for n, w in weight.items() if w >= MAJORITY * total and len(leaves[n]) > 1]
-    holder = max(holders, key=lambda n: depth[n]) if holders else None
-    names = {n: t for b in found for n, t in zip(b.elements, b.path.split(".") if b.path else (), strict=True)}
-    around = next((b.elements[: depth[holder] + 1] for b in chosen if holder in b.elements), ())
-    whole = next((n for n in around if names[n] in WHOLE), None)
-    if whole is not None:
-        holder = whole
-    elif holder is not None and names[holder] in ("body", "html"):
-        holder = None
-
-    def is_text(b: Block) -> bool:
-        # Where an article is marked as a whole, text beside it counts only within another such element.
-        return b.linked < LINKED * len(b.text) and b.path.rpartition(".")[2] in TEXT_TAGS and (whole is None or any(names[n] in WHOLE for n in b.elements))
-
-    return "\n".join(b.text for b in found if holder in b.elements or scores[b.path] >= limit or is_text(b))
+        chars[b.element] += len(b.text)
+        linked[b.element] += b.linked
+        if b.path in paths:
+            held[b.element] += 1
+            beside[b.element] = beside[page.parent[b.element]] = True
+    for e in range(n - 1, 0, -1):
+        for sums in (held, chars, linked):
+            sums[page.parent[e]] += sums[e]
+    # The nearest element with content nodes, and the part of it that a block without any lies in.
+    meeting = [(0, 0)] * n
+    for e in range(1, n):
+        hints[e] = hints[page.parent[e]] + page.hinted[e]
+        meeting[e] = (e, e) if held[e] else (page.parent[e], e) if held[page.parent[e]] else meeting[page.parent[e]]
+
+    def taken(b: Block) -> bool:
+        if b.path in paths:
+            return True
+        at, part = meeting[b.element]
+        alone = at == part
+        if hints[b.element] > hints[at] or (b.linked if alone else linked[part]) >= LINKED * (len(b.text) if alone else chars[part]):
+            return False
+        in_body = page.tag[at] in ("", "html", "body")
+        text = page.tag[part] == "h1" if in_body else page.tag[part] in TEXT_TAGS
+        return page.whole[at] or beside[at] or text
+
+    return [b for b in found if taken(b)]
+
+
+def main_text(markup: str | None) -> str:
+    """The article's blocks, joined by line ends; '' for a null, empty or textless page."""
+    return "\n".join(b.text for b in select(scan(markup))) if markup else ""
 
 
 def extract(pages: DataFrame, markup: str = "html", text: str = "text") -> DataFrame:
