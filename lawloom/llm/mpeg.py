@@ -90,10 +90,11 @@ def crc16(data: bytes) -> int:
     return x
 
 
-#: MPEG-1 layer III, checksums, 48 kHz, mono: 224 kbit/s make frames of 672 bytes.
-FRAME_HEAD = bytes((0xFF, 0xFA, 0xC4, 0xC0))
+#: MPEG-1 layer III, checksums, 48 kHz, mono: 224 kbit/s make frames of 672 bytes, 256 kbit/s, in every WIDE-th frame, of 768.
+HEADS = (bytes((0xFF, 0xFA, 0xC4, 0xC0)), bytes((0xFF, 0xFA, 0xD4, 0xC0)))
+FRAMES = (672, 768)
+WIDE = 8
 SIDE = bytes(17)
-FRAME = 672
 AT = 4 + 2 + len(SIDE)
 
 
@@ -106,15 +107,20 @@ def store(payload: bytes, note: str = "") -> bytes:
     if len(payload) % UNIT:
         raise ValueError("the payload is no multiple of 576 bytes")
     n = len(payload) // UNIT
-    start = FRAME_HEAD + struct.pack(">H", crc16(FRAME_HEAD[2:] + SIDE)) + SIDE
-    body = np.zeros((n, FRAME), np.uint8)
-    body[:, :AT] = np.frombuffer(start, np.uint8)
-    body[:, AT : AT + UNIT] = np.frombuffer(payload, np.uint8).reshape(n, UNIT)
+    starts = [h + struct.pack(">H", crc16(h[2:] + SIDE)) + SIDE for h in HEADS]
+    wide = np.arange(n) % WIDE == WIDE - 1
+    sizes = np.where(wide, FRAMES[1], FRAMES[0])
+    first = np.cumsum(sizes) - sizes
+    body = np.zeros(int(sizes.sum()), np.uint8)
+    for kind in (0, 1):
+        body[first[wide == kind][:, None] + np.arange(AT)] = np.frombuffer(starts[kind], np.uint8)
+    body[first[:, None] + AT + np.arange(UNIT)] = np.frombuffer(payload, np.uint8).reshape(n, UNIT)
     text = b"\x03note\0" + note.encode()
     tag = b"TXXX" + struct.pack(">I", len(text)) + b"\0\0" + text
-    toc = bytes(min(255, 256 * ((k * n // 100 + 1) * FRAME) // ((n + 1) * FRAME)) for k in range(100))
-    table = b"Xing" + struct.pack(">III", 7, n, (n + 1) * FRAME) + toc
-    xing = start + table + bytes(FRAME - AT - len(table))
+    total = FRAMES[0] + len(body)
+    toc = bytes(min(255, 256 * (FRAMES[0] + int(first[k * n // 100])) // total) for k in range(100))
+    table = b"Xing" + struct.pack(">III", 7, n, total) + toc
+    xing = starts[0] + table + bytes(FRAMES[0] - AT - len(table))
     return b"ID3\x03\0\0" + _syncsafe(len(tag)) + tag + xing + body.tobytes()
 
 
@@ -131,6 +137,7 @@ class Stream:
     wrong: int = 0
     skipped: int = 0
     frame_bytes: int = 0
+    last_size: int = 0
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
@@ -170,8 +177,11 @@ def parse(media: bytes) -> Stream:
             out.wrong += not _sum_is_right(media, at, h)
         data = body + h.side
         out.frame_bytes += h.size
+        out.last_size = h.size
         if not out.offsets and out.table_frames is None and media[data : data + 4] in (b"Xing", b"Info"):
             _read_table(out, media[data:after])
+        elif not out.offsets and out.table_frames is None and media[at + 36 : at + 40] == b"VBRI":
+            out.table_bytes, out.table_frames = struct.unpack(">II", media[at + 46 : at + 54])
         else:
             out.offsets.append(at)
             out.data.append((data, after))
@@ -182,6 +192,15 @@ def parse(media: bytes) -> Stream:
     return out
 
 
+def seek_points_agree(s: Stream) -> bool:
+    """Whether each seek point of the table, if it has any, lies within 1/256 of the stream before the frame at that part of its time."""
+    if not s.toc or s.table_bytes is None or s.table_bytes < 0 or not s.offsets:
+        return not s.toc
+    begin = s.offsets[-1] + s.last_size - s.table_bytes
+    n, step = len(s.offsets), s.table_bytes / 256
+    return len(s.toc) == 100 and all(-1e-6 <= s.offsets[k * n // 100] - begin - p * step <= step + 1e-6 for k, p in enumerate(s.toc))
+
+
 def _sum_is_right(media: bytes, at: int, h: Header) -> bool:
     """Whether a layer III frame has a checksum that fits its header and side information."""
     body = at + 6
@@ -256,7 +275,7 @@ def add_features(df: DataFrame, media: str = "media", out: str = "audio") -> Dat
                 raw = x.as_py() or b""
                 s = parse(raw)
                 payload = b"".join([raw[a : a + UNIT] for a, _ in s.data])
-                ok = s.table_frames == len(s.offsets) and s.table_bytes == s.frame_bytes
+                ok = s.table_frames == len(s.offsets) and s.table_bytes == s.frame_bytes and seek_points_agree(s)
                 found.append((payload, len(s.offsets), s.rate, s.samples, f"{s.samples}/{s.rate or 1}", s.checked, s.wrong, s.skipped, ok, s.note, s.tags, s.offsets))
             names = [f.name for f in kind]
             arrays = [pa.array(list(c), kind.field(i).type) for i, c in enumerate(zip(*found, strict=True))]
@@ -287,11 +306,28 @@ def op1_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         joined.alias("feature"),
+        F.col("audio.seek_offsets").alias("seek_offsets"),
     )
 
 
 def brute(text: str | None) -> dict:
-    """Row of ``op1_mpeg`` for one text without Spark, for tests: the payload side only."""
+    """Row of ``op1_mpeg`` for one text, frame by frame without Spark and numpy, for tests."""
     raw = (text or "").encode()
     payload = raw + b"\xff" * (-len(raw) % UNIT or (0 if raw else UNIT))
-    return {"n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:])}
+    frames, places, at = [], [], 0
+    for k in range(len(payload) // UNIT):
+        kind = k % WIDE == WIDE - 1
+        frame = HEADS[kind] + struct.pack(">H", crc16(HEADS[kind][2:] + SIDE)) + SIDE + payload[k * UNIT : (k + 1) * UNIT]
+        frames.append(frame.ljust(FRAMES[kind], b"\0"))
+        places.append(at)
+        at += FRAMES[kind]
+    n, total = len(frames), at + FRAMES[0]
+    points = bytes(min(255, 256 * (FRAMES[0] + places[k * n // 100]) // total) for k in range(100))
+    table = HEADS[0] + struct.pack(">H", crc16(HEADS[0][2:] + SIDE)) + SIDE + b"Xing" + struct.pack(">III", 7, n, total) + points
+    note = b"\x03note\0" + str(len(raw)).encode()
+    tag = b"TXXX" + struct.pack(">I", len(note)) + b"\0\0" + note
+    media = b"ID3\x03\0\0" + _syncsafe(len(tag)) + tag + table.ljust(FRAMES[0], b"\0") + b"".join(frames)
+    seek = [10 + len(tag) + FRAMES[0] + p for p in places]
+    feature = f"n_frames={n};sample_rate=48000;n_samples={1152 * n};duration_s={1152 * n}/48000;n_checked={n + 1};n_wrong=0;n_skipped=0;table_ok=true;tags=ID3v2.3;first={seek[0]};last={seek[-1]}"
+    sums = {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_sha256": hashlib.sha256(media).hexdigest()}
+    return {"n_bytes": len(raw), "payload_bytes": len(payload), "media_bytes": len(media), "feature": feature, "seek_offsets": seek, **sums}
