@@ -22,9 +22,8 @@ from . import common
 #: Hashed features, and the n-gram lengths.
 BITS = 16
 SIZES = (1, 2, 3)
-#: At most about this many sampled documents and languages are trained on: it bounds the driver's part.
+#: About this many sampled documents of each language are trained on: it bounds the driver's part.
 PER_LANGUAGE = 1200
-MAX_LANGUAGES = 300
 #: TF-IDF weights sum to about this in a document.
 SCALE = 20.0
 UNKNOWN = "und"
@@ -142,26 +141,24 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _sample(docs: DataFrame, text: str, label: str, idf: np.ndarray, per_language: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str]]:
-    counts = docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
-    languages = sorted(r[label] for r in counts)
-    share = {r[label]: min(1.0, per_language / r["count"]) for r in counts}
-    pick = F.lit(False)
     draw = F.pmod(F.xxhash64(text), F.lit(1 << 20)) / float(1 << 20)
-    for language, part in share.items():
-        pick = pick | ((F.col(label) == language) & (draw < part))
+    docs = docs.select(F.col(label).alias("label"), F.col(text).alias("text"), draw.alias("draw"))
+    # One row for each language; its least draw is always taken, so that each has a text.
+    shares = common.cut(docs.groupBy("label").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("part"), F.min("draw").alias("least")))
+    languages = sorted(r.label for r in shares.select("label").collect())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
-            features, bounds = grams(batch.column(text).to_pylist())
+        for batch in common.slices(batches):
+            features, bounds = grams(batch.column("text").to_pylist())
             fs, vs = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 f, n = np.unique(features[a:b], return_counts=True)
                 fs.append(f.astype(np.uint16).tobytes())
                 vs.append((n / max(1, b - a)).astype(np.float32).tobytes())
-            yield pa.record_batch({"label": batch.column(label), "f": pa.array(fs, pa.binary()), "v": pa.array(vs, pa.binary())})
+            yield pa.record_batch({"label": batch.column("label"), "f": pa.array(fs, pa.binary()), "v": pa.array(vs, pa.binary())})
 
     # Equal texts are drawn together; the bound holds for distinct ones and a common text counts once.
-    drawn = docs.where(pick).select(label, text).dropDuplicates([label, text])
+    drawn = docs.join(shares, "label").where("draw < part or draw = least").select("label", "text").distinct()
     got = drawn.mapInArrow(vectors, "label string, f binary, v binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.f), bytes(r.v)))
     rows, labels = [], []
