@@ -44,15 +44,16 @@ def path_of(url):
     return F.coalesce(F.when(F.locate("://", url) > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(""), F.lit(""))
 
 
-def _prefixes(path):
-    """Each part of ``path`` that ends with a slash."""
-    parts = F.split(path, "/")
+def _prefixes(path, most: int):
+    """Each part of ``path`` that ends with a slash, up to ``most`` slashes."""
+    parts = F.split(path, "/", most + 1)
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
 
 
-def _suffixes(host):
+def _suffixes(host, most: int):
+    """The last labels of ``host``, up to ``most``."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -65,21 +66,27 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     no slash fits no rule.  Repeated rows each get their verdict; null or empty
     rules fit nothing; other columns of ``pages`` stay as they are.
     """
-    pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    # The rows travel as one struct, so that none of their names can clash.
+    kept = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    pages = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.struct(F.lit(0).alias("_"), *kept).alias("row"))
     rules = rules.where("host is not null and path like '/%' and action is not null").select(
         F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "action"
     )
     folder = F.regexp_extract("rule_path", r"^(.*/)", 1)
     rules = rules.withColumn("rule_digest", F.sha2(F.concat("rule_host", folder), 256)).withColumn("rule_prefix", F.substring("rule_digest", 1, PREFIX_DIGITS))
 
+    # No url needs more labels or directories than the longest rule has.
+    slashes, dots = (F.max(F.length(c) - F.length(F.replace(c, F.lit(x)))) for c, x in ((F.col("rule_path"), "/"), (F.col("rule_host"), ".")))
+    most = rules.agg(F.coalesce(slashes, F.lit(1)).alias("slashes"), F.coalesce(dots, F.lit(0)).alias("dots")).first()
     places = pages.select("host", "path").where("path <> ''").distinct()
-    expression = F.explode(F.flatten(F.transform(_suffixes(F.col("host")), lambda s: F.transform(_prefixes(F.col("path")), lambda p: F.concat(s, p)))))
+    suffixes, prefixes = _suffixes(F.col("host"), most.dots + 1), _prefixes(F.col("path"), most.slashes)
+    expression = F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
     looked_up = places.select("host", "path", expression.alias("expression")).withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     hits = looked_up.join(rules, F.col("prefix") == F.col("rule_prefix")).where("digest = rule_digest and startswith(path, rule_path)")
     best = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), (F.col("action") == "block").cast("int").alias("b"), F.concat("rule_host", "rule_path").alias("rule"), "action"))
-    decided = hits.groupBy("host", "path").agg(best.alias("best")).select(F.col("host").alias("at_host"), F.col("path").alias("at_path"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
-    out = pages.drop("rule", "verdict", "action").join(decided, (F.col("host") == F.col("at_host")) & (F.col("path") == F.col("at_path")), "left")
-    return out.withColumn("verdict", F.coalesce("action", F.lit(default))).drop("at_host", "at_path", "action")
+    decided = hits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
+    out = pages.join(decided, ["host", "path"], "left")
+    return out.select("row.*", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")).drop("_")
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
