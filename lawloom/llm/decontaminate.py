@@ -76,9 +76,22 @@ def item_tokens(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return rows.select("iid", "item_id", "text").mapInArrow(run, "iid long, item_id long, tokens binary, seeds array<long>")
 
 
-def _bits(hashes: np.ndarray) -> list[np.ndarray]:
-    """The three bits of each hash."""
-    return [((common.mix(hashes) << np.uint64(k)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for k in (0, 20, 40)]
+#: From which bit on a hash's three places in the filter are read.
+SHIFTS = (0, 20, 40)
+
+
+def _place(hashes: np.ndarray, shift: int) -> np.ndarray:
+    return (hashes << np.uint64(shift)) >> np.uint64(64 - FILTER_BITS)
+
+
+def passing(filter_bytes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where in ``hashes`` those are that the filter lets pass."""
+    at = None
+    for shift in SHIFTS:
+        place = _place(hashes if at is None else hashes[at], shift)
+        ok = np.flatnonzero((filter_bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+        at = ok if at is None else at[ok]
+    return at
 
 
 def hash_filter(items: DataFrame) -> np.ndarray:
@@ -86,13 +99,14 @@ def hash_filter(items: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate(_bits(batch.column("seeds").flatten().to_numpy().view(np.uint64))))
+            hashes = batch.column("seeds").flatten().to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([_place(hashes, k) for k in SHIFTS])).astype(np.int64)
             yield pa.record_batch({"word": pa.array(at >> 6), "bits": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
 
     words = items.select("seeds").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
 
 
 def longest_overlap(equal: np.ndarray, least: int) -> tuple[int, int]:
@@ -160,9 +174,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             places, found = [], []
             for mask in masks:
                 h = _marked(hashes, mask)
-                at = np.arange(len(h))
-                for b in _bits(h):
-                    at = at[bits[b[at]] > 0]
+                at = passing(bits, h)
                 at = at[doc[at] == doc[at + len(mask) - 1]]
                 places.append(doc[at])
                 found.append(h[at])

@@ -29,4 +29,4 @@ def test_text_with_tag_at_its_place_comes_back(units):
 def test_frame_cut_off_by_a_tag():
     media = mpeg.store(b"x" * mpeg.UNIT * 2)
     s, data = carried(media[:-50] + b"TAG" + bytes(125))
-    assert data == b"x" * mpeg.UNIT and s.tags[-1] == "ID3v1" and s.skipped == mpeg.FRAME - 50
+    assert data == b"x" * mpeg.UNIT and s.tags[-1] == "ID3v1" and s.skipped == mpeg.FRAMES[0] - 50
