@@ -83,3 +83,63 @@ def source_name(url: Column) -> Column:
 
 def snippet(text: Column, size: int = 300) -> Column:
     return F.when(F.char_length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
+
+
+#: Paragraph ids, where a part is read from, and the markers of pages that a bot check has blocked.
+NODE_ID = r"^p-(\d+(?:\.\d+)+)((?:\([^)]+\))*)$"
+PART_OF_REF, PART_OF_NODE, PART_OF_URL = r"(\d+)\.\d+", r"p-(\d+)\.\d+", r"section-(\d+)\.\d+"
+BLOCK_MARKERS = ("aggressive automated scraping", "complete the captcha", "request access", "programmatic access to these sites is limited")
+TOLERANT_MARKERS = ("aggressive automated scraping", "complete the captcha", "programmatic access to these sites is limited", "your request has been flagged as potentially automated")
+
+
+def node_section(node: Column) -> Column:
+    """The section in a paragraph's id; null where it is no such id."""
+    return F.nullif(F.regexp_extract(blank(node), NODE_ID, 1), F.lit(""))
+
+
+def node_path(node: Column) -> Column:
+    """The labels in a paragraph's id, in order; empty where it has none."""
+    return F.regexp_extract_all(F.regexp_extract(blank(node), NODE_ID, 2), F.lit(r"\(([^)]+)\)"), F.lit(1))
+
+
+def infer_part(part: Column, ref: Column, node: Column, url: Column) -> Column:
+    """The part, else that of the reference, of the paragraph's id or of the address; '' if none has one."""
+    found = [F.trim(blank(part)), F.regexp_extract(blank(ref), PART_OF_REF, 1), F.regexp_extract(blank(node), PART_OF_NODE, 1), F.regexp_extract(blank(url), PART_OF_URL, 1)]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
+
+
+def source_type(kind: Column, url: Column, regulators: tuple[str, ...] = ()) -> Column:
+    """Lower-cased; a web page of one of the hosts ``regulators`` is ``cfr``; blank is ``unknown``."""
+    low = F.lower(F.trim(blank(kind)))
+    official = F.lit(False)
+    for host in regulators:
+        official = official | F.contains(F.lower(blank(url)), F.lit(host))
+    return F.when(low.isin("website", "web", "html") & official, "cfr").when(low == "", "unknown").otherwise(low)
+
+
+def authority_level(level: Column, kind: Column) -> Column:
+    """One of statute, regulation, sub_regulatory and unknown."""
+    low, of = F.lower(F.trim(blank(level))), F.lower(F.trim(blank(kind)))
+    out = F.when(low == "high", F.when(of == "cfr", "regulation").otherwise("statute")).when(low == "medium", "regulation").when(low == "low", "sub_regulatory")
+    return out.when(low.isin("statute", "regulation", "sub_regulatory"), low).otherwise("unknown")
+
+
+def is_blocked(html: Column, markers: tuple[str, ...] = BLOCK_MARKERS, least: int = 1, expected: tuple[str, ...] = ()) -> Column:
+    """Whether ``least`` of the markers stand in a page that has none of the ``expected`` texts; case doesn't count."""
+    low = F.lower(blank(html))
+    hits = sum((F.contains(low, F.lit(m)).cast("int") for m in markers), F.lit(0))
+    fine = F.lit(False)
+    for text in expected:
+        fine = fine | F.contains(low, F.lit(text))
+    return (hits >= least) & ~fine
+
+
+def search_text(ref: Column, node: Column, title: Column, part: Column, content: Column) -> Column:
+    """What keyword search reads of a record: all five, blank ones too, with spaces between."""
+    return F.trim(F.concat_ws(" ", *[blank(c) for c in (ref, node, title, part, content)]))
+
+
+def embedding_text(heading: Column, path: Column, text: Column) -> Column:
+    """Lines of heading, path and text; blank ones are left out."""
+    line = lambda name, c: F.when(F.trim(blank(c)) != "", F.concat(F.lit(f"{name}: "), F.trim(blank(c))))
+    return F.concat_ws("\n", line("Heading", heading), line("Path", path), line("Text", text))

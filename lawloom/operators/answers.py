@@ -70,3 +70,27 @@ def with_footer(answer: Column, footer: Column) -> Column:
     text = F.trim(blank(answer))
     bare = ~F.lower(text).rlike("https?://") & ~F.contains(text, F.lit("§"))
     return F.when((text != "") & bare & (blank(footer) != ""), F.concat(text, F.lit("\n\nCitations:\n"), footer)).otherwise(text)
+
+
+#: How an answer without a model begins, what stands where nothing was found, and the place of a source in an answer.
+RETRIEVAL_HEAD = "LLM response is rate-limited. Retrieval-only result:"
+UNKNOWN_ANSWER = "I\u2019m unable to provide a reliable answer from the available knowledge base. Please share more context or a source-specific question."
+PLACEHOLDER = r"(?i)\[\s*source\s*(\d+)\s*\]"
+
+
+def retrieval_answers(questions: DataFrame, cited: DataFrame, top_k: int = 5) -> DataFrame:
+    """(question_id, answer): the first citations with snippets; UNKNOWN_ANSWER for questions without a match."""
+    lines = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("citation"), F.lit("\n"), snippet(F.trim(blank(F.col("content"))), 280))
+    found = cited.where(F.col("rank") <= top_k).groupBy("question_id").agg(F.concat(F.lit(RETRIEVAL_HEAD + "\n"), _in_rank(lines, "\n")).alias("answer"))
+    return questions.select("question_id").join(found, "question_id", "left").select("question_id", F.coalesce("answer", F.lit(UNKNOWN_ANSWER)).alias("answer"))
+
+
+def fill_placeholders(answer: Column, citations: Column) -> Column:
+    """``[source n]`` becomes the n-th of an array of citations, or the word source where there is none."""
+    text = blank(answer)
+    # What lies between the places, and the numbers in them, in turn.
+    between = F.split(text, PLACEHOLDER)
+    numbers = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1))
+    known = lambda n: F.coalesce(F.try_element_at(citations, F.greatest(n.try_cast("int"), F.lit(1))), F.lit("source"))
+    filled = F.transform(numbers, lambda n: F.when(n.try_cast("int") >= 1, known(n)).otherwise("source"))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), filled.alias("f")), lambda x: F.array(x["b"], F.coalesce(x["f"], F.lit(""))))), "")

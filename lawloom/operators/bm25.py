@@ -31,20 +31,27 @@ def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     return df.crossJoin(F.broadcast(corpus_stats(docs, text))).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
-def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: int | None = 10) -> DataFrame:
+def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: int | None = 10, min_score: float = 0.0) -> DataFrame:
     """(question_id, key, score, rank) of the best documents for each question (question_id, question).
 
     A term that a question repeats counts each time.  Ties go to the smaller key.
+    Scores below ``min_score`` are left out.
     """
     terms = questions.select("question_id", F.explode(search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index = postings(docs, key, text)
-    # Only terms that are asked for need their document frequency.
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    tokens = docs.select(key, search_tokens(F.col(text)).alias("tokens"))
+    asked = tokens.select(key, F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).join(terms.select("term").distinct(), "term", "left_semi")
+    # Terms that nobody asks for go before anything is grouped.
+    asked = asked.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     weights = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus_stats(docs, text)))
     weights = weights.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
     matched = asked.join(weights, "term").join(terms, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
-    scored = matched.groupBy("question_id", key).agg(F.sum(part).alias("score")).where("score > 0")
+    scored = matched.groupBy("question_id", key).agg(F.sum(part).alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
+    return ranked(scored, key, top_k)
+
+
+def ranked(scored: DataFrame, key: str, top_k: int | None = 10) -> DataFrame:
+    """``scored`` with the rank in its question; filters that leave the statistics alone come before it."""
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), F.col(key))
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
+    out = scored.withColumn("rank", F.row_number().over(order))
+    return out if top_k is None else out.where(F.col("rank") <= top_k)

@@ -74,3 +74,17 @@ def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
     texts = F.transform(F.filter("kin", lambda x: x["text"].rlike(r"\S")), lambda x: x["text"])
     total = F.aggregate("kin", F.lit(0), lambda a, x: a + x["tokens"])
     return packed.select("doc_id", F.when(n > 1, F.concat(name, F.lit("+"), (n - 1).cast("string"))).otherwise(name).alias("chunk_id"), n.alias("n_members"), total.alias("token_count"), F.array_join(texts, "\n\n").alias("text"))
+
+
+def base_summary(chunks: DataFrame, by: str, tokens: str = "token_count") -> DataFrame:
+    """Chunks of each ``by``, and the least, most and mean (cut to a whole number) of the token counts above 0; 0 without any."""
+    some = F.when(F.col(tokens) > 0, F.col(tokens))
+    out = [F.count(F.lit(1)).alias("n"), F.min(some).alias("min_tokens"), F.max(some).alias("max_tokens"), F.floor(F.sum(some) / F.count(some)).alias("mean_tokens")]
+    return chunks.groupBy(by).agg(*out).fillna(0, ["min_tokens", "max_tokens", "mean_tokens"])
+
+
+def target_section(paragraphs: DataFrame, by: str, section: str = "section", pos: str = "pos") -> DataFrame:
+    """The section that most paragraphs of each ``by`` name; among equal ones the first seen.  Null sections don't count."""
+    counted = paragraphs.where(F.col(section).isNotNull()).groupBy(by, section).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
+    best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
+    return counted.withColumn("_k", best).where("_k = 1").select(by, section, "n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent
-from ..functions.text import blank, rank_tokens
+from ..functions.text import blank, infer_part, rank_tokens
 
 RRF_K, GATE = 60, 0.23
 #: What the authority of a source adds to a score.
@@ -29,12 +29,12 @@ def overlap(question: Column, text: Column) -> Column:
 
 
 def final_score(question: Column, ref: Column, content: Column, url: Column, authority: Column, base: Column) -> Column:
-    """The reranked score without the parts that need a paragraph or part in the question."""
+    """The score without what a paragraph, part or citation in the question adds."""
     whole = F.concat_ws(" ", blank(ref), blank(content))
     early = F.concat_ws(" ", blank(ref), F.substring(blank(content), 1, 500))
     known = F.lit(0.0)
     for name, value in AUTHORITY:
-        known = F.when(authority == name, F.lit(value)).otherwise(known)
+        known = F.when(F.lower(F.trim(blank(authority))) == name, F.lit(value)).otherwise(known)
     meta = F.when(blank(url) != "", F.lit(0.02)).otherwise(0.0) + known
     long = F.when(F.char_length(blank(content)) > 2600, F.least((F.char_length(blank(content)) - 2600) / 10000, F.lit(0.08))).otherwise(0.0)
     return F.lit(0.70) * base + F.lit(0.25) * overlap(question, whole) + F.lit(0.05) * overlap(question, early) + meta - long
@@ -42,15 +42,34 @@ def final_score(question: Column, ref: Column, content: Column, url: Column, aut
 
 def asked_score(question: Column, ref: Column, content: Column, node: Column, part: Column) -> Column:
     """What a paragraph, part or citation in the question adds to a record's score; 0 if it names none."""
-    cited, asked, hint = intent.citation_ref(question), intent.explicit_node_id(question), intent.part_hint(question)
+    cited, asked, hint = intent.citation_ref(question), F.lower(intent.explicit_node_id(question)), intent.part_hint(question)
     low_ref, low_text, low_node = F.lower(blank(ref)), F.lower(blank(content)), F.lower(blank(node))
-    tight = F.regexp_replace(F.concat_ws(" ", low_text, low_ref), " ", "")
+    tight = F.replace(F.concat(low_text, low_ref), F.lit(" "), F.lit(""))
     named = F.contains(low_text, cited) | F.contains(low_ref, cited)
-    citation = F.when(cited == "", 0.0).when(named, 0.07).when(F.contains(tight, F.regexp_replace(cited, " ", "")), 0.05).otherwise(0.0)
-    merged = F.when(F.contains(low_ref, F.lit("merged")), 0.05).otherwise(0.0)
-    explicit = F.when((asked == "") | (low_node == ""), 0.0).when(low_node == asked, 0.35).when(F.contains(low_node, asked), 0.10).otherwise(0.0)
+    citation = F.when(cited == "", 0.0).when(named, 0.07).when(F.contains(tight, F.replace(cited, F.lit(" "), F.lit(""))), 0.05).otherwise(0.0)
+    explicit = F.when(low_node == asked, 0.35).when(F.contains(low_text, asked) | F.contains(low_ref, asked), 0.10).otherwise(0.0)
+    explicit = explicit - F.when(F.contains(low_ref, F.lit("merged")), 0.05).otherwise(0.0)
     in_part = F.when(hint == "", 0.0).when(blank(part) == hint, 0.22).otherwise(-0.08)
-    return citation + explicit - F.when(asked != "", merged).otherwise(0.0) + in_part
+    return citation + F.when(asked == "", 0.0).otherwise(explicit) + in_part
+
+
+def rerank(matches: DataFrame, top_k: int = 10) -> DataFrame:
+    """The best ``top_k`` of each question by ``final``, rounded to six places; ties go to the smaller doc_id.
+
+    ``matches`` has question, base, section_ref, content, node_id, source_url,
+    authority_level and part; a blank part is inferred from the others.
+    """
+    q, ref, content, node, url, authority, part = (F.col(c) for c in ("question", "section_ref", "content", "node_id", "source_url", "authority_level", "part"))
+    score = final_score(q, ref, content, url, authority, F.col("base")) + asked_score(q, ref, content, node, infer_part(part, ref, node, url))
+    order = Window.partitionBy("question_id").orderBy(F.desc("final"), "doc_id")
+    return matches.withColumn("final", F.round(score, 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def part_scope(ranked: DataFrame, question: str = "question", part: str = "part") -> DataFrame:
+    """Only records of the part that a question names, if it has any of them; else all of its records."""
+    fits = (intent.part_hint(F.col(question)) != "") & (blank(F.col(part)) == intent.part_hint(F.col(question)))
+    some = F.max(fits.cast("int")).over(Window.partitionBy("question_id"))
+    return ranked.withColumns({"_fits": fits, "_some": some}).where("_fits or _some = 0").drop("_fits", "_some")
 
 
 def gate(ranked: DataFrame, final: str = "final") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and vectors in one tile; every query meets every vector in one of the tiles.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 16384
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -14,9 +19,64 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, top_k: int, key: str = "vec_id") -> DataFrame:
-    """(question_id, key, score, rank): the stated queries (question_id, vector) against all ``vectors`` (key, vector)."""
-    pairs = vectors.join(F.broadcast(queries.withColumnRenamed("vector", "query")))
-    scored = pairs.select("question_id", key, cosine(F.col("query"), F.col("vector")).alias("score"))
+def check_dimension(vectors: DataFrame, vector: str = "vector") -> int:
+    """The one dimension of all vectors; an error if they have several."""
+    found = vectors.where(F.col(vector).isNotNull()).agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if found.a != found.b:
+        raise ValueError(f"vectors of {found.a} to {found.b} dimensions")
+    return found.a or 0
+
+
+def _unit(vectors: pa.Array, size: int) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return flat / np.maximum(np.sqrt((flat * flat).sum(1, keepdims=True)), 1e-300)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, top_k: int, key: str = "vec_id", scopes: tuple[str, ...] = ()) -> DataFrame:
+    """(question_id, key, score, rank): the stated queries (question_id, vector) against all ``vectors`` (key, vector).
+
+    Both sides come in tiles of bounded size; each tile keeps the best of each
+    query, and the tiles' lists are merged.  ``scopes`` names columns that both
+    sides have: a query takes only vectors of its first scope that any vector
+    fits (not blank, and equal), else all of them, and ``branch`` says which.
+    Ties go to the smaller key; null vectors are left out.
+    """
+    queries, vectors = (x.where(F.col("vector").isNotNull()) for x in (queries, vectors))
+    size = check_dimension(vectors)
+    tiles = [max(1, -(-x.count() // n)) for x, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK))]
+    marks = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.xxhash64(c)).otherwise(0).alias(f"s{i}") for i, c in enumerate(scopes)]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = queries.select(F.lit(True).alias("asks"), F.col("question_id").cast("long").alias("id"), "vector", *marks, F.pmod(F.xxhash64("question_id"), F.lit(tiles[0])).cast("int").alias("q"), every(tiles[1]).alias("v"))
+    two = vectors.select(F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), "vector", *marks, every(tiles[0]).alias("q"), F.pmod(F.xxhash64(key), F.lit(tiles[1])).cast("int").alias("v"))
+
+    def tile(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        ids = table["id"].to_numpy()
+        unit = _unit(table["vector"].combine_chunks(), size) if table.num_rows else np.zeros((0, size))
+        scope = [table[f"s{i}"].to_numpy() for i in range(len(scopes))]
+        rows = np.flatnonzero(~asks)
+        rows = rows[np.argsort(ids[rows], kind="stable")]
+        out: list[tuple[int, int, float, int]] = []
+        for q in np.flatnonzero(asks).tolist():
+            score = unit[rows] @ unit[q]
+            branch = np.full(len(rows), len(scope))
+            for i in range(len(scope) - 1, -1, -1):
+                if scope[i][q]:
+                    branch[scope[i][rows] == scope[i][q]] = i
+            rounded = np.round(score, 6)
+            for b in np.unique(branch).tolist():
+                at = np.flatnonzero(branch <= b) if b == len(scope) else np.flatnonzero(branch == b)
+                # A bit more than the best, as rounding makes ties.
+                if len(at) > top_k:
+                    least = np.partition(rounded[at], len(at) - top_k)[len(at) - top_k]
+                    at = at[rounded[at] >= least - 2e-6]
+                    at = at[np.lexsort((at, -rounded[at]))][: 2 * top_k]
+                out += [(int(ids[q]), int(ids[rows[k]]), float(score[k]), b) for k in at.tolist()]
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({"question_id": pa.array(columns[0], pa.int64()), key: pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64()), "branch": pa.array(columns[3], pa.int32())})
+
+    found = one.unionByName(two).groupBy("q", "v").applyInArrow(tile, f"question_id long, {key} long, score double, branch int")
+    found = found.withColumn("first", F.min("branch").over(Window.partitionBy("question_id"))).where("branch = first").drop("first")
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return ranked if scopes else ranked.drop("branch")

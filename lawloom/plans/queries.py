@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent, text
-from ..operators import answers, bm25, chunks, fusion, limits, vectors
+from ..operators import answers, bm25, chunks, fusion, limits, vectors, versions
 from ..streaming import spacing
 
 
@@ -72,13 +72,21 @@ def whole_paragraphs(spark, sf_dir):
     return found.where("body <> ''").select("page_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+#: Questions that name things in many ways; each is put before user turns.
+CASES = (
+    "what is p-668.32(e)(5)(ii)", "34 CFR 668.32 (a)", "34CFR668.32", "part668 rules", "34 CFR Part 668", "FFEL rules", "subpart 123", "see P-668.14(a)(B-1)",
+    "How are you?", "thanks", "Hello! Who are you?", "part 6680", "668.32.1", "Direct Loan", "",
+)
+
+
 def conversation_intent(spark, sf_dir):
-    """Intent of every user turn, with a reference that its ids give it."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    ref = F.concat(F.lit("34 CFR "), (F.lit(600) + F.col("conv_id") % 100).cast("string"), F.lit("."), (F.col("turn") + 1).cast("string"))
-    q = F.when(F.col("conv_id") % 4 == 0, F.concat(ref, F.lit(" (a)(1) "), text.blank(F.col("text")))).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("Part "), (F.lit(600) + F.col("conv_id") % 100).cast("string"), F.lit(" "), text.blank(F.col("text")))).when(F.col("conv_id") % 4 == 2, F.lit("Hello! Good morning.")).otherwise(F.col("text"))
-    c = c.withColumn("q", q)
-    return c.select("conv_id", "turn", intent.explicit_node_id(F.col("q")).alias("node_id"), intent.part_hint(F.col("q")).alias("part"), intent.citation_ref(F.col("q")).alias("citation"), intent.is_small_talk(F.col("q")).alias("small_talk"))
+    """Intent of every user turn, as it is and after one of CASES."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.blank(F.col("text")).alias("text"))
+    case = F.element_at(F.array(*[F.lit(x) for x in CASES]), ((F.col("conv_id") * 3 + F.col("turn")) % len(CASES) + 1).cast("int"))
+    more = c.withColumn("text", F.when(F.col("turn") % 4 < 2, case).otherwise(F.concat(case, F.lit(" "), F.col("text"))))
+    both = c.withColumn("variant", F.lit(0)).unionByName(more.withColumn("variant", F.lit(1)))
+    q = F.col("text")
+    return both.select("conv_id", "turn", "variant", intent.explicit_node_id(q).alias("node_id"), intent.part_hint(q).alias("part"), intent.citation_ref(q).alias("citation"), intent.is_small_talk(q).alias("small_talk"))
 
 
 def term_stats(spark, sf_dir):
@@ -116,14 +124,115 @@ def rrf_merge(spark, sf_dir):
     return _hybrid(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 40").select("question_id", "doc_id", F.round("base", 5).alias("base"), F.col("rank").cast("long").alias("rank"))
 
 
+def asked_questions(spark, sf_dir):
+    """The questions, three in four with a part, a paragraph or a citation before them."""
+    part = (F.lit(600) + F.col("question_id") % 100).cast("string")
+    section = F.concat(part, F.lit("."), F.col("question_id").cast("string"))
+    before = F.when(F.col("question_id") % 4 == 1, F.concat(F.lit("Part "), part, F.lit(": ")))
+    before = before.when(F.col("question_id") % 4 == 2, F.concat(F.lit("What is p-"), section, F.lit("(a)? "))).when(F.col("question_id") % 4 == 3, F.concat(F.lit("34CFR"), section, F.lit(" ")))
+    return questions(spark, sf_dir).select("question_id", F.concat(F.coalesce(before, F.lit("")), "question").alias("question"))
+
+
+def _reranked(spark, sf_dir):
+    r = records(spark, sf_dir).withColumns({"node_id": F.concat(F.lit("p-"), "part", F.lit("."), F.col("doc_id").cast("string"), F.lit("(a)")), "part": F.when(F.col("doc_id") % 5 > 0, F.col("part"))})
+    return fusion.rerank(_hybrid(spark, sf_dir).join(r, "doc_id").join(asked_questions(spark, sf_dir), "question_id"))
+
+
 def hybrid_rerank(spark, sf_dir):
-    r = _hybrid(spark, sf_dir).join(records(spark, sf_dir), "doc_id").join(F.broadcast(questions(spark, sf_dir)), "question_id")
-    r = r.withColumn("final", F.round(fusion.final_score(*[F.col(c) for c in ("question", "section_ref", "content", "source_url", "authority_level", "base")]), 6))
-    order = Window.partitionBy("question_id").orderBy(F.desc("final"), "doc_id")
-    top = fusion.gate(r.withColumn("rank", F.row_number().over(order)).where("rank <= 10"))
+    top = fusion.gate(_reranked(spark, sf_dir))
     return top.select("question_id", "doc_id", F.round("final", 4).alias("final"), F.col("rank").cast("long").alias("rank"), "section_ref")
 
 
+def part_scope(spark, sf_dir):
+    """Of the reranked records those of the part that the question names, if there are any."""
+    top = _reranked(spark, sf_dir)
+    part = text.infer_part(F.col("part"), F.col("section_ref"), F.col("node_id"), F.col("source_url"))
+    return fusion.part_scope(top.withColumn("part", part)).select("question_id", "doc_id", F.col("rank").cast("long").alias("rank"), "part")
+
+
+def bm25_filtered(spark, sf_dir):
+    """Keyword search without records of another part than the question's, and with a least score; the statistics are those of all."""
+    found = bm25.search(asked_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", None, min_score=1.0).drop("rank")
+    part = records(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("part")).otherwise("").alias("part"))
+    hint = asked_questions(spark, sf_dir).select("question_id", intent.part_hint(F.col("question")).alias("hint"))
+    kept = found.join(part, "doc_id").join(hint, "question_id").where("hint = '' or part = '' or part = hint")
+    return bm25.ranked(kept, "doc_id", 10).select("question_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def knn_cascade(spark, sf_dir):
+    """Nearest vectors of the same paragraph, else of the same part, else of all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.concat(F.lit("p-"), (F.col("vec_id") % 50).cast("string")).alias("node"), F.col("label").cast("string").alias("part"))
+    part = F.when(F.col("vec_id") % 300 == 0, F.lit("none")).when(F.col("vec_id") % 500 == 0, F.lit("")).otherwise(F.col("part"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), "vector", F.when(F.col("vec_id") % 200 == 0, F.col("node")).otherwise("gone").alias("node"), part.alias("part"))
+    q = q.withColumn("node", F.when(F.col("question_id") % 600 == 0, F.lit("")).otherwise(F.col("node")))
+    found = vectors.nearest(q, e, 10, scopes=("node", "part"))
+    return found.select("question_id", "vec_id", F.round("score", 4).alias("score"), F.col("branch").cast("long").alias("branch"), F.col("rank").cast("long").alias("rank"))
+
+
+def part_inference(spark, sf_dir):
+    """Parts from whatever a record has; kinds of sources and levels of authority by their fixed names."""
+    r = records(spark, sf_dir)
+    k = F.col("doc_id") % 4
+    only = lambda n, c: F.when(k == n, c)
+    node = F.concat(F.lit("p-"), F.col("part"), F.lit("."), F.col("doc_id").cast("string"), F.lit("(a)"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Website", " PDF", "", "html")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    level = F.element_at(F.array(*[F.lit(x) for x in ("High ", "medium", "low", "Statute", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    kind = text.source_type(kind, F.col("source_url"), ("example.org",))
+    inferred = text.infer_part(only(0, F.col("part")), only(1, F.col("section_ref")), only(2, node), only(3, F.col("source_url")))
+    return r.select("doc_id", inferred.alias("part"), kind.alias("source_type"), text.authority_level(level, kind).alias("authority"))
+
+
+def node_id_parse(spark, sf_dir):
+    r = records(spark, sf_dir)
+    node = F.concat(F.lit("p-"), "part", F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("."), F.col("doc_id").cast("string"))).otherwise(""), F.lit("(a)("), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 6 > 0, F.lit(")")).otherwise(""))
+    return r.select("doc_id", text.node_section(node).alias("section"), F.array_join(text.node_path(node), "/").alias("path"))
+
+
+def index_texts(spark, sf_dir):
+    """What keyword search and embedders read of each record."""
+    r = records(spark, sf_dir).withColumn("heading", F.when(F.col("doc_id") % 3 == 0, F.col("section_ref")))
+    read = text.search_text(F.col("section_ref"), F.lit(None), F.col("namespace"), F.col("part"), F.col("content"))
+    line = text.embedding_text(F.col("heading"), F.col("authority_level"), F.col("content"))
+    return r.select("doc_id", F.md5(read.cast("binary")).alias("search_md5"), F.md5(line.cast("binary")).alias("embedding_md5"))
+
+
+def blocked_pages(spark, sf_dir):
+    """Pages, some with marks of a bot check behind them, by both rules."""
+    added = F.element_at(F.array(*[F.lit(x) for x in ("", " Complete the CAPTCHA", " complete the captcha, aggressive automated scraping", " complete the captcha, aggressive automated scraping, student eligibility")]), (F.col("page_id") % 4 + 1).cast("int"))
+    html = F.concat(text.blank(F.col("html")), added)
+    tolerant = text.is_blocked(html, text.TOLERANT_MARKERS, 2, ("student eligibility",))
+    return table(spark, sf_dir, "pages").select("page_id", text.is_blocked(html).alias("strict"), tolerant.alias("tolerant"))
+
+
+def latest_versions(spark, sf_dir):
+    """Events as version rows of sections."""
+    e = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 10 > 0, "section").otherwise("part").alias("type"), (F.lit(600) + F.col("user_id") % 3).cast("string").alias("part"),
+        F.concat(F.lit(" "), (F.col("user_id") % 20).cast("string")).alias("identifier"), F.col("event_type").alias("name"),
+        F.when(F.col("event_id") % 7 == 0, False).when(F.col("event_id") % 5 > 0, True).alias("substantive"), (F.col("event_id") % 11 == 0).alias("removed"), "event_id",
+    )
+    return versions.latest_versions(e, "event_id")
+
+
+def section_links(spark, sf_dir):
+    """Links of pages to sections of their part; each page has some of its own id behind it."""
+    part, n = (F.lit(600) + F.col("page_id") % 5).cast("string"), F.col("page_id").cast("string")
+    more = [F.lit("<a href='/current/section-"), part, F.lit("."), n, F.lit("#x'></a><a HREF = \"#"), part, F.lit("."), n, F.lit("\"></a><a href=\"#601.1\"></a><a href=\"/current/section-"), part, F.lit("."), n, F.lit("\"></a><a href=\"/section-600.4/extra\">")]
+    pages = table(spark, sf_dir, "pages").select("page_id", part.alias("part"), F.concat(text.blank(F.col("html")), *more).alias("html"))
+    return versions.section_links(pages, "page_id", "html", "part", "https://example.org").select("page_id", "part", "url", F.col("pos").cast("long").alias("pos"))
+
+
+def base_summary(spark, sf_dir):
+    lines = _line_chunks(spark, sf_dir).select("doc_id", F.size(text.word_tokens(F.col("text"))).cast("long").alias("token_count"))
+    return chunks.base_summary(lines, "doc_id")
+
+
+def target_section(spark, sf_dir):
+    """The most frequent section of a document's lines, which are dealt to sections by their length."""
+    lines = _line_chunks(spark, sf_dir).select("doc_id", "pos", F.when(F.char_length("text") > 0, F.concat(F.lit("600."), (F.char_length("text") % 3).cast("string"))).alias("section"))
+    return chunks.target_section(lines, "doc_id")
+
+
 def level_chunks(spark, sf_dir):
     c = chunks.level_chunks(chunks.paragraphs(table(spark, sf_dir, "documents")))
     return c.select("doc_id", "chunk_id", F.col("depth").cast("long").alias("depth"), F.col("n_members").cast("long").alias("n_members"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -225,16 +334,32 @@ def citation_footers(spark, sf_dir):
     return answers.footers(answers.citations(_top(spark, sf_dir, 5)))
 
 
+def retrieval_answers(spark, sf_dir):
+    """Answers without a model: the first citations with their snippets."""
+    found = answers.retrieval_answers(questions(spark, sf_dir), answers.citations(_top(spark, sf_dir, 5)))
+    return found.select("question_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
+
+
+def placeholder_answers(spark, sf_dir):
+    """An answer that names sources by number, with the citations in their places."""
+    cited = answers.citations(_top(spark, sf_dir, 2)).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "citation"))), lambda x: x["citation"]).alias("cited"))
+    answer = F.concat(F.lit("For "), F.col("question_id").cast("string"), F.lit(" see [Source 1], [ SOURCE 2 ][source 9] or [source x]."))
+    return cited.select("question_id", answers.fill_placeholders(answer, F.col("cited")).alias("answer"))
+
+
 def asked_scores(spark, sf_dir):
     """What a reference in the question adds for each of its first records; the question names its own section."""
-    top = _top(spark, sf_dir, 10).withColumn("node_id", F.concat(F.lit("p-"), F.col("part"), F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit("(a)(1)")))
+    top = _top(spark, sf_dir, 10).withColumn("node_id", F.concat(F.lit("p-"), F.col("part"), F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit("(a)")))
     part = (F.lit(600) + F.col("question_id") % 100).cast("string")
-    q = F.concat(F.lit("Part "), part, F.lit(" asks for "), part, F.lit("."), (F.col("question_id") % 3).cast("string"), F.lit("(a)"))
-    score = fusion.asked_score(q, *[F.col(c) for c in ("section_ref", "content", "node_id", "part")])
+    section = F.concat(part, F.lit("."), (F.col("question_id") % 3).cast("string"))
+    q = F.concat(F.lit("Part "), part, F.lit(" asks for "), section, F.lit("(a)"))
+    named = F.concat("content", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" see p-"), section, F.lit("(a)"))).otherwise(""))
+    ref = F.concat("section_ref", F.when(F.col("doc_id") % 3 == 0, " (Merged 2)").otherwise(""))
+    score = fusion.asked_score(q, ref, named, F.col("node_id"), F.col("part"))
     return top.select("question_id", "doc_id", F.round(score, 4).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores)}
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores, part_scope, bm25_filtered, knn_cascade, part_inference, node_id_parse, index_texts, blocked_pages, latest_versions, section_links, base_summary, target_section, retrieval_answers, placeholder_answers)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -273,6 +398,27 @@ top AS (SELECT question_id, doc_id, base, rank, namespace, coalesce(content, '')
 cited AS (SELECT *, coalesce(nullif(trim(source_name), ''), CASE WHEN source_url IS NOT NULL THEN 'example.org' END, 'source') AS label,
   section_ref || ' (' || coalesce(source_url, 'https://example.org/current/title-34/part-' || part || '/section-' || substr(section_ref, 2)) || ')' AS citation FROM top)"""
 
+#: The specification's rules for questions, written for DuckDB.
+PART_HINT = r"CASE WHEN regexp_extract(lower({0}), '\b(?:34\s*cfr\s*)?part\s*(\d{{3}})\b', 1) <> '' THEN regexp_extract(lower({0}), '\b(?:34\s*cfr\s*)?part\s*(\d{{3}})\b', 1) WHEN contains(lower({0}), 'federal family education loan') OR contains(lower({0}), 'ffel') THEN '682' WHEN contains(lower({0}), 'direct loan') THEN '685' ELSE '' END"
+NODE_ASKED = r"CASE WHEN regexp_matches({0}, '(?i)p-\d+(\.\d+)+(\([^)]+\))+') THEN 'p-' || regexp_extract({0}, '(?i)p-(\d+(?:\.\d+)+(?:\([^)]+\))+)', 1) WHEN regexp_matches({0}, '\d+(\.\d+)+(\([^)]+\))+') THEN 'p-' || regexp_extract({0}, '(\d+(?:\.\d+)+(?:\([^)]+\))+)', 1) ELSE '' END"
+CITED = r"CASE WHEN regexp_matches(lower({0}), '\b\d+\s*cfr\s*\d+(\.\d+)+\b') THEN regexp_extract(lower({0}), '\b\d+\s*cfr\s*\d+(\.\d+)+\b') ELSE regexp_extract(lower({0}), '\b\d+(\.\d+)+\b') END"
+CHAT = r"(?i)\b(what\s+is\s+your\s+name|who\s+are\s+you|your\s+name|hello|hi|hey|how\s+are\s+you|good\s+morning|good\s+evening)\b"
+INTENT = rf"""{NODE_ASKED.format(r"regexp_replace(q, '\s+', '', 'g')")} AS node_id, {PART_HINT.format("q")} AS part, {CITED.format("q")} AS citation,
+  regexp_replace(q, '\s+', '', 'g') = '' OR (regexp_matches(q, '{CHAT}') AND regexp_replace(regexp_replace(q, '{CHAT}', ' ', 'g'), '[^a-zA-Z0-9]+', '', 'g') = '') AS small_talk"""
+ASKED = """asked_q AS (SELECT item_id, CASE item_id % 4 WHEN 1 THEN 'Part ' || (600 + item_id % 100) || ': ' WHEN 2 THEN 'What is p-' || (600 + item_id % 100) || '.' || item_id || '(a)? ' WHEN 3 THEN '34CFR' || (600 + item_id % 100) || '.' || item_id || ' ' ELSE '' END || text AS text FROM benchmark)"""
+RERANKED = f"""{HYBRID}, {RECORDS}, {ASKED},
+intents AS (SELECT item_id AS question_id, text AS question, {PART_HINT.format("text")} AS hint, lower({NODE_ASKED.format(r"regexp_replace(text, '\s+', '', 'g')")}) AS node_asked, {CITED.format("text")} AS cited FROM asked_q),
+j AS (SELECT question_id, doc_id, base, section_ref, coalesce(content, '') AS content, source_url, authority_level, hint, node_asked, cited, part AS full_part, 'p-' || part || '.' || doc_id || '(a)' AS node,
+  {RANKS.format('question')} AS asked, {RANKS.format("section_ref || ' ' || coalesce(content, '')")} AS whole, {RANKS.format("section_ref || ' ' || substr(coalesce(content, ''), 1, 500)")} AS early
+  FROM fused JOIN records USING (doc_id) JOIN intents USING (question_id)),
+f AS (SELECT *, round(0.70::DOUBLE * base + 0.25::DOUBLE * (len(list_intersect(asked, whole))::DOUBLE / greatest(len(asked), 1)) + 0.05::DOUBLE * (len(list_intersect(asked, early))::DOUBLE / greatest(len(asked), 1))
+  + (CASE WHEN source_url IS NOT NULL THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END + CASE authority_level WHEN 'statute' THEN 0.06::DOUBLE WHEN 'regulation' THEN 0.05::DOUBLE WHEN 'sub_regulatory' THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END)
+  - CASE WHEN length(content) > 2600 THEN least((length(content) - 2600)::DOUBLE / 10000, 0.08::DOUBLE) ELSE 0.0::DOUBLE END
+  + CASE WHEN cited = '' THEN 0.0::DOUBLE WHEN contains(lower(content), cited) OR contains(lower(section_ref), cited) THEN 0.07::DOUBLE WHEN contains(replace(lower(content) || lower(section_ref), ' ', ''), replace(cited, ' ', '')) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN node_asked = '' THEN 0.0::DOUBLE WHEN lower(node) = node_asked THEN 0.35::DOUBLE WHEN contains(lower(content), node_asked) OR contains(lower(section_ref), node_asked) THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN hint = '' THEN 0.0::DOUBLE WHEN full_part = hint THEN 0.22::DOUBLE ELSE -0.08::DOUBLE END, 6) AS final FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final DESC, doc_id) AS rank FROM f)"""
+
 ORACLE_SQL = {
     "clean_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g')), '\(\s*([^)]+?)\s*\)', '(\1)', 'g'), '\s+([,;:.])', '\1', 'g'))) AS clean_md5 FROM documents""",
     "token_counts": f"SELECT doc_id, len({WORDS.format('text')}) AS token_count, len({TOKENS.format('text')}) AS search_tokens, length(coalesce(text, '')) AS char_count FROM documents",
@@ -282,29 +428,45 @@ SELECT page_id, host || '::' || regexp_extract(path, '([^/]*)$', 1) AS source_na
     "page_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos FROM pages) SELECT page_id, href, min(pos) AS first_pos FROM l GROUP BY page_id, href""",
     "page_paragraphs": r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '<p>([^<]*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS body, generate_subscripts(ps, 1) - 1 AS pos FROM b) SELECT page_id, pos, md5(body) AS body_md5 FROM l WHERE body <> ''""",
     "whole_paragraphs": f"""WITH b AS (SELECT page_id, regexp_extract_all({BARE}, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS pos FROM b), t AS (SELECT page_id, pos, trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body FROM l) SELECT page_id, pos, md5(body) AS body_md5 FROM t WHERE body <> ''""",
-    "conversation_intent": r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
-q AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '34 CFR ' || (600 + conv_id % 100) || '.' || (turn + 1) || ' (a)(1) ' || text WHEN 1 THEN 'Part ' || (600 + conv_id % 100) || ' ' || text WHEN 2 THEN 'Hello! Good morning.' ELSE text END AS q FROM c),
-t AS (SELECT *, regexp_replace(q, '\s+', '', 'g') AS tight, lower(q) AS low FROM q)
-SELECT conv_id, turn,
-  CASE WHEN regexp_extract(tight, '(?i)p-(\d+(?:\.\d+)+(?:\([a-z0-9]+\))+)', 1) <> '' THEN 'p-' || lower(regexp_extract(tight, '(?i)p-(\d+(?:\.\d+)+(?:\([a-z0-9]+\))+)', 1))
-       WHEN regexp_extract(tight, '(?i)(\d+(?:\.\d+)+(?:\([a-z0-9]+\))+)', 1) <> '' THEN 'p-' || lower(regexp_extract(tight, '(?i)(\d+(?:\.\d+)+(?:\([a-z0-9]+\))+)', 1)) ELSE '' END AS node_id,
-  CASE WHEN regexp_extract(q, '(?i)\bpart\s+(\d{3})\b', 1) <> '' THEN regexp_extract(q, '(?i)\bpart\s+(\d{3})\b', 1) WHEN contains(low, 'ffel') OR contains(low, 'federal family education loan') THEN '682' WHEN contains(low, 'direct loan') THEN '685' ELSE '' END AS part,
-  CASE WHEN regexp_extract(low, '(?i)(\d+\s+cfr\s+\d+(?:\.\d+)+)', 1) <> '' THEN regexp_extract(low, '(?i)(\d+\s+cfr\s+\d+(?:\.\d+)+)', 1) ELSE regexp_extract(low, '(\d+(?:\.\d+)+)', 1) END AS citation,
-  regexp_replace(regexp_replace(q, '(?i)\b(hi|hello|hey|good morning|good afternoon|good evening|thanks|thank you|bye|who are you)\b', '', 'g'), '[\s,.!?]+', '', 'g') = '' AS small_talk
-FROM t""",
+    "conversation_intent": rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+q AS (SELECT conv_id, turn, 0 AS variant, text AS q FROM c UNION ALL
+  SELECT conv_id, turn, 1, CASE WHEN turn % 4 < 2 THEN said ELSE said || ' ' || text END FROM (SELECT *, [{", ".join(f"'{x}'" for x in CASES)}][(conv_id * 3 + turn) % {len(CASES)} + 1] AS said FROM c))
+SELECT conv_id, turn, variant, {INTENT} FROM q""",
     "term_stats": f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfs, stats",
     "bm25_topk": f"WITH {BM25} SELECT question_id, doc_id, round(score, 4) AS score, round(score / max(score) OVER (PARTITION BY question_id), 4) AS normalized, rank FROM kwr WHERE rank <= 10",
     "knn_topk": "WITH s AS (SELECT q.vec_id AS question_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s) SELECT question_id, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20",
     "rrf_merge": f"WITH {HYBRID}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 8) DESC, doc_id) AS rank FROM fused) SELECT question_id, doc_id, round(base, 5) AS base, rank FROM r WHERE rank <= 40",
-    "hybrid_rerank": f"""WITH {HYBRID}, {RECORDS},
-j AS (SELECT question_id, doc_id, base, section_ref, coalesce(content, '') AS content, source_url, authority_level, {RANKS.format('b.text')} AS asked, {RANKS.format("section_ref || ' ' || coalesce(content, '')")} AS whole, {RANKS.format("section_ref || ' ' || substr(coalesce(content, ''), 1, 500)")} AS early
-  FROM fused JOIN records USING (doc_id) JOIN benchmark b ON b.item_id = question_id),
-f AS (SELECT *, round(0.70::DOUBLE * base + 0.25::DOUBLE * (len(list_intersect(asked, whole))::DOUBLE / greatest(len(asked), 1)) + 0.05::DOUBLE * (len(list_intersect(asked, early))::DOUBLE / greatest(len(asked), 1))
-  + (CASE WHEN source_url IS NOT NULL THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END + CASE authority_level WHEN 'statute' THEN 0.06::DOUBLE WHEN 'regulation' THEN 0.05::DOUBLE WHEN 'sub_regulatory' THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END)
-  - CASE WHEN length(content) > 2600 THEN least((length(content) - 2600)::DOUBLE / 10000, 0.08::DOUBLE) ELSE 0.0::DOUBLE END, 6) AS final FROM j),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final DESC, doc_id) AS rank FROM f),
-g AS (SELECT *, max(final) OVER (PARTITION BY question_id) AS best FROM r WHERE rank <= 10)
+    "hybrid_rerank": f"""WITH {RERANKED}, g AS (SELECT *, max(final) OVER (PARTITION BY question_id) AS best FROM r WHERE rank <= 10)
 SELECT question_id, doc_id, round(final, 4) AS final, rank, section_ref FROM g WHERE best >= 0.23""",
+    "part_scope": f"""WITH {RERANKED}, g AS (SELECT question_id, doc_id, rank, full_part AS part, hint <> '' AND full_part = hint AS fits FROM r WHERE rank <= 10)
+SELECT question_id, doc_id, rank, part FROM (SELECT *, bool_or(fits) OVER (PARTITION BY question_id) AS any_fits FROM g) WHERE fits OR NOT any_fits""",
+    "bm25_filtered": f"""WITH {ASKED}, {BM25.replace("FROM benchmark)", "FROM asked_q)")}, {RECORDS},
+h AS (SELECT item_id AS question_id, {PART_HINT.format("text")} AS hint FROM asked_q),
+k AS (SELECT question_id, doc_id, score FROM kw JOIN records USING (doc_id) JOIN h USING (question_id) WHERE score >= 1.0 AND (hint = '' OR doc_id % 5 = 0 OR part = hint)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM k)
+SELECT question_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""",
+    "knn_cascade": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'p-' || (vec_id % 50) AS node, CAST(label AS VARCHAR) AS part FROM embeddings),
+q AS (SELECT vec_id AS question_id, v, CASE WHEN vec_id % 600 = 0 THEN '' WHEN vec_id % 200 = 0 THEN node ELSE 'gone' END AS node, CASE WHEN vec_id % 300 = 0 THEN 'none' WHEN vec_id % 500 = 0 THEN '' ELSE part END AS part FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT question_id, vec_id, list_cosine_similarity(q.v, e.v) AS score, CASE WHEN q.node <> '' AND q.node = e.node THEN 0 WHEN q.part <> '' AND q.part = e.part THEN 1 ELSE 2 END AS b FROM q, e),
+f AS (SELECT *, min(b) OVER (PARTITION BY question_id) AS branch FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM f WHERE branch = 2 OR b = branch)
+SELECT question_id, vec_id, round(score, 4) AS score, branch, rank FROM r WHERE rank <= 10""",
+    "part_inference": f"""WITH {RECORDS},
+k AS (SELECT doc_id, doc_id % 4 AS k, part, source_url, ['website', 'pdf', '', 'html'][doc_id % 4 + 1] AS kind, ['high', 'medium', 'low', 'statute', 'other'][doc_id % 5 + 1] AS level FROM records),
+t AS (SELECT *, CASE WHEN kind IN ('website', 'html') AND coalesce(source_url, '') LIKE '%example.org%' THEN 'cfr' WHEN kind = '' THEN 'unknown' ELSE kind END AS source_type FROM k)
+SELECT doc_id, CASE WHEN k < 3 OR source_url IS NOT NULL THEN part ELSE '' END AS part, source_type,
+  CASE level WHEN 'high' THEN CASE WHEN source_type = 'cfr' THEN 'regulation' ELSE 'statute' END WHEN 'medium' THEN 'regulation' WHEN 'low' THEN 'sub_regulatory' WHEN 'statute' THEN 'statute' ELSE 'unknown' END AS authority FROM t""",
+    "node_id_parse": f"""WITH {RECORDS} SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND doc_id % 6 > 0 THEN part || '.' || doc_id END AS section, CASE WHEN doc_id % 5 > 0 AND doc_id % 6 > 0 THEN 'a/' || (doc_id % 7) ELSE '' END AS path FROM records""",
+    "index_texts": f"""WITH {RECORDS} SELECT doc_id, md5(trim(concat_ws(' ', section_ref, '', coalesce(namespace, ''), part, coalesce(content, '')), ' ')) AS search_md5,
+  md5(concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Heading: ' || section_ref END, 'Path: ' || authority_level, CASE WHEN trim(coalesce(content, ''), ' ') <> '' THEN 'Text: ' || trim(content, ' ') END)) AS embedding_md5 FROM records""",
+    "blocked_pages": "SELECT page_id, page_id % 4 > 0 AS strict, page_id % 4 = 2 AS tolerant FROM pages",
+    "latest_versions": """WITH v AS (SELECT CAST(600 + user_id % 3 AS VARCHAR) AS part, CAST(user_id % 20 AS VARCHAR) AS identifier, event_type AS name, event_id FROM events WHERE event_id % 10 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0)
+SELECT part, identifier, name, event_id FROM (SELECT *, row_number() OVER (PARTITION BY part, identifier ORDER BY event_id DESC) AS k FROM v) WHERE k = 1""",
+    "section_links": """WITH l AS (SELECT page_id, CAST(600 + page_id % 5 AS VARCHAR) AS part, len(regexp_extract_all(html, 'href="[^"]*"')) AS n FROM pages)
+SELECT page_id, part, 'https://example.org/current/section-' || part || '.' || page_id AS url, n AS pos FROM l UNION ALL
+SELECT page_id, part, 'https://example.org/section-' || part || '.' || page_id, n + 1 FROM l UNION ALL SELECT page_id, part, 'https://example.org/section-601.1', n + 2 FROM l WHERE part = '601' AND page_id <> 1""",
+    "base_summary": f"WITH {PARAGRAPHS}, t AS (SELECT doc_id, len({WORDS.format('text')}) AS t FROM paras) SELECT doc_id, count(*) AS n, coalesce(min(t) FILTER (t > 0), 0) AS min_tokens, coalesce(max(t) FILTER (t > 0), 0) AS max_tokens, coalesce((sum(t) FILTER (t > 0) // count(*) FILTER (t > 0))::BIGINT, 0) AS mean_tokens FROM t GROUP BY doc_id",
+    "target_section": f"WITH {PARAGRAPHS}, s AS (SELECT doc_id, '600.' || (length(text) % 3) AS section, count(*) AS n, min(pos) AS first FROM paras WHERE length(text) > 0 GROUP BY ALL) SELECT doc_id, section, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM s) WHERE k = 1",
     "level_chunks": f"WITH {LEVELS} SELECT doc_id, doc_id || ':' || path AS chunk_id, depth, n_members, md5(text) AS text_md5 FROM levels",
     "best_depth": f"WITH {LEVELS}, sized AS (SELECT doc_id, depth, len({WORDS.format('text')}) AS tokens FROM levels), st AS (SELECT doc_id, depth, count(*) AS n, median(tokens) AS median, avg(tokens) AS mean FROM sized WHERE tokens > 0 GROUP BY doc_id, depth), sc AS (SELECT *, abs(median - 800) + CASE WHEN median < 200 THEN 500 ELSE 0 END + CASE WHEN median > 1500 THEN 700 ELSE 0 END + CASE WHEN n = 1 THEN 100 ELSE 0 END AS score FROM st), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, depth) AS k FROM sc) SELECT doc_id, depth::BIGINT AS depth, n, median::DOUBLE AS median, round(mean, 4) AS mean, score::DOUBLE AS score FROM k WHERE k = 1",
     "level_summary": f"WITH {LEVELS}, sized AS (SELECT doc_id, depth, length(text) AS c, len({WORDS.format('text')}) AS t FROM levels) SELECT doc_id, depth::BIGINT AS depth, count(*) AS n, sum(c)::BIGINT AS chars, sum(t)::BIGINT AS tokens, (sum(c) // count(*))::BIGINT AS mean_chars, (sum(t) // count(*))::BIGINT AS mean_tokens FROM sized GROUP BY doc_id, depth",
@@ -352,9 +514,15 @@ FROM s JOIN f USING (doc_id, a, rn) JOIN (SELECT doc_id, a, n, m FROM h) USING (
     "context_blocks": f"""WITH {TOP}, b AS (SELECT question_id, string_agg(concat_ws(chr(10), '[SOURCE ' || rank || ']', 'Section: ' || section_ref, 'Source Name: ' || coalesce(source_name, ''), 'Source Type: regulation', 'Authority Level: ' || authority_level, 'Source URL: ' || coalesce(source_url, ''), 'Content: ' || content), chr(10) || chr(10) ORDER BY rank) AS context FROM top WHERE rank <= 5 GROUP BY question_id)
 SELECT question_id, md5(context) AS context_md5, length(context) AS n_chars FROM b""",
     "citation_footers": f"WITH {TOP} SELECT question_id, string_agg('- ' || rank || '. ' || citation, chr(10) ORDER BY rank) AS footer FROM cited WHERE rank <= 3 GROUP BY question_id",
+    "retrieval_answers": f"""WITH {TOP}, a AS (SELECT question_id, string_agg('[' || rank || '] ' || citation || chr(10) || CASE WHEN length(trim(content)) > 280 THEN substr(trim(content), 1, 280) || '...' ELSE trim(content) END, chr(10) ORDER BY rank) AS found FROM cited WHERE rank <= 5 GROUP BY question_id)
+SELECT item_id AS question_id, md5(CASE WHEN found IS NULL THEN '{answers.UNKNOWN_ANSWER}' ELSE '{answers.RETRIEVAL_HEAD}' || chr(10) || found END) AS answer_md5 FROM benchmark LEFT JOIN a ON item_id = question_id""",
+    "placeholder_answers": f"""WITH {TOP}, c AS (SELECT question_id, max(citation) FILTER (rank = 1) AS one, max(citation) FILTER (rank = 2) AS two FROM cited WHERE rank <= 2 GROUP BY question_id)
+SELECT question_id, 'For ' || question_id || ' see ' || one || ', ' || coalesce(two, 'source') || 'source or [source x].' AS answer FROM c""",
     "asked_scores": f"""WITH {TOP},
-q AS (SELECT *, CAST(600 + question_id % 100 AS VARCHAR) AS hint, (600 + question_id % 100) || '.' || (question_id % 3) AS cited, 'p-' || part || '.' || (doc_id % 3) || '(a)(1)' AS node FROM top WHERE rank <= 10),
-s AS (SELECT *, contains(lower(content), cited) OR contains(lower(section_ref), cited) AS named, replace(lower(content) || ' ' || lower(section_ref), ' ', '') AS tight FROM q)
-SELECT question_id, doc_id, round(CASE WHEN named THEN 0.07::DOUBLE WHEN contains(tight, cited) THEN 0.05::DOUBLE ELSE 0 END
-  + CASE WHEN node = 'p-' || cited || '(a)' THEN 0.35::DOUBLE WHEN contains(node, 'p-' || cited || '(a)') THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN part = hint THEN 0.22::DOUBLE ELSE -0.08::DOUBLE END, 4) AS asked FROM s""",
+q AS (SELECT question_id, doc_id, part, CAST(600 + question_id % 100 AS VARCHAR) AS hint, (600 + question_id % 100) || '.' || (question_id % 3) AS cited, 'p-' || part || '.' || (doc_id % 3) || '(a)' AS node,
+  lower(section_ref) || CASE WHEN doc_id % 3 = 0 THEN ' (merged 2)' ELSE '' END AS ref, lower(content) AS content FROM top WHERE rank <= 10),
+s AS (SELECT *, content || CASE WHEN doc_id % 2 = 0 THEN ' see p-' || cited || '(a)' ELSE '' END AS body FROM q)
+SELECT question_id, doc_id, round(CASE WHEN contains(body, cited) OR contains(ref, cited) THEN 0.07::DOUBLE WHEN contains(replace(body || ref, ' ', ''), cited) THEN 0.05::DOUBLE ELSE 0 END
+  + CASE WHEN node = 'p-' || cited || '(a)' THEN 0.35::DOUBLE WHEN contains(body, 'p-' || cited || '(a)') OR contains(ref, 'p-' || cited || '(a)') THEN 0.10::DOUBLE ELSE 0 END - CASE WHEN doc_id % 3 = 0 THEN 0.05::DOUBLE ELSE 0 END
+  + CASE WHEN part = hint THEN 0.22::DOUBLE ELSE -0.08::DOUBLE END, 4) AS asked FROM s""",
 }
