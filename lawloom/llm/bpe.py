@@ -34,7 +34,7 @@ from . import common
 #: Frequent words that the lexicon takes; it bounds what the driver gathers and ships.
 LEXICON_WORDS = 60_000
 #: Distinct words that a worker counts, and words that it remembers, before it starts afresh.
-COUNTED_WORDS, MEMO_WORDS = 150_000, 600_000
+COUNTED_WORDS, MEMO_WORDS = 150_000, 250_000
 #: Rows whose ids are turned into text in one vector pass.
 ROWS_DECODED = 500
 

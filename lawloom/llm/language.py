@@ -143,8 +143,9 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 def _sample(docs: DataFrame, text: str, label: str, idf: np.ndarray, per_language: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str]]:
     draw = F.pmod(F.xxhash64(text), F.lit(1 << 20)) / float(1 << 20)
     docs = docs.select(F.col(label).alias("label"), F.col(text).alias("text"), draw.alias("draw"))
-    # One row for each language; its least draw is always taken, so that each has a text.
-    shares = common.cut(docs.groupBy("label").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("part"), F.min("draw").alias("least")))
+    # One row for each language; its least draw is always taken, so that each has a text.  Written, so that Spark
+    # knows the size and, where it is small, joins it without shuffling the texts.
+    shares = common.written(docs.groupBy("label").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("part"), F.min("draw").alias("least")))
     languages = sorted(r.label for r in shares.select("label").collect())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

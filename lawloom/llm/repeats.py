@@ -37,6 +37,8 @@ PIECE = 32
 SLICE_SEGMENTS, BUCKET_SEGMENTS = 64, 4096
 #: Equal segments in one suffix array, and blocks of one core.
 EQUAL_SEGMENTS, ARRAY_BLOCKS = 256, 8192
+#: Segments, by whole groups, whose fringes are handled at a time.
+FRINGE_SEGMENTS = 2048
 #: Symbols in one suffix array, unless one core has more.
 ARRAY_SYMBOLS = 40_000
 #: Windows in one segment; longer ones (of periodic text) are cut, which loses no window.
@@ -301,21 +303,27 @@ def _fringes(data: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.nd
     left = sums[edges[1:]] > sums[edges[:-1]]
     code, n = groups(group)
     some = np.flatnonzero((np.bincount(code, weights=left, minlength=n) > 0)[code])
-    if not len(some):
-        return
-    roll = common.Rolling(common.BYTE_VALUES[data], common.BASES[2])
-    ends = start + count + window - 1
-    at, of, mask, key, outer_left, outer_right = _blocks(data, np.column_stack([start[some], ends[some]]), roll, start[some], count[some], lead[some], window)
-    core, n = groups(key ^ common.mix(code[some][of].astype(np.uint64) + np.uint64(7)))
-    windows, block = _windows(at, mask)
-    place = edges[some[of[block]]] + windows - start[some[of[block]]]
-    undecided = np.bincount(core[block[~flags[place]]], minlength=n) > 0
-    take = np.flatnonzero(((np.bincount(core, minlength=n) > 1) & undecided)[core])
-    take = take[np.argsort(core[take], kind="stable")]
-    found = _by_arrays(core[take], mask[take], outer_left[take], outer_right[take])
-    windows, block = _windows(at[take], found)
-    of = some[of[take[block]]]
-    flags[edges[of] + windows - start[of]] = True
+    some = some[np.argsort(code[some], kind="stable")]
+    # Whole groups of about FRINGE_SEGMENTS at a time, which bounds the memory.
+    fresh = np.flatnonzero(np.concatenate(([True], code[some][1:] != code[some][:-1]))) if len(some) else some
+    part = fresh // FRINGE_SEGMENTS
+    cuts = np.append(fresh[np.concatenate(([True], part[1:] != part[:-1]))], len(some)) if len(some) else some
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = some[a:b]
+        size = count[own] + window - 1
+        raw = data[_spread(start[own], size)[0]]
+        first = np.cumsum(size) - size
+        at, of, mask, key, outer_left, outer_right = _blocks(raw, np.column_stack([first, first + size]), first, count[own], lead[own], window)
+        core, n = groups(key ^ common.mix(code[own][of].astype(np.uint64) + np.uint64(7)))
+        windows, block = _windows(at, mask)
+        place = edges[own[of[block]]] + windows - first[of[block]]
+        undecided = np.bincount(core[block[~flags[place]]], minlength=n) > 0
+        take = np.flatnonzero(((np.bincount(core, minlength=n) > 1) & undecided)[core])
+        take = take[np.argsort(core[take], kind="stable")]
+        found = _by_arrays(core[take], mask[take], outer_left[take], outer_right[take])
+        windows, block = _windows(at[take], found)
+        of = of[take[block]]
+        flags[edges[own[of]] + windows - first[of]] = True
 
 
 def _by_arrays(core: np.ndarray, mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -400,7 +408,7 @@ def _windows(at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[of].astype(np.int64) + j, of
 
 
-def _blocks(data: np.ndarray, bounds: np.ndarray, roll: common.Rolling, start: np.ndarray, count: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def _blocks(data: np.ndarray, bounds: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Blocks of segments: where each starts (maybe before its segment), its segment, windows, core and outer bytes; ``bounds`` are the segments' bytes."""
     # Window x of a segment is lead - (x - start) before the anchor; BLOCK of these distances make a block.
     high, low = lead // BLOCK, (lead - count + 1) // BLOCK
@@ -414,7 +422,7 @@ def _blocks(data: np.ndarray, bounds: np.ndarray, roll: common.Rolling, start: n
     # Without a window in a segment's block, its core may lie outside the segment.
     inside = mask > 0
     at, of, mask, number, last = (x[inside] for x in (at, of, mask, number, last))
-    core = roll.ranges(last, at + window) ^ common.mix(number.astype(np.uint64) + np.uint64(1))
+    core = common.Rolling(common.BYTE_VALUES[data], common.BASES[2]).ranges(last, at + window) ^ common.mix(number.astype(np.uint64) + np.uint64(1))
     begin, end = bounds[of].T
 
     def outer(first: np.ndarray) -> np.ndarray:
