@@ -146,7 +146,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             both.append(np.multiply.accumulate(steps))
         have = (both[0], both[1])
-        if size <= 1 << 23:
+        if size <= 1 << 20:
             _powers[base] = have
     return have
 
