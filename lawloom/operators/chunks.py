@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, word_tokens
+from ..functions.text import blank, clean_text, word_tokens
+
+#: Fixed value: the labels before a paragraph's text.
+MARKERS = r"^((?:\([^)]+\)\s*)+)"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -16,10 +19,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def level_chunks(rows: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, depth, n_members, text): each path and its ancestors with the text below them, in order."""
+    """(doc_id, chunk_id, depth, n_members, text, path_label, parent_path): each path and its ancestors with the text below them, in order."""
     up = rows.where(F.col("text") != "").select("doc_id", "pos", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path"))
     grouped = up.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return grouped.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("path", "/")).alias("chunk_id"), F.size("path").alias("depth"), "n_members", "text")
+    return grouped.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("path", "/")).alias("chunk_id"), F.size("path").alias("depth"), "n_members", "text", F.array_join("path", " > ").alias("path_label"), F.slice("path", F.lit(1), F.size("path") - 1).alias("parent_path"))
 
 
 def depth_stats(chunks: DataFrame) -> DataFrame:
@@ -76,6 +79,37 @@ def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
     return packed.select("doc_id", F.when(n > 1, F.concat(name, F.lit("+"), (n - 1).cast("string"))).otherwise(name).alias("chunk_id"), n.alias("n_members"), total.alias("token_count"), F.array_join(texts, "\n\n").alias("text"))
 
 
+def base_chunks(chunks: DataFrame) -> DataFrame:
+    """Of each document the chunks at its best depth; where no chunk has tokens, those at its deepest."""
+    best = best_depth(depth_stats(chunks)).select("doc_id", F.col("depth").alias("best"))
+    deepest = chunks.groupBy("doc_id").agg(F.max("depth").alias("deepest"))
+    chosen = deepest.join(best, "doc_id", "left").select("doc_id", F.coalesce("best", "deepest").alias("depth"))
+    return chunks.join(chosen, ["doc_id", "depth"])
+
+
+def paragraph_ids(rows: DataFrame, by: str, section: str, pos: str, text: str) -> DataFrame:
+    """``rows`` with cleaned ``text`` and a ``node_id``; paragraphs of no text go.
+
+    Labels before a text, as in ``(a)(1) ...``, stand in its id.  The first
+    paragraph without labels has the section's own id, later ones their
+    ``pos``, which counts all paragraphs of a ``by`` from 1.
+    """
+    cleaned = rows.withColumn(text, clean_text(F.col(text))).where(F.col(text) != "")
+    own, labels = F.concat(F.lit("p-"), section), F.regexp_replace(F.regexp_extract(text, MARKERS, 1), r"\)\s+", ")")
+    lead = F.min(F.when(labels == "", F.col(pos))).over(Window.partitionBy(by))
+    later = F.concat(own, F.lit("(p"), F.col(pos).cast("string"), F.lit(")"))
+    return cleaned.withColumn("node_id", F.when(labels != "", F.concat(own, labels)).when(F.col(pos) == lead, own).otherwise(later))
+
+
+def readable(rows: DataFrame, by: str, heading: str, pos: str, text: str) -> DataFrame:
+    """(by, body): heading, then each paragraph under its id, with blank lines between; what is gathered is one section."""
+    line = F.concat(F.when(blank(F.col("node_id")) != "", F.concat(F.lit("["), F.col("node_id"), F.lit("]\n"))).otherwise(""), blank(F.col(text)), F.lit("\n\n"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), line.alias("line"))))
+    out = rows.groupBy(by, heading).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("_lines"))
+    head = F.when(blank(F.col(heading)) != "", F.concat(F.col(heading), F.lit("\n\n"))).otherwise("")
+    return out.select(by, F.concat(head, "_lines").alias("body"))
+
+
 def base_summary(chunks: DataFrame, by: str, tokens: str = "token_count") -> DataFrame:
     """Chunks of each ``by``, and the least, most and mean (cut to a whole number) of the token counts above 0; 0 without any."""
     some = F.when(F.col(tokens) > 0, F.col(tokens))

@@ -243,6 +243,31 @@ def best_depth(spark, sf_dir):
     return chunks.best_depth(chunks.depth_stats(c)).select("doc_id", F.col("depth").cast("long").alias("depth"), F.col("n").cast("long").alias("n"), F.col("median").cast("double").alias("median"), F.round("mean", 4).alias("mean"), F.col("score").cast("double").alias("score"))
 
 
+def base_chunks(spark, sf_dir):
+    """The chunks that each document is cut into: those at its best depth, with labels and parents."""
+    c = chunks.base_chunks(chunks.level_chunks(chunks.paragraphs(table(spark, sf_dir, "documents"))))
+    return c.select("doc_id", "chunk_id", F.col("depth").cast("long").alias("depth"), "path_label", F.array_join("parent_path", "/").alias("parent"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _marked_paragraphs(spark, sf_dir):
+    """The lines of documents as paragraphs of a section; two in three get labels before their text."""
+    rows = chunks.paragraphs(table(spark, sf_dir, "documents")).withColumn("n", F.col("pos") + 1)
+    labels = F.when(F.col("n") % 3 == 1, "( a ) ").when(F.col("n") % 3 == 2, F.concat(F.lit("(b) ("), F.col("n").cast("string"), F.lit(") "))).otherwise("")
+    section = F.concat((F.lit(600) + F.col("doc_id") % 100).cast("string"), F.lit("."), F.col("doc_id").cast("string"))
+    return chunks.paragraph_ids(rows.select("doc_id", section.alias("section"), "n", F.concat(labels, "text").alias("text")), "doc_id", "section", "n", "text")
+
+
+def paragraph_ids(spark, sf_dir):
+    """Ids of paragraphs by the labels before their text, or by their place."""
+    return _marked_paragraphs(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("n"), "node_id")
+
+
+def section_texts(spark, sf_dir):
+    """Sections as readable text."""
+    rows = _marked_paragraphs(spark, sf_dir).withColumn("heading", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("§ "), "section")))
+    return chunks.readable(rows, "doc_id", "heading", "n", "text").select("doc_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def level_summary(spark, sf_dir):
     """Chunks, characters and tokens by document and depth; averages are cut to whole numbers."""
     c = chunks.level_chunks(chunks.paragraphs(table(spark, sf_dir, "documents")))
@@ -359,7 +384,7 @@ def asked_scores(spark, sf_dir):
     return top.select("question_id", "doc_id", F.round(score, 4).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores, part_scope, bm25_filtered, knn_cascade, part_inference, node_id_parse, index_texts, blocked_pages, latest_versions, section_links, base_summary, target_section, retrieval_answers, placeholder_answers)}
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores, part_scope, bm25_filtered, knn_cascade, part_inference, node_id_parse, index_texts, blocked_pages, latest_versions, section_links, base_summary, target_section, retrieval_answers, placeholder_answers, base_chunks, paragraph_ids, section_texts)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -398,6 +423,13 @@ top AS (SELECT question_id, doc_id, base, rank, namespace, coalesce(content, '')
 cited AS (SELECT *, coalesce(nullif(trim(source_name), ''), CASE WHEN source_url IS NOT NULL THEN 'example.org' END, 'source') AS label,
   section_ref || ' (' || coalesce(source_url, 'https://example.org/current/title-34/part-' || part || '/section-' || substr(section_ref, 2)) || ')' AS citation FROM top)"""
 
+CLEANED = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce({0}, ''), '[\s\p{{Z}}]+', ' ', 'g')), '\(\s*([^)]+?)\s*\)', '(\1)', 'g'), '\s+([,;:.])', '\1', 'g'))"
+MARKED = rf"""{PARAGRAPHS},
+given AS (SELECT doc_id, pos + 1 AS n, (600 + doc_id % 100) || '.' || doc_id AS section, CASE (pos + 1) % 3 WHEN 1 THEN '( a ) ' WHEN 2 THEN '(b) (' || (pos + 1) || ') ' ELSE '' END || text AS raw FROM paras),
+clean AS (SELECT doc_id, n, section, {CLEANED.format("raw")} AS text FROM given),
+labelled AS (SELECT *, regexp_replace(regexp_extract(text, '^((?:\([^)]+\)\s*)+)', 1), '\)\s+', ')', 'g') AS labels FROM clean WHERE text <> ''),
+marked AS (SELECT doc_id, n, section, text, 'p-' || section || CASE WHEN labels = '' AND n > min(n) FILTER (labels = '') OVER (PARTITION BY doc_id) THEN '(p' || n || ')' ELSE labels END AS node_id FROM labelled)"""
+
 #: The specification's rules for questions, written for DuckDB.
 PART_HINT = r"CASE WHEN regexp_extract(lower({0}), '\b(?:34\s*cfr\s*)?part\s*(\d{{3}})\b', 1) <> '' THEN regexp_extract(lower({0}), '\b(?:34\s*cfr\s*)?part\s*(\d{{3}})\b', 1) WHEN contains(lower({0}), 'federal family education loan') OR contains(lower({0}), 'ffel') THEN '682' WHEN contains(lower({0}), 'direct loan') THEN '685' ELSE '' END"
 NODE_ASKED = r"CASE WHEN regexp_matches({0}, '(?i)p-\d+(\.\d+)+(\([^)]+\))+') THEN 'p-' || regexp_extract({0}, '(?i)p-(\d+(?:\.\d+)+(?:\([^)]+\))+)', 1) WHEN regexp_matches({0}, '\d+(\.\d+)+(\([^)]+\))+') THEN 'p-' || regexp_extract({0}, '(\d+(?:\.\d+)+(?:\([^)]+\))+)', 1) ELSE '' END"
@@ -469,6 +501,13 @@ SELECT page_id, part, 'https://example.org/section-' || part || '.' || page_id,
     "target_section": f"WITH {PARAGRAPHS}, s AS (SELECT doc_id, '600.' || (length(text) % 3) AS section, count(*) AS n, min(pos) AS first FROM paras WHERE length(text) > 0 GROUP BY ALL) SELECT doc_id, section, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM s) WHERE k = 1",
     "level_chunks": f"WITH {LEVELS} SELECT doc_id, doc_id || ':' || path AS chunk_id, depth, n_members, md5(text) AS text_md5 FROM levels",
     "best_depth": f"WITH {LEVELS}, sized AS (SELECT doc_id, depth, len({WORDS.format('text')}) AS tokens FROM levels), st AS (SELECT doc_id, depth, count(*) AS n, median(tokens) AS median, avg(tokens) AS mean FROM sized WHERE tokens > 0 GROUP BY doc_id, depth), sc AS (SELECT *, abs(median - 800) + CASE WHEN median < 200 THEN 500 ELSE 0 END + CASE WHEN median > 1500 THEN 700 ELSE 0 END + CASE WHEN n = 1 THEN 100 ELSE 0 END AS score FROM st), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, depth) AS k FROM sc) SELECT doc_id, depth::BIGINT AS depth, n, median::DOUBLE AS median, round(mean, 4) AS mean, score::DOUBLE AS score FROM k WHERE k = 1",
+    "base_chunks": f"""WITH {LEVELS}, sized AS (SELECT doc_id, depth, len({WORDS.format('text')}) AS t FROM levels),
+st AS (SELECT doc_id, depth, count(*) AS n, median(t) AS m FROM sized WHERE t > 0 GROUP BY doc_id, depth),
+best AS (SELECT doc_id, depth AS best FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(m - 800) + CASE WHEN m < 200 THEN 500 ELSE 0 END + CASE WHEN m > 1500 THEN 700 ELSE 0 END + CASE WHEN n = 1 THEN 100 ELSE 0 END, depth) AS k FROM st) WHERE k = 1),
+d AS (SELECT doc_id, coalesce(max(best), max(depth)) AS depth FROM sized LEFT JOIN best USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, doc_id || ':' || path AS chunk_id, depth::BIGINT AS depth, replace(path, '/', ' > ') AS path_label, CASE WHEN depth = 2 THEN split_part(path, '/', 1) ELSE '' END AS parent, md5(text) AS text_md5 FROM levels JOIN d USING (doc_id, depth)""",
+    "paragraph_ids": f"WITH {MARKED} SELECT doc_id, n, node_id FROM marked",
+    "section_texts": f"""WITH {MARKED} SELECT doc_id, md5(CASE WHEN doc_id % 3 > 0 THEN '§ ' || section || chr(10) || chr(10) ELSE '' END || string_agg('[' || node_id || ']' || chr(10) || text || chr(10) || chr(10), '' ORDER BY n)) AS body_md5 FROM marked GROUP BY doc_id, section""",
     "level_summary": f"WITH {LEVELS}, sized AS (SELECT doc_id, depth, length(text) AS c, len({WORDS.format('text')}) AS t FROM levels) SELECT doc_id, depth::BIGINT AS depth, count(*) AS n, sum(c)::BIGINT AS chars, sum(t)::BIGINT AS tokens, (sum(c) // count(*))::BIGINT AS mean_chars, (sum(t) // count(*))::BIGINT AS mean_tokens FROM sized GROUP BY doc_id, depth",
     "chunk_overlap": f"WITH {PARAGRAPHS}, t AS (SELECT doc_id, pos, lag(pos) OVER w AS prev_pos, lead(pos) OVER w AS next_pos, count(*) OVER (PARTITION BY doc_id) AS total_chunks, coalesce(lag({WORDS.format('text')}) OVER w, []) AS before FROM paras WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, prev_pos, next_pos, total_chunks, md5(coalesce(array_to_string(before[greatest(len(before) - 20, 0) + 1:], ' '), '')) AS overlap_md5, len(before) > 0 AS has_overlap FROM t",
     "upsert_latest": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, round(value, 4) AS value FROM k WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND event_id IS NOT NULL)",
