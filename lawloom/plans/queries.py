@@ -295,7 +295,7 @@ def manifest_counts(spark, sf_dir):
 
 
 def embedding_summary(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min(F.size("embedding")).cast("long").alias("min_dim"), F.max(F.size("embedding")).cast("long").alias("max_dim"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min(F.size("embedding")).cast("long").alias("min_dim"), F.max(F.size("embedding")).cast("long").alias("max_dim"), F.array_join(F.array_sort(F.collect_set(F.size("embedding"))), ",").alias("dims"))
 
 
 def merge_small_siblings(spark, sf_dir):
@@ -512,7 +512,7 @@ SELECT doc_id, doc_id || ':' || path AS chunk_id, depth::BIGINT AS depth, replac
     "chunk_overlap": f"WITH {PARAGRAPHS}, t AS (SELECT doc_id, pos, lag(pos) OVER w AS prev_pos, lead(pos) OVER w AS next_pos, count(*) OVER (PARTITION BY doc_id) AS total_chunks, coalesce(lag({WORDS.format('text')}) OVER w, []) AS before FROM paras WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, prev_pos, next_pos, total_chunks, md5(coalesce(array_to_string(before[greatest(len(before) - 20, 0) + 1:], ' '), '')) AS overlap_md5, len(before) > 0 AS has_overlap FROM t",
     "upsert_latest": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id, round(value, 4) AS value FROM k WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND event_id IS NOT NULL)",
     "manifest_counts": f"WITH {RECORDS} SELECT part, count(*) AS n_records, count(DISTINCT namespace) AS n_namespaces, CAST(sum(CASE WHEN coalesce(content, '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_rejected FROM records GROUP BY part",
-    "embedding_summary": "SELECT label, count(*) AS count, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings GROUP BY label",
+    "embedding_summary": "SELECT label, count(*) AS count, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, coalesce(array_to_string(list_sort(list(DISTINCT len(embedding)) FILTER (embedding IS NOT NULL)), ','), '') AS dims FROM embeddings GROUP BY label",
     "merge_small_siblings": rf"""WITH RECURSIVE {PARAGRAPHS},
 s AS (SELECT doc_id, a, b, pos, text, len({WORDS.format('text')}) AS t FROM paras),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a ORDER BY b, pos) AS rn, avg(t) OVER (PARTITION BY doc_id, a) AS mean FROM s),
