@@ -31,18 +31,27 @@ def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     return df.crossJoin(F.broadcast(corpus_stats(docs, text))).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
+def _terms(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.explode(search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
 def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: int | None = 10, min_score: float = 0.0) -> DataFrame:
     """(question_id, key, score, rank) of the best documents for each question (question_id, question).
 
     A term that a question repeats counts each time.  Ties go to the smaller key.
     Scores below ``min_score`` are left out.
     """
-    terms = questions.select("question_id", F.explode(search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = _terms(questions)
     tokens = docs.select(key, search_tokens(F.col(text)).alias("tokens"))
     asked = tokens.select(key, F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).join(terms.select("term").distinct(), "term", "left_semi")
     # Terms that nobody asks for go before anything is grouped.
     asked = asked.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    weights = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus_stats(docs, text)))
+    return _scored(terms, asked, corpus_stats(docs, text), key, top_k, min_score)
+
+
+def _scored(terms: DataFrame, asked: DataFrame, stats: DataFrame, key: str, top_k: int | None, min_score: float) -> DataFrame:
+    """The ranked scores of postings ``asked`` for questions' ``terms``; ``stats`` is one row of the corpus."""
+    weights = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
     weights = weights.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
     matched = asked.join(weights, "term").join(terms, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
@@ -55,3 +64,19 @@ def ranked(scored: DataFrame, key: str, top_k: int | None = 10) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), F.col(key))
     out = scored.withColumn("rank", F.row_number().over(order))
     return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
+def save_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Writes the postings, ordered by term so that a search reads few row groups, and the length of every document."""
+    postings(docs, key, text).repartitionByRange("term", key).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.select(key, F.size(search_tokens(F.col(text))).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def search_index(questions: DataFrame, path: str, key: str, top_k: int | None = 10, min_score: float = 0.0, removed: DataFrame | None = None) -> DataFrame:
+    """What ``search`` gives, from a saved index; the keys in ``removed`` count as never added."""
+    found, lengths = (questions.sparkSession.read.parquet(f"{path}/{part}") for part in ("postings", "lengths"))
+    if removed is not None:
+        found, lengths = (x.join(removed.select(key), key, "left_anti") for x in (found, lengths))
+    terms = _terms(questions)
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
+    return _scored(terms, found.join(terms.select("term").distinct(), "term", "left_semi"), stats, key, top_k, min_score)

@@ -38,8 +38,8 @@ def best_depth(stats: DataFrame) -> DataFrame:
     return stats.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-def with_overlap(rows: DataFrame, n: int = 20) -> DataFrame:
-    """Each chunk with its neighbours' positions, its place, and the last ``n`` tokens of the one before."""
+def with_overlap(rows: DataFrame, n: int = 20, *keep: str) -> DataFrame:
+    """Each chunk with its neighbours' positions, its place, the last ``n`` tokens of the one before, and the columns ``keep``."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     tokens = word_tokens(F.col("text"))
     before = F.coalesce(F.lag(tokens).over(w), F.array().cast("array<string>"))
@@ -48,20 +48,22 @@ def with_overlap(rows: DataFrame, n: int = 20) -> DataFrame:
         "doc_id", "pos",
         F.lag("pos").over(w).alias("prev_pos"), F.lead("pos").over(w).alias("next_pos"),
         F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"),
-        F.array_join(tail, " ").alias("overlap_text"), (F.size(tail) > 0).alias("has_overlap"),
+        F.array_join(tail, " ").alias("overlap_text"), (F.size(tail) > 0).alias("has_overlap"), *keep,
     )
 
 
 def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """(doc_id, chunk_id, n_members, token_count, text): siblings below ``least`` tokens on average, packed in order.
+    """(doc_id, path, pos, chunk_id, n_members, member_ids, token_count, text): siblings below ``least`` tokens on average, packed in order.
 
     A buffer below ``least`` takes the next sibling while both have at most
     ``most`` tokens.  Parents whose children are large enough keep them.  What
-    is folded is the children of one parent of one document.
+    is folded is the children of one parent of one document.  Without a
+    ``chunk_id`` of their own, ``rows`` are named by document, path and place.
     """
-    sized = rows.withColumn("tokens", F.size(word_tokens(F.col("text"))))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("path", "/"), F.col("pos").cast("string"))
+    sized = rows.withColumns({"tokens": F.size(word_tokens(F.col("text"))), "chunk_id": F.col("chunk_id") if "chunk_id" in rows.columns else name})
     parent = F.slice("path", F.lit(1), F.size("path") - 1).alias("parent")
-    kin = sized.groupBy("doc_id", parent).agg(F.array_sort(F.collect_list(F.struct("path", "pos", "tokens", "text"))).alias("kin"), F.avg("tokens").alias("mean"))
+    kin = sized.groupBy("doc_id", parent).agg(F.array_sort(F.collect_list(F.struct("path", "pos", "chunk_id", "tokens", "text"))).alias("kin"), F.avg("tokens").alias("mean"))
 
     def step(a, x):
         joins = (a["n"] > 0) & (F.col("mean") < least) & (a["held"] < least) & (a["held"] + x["tokens"] <= most)
@@ -73,10 +75,13 @@ def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
     each = kin.select("doc_id", "parent", F.inline(F.arrays_zip("kin", number.alias("number"))))
     packed = each.groupBy("doc_id", "parent", "number").agg(F.array_sort(F.collect_list("kin")).alias("kin"))
     first, n = F.col("kin")[0], F.size("kin")
-    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join(first["path"], "/"), first["pos"].cast("string"))
     texts = F.transform(F.filter("kin", lambda x: x["text"].rlike(r"\S")), lambda x: x["text"])
     total = F.aggregate("kin", F.lit(0), lambda a, x: a + x["tokens"])
-    return packed.select("doc_id", F.when(n > 1, F.concat(name, F.lit("+"), (n - 1).cast("string"))).otherwise(name).alias("chunk_id"), n.alias("n_members"), total.alias("token_count"), F.array_join(texts, "\n\n").alias("text"))
+    name = F.when(n > 1, F.concat(first["chunk_id"], F.lit("+"), (n - 1).cast("string"))).otherwise(first["chunk_id"])
+    return packed.select(
+        "doc_id", first["path"].alias("path"), first["pos"].alias("pos"), name.alias("chunk_id"), n.alias("n_members"),
+        F.transform("kin", lambda x: x["chunk_id"]).alias("member_ids"), total.alias("token_count"), F.array_join(texts, "\n\n").alias("text"),
+    )
 
 
 def base_chunks(chunks: DataFrame) -> DataFrame:

@@ -249,22 +249,26 @@ def base_chunks(spark, sf_dir):
     return c.select("doc_id", "chunk_id", F.col("depth").cast("long").alias("depth"), "path_label", F.array_join("parent_path", "/").alias("parent"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-def _marked_paragraphs(spark, sf_dir):
+def labelled_lines(spark, sf_dir):
     """The lines of documents as paragraphs of a section; two in three get labels before their text."""
     rows = chunks.paragraphs(table(spark, sf_dir, "documents")).withColumn("n", F.col("pos") + 1)
     labels = F.when(F.col("n") % 3 == 1, "( a ) ").when(F.col("n") % 3 == 2, F.concat(F.lit("(b) ("), F.col("n").cast("string"), F.lit(") "))).otherwise("")
     section = F.concat((F.lit(600) + F.col("doc_id") % 100).cast("string"), F.lit("."), F.col("doc_id").cast("string"))
-    return chunks.paragraph_ids(rows.select("doc_id", section.alias("section"), "n", F.concat(labels, "text").alias("text")), "doc_id", "section", "n", "text")
+    return rows.select("doc_id", section.alias("section"), "n", F.concat(labels, "text").alias("text"))
+
+
+def marked_paragraphs(spark, sf_dir):
+    return chunks.paragraph_ids(labelled_lines(spark, sf_dir), "doc_id", "section", "n", "text")
 
 
 def paragraph_ids(spark, sf_dir):
     """Ids of paragraphs by the labels before their text, or by their place."""
-    return _marked_paragraphs(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("n"), "node_id")
+    return marked_paragraphs(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("n"), "node_id")
 
 
 def section_texts(spark, sf_dir):
     """Sections as readable text."""
-    rows = _marked_paragraphs(spark, sf_dir).withColumn("heading", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("§ "), "section")))
+    rows = marked_paragraphs(spark, sf_dir).withColumn("heading", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("§ "), "section")))
     return chunks.readable(rows, "doc_id", "heading", "n", "text").select("doc_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 

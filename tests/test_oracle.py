@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lawloom.plans.queries import ORACLE_SQL, QUERIES
+from lawloom.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
