@@ -81,6 +81,13 @@ def source_name(url: Column) -> Column:
     return F.concat(url_host(url), F.lit("::"), F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]*)$", 1))
 
 
+def url_slug(url: Column) -> Column:
+    """The last segment of the path with _ for what file names shouldn't have; ``page`` without one."""
+    path = F.regexp_replace(F.regexp_extract(blank(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), ";[^/]*$", "")
+    tail = F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]*)$", 1)
+    return F.regexp_replace(F.when(tail == "", "page").otherwise(tail), "[^a-zA-Z0-9._-]+", "_")
+
+
 def snippet(text: Column, size: int = 300) -> Column:
     return F.when(F.char_length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 

@@ -34,3 +34,15 @@ def section_links(pages: DataFrame, key: str, html: str, part: str, base: str) -
     whole = F.when(path.rlike("^[a-z]+://"), path).otherwise(F.concat(F.lit(base), path))
     url = F.when(listed, whole).when(F.substring_index(section, ".", 1) == F.col("part"), F.concat(F.lit(base + "/section-"), section))
     return found.select(key, "part", "pos", url.alias("url")).where("url is not null").groupBy(key, "part", "url").agg(F.min("pos").alias("pos"))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, old_hash, new_hash, change): what became of each key: added, removed, changed or same.
+
+    Contents are compared by their SHA-256, null as empty; both sides have each
+    key once, and null keys don't count.
+    """
+    hashed = lambda rows, name: rows.where(F.col(key).isNotNull()).select(key, F.sha2(blank(F.col(content)), 256).alias(name))
+    both = hashed(old, "old_hash").join(hashed(new, "new_hash"), key, "full")
+    change = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") != F.col("new_hash"), "changed").otherwise("same")
+    return both.withColumn("change", change)

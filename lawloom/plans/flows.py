@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import blank
-from ..operators import answers, asking, bm25, logical, sections, trees
+from ..functions.text import blank, clean_text, url_slug
+from ..operators import answers, asking, bm25, logical, sections, trees, versions
 from . import queries as base
 
 
@@ -84,6 +84,19 @@ def bm25_removed(spark, sf_dir):
     return found.select("question_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def page_slugs(spark, sf_dir):
+    return base.table(spark, sf_dir, "pages").select("page_id", url_slug(F.col("url")).alias("slug"))
+
+
+def document_changes(spark, sf_dir):
+    """From the documents to those that have labels, cleaned, and benchmark items under negative ids."""
+    old = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = base.table(spark, sf_dir, "labels").select("doc_id").distinct()
+    new = old.join(labelled, "doc_id", "left_semi").select("doc_id", clean_text(F.col("text")).alias("text"))
+    added = base.table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text")
+    return versions.changes(old, new.unionByName(added), "doc_id", "text").select("doc_id", "change", "new_hash")
+
+
 def _flow(spark, sf_dir):
     """(questions, records, vectors): questions with the vector of their own id, some of them small talk."""
     q = base.asked_questions(spark, sf_dir).withColumn("question", F.when(F.col("question_id") % 16 == 5, "Who are you?").otherwise(F.col("question")))
@@ -117,7 +130,7 @@ def answer_questions(spark, sf_dir):
     return found.select("question_id", "out_of_scope", "by_model", _md5("answer"))
 
 
-QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_xml, issue_dates, bm25_removed, semantic_query, answer_questions)}
+QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, semantic_query, answer_questions)}
 
 #: How deep the labels of paragraphs go in the SQL for whole trees.
 DEEPEST = 6
@@ -160,6 +173,11 @@ SELECT doc_id, section || ':' || array_to_string(path, '/') AS chunk_id, len(pat
   row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, CASE WHEN doc_id % 7 > 0 THEN node_id END AS node_id, md5(text) AS text_md5 FROM marked""",
     "section_xml": f"WITH {base.MARKED} SELECT doc_id, '§ ' || section || CASE WHEN doc_id % 2 = 0 THEN ' A & B.' ELSE '' END AS heading, n, node_id, md5(text) AS text_md5 FROM marked",
     "issue_dates": "SELECT '34' AS number, min_by(strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) AS issue_date FROM orders WHERE o_orderkey % 50 = 34 AND o_orderkey % 3 > 0",
+    "page_slugs": r"""WITH t AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', ''), '/+$', ''), '([^/]*)$', 1) AS tail FROM pages)
+SELECT page_id, regexp_replace(CASE WHEN tail = '' THEN 'page' ELSE tail END, '[^a-zA-Z0-9._-]+', '_', 'g') AS slug FROM t""",
+    "document_changes": f"""WITH n AS (SELECT doc_id, {base.CLEANED.format("text")} AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT -item_id - 1, coalesce(text, '') FROM benchmark)
+SELECT coalesce(d.doc_id, n.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.t <> coalesce(d.text, '') THEN 'changed' ELSE 'same' END AS change, sha256(n.t) AS new_hash
+FROM documents d FULL JOIN n ON d.doc_id = n.doc_id""",
     "bm25_removed": f"WITH {base.BM25.replace('FROM documents', 'FROM documents WHERE doc_id % 3 > 0 OR doc_id IS NULL')} SELECT question_id, doc_id, round(score, 4) AS score, rank FROM kwr WHERE rank <= 10",
     "semantic_query": f"WITH {SEMANTIC} SELECT question_id, doc_id, round(final, 4) AS final, rank, part FROM g",
     "answer_questions": f"""WITH {SEMANTIC},

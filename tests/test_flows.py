@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from test_limits import n, plain_merge, plain_pieces
 
 from lawloom.__main__ import main
-from lawloom.operators import asking, bm25, logical, sections, trees
+from lawloom.functions.text import url_slug
+from lawloom.operators import asking, bm25, ingest, logical, sections, trees
 
 PARAS = "doc_id long, section string, n long, node_id string, text string"
 
@@ -177,3 +178,28 @@ def test_command_line(spark, tmp_path):
     main(["chunk", "--paragraphs", f"{tmp_path}/p", "--out", f"{tmp_path}/o", "--least", "6", "--most", "12", "--overlap", "3"])
     report = "\n".join(x.value for x in spark.read.text(f"{tmp_path}/o/report").collect())
     assert report.count("=== BASE CHUNK ") == spark.read.json(f"{tmp_path}/o/chunks").count() > 0
+
+
+def test_ingest(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 8)], "doc_id long, vector array<double>")
+    more = _record(spark, [9]).withColumns({"doc_id": F.lit(8).cast("long"), "content": F.lit("please complete the CAPTCHA")})
+    counts = ingest.ingest(_record(spark, [1, 2, 2, 3]).unionByName(more), vectors, f"{tmp_path}/1").first()
+    assert tuple(counts) == (3, 1, 0, 2)
+    again = ingest.ingest(_record(spark, [3, 4]).unionByName(more.withColumn("doc_id", F.lit(1).cast("long"))), vectors, f"{tmp_path}/2", previous=f"{tmp_path}/1").first()
+    assert tuple(again) == (2, 1, 2, 2)
+    records, embedded = ingest.open_index(spark, f"{tmp_path}/2")
+    asked = spark.createDataFrame([(1, "loans in part 603", [3.0, 1.0])], "question_id long, question string, vector array<double>")
+    assert asking.semantic_query(asked, records, embedded, 2).where("rank = 1").first().doc_id == 3
+    assert {x.doc_id for x in bm25.search_index(asked, f"{tmp_path}/2/keywords", "doc_id").collect()} == {1, 2, 3, 4}
+    with pytest.raises(ValueError, match="no vector"):
+        ingest.ingest(_record(spark, [99]), vectors, f"{tmp_path}/3")
+    with pytest.raises(ValueError, match="dimensions"):
+        ingest.ingest(_record(spark, [1, 2]), vectors.where("doc_id <> 2").union(spark.createDataFrame([(2, [1.0])], vectors.schema)), f"{tmp_path}/4")
+    with pytest.raises(PySparkException):
+        ingest.open_index(spark, f"{tmp_path}/4")
+
+
+def test_slugs(spark):
+    urls = ["https://a.org/x/y%20z.html?q#f", "https://a.org", "https://a.org/", "https://a.org/a/b;c", None, "/p/q r/", "https://a.org/a//"]
+    found = spark.createDataFrame([(u,) for u in urls], "u string").select(url_slug(F.col("u")).alias("s")).collect()
+    assert [x.s for x in found] == ["y_20z.html", "page", "page", "b", "page", "q_r", "a"]
