@@ -38,20 +38,20 @@ def _with_children(own: Column, children: Column) -> Column:
 
 
 def subtree_texts(tree: DataFrame, by: str, depth: int | None = None) -> DataFrame:
-    """(by, path, text): of each node of a ``section_tree`` its text and that of all below, children in the order of their labels.
+    """(by, path, seq, text): of each node of a ``section_tree`` its text and that of all below, children in the order of their labels.
 
     Goes up level by level from ``depth``, by default that of the deepest
     node; what is gathered is the children of one node.
     """
     if depth is None:
         depth = tree.agg(F.max(F.size("path"))).first()[0] or 0
-    tree = tree.select(by, "path", "text")
+    tree = tree.select(by, "path", "seq", "text")
     level = out = tree.where(F.size("path") == depth)
     for d in range(depth - 1, -1, -1):
         child = F.struct(F.element_at("path", -1).alias("label"), "text")
         below = level.where("text <> ''").groupBy(by, F.slice("path", 1, d).alias("path")).agg(F.array_sort(F.collect_list(child)).alias("children"))
         here = tree.where(F.size("path") == d).join(below, [by, "path"], "left")
-        level = here.select(by, "path", F.when(F.col("children").isNull(), F.col("text")).otherwise(_with_children(F.col("text"), F.col("children"))).alias("text"))
+        level = here.select(by, "path", "seq", F.when(F.col("children").isNull(), F.col("text")).otherwise(_with_children(F.col("text"), F.col("children"))).alias("text"))
         out = out.unionByName(level)
     return out
 
@@ -62,9 +62,8 @@ def level_chunks(rows: DataFrame, by: str, section: str, node_id: str = "node_id
     A ``by`` without such a node has its paragraphs as chunks, under their
     labels or ``p`` and their place.
     """
-    tree = section_tree(rows, by, node_id, pos, text)
     named = rows.groupBy(by).agg(F.min(section).alias("section"))
-    nodes = tree.select(by, "path", "seq").join(subtree_texts(tree, by), [by, "path"]).where((F.size("path") > 0) & (F.col("text") != ""))
+    nodes = subtree_texts(section_tree(rows, by, node_id, pos, text), by).where((F.size("path") > 0) & (F.col("text") != ""))
     bare = rows.where(F.trim(blank(F.col(text))) != "").join(nodes.select(by).distinct(), by, "left_anti")
     path = node_path(F.col(node_id))
     path = F.when(F.size(path) > 0, path).otherwise(F.array(F.concat(F.lit("p"), F.col(pos).cast("string"))))
