@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean_text, word_tokens
@@ -25,12 +25,16 @@ def level_chunks(rows: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("path", "/")).alias("chunk_id"), F.size("path").alias("depth"), "n_members", "text", F.array_join("path", " > ").alias("path_label"), F.slice("path", F.lit(1), F.size("path") - 1).alias("parent_path"))
 
 
+def depth_score(median: Column, n: Column) -> Column:
+    """How far the median size at a depth is from the best one, with penalties for small, large and single chunks; lower is better."""
+    return F.abs(median - 800) + F.when(median < 200, 500).otherwise(0) + F.when(median > 1500, 700).otherwise(0) + F.when(n == 1, 100).otherwise(0)
+
+
 def depth_stats(chunks: DataFrame) -> DataFrame:
     """Per document and depth: chunks, mean, median and the score of the depth (lower is better)."""
     sized = chunks.select("doc_id", "depth", F.size(word_tokens(F.col("text"))).alias("tokens")).where("tokens > 0")
     stats = sized.groupBy("doc_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.median("tokens").alias("median"), F.avg("tokens").alias("mean"))
-    score = F.abs(F.col("median") - 800) + F.when(F.col("median") < 200, 500).otherwise(0) + F.when(F.col("median") > 1500, 700).otherwise(0) + F.when(F.col("n") == 1, 100).otherwise(0)
-    return stats.withColumn("score", score)
+    return stats.withColumn("score", depth_score(F.col("median"), F.col("n")))
 
 
 def best_depth(stats: DataFrame) -> DataFrame:
@@ -86,10 +90,14 @@ def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
 
 def base_chunks(chunks: DataFrame) -> DataFrame:
     """Of each document the chunks at its best depth; where no chunk has tokens, those at its deepest."""
-    best = best_depth(depth_stats(chunks)).select("doc_id", F.col("depth").alias("best"))
-    deepest = chunks.groupBy("doc_id").agg(F.max("depth").alias("deepest"))
-    chosen = deepest.join(best, "doc_id", "left").select("doc_id", F.coalesce("best", "deepest").alias("depth"))
-    return chunks.join(chosen, ["doc_id", "depth"])
+    # Windows in place of joins: the chunks of a document are read once.
+    level = Window.partitionBy("doc_id", "depth")
+    tokens = F.when(F.size(word_tokens(F.col("text"))) > 0, F.size(word_tokens(F.col("text"))))
+    scored = chunks.withColumn("_tokens", tokens).withColumns({"_median": F.median("_tokens").over(level), "_n": F.count("_tokens").over(level)})
+    # A depth without tokens has no score, and comes after all others, the deepest first.
+    rank = F.struct(F.coalesce(depth_score(F.col("_median"), F.col("_n")), F.lit(float("inf"))).alias("score"), F.when(F.col("_n") > 0, F.col("depth")).otherwise(-F.col("depth")).alias("depth"))
+    best = F.abs(F.min(rank).over(Window.partitionBy("doc_id"))["depth"])
+    return scored.withColumn("_best", best).where("depth = _best").drop("_tokens", "_median", "_n", "_best")
 
 
 def paragraph_ids(rows: DataFrame, by: str, section: str, pos: str, text: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, node_path
@@ -24,50 +28,71 @@ def section_tree(rows: DataFrame, by: str, node_id: str = "node_id", pos: str =
     return grouped.select(by, "path", (F.row_number().over(order) - 1).alias("seq"), "node_id", "text")
 
 
-def _with_children(own: Column, children: Column) -> Column:
-    """``own`` and the children's texts on lines of their own; a child that the text so far has, whatever its case, is left out."""
-    start = F.struct(own.alias("out"), F.lower(own).alias("low"))
-
-    def add(a: Column, child: Column) -> Column:
-        low = F.lower(child["text"])
-        more = lambda so_far, sign, x: F.when(so_far == "", x).otherwise(F.concat(so_far, F.lit(sign), x))
-        taken = F.struct(more(a["out"], "\n", child["text"]).alias("out"), more(a["low"], " ", low).alias("low"))
-        return F.when(F.contains(a["low"], low), a).otherwise(taken)
-
-    return F.aggregate(children, start, add, lambda a: a["out"])
-
-
-def subtree_texts(tree: DataFrame, by: str, depth: int | None = None) -> DataFrame:
+class _Node(NamedTuple):
+    by: object
+    path: list[str]
+    seq: int
+    parts: list[str]
+    low: list[str]
+
+
+def _rolled_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of sections in the order of their paths to the same nodes with all text below; open are a node and its ancestors only."""
+    above: list[_Node] = []
+    schema = None
+
+    def close(done: list[tuple]) -> None:
+        node = above.pop()
+        text = "\n".join(node.parts)
+        done.append((node.by, node.path, node.seq, text))
+        if text and above and above[-1].by == node.by and text.lower() not in above[-1].low[0]:
+            above[-1].parts.append(text)
+            above[-1].low[0] += " " * bool(above[-1].low[0]) + text.lower()
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * len(schema)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema.names)
+
+    for batch in batches:
+        schema, done = batch.schema, []
+        for by, path, seq, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            while above and (above[-1].by != by or path[: len(above[-1].path)] != above[-1].path):
+                close(done)
+            above.append(_Node(by, path, seq, [text] if text else [], [text.lower()]))
+        yield rows(done)
+    done = []
+    while above:
+        close(done)
+    if done:
+        yield rows(done)
+
+
+def subtree_texts(tree: DataFrame, by: str) -> DataFrame:
     """(by, path, seq, text): of each node of a ``section_tree`` its text and that of all below, children in the order of their labels.
 
-    Goes up level by level from ``depth``, by default that of the deepest
-    node; what is gathered is the children of one node.
+    A child whose text the text so far has, whatever its case, is left out.
+    Nodes are read in the order of their paths, so one pass with the open
+    branch in memory is enough; it stays where the tree is, without a shuffle.
     """
-    if depth is None:
-        depth = tree.agg(F.max(F.size("path"))).first()[0] or 0
-    tree = tree.select(by, "path", "seq", "text")
-    level = out = tree.where(F.size("path") == depth)
-    for d in range(depth - 1, -1, -1):
-        child = F.struct(F.element_at("path", -1).alias("label"), "text")
-        below = level.where("text <> ''").groupBy(by, F.slice("path", 1, d).alias("path")).agg(F.array_sort(F.collect_list(child)).alias("children"))
-        here = tree.where(F.size("path") == d).join(below, [by, "path"], "left")
-        level = here.select(by, "path", "seq", F.when(F.col("children").isNull(), F.col("text")).otherwise(_with_children(F.col("text"), F.col("children"))).alias("text"))
-        out = out.unionByName(level)
-    return out
+    # The number that the pass hands on makes sure of that order.
+    order = F.row_number().over(Window.partitionBy(by).orderBy("path")) - 1
+    ordered = tree.select(by, "path", order.alias("seq"), "text")
+    kind = dict(tree.dtypes)[by]
+    return ordered.mapInArrow(_rolled_up, f"`{by}` {kind}, path array<string>, seq int, text string")
 
 
 def level_chunks(rows: DataFrame, by: str, section: str, node_id: str = "node_id", pos: str = "n", text: str = "text") -> DataFrame:
     """(by, section, chunk_id, path, seq, depth, text): a chunk for each node with text below it, the section itself left out.
 
-    A ``by`` without such a node has its paragraphs as chunks, under their
-    labels or ``p`` and their place.
+    A ``by`` without such a node has its paragraphs as chunks, under ``p`` and
+    their place.
     """
-    named = rows.groupBy(by).agg(F.min(section).alias("section"))
+    labelled = (F.size(node_path(F.col(node_id))) > 0) & (F.trim(blank(F.col(text))) != "")
+    whole = Window.partitionBy(by)
+    rows = rows.withColumn("_labels", F.max(labelled).over(whole))
     nodes = subtree_texts(section_tree(rows, by, node_id, pos, text), by).where((F.size("path") > 0) & (F.col("text") != ""))
-    bare = rows.where(F.trim(blank(F.col(text))) != "").join(nodes.select(by).distinct(), by, "left_anti")
-    path = node_path(F.col(node_id))
-    path = F.when(F.size(path) > 0, path).otherwise(F.array(F.concat(F.lit("p"), F.col(pos).cast("string"))))
-    bare = bare.select(by, path.alias("path"), F.col(pos).cast("int").alias("seq"), F.col(text).alias("text"))
-    both = nodes.unionByName(bare).join(named, by)
+    bare = rows.where(~F.col("_labels") & (F.trim(blank(F.col(text))) != ""))
+    bare = bare.select(by, F.array(F.concat(F.lit("p"), F.col(pos).cast("string"))).alias("path"), F.col(pos).cast("int").alias("seq"), F.col(text).alias("text"))
+    both = nodes.unionByName(bare).join(rows.groupBy(by).agg(F.min(section).alias("section")), by)
     name = F.concat(F.col("section"), F.lit(":"), F.array_join("path", "/"))
     return both.select(by, "section", name.alias("chunk_id"), "path", "seq", F.size("path").alias("depth"), "text")
