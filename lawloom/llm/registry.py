@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language, minhash, mpeg, passages, quality, repeats, url_rules
+from . import bpe, decontaminate, fim, html_text, language, minhash, mpeg, passages, periodic, pii, quality, repeats, url_rules
 
 QUERIES = {
     "op1_mpeg_audio": mpeg.op1_mpeg,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_tag_path_text": html_text.op8_html_text,
     "op9_fixed_block_dedup": passages.op9_passages,
     "op10_hyperminhash_dedup": minhash.op10_near_duplicates,
+    "op11_disclosure_pii": pii.op11_disclosure,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
-ORACLE_SQL = {"op6_url_rules": url_rules.ORACLE}
+ORACLE_SQL = {"op6_url_rules": url_rules.ORACLE, "op12_fill_in_middle": fim.ORACLE}
