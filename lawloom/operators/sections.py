@@ -3,136 +3,345 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections import Counter
+from collections.abc import Callable, Iterator
+from html import unescape
+from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, clean_text, node_section
+from ..functions.text import BEFORE_SIGN, IN_BRACKETS, NODE_ID, blank, clean_text
+from ..functions.text import source_name as named_source
 from . import chunks
 
-#: The number of a section in a heading, and what a page without paragraph ids says where it has no text.
+#: The number of a section in a heading and in an address, the part in an address, what a page without paragraph ids says where it has no text, and what stands for headers.
 HEADING = r"§\s*(\d+(?:\.\d+)+)"
+URL_SECTION, URL_PART = r"/section-(\d+(?:\.\d+)+)", r"/part-(\d+)"
 NO_CONTENT = "ECFR CONTENT"
-#: HTML's own names: elements without text, without an end, and those at whose start an open p ends.
+TITLE = "34 CFR"
+#: HTML's own names: elements without text, without an end, those at whose start an open p ends, and those that end others up to a border.
 SILENT = frozenset(("script", "style", "nav"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-ENDS_P = frozenset(("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
-PARSED = "page_key {0}, pos int, kind string, node_id string, text string"
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ENDS_P = frozenset(("address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", *HEADINGS, "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)),
+    "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)), **{h: (HEADINGS, ()) for h in HEADINGS},
+}
 
+#: The same white space as ``functions.text.WHITE``: that of ASCII and Unicode's separators.
+_WHITE = re.compile("[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_BRACKETS, _SIGN = re.compile(IN_BRACKETS, re.ASCII), re.compile(BEFORE_SIGN, re.ASCII)
+_NODE, _NUMBER = re.compile(NODE_ID, re.ASCII), re.compile(HEADING, re.ASCII)
 
-class _Page(HTMLParser):
-    """Collects (kind, id, texts) of headings, of elements whose id begins with p-, and of p elements; ``article`` says if p is in one."""
+
+def _clean(text: str) -> str:
+    """``functions.text.clean_text`` of a string."""
+    return _SIGN.sub(r"\1", _BRACKETS.sub(r"(\1)", _WHITE.sub(" ", text).strip(" "))).strip(" ")
+
+
+class _Texts:
+    """Text nodes in order, and items that span some of them: an item is the places at which it begins and ends, however many are open."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.items: list[tuple[str, str, list[str]]] = []
-        self.open: list[tuple[str, list[list[str]]]] = []
-        self.silent = self.articles = 0
+        self.nodes: list[str] = []
+        self.pending: list[str] = []
+        #: Kind, name, first node and last + 1 (None while open).
+        self.items: list[list] = []
+
+    def flush(self) -> None:
+        text = "".join(self.pending).strip()
+        self.pending.clear()
+        if text:
+            self.nodes.append(text)
+
+    def begin(self, kind: str, name: str = "") -> list:
+        self.items.append([kind, name, len(self.nodes), None])
+        return self.items[-1]
+
+    def text(self, item: list) -> str:
+        return _clean(" ".join(self.nodes[item[2] : item[3]]))
+
+
+#: Where markup begins, and the whole of a tag: quoted values may hold its end; the second form is for sources of which a quote stays open.
+_BEGIN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z_:])")
+_TAG = re.compile(r"""</?([^\s/>]++)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_BARE_TAG = re.compile(r"</?([^\s/>]++)([^>]*+)>")
+_ID = re.compile(r"""(?:^|[\s"'/])id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: HTML's elements whose text has no markup.
+RAW = ("script", "style", "textarea", "title")
+
+
+def _read(source: str, into: _Page | _Xml, raw: tuple[str, ...] = ()) -> None:
+    """Calls ``into`` for each start, end and text of markup of any kind, in one pass: no place is read again from another one.
+
+    A sign that begins no markup is text, and what is begun and never ended ends
+    with the source.
+    """
+    at, tag = 0, _TAG
+    while m := _BEGIN.search(source, at):
+        into.texts.pending.append(unescape(source[at : m.start()]))
+        here = m.start()
+        kind = m.group()
+        if kind in ("<!--", "<![CDATA["):
+            end = source.find("-->" if kind == "<!--" else "]]>", m.end())
+            if kind != "<!--":
+                into.texts.pending.append(source[m.end() : end if end >= 0 else None])
+            else:
+                into.texts.flush()
+            at = end + 3 if end >= 0 else len(source)
+        elif kind in ("<!", "<?"):
+            into.texts.flush()
+            end = source.find(">", here)
+            at = end + 1 if end >= 0 else len(source)
+        else:
+            found = tag.match(source, here)
+            if not found and tag is _TAG:
+                tag = _BARE_TAG
+                found = tag.match(source, here)
+            if not found:
+                at = len(source)
+                break
+            at = found.end()
+            name = found[1].lower() if raw else found[1]
+            if kind[1] == "/":
+                into.end(name)
+                continue
+            into.start(name, found[2])
+            if not raw and found[2].endswith("/"):
+                into.end(name)
+            elif name in raw:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                into.texts.pending.append(source[at : end.start() if end else None])
+                at = end.start() if end else len(source)
+    into.texts.pending.append(unescape(source[at:]))
+
+
+class _Page:
+    """The items of a page: headings (h), elements whose id begins with p- (id), and p elements (p, or article in the first article)."""
+
+    def __init__(self) -> None:
+        self.texts = _Texts()
+        self.open: list[tuple[str, list[list]]] = []
+        #: Where in ``open`` the elements of each name are.
+        self.at: dict[str, list[int]] = {}
+        self.silent = 0
+        self.article: int | None = None
         self.any_article = False
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS_P:
-            at = next((i for i in range(len(self.open) - 1, max(len(self.open) - 9, -1), -1) if self.open[i][0] == "p"), None)
-            if at is not None:
+    def _last(self, names: tuple[str, ...]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def _flush(self) -> None:
+        if self.silent:
+            self.texts.pending.clear()
+        self.texts.flush()
+
+    def _close(self, at: int) -> None:
+        self._flush()
+        while len(self.open) > at:
+            tag, found = self.open.pop()
+            self.at[tag].pop()
+            self.silent -= tag in SILENT
+            for item in found:
+                item[3] = len(self.texts.nodes)
+        if self.article is not None and self.article >= at:
+            self.article = None
+
+    def start(self, tag: str, attributes: str) -> None:
+        self._flush()
+        if tag in ENDS_P and (at := self._last(("p",))) >= 0:
+            self._close(at)
+        if tag in ENDS:
+            names, borders = ENDS[tag]
+            if (at := self._last(names)) > self._last(borders):
                 self._close(at)
         if tag in VOID:
             return
         self.silent += tag in SILENT
-        self.articles += tag == "article"
-        self.any_article |= tag == "article"
+        if tag == "article" and not self.any_article:
+            self.any_article, self.article = True, len(self.open)
         found = []
-        node = dict(attrs).get("id") or ""
-        kinds = [("h", "")] if re.fullmatch("h[1-5]", tag) else []
-        kinds += [("id", node)] if node.startswith("p-") else []
-        kinds += [("article" if self.articles else "p", "")] if tag == "p" else []
-        for kind, name in kinds:
-            found.append([])
-            self.items.append((kind, name, found[-1]))
+        if not self.silent:
+            named = _ID.search(attributes)
+            node = unescape(next(x for x in named.groups() if x is not None)) if named else ""
+            if tag in HEADINGS[:5]:
+                found.append(self.texts.begin("h"))
+            if node.startswith("p-"):
+                found.append(self.texts.begin("id", node))
+            if tag == "p":
+                found.append(self.texts.begin("p" if self.article is None else "article"))
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, found))
 
-    def _close(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
-            self.silent -= tag in SILENT
-            self.articles -= tag == "article"
-        del self.open[at:]
+    def end(self, tag: str) -> None:
+        self._flush()
+        if self.at.get(tag):
+            self._close(self.at[tag][-1])
 
-    def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
-            self._close(at)
 
-    def handle_data(self, data: str) -> None:
-        if not self.silent and data.strip():
-            for _, found in self.open:
-                for texts in found:
-                    texts.append(data.strip())
+def _page(html: str) -> _Page:
+    page = _Page()
+    _read(html, page, RAW)
+    page._close(0)
+    page._flush()
+    return page
 
 
-def page_items(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, pos, kind, node_id, text) of headings (h), elements with paragraph ids (id) and p elements (article, or p where a page has none)."""
-    schema = PARSED.format(dict(pages.dtypes)[key])
+def _section_of(node: str) -> str | None:
+    found = _NODE.match(node)
+    return found[1] if found else None
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _content(html: str, url: str | None) -> tuple[str, str, list[tuple[str | None, str]]]:
+    """(section, heading, (id, text) of each paragraph) of a page; by its address, if there is one, else by what it says."""
+    page = _page(html)
+    texts = page.texts
+    heads = (texts.text(i) for i in texts.items if i[0] == "h")
+    named = [(i, _section_of(i[1])) for i in texts.items if i[0] == "id"]
+    if url is not None:
+        heading = next((h for h in heads if "§" in h), "")
+        found = re.search(URL_SECTION, url)
+        section = found[1] if found else ""
+    else:
+        heading = next((h for h in heads if _NUMBER.search(h)), "")
+        found = _NUMBER.search(heading)
+        # Of sections named equally often the first; a Counter keeps the order in which it met them.
+        common = Counter(s for _, s in named if s)
+        section = found[1] if found else max(common, key=common.get, default="")
+    fits = lambda s: s == section if section else url is not None or s is not None
+    rows = [(i[1], t) for i, s in named if fits(s) and (t := texts.text(i))]
+    if not rows:
+        kind = "article" if page.any_article else "p"
+        rows = [(None, t) for i in texts.items if i[0] == kind and (t := texts.text(i)) and NO_CONTENT not in t]
+    return section, heading, rows
+
+
+def _rows(source: DataFrame, key: str, columns: list[str], read: Callable[..., tuple[str, list[tuple]]], fields: str) -> DataFrame:
+    """One Arrow pass over ``source``: for each row what ``read`` makes of ``columns``, under its key."""
+    schema = f"page_key {dict(source.dtypes)[key]}, {fields}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept: list[list] = [[], [], [], [], []]
-            for at, text in zip(batch.column(0), batch.column(1), strict=True):
-                page = _Page()
-                page.feed(text.as_py() or "")
-                page.close()
-                for pos, (kind, node, texts) in enumerate(page.items):
-                    if kind != "p" or not page.any_article:
-                        for column, value in zip(kept, (at.as_py(), pos, kind, node, " ".join(texts)), strict=True):
-                            column.append(value)
-            types = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(kept, types, strict=True)], ["page_key", "pos", "kind", "node_id", "text"])
-
-    return pages.select(key, html).mapInArrow(parse, schema).withColumnRenamed("page_key", key)
-
-
-def section_content(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, section, heading, n, node_id, text): the paragraphs of each page's section.
-
-    The section is that of the first heading that names one, else the one that
-    most paragraph ids name.  Where no paragraph of it has text, all p elements
-    stand in, without ids.  A page without any text has no rows.
+            out: list[tuple] = []
+            for at, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(at, *row) for row in read(*values)]
+            cells = list(zip(*out, strict=True)) or [()] * len(names)
+            types = (batch.column(0).type, *(pa.int32() if f.endswith(" int") else pa.string() for f in fields.split(", ")))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names)
+
+    names = ["page_key", *(f.split()[0] for f in fields.split(", "))]
+    return source.select(key, *columns).mapInArrow(run, schema).withColumnRenamed("page_key", key)
+
+
+def section_content(pages: DataFrame, key: str, html: str, url: str | None = None) -> DataFrame:
+    """(key, section, heading, n, node_id, text): the paragraphs of each page's section, in the order of the page.
+
+    Without ``url``, the section is that of the first heading that names one,
+    else the one that most paragraph ids name.  With it (a column; null: ''), the
+    section is the address', the heading is the first with a paragraph sign, and
+    an address without a section keeps all paragraphs with ids.  Where none is
+    left that has text, the p elements of the first article stand in, without
+    ids, or those of the page if it has no article.  A page without any text, or
+    null, has no rows; repeated pages have theirs each time.  Pages are read in one
+    pass that takes time in proportion to their length and what they hold.
     """
-    items = page_items(pages, key, html).withColumn("text", clean_text(F.col("text")))
-    section = F.when(F.col("kind") == "id", node_section(F.col("node_id")))
-    items = items.withColumn("named", section)
-    headed = F.when((F.col("kind") == "h") & F.col("text").rlike(HEADING), F.col("pos"))
-    heads = items.groupBy(key).agg(F.min_by("text", headed).alias("heading"))
-    common = chunks.target_section(items.where("named is not null"), key, "named", "pos").select(key, F.col("named").alias("common"))
-    target = heads.join(common, key, "left")
-    target = target.select(key, blank(F.col("heading")).alias("heading"), F.coalesce(F.nullif(F.regexp_extract(blank(F.col("heading")), HEADING, 1), F.lit("")), "common", F.lit("")).alias("section"))
-    body = items.where("kind <> 'h' and text <> ''").join(target, key)
-    fits = (F.col("kind") == "id") & F.col("named").isNotNull() & ((F.col("section") == "") | (F.col("named") == F.col("section")))
-    body = body.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(Window.partitionBy(key)))
-    kept = body.where("_fits").unionByName(body.where(~F.col("_any") & F.col("kind").isin("article", "p") & ~F.contains("text", F.lit(NO_CONTENT))))
-    n = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return kept.select(key, "section", "heading", n.alias("n"), F.when(F.col("_fits"), F.col("node_id")).alias("node_id"), "text")
-
-
-def _plain(xml: Column) -> Column:
-    """The text of XML markup: tags are spaces, the five references of XML are decoded."""
-    out = F.regexp_replace(xml, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
-    return clean_text(out)
+
+    def read(html: str | None, *url: str | None) -> list[tuple]:
+        section, heading, rows = _content(html or "", (url[0] or "") if url else None)
+        return [(section, heading, n, node, text) for n, (node, text) in enumerate(rows, 1)]
+
+    return _rows(pages, key, [html, *([url] if url else [])], read, "section string, heading string, n int, node_id string, text string")
+
+
+def section_header(section: Column, heading: Column, url: Column) -> dict[str, Column]:
+    """What a section's record has beside its paragraphs, from its number, its heading and its address; blank where neither says it."""
+    number, at = blank(section), blank(url)
+    title = F.coalesce(F.nullif(blank(heading), F.lit("")), F.when(number != "", F.concat(F.lit(f"{TITLE} §"), number)), F.lit(TITLE))
+    return {
+        "source_name": named_source(at), "source_url": at, "source_type": F.lit("cfr"), "authority_level": F.lit("regulation"), "document_title": title,
+        "section_ref": F.when(number != "", F.concat(F.lit("§"), number)).otherwise(""), "part": F.regexp_extract(at, URL_PART, 1), "title": F.lit("34"), "chapter": F.lit("VI"), "volume": F.lit(""),
+    }
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, str], sidecar: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """``rows`` with what ``sidecar`` (one row for each ``key``) says, else their own values, else ``defaults``; blank values say nothing."""
+    said = lambda c: F.nullif(F.trim(blank(c)), F.lit(""))
+    names = list(defaults)
+    if sidecar is not None:
+        more = [c for c in names if c in sidecar.columns]
+        rows = rows.join(sidecar.select(key, *[F.col(c).alias(f"_{c}") for c in more]), key, "left")
+        given = {c: [said(F.col(f"_{c}"))] for c in more}
+    else:
+        given = {}
+    value = {c: F.coalesce(*given.get(c, []), *([said(F.col(c))] if c in rows.columns else []), F.lit(defaults[c])) for c in names}
+    return rows.withColumns(value).drop(*[f"_{c}" for c in given])
+
+
+class _Xml:
+    """HEAD and P elements of an XML section, with the whole text of each."""
+
+    def __init__(self) -> None:
+        self.texts = _Texts()
+        self.open: list[tuple[str, list | None]] = []
+        self.names: Counter[str] = Counter()
+
+    def start(self, name: str, attributes: object = None) -> None:
+        self.texts.flush()
+        self.open.append((name, self.texts.begin(name) if name in ("HEAD", "P") else None))
+        self.names[name] += 1
+
+    def end(self, name: str) -> None:
+        """Ends without a start say nothing; a start without an end ends with what holds it."""
+        self.texts.flush()
+        while self.names[name]:
+            tag, item = self.open.pop()
+            self.names[tag] -= 1
+            if item:
+                item[3] = len(self.texts.nodes)
+            if tag == name:
+                return
+
+    def close(self) -> None:
+        self.texts.flush()
+        for _, item in self.open:
+            if item:
+                item[3] = len(self.texts.nodes)
+
+
+def _parsed(xml: str) -> _Xml:
+    out = _Xml()
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = out.start, out.end, out.texts.pending.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = lambda *_: out.texts.flush()
+    try:
+        parser.Parse(xml.encode(), True)
+    except expat.ExpatError:
+        out = _Xml()
+        _read(xml, out)
+    out.close()
+    return out
 
 
 def section_xml(sections: DataFrame, key: str, section: str, xml: str) -> DataFrame:
     """(key, section, heading, n, node_id, text): every P of each section that has text, with an id from the labels before it.
 
-    The heading is HEAD, or the section's number without one; ``n`` counts all
-    P elements from 1.
+    The heading is the first HEAD, or the section's number without one; ``n``
+    counts all P elements from 1.  An element's text is that of all elements in
+    it, CDATA and character references included, with a space where markup
+    stands between.  XML that isn't well-formed is read as far as it goes, with
+    HTML's names of characters.  Null sources have no rows.
     """
-    head = _plain(F.regexp_extract(blank(F.col(xml)), r"(?s)<HEAD\b[^>]*>(.*?)</HEAD\s*>", 1))
-    bodies = F.regexp_extract_all(blank(F.col(xml)), F.lit(r"(?s)<P(?:\s[^>]*)?>(.*?)</P\s*>"), F.lit(1))
-    rows = sections.select(key, F.col(section).alias("section"), F.coalesce(F.nullif(head, F.lit("")), F.concat(F.lit("§ "), section)).alias("heading"), F.posexplode(bodies).alias("n", "text"))
-    rows = rows.withColumns({"n": F.col("n") + 1, "text": _plain(F.col("text"))})
+
+    def read(number: str | None, xml: str | None) -> list[tuple]:
+        found = _parsed(xml or "")
+        heads = [i for i in found.texts.items if i[0] == "HEAD"]
+        heading = found.texts.text(heads[0]) if heads else f"§ {number}"
+        return [(number, heading, n, found.texts.text(i)) for n, i in enumerate((i for i in found.texts.items if i[0] == "P"), 1)]
+
+    rows = _rows(sections.withColumn(section, F.col(section).cast("string")), key, [section, xml], read, "section string, heading string, n int, text string")
     return chunks.paragraph_ids(rows, key, "section", "n", "text").select(key, "section", "heading", "n", "node_id", "text")
 
 

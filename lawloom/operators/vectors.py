@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries and vectors in one tile; every query meets every vector in one of the tiles.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16384
+#: Queries of a tile that are multiplied with its vectors at once.
+QUERY_ROWS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,43 +42,48 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int, key: str = "vec_
     query, and the tiles' lists are merged.  ``scopes`` names columns that both
     sides have: a query takes only vectors of its first scope that any vector
     fits (not blank, and equal), else all of them, and ``branch`` says which.
-    Ties go to the smaller key; null vectors are left out.
+    Ties go to the smaller key; null vectors are left out.  Ids may have any type
+    that has an order.
     """
     queries, vectors = (x.where(F.col("vector").isNotNull()) for x in (queries, vectors))
     size = check_dimension(vectors)
     tiles = [max(1, -(-x.count() // n)) for x, n in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK))]
     marks = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.xxhash64(c)).otherwise(0).alias(f"s{i}") for i, c in enumerate(scopes)]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one = queries.select(F.lit(True).alias("asks"), F.col("question_id").cast("long").alias("id"), "vector", *marks, F.pmod(F.xxhash64("question_id"), F.lit(tiles[0])).cast("int").alias("q"), every(tiles[1]).alias("v"))
-    two = vectors.select(F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), "vector", *marks, every(tiles[0]).alias("q"), F.pmod(F.xxhash64(key), F.lit(tiles[1])).cast("int").alias("v"))
+    kinds = dict(queries.dtypes)["question_id"], dict(vectors.dtypes)[key]
+    none = [F.lit(None).cast(k) for k in kinds]
+    one = queries.select(F.lit(True).alias("asks"), F.col("question_id").alias("qid"), none[1].alias("vid"), "vector", *marks, F.pmod(F.xxhash64("question_id"), F.lit(tiles[0])).cast("int").alias("q"), every(tiles[1]).alias("v"))
+    two = vectors.select(F.lit(False).alias("asks"), none[0].alias("qid"), F.col(key).alias("vid"), "vector", *marks, every(tiles[0]).alias("q"), F.pmod(F.xxhash64(key), F.lit(tiles[1])).cast("int").alias("v"))
 
     def tile(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy(zero_copy_only=False)
-        ids = table["id"].to_numpy()
-        unit = _unit(table["vector"].combine_chunks(), size) if table.num_rows else np.zeros((0, size))
+        # Without vectors there is no dimension either.
+        unit = _unit(table["vector"].combine_chunks(), size) if size and table.num_rows else np.zeros((table.num_rows, 0))
         scope = [table[f"s{i}"].to_numpy() for i in range(len(scopes))]
         rows = np.flatnonzero(~asks)
-        rows = rows[np.argsort(ids[rows], kind="stable")]
-        out: list[tuple[int, int, float, int]] = []
-        for q in np.flatnonzero(asks).tolist():
-            score = unit[rows] @ unit[q]
-            branch = np.full(len(rows), len(scope))
-            for i in range(len(scope) - 1, -1, -1):
-                if scope[i][q]:
-                    branch[scope[i][rows] == scope[i][q]] = i
-            rounded = np.round(score, 6)
-            for b in np.unique(branch).tolist():
-                at = np.flatnonzero(branch <= b) if b == len(scope) else np.flatnonzero(branch == b)
-                # A bit more than the best, as rounding makes ties.
-                if len(at) > top_k:
-                    least = np.partition(rounded[at], len(at) - top_k)[len(at) - top_k]
-                    at = at[rounded[at] >= least - 2e-6]
-                    at = at[np.lexsort((at, -rounded[at]))][: 2 * top_k]
-                out += [(int(ids[q]), int(ids[rows[k]]), float(score[k]), b) for k in at.tolist()]
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({"question_id": pa.array(columns[0], pa.int64()), key: pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64()), "branch": pa.array(columns[3], pa.int32())})
-
-    found = one.unionByName(two).groupBy("q", "v").applyInArrow(tile, f"question_id long, {key} long, score double, branch int")
+        # In the order of ids of any type, so that places stand for them.
+        rows = rows[pc.sort_indices(table["vid"].take(rows)).to_numpy()]
+        asked = np.flatnonzero(asks)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for some in np.split(asked, range(QUERY_ROWS, len(asked), QUERY_ROWS)):
+            for q, score in zip(some.tolist(), unit[some] @ unit[rows].T, strict=True):
+                branch = np.full(len(rows), len(scope))
+                for i in range(len(scope) - 1, -1, -1):
+                    if scope[i][q]:
+                        branch[scope[i][rows] == scope[i][q]] = i
+                rounded = np.round(score, 6)
+                for b in np.unique(branch).tolist():
+                    at = np.flatnonzero(branch <= b) if b == len(scope) else np.flatnonzero(branch == b)
+                    # A bit more than the best, as rounding makes ties.
+                    if len(at) > top_k:
+                        least = np.partition(rounded[at], len(at) - top_k)[len(at) - top_k]
+                        at = at[rounded[at] >= least - 2e-6]
+                        at = at[np.lexsort((at, -rounded[at]))][: 2 * top_k]
+                    found.append((np.full(len(at), q), rows[at], score[at], np.full(len(at), b)))
+        q, v, score, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        return pa.table({"question_id": table["qid"].take(q), key: table["vid"].take(v), "score": pa.array(score, pa.float64()), "branch": pa.array(b, pa.int32())})
+
+    found = one.unionByName(two).groupBy("q", "v").applyInArrow(tile, f"question_id {kinds[0]}, {key} {kinds[1]}, score double, branch int")
     found = found.withColumn("first", F.min("branch").over(Window.partitionBy("question_id"))).where("branch = first").drop("first")
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), F.col(key))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean_text, url_slug
 from ..operators import answers, asking, bm25, logical, sections, trees, versions
+from ..streaming import answering
 from . import queries as base
 
 
@@ -61,9 +62,27 @@ def section_pages(spark, sf_dir):
     return found.select("doc_id", "section", "heading", F.col("n").cast("long").alias("n"), "node_id", _md5("text"))
 
 
+def section_urls(spark, sf_dir):
+    """The same pages by their addresses, four in five of which name a section, with what their records have beside paragraphs."""
+    rows = base.marked_paragraphs(spark, sf_dir)
+    bare = F.concat(F.lit("<p>"), _escaped(F.col("text")), F.lit("</p>"))
+    line = F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("<section id='"), _escaped(F.col("node_id")), F.lit("'>"), bare, F.lit("</section>"))).otherwise(bare)
+    heading = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("<h3>§ "), "section", F.lit(" Rules</h3>"))).otherwise("")
+    html = F.concat(F.lit("<h1>Title 34</h1>"), heading, F.lit("<div id='p-1.1(z)'>another section</div><article>"), "body", F.lit("</article>"))
+    url = F.concat(F.lit("https://www.example.org/title-34/part-"), F.substring_index("section", ".", 1), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("/section-"), "section")).otherwise(""))
+    pages = _gathered(rows, line).select("doc_id", html.alias("html"), url.alias("url"))
+    found = sections.section_content(pages, "doc_id", "html", "url").join(pages.select("doc_id", "url"), "doc_id")
+    found = found.withColumns(sections.section_header(F.col("section"), F.col("heading"), F.col("url")))
+    return found.select("doc_id", "section", F.col("n").cast("long").alias("n"), "node_id", _md5("text"), "source_name", "document_title", "section_ref", "part")
+
+
 def section_xml(spark, sf_dir):
     """Documents published as XML sections and read back, with ids from their labels."""
-    line = F.concat(F.lit("<P>"), _escaped(F.col("text")), F.lit("<I></I></P>\n"))
+    # References by name and by number, text that needs none, and elements within elements.
+    by_number = F.replace(F.replace(_escaped(F.col("text")), F.lit("e"), F.lit("&#101;")), F.lit("&quot;"), F.lit("&#x22;"))
+    plain = F.concat(F.lit("<![CDATA["), F.replace(F.col("text"), F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+    kind = F.col("n") % 3
+    line = F.concat(F.lit("<P>"), F.when(kind == 0, by_number).when(kind == 1, plain).otherwise(_escaped(F.col("text"))), F.lit("<I></I></P>\n"))
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<HEAD>§ "), "section", F.lit(" <E T='03'>A &amp; B</E>.</HEAD>"))).otherwise("")
     xml = F.concat(F.lit("<DIV8 TYPE='SECTION'>"), head, "body", F.lit("</DIV8>"))
     found = sections.section_xml(_gathered(base.labelled_lines(spark, sf_dir), line).select("doc_id", "section", xml.alias("xml")), "doc_id", "section", "xml")
@@ -123,14 +142,24 @@ def _said(asked):
     return asked.select("question_id", F.when(blank(F.col("context")) != "", text).alias("answer"))
 
 
+def request_outcomes(spark, sf_dir):
+    """Events as questions to a model that their types share: answered, answered before, or told to wait."""
+    n = F.col("event_id")
+    e = base.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", (n % 40).alias("question_id"), (n % 11 == 0).alias("forced"), (n % 7 == 0).alias("fails"))
+    q = base.questions(spark, sf_dir).select("question_id", F.when(F.col("question_id") % 2 == 0, F.upper("question")).otherwise(F.concat(F.lit("  "), "question")).alias("question"))
+    asked = e.join(q, "question_id", "left")
+    found = answering.decide(asked, "event_id", "ts", "question", "event_type", "forced", "fails")
+    return found.select("event_id", "outcome", F.col("retry_after").cast("long").alias("retry_after"), "source")
+
+
 def answer_questions(spark, sf_dir):
     """Questions to cited answers."""
     questions, records, vectors = _flow(spark, sf_dir)
-    found = asking.answer(questions, asking.semantic_query(questions, records, vectors), _said)
+    found = asking.answer(questions, asking.scoped(asking.semantic_query(questions, records, vectors)), _said)
     return found.select("question_id", "out_of_scope", "by_model", _md5("answer"))
 
 
-QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, semantic_query, answer_questions)}
+QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, semantic_query, request_outcomes, answer_questions)}
 
 #: How deep the labels of paragraphs go in the SQL for whole trees.
 DEEPEST = 6
@@ -158,7 +187,7 @@ sb AS (SELECT *, min(b) OVER (PARTITION BY question_id) AS branch FROM s),
 sems AS (SELECT question_id, doc_id, branch, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sb WHERE branch = 2 OR b = branch),
 lists AS (SELECT question_id, doc_id, rank FROM kws WHERE rank <= 40 UNION ALL SELECT question_id, doc_id, rank FROM sems WHERE rank <= CASE branch WHEN 0 THEN 10 ELSE 30 END),
 summed AS (SELECT question_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM lists GROUP BY ALL),
-fused AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY question_id) AS base FROM summed QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 8) DESC, doc_id) <= 20),
+fused AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY question_id) AS base FROM summed QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 8) DESC, doc_id) <= 40),
 {base.RERANKED[base.RERANKED.index("intents AS ("):].replace("FROM asked_q)", "FROM qs)")},
 g AS (SELECT question_id, doc_id, final, rank, full_part AS part FROM r WHERE rank <= 10 QUALIFY max(final) OVER (PARTITION BY question_id) >= 0.23)"""
 
@@ -171,6 +200,26 @@ f AS (SELECT * FROM c UNION ALL SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE
 SELECT doc_id, section || ':' || array_to_string(path, '/') AS chunk_id, len(path) AS depth, md5(text) AS text_md5 FROM f JOIN named USING (doc_id)""",
     "section_pages": f"""WITH {base.MARKED} SELECT doc_id, CASE WHEN doc_id % 21 > 0 THEN section ELSE '' END AS section, CASE WHEN doc_id % 3 > 0 THEN '§ ' || section || ' Rules' ELSE '' END AS heading,
   row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, CASE WHEN doc_id % 7 > 0 THEN node_id END AS node_id, md5(text) AS text_md5 FROM marked""",
+    "section_urls": f"""WITH {base.MARKED}, u AS (SELECT *, split_part(section, '.', 1) AS part, CASE WHEN doc_id % 5 > 0 THEN section ELSE '' END AS named FROM marked),
+extra AS (SELECT doc_id, any_value(section) AS section, any_value(part) AS part FROM u WHERE doc_id % 5 = 0 GROUP BY doc_id),
+p AS (SELECT doc_id, section, part, named, n, CASE WHEN doc_id % 7 > 0 THEN node_id END AS node_id, text FROM u WHERE doc_id % 5 > 0 OR doc_id % 7 > 0
+  UNION ALL SELECT doc_id, section, part, '', -1, 'p-1.1(z)', 'another section' FROM extra)
+SELECT doc_id, named AS section, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, node_id, md5(text) AS text_md5,
+  'example.org::' || CASE WHEN named <> '' THEN 'section-' || named ELSE 'part-' || part END AS source_name,
+  CASE WHEN doc_id % 3 > 0 THEN '§ ' || section || ' Rules' WHEN named <> '' THEN '34 CFR §' || named ELSE '34 CFR' END AS document_title,
+  CASE WHEN named <> '' THEN '§' || named ELSE '' END AS section_ref, part FROM p""",
+    "request_outcomes": f"""WITH RECURSIVE q AS (SELECT item_id, trim(regexp_replace(lower(text), '[[:space:]]+', ' ', 'g')) AS q FROM benchmark),
+r AS (SELECT event_type AS scope, event_id AS n, epoch_us(ts) AS us, md5(coalesce(q, '')) AS q, event_id % 11 = 0 AS forced, event_id % 7 = 0 AS fails,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events LEFT JOIN q ON item_id = event_id % 40 WHERE ts IS NOT NULL),
+s AS (SELECT scope, 0::BIGINT AS i, NULL::BIGINT AS n, NULL::BIGINT AS last, []::STRUCT(q VARCHAR, us BIGINT, n BIGINT)[] AS cache, NULL::VARCHAR AS outcome, NULL::BIGINT AS retry_after, NULL::BIGINT AS source FROM r GROUP BY scope
+  UNION ALL
+  SELECT scope, i, n, CASE WHEN outcome = 'called' THEN us ELSE last END,
+    CASE WHEN outcome = 'called' AND NOT fails THEN list_append(list_filter(live, lambda x: x.q <> q), {{'q': q, 'us': us, 'n': n}}) ELSE live END, outcome,
+    CASE WHEN outcome = 'skipped' THEN ({answering.COOLDOWN_SECONDS}000000 - (us - last)) // 1000000 END, CASE outcome WHEN 'called' THEN n WHEN 'hit' THEN hit[1].n END
+  FROM (SELECT *, CASE WHEN len(hit) > 0 THEN 'hit' WHEN NOT forced AND us - last < {answering.COOLDOWN_SECONDS}000000 THEN 'skipped' ELSE 'called' END AS outcome
+    FROM (SELECT *, list_filter(live, lambda x: x.q = q) AS hit
+      FROM (SELECT r.*, s.last, list_filter(s.cache, lambda x: r.us - x.us <= {answering.CACHE_SECONDS}000000) AS live FROM s JOIN r ON r.scope = s.scope AND r.i = s.i + 1))))
+SELECT n AS event_id, outcome, retry_after, source FROM s WHERE i > 0""",
     "section_xml": f"WITH {base.MARKED} SELECT doc_id, '§ ' || section || CASE WHEN doc_id % 2 = 0 THEN ' A & B.' ELSE '' END AS heading, n, node_id, md5(text) AS text_md5 FROM marked",
     "issue_dates": "SELECT '34' AS number, min_by(strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) AS issue_date FROM orders WHERE o_orderkey % 50 = 34 AND o_orderkey % 3 > 0",
     "page_slugs": r"""WITH t AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', ''), '/+$', ''), '([^/]*)$', 1) AS tail FROM pages)
@@ -181,8 +230,10 @@ FROM documents d FULL JOIN n ON d.doc_id = n.doc_id""",
     "bm25_removed": f"WITH {base.BM25.replace('FROM documents', 'FROM documents WHERE doc_id % 3 > 0 OR doc_id IS NULL')} SELECT question_id, doc_id, round(score, 4) AS score, rank FROM kwr WHERE rank <= 10",
     "semantic_query": f"WITH {SEMANTIC} SELECT question_id, doc_id, round(final, 4) AS final, rank, part FROM g",
     "answer_questions": f"""WITH {SEMANTIC},
+fit AS (SELECT g.*, hint <> '' AND part = hint AS fits, max(CASE WHEN hint <> '' AND part = hint THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS any_fits FROM g JOIN hints USING (question_id)),
+sc AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM fit WHERE fits OR any_fits = 0),
 c AS (SELECT question_id, rank, section_ref || ' (' || coalesce(source_url, 'https://example.org/current/title-34/part-' || records.part || '/section-' || substr(section_ref, 2)) || ')' AS citation,
-  CASE WHEN length(trim(coalesce(content, ''))) > 280 THEN substr(trim(content), 1, 280) || '...' ELSE trim(coalesce(content, '')) END AS snip FROM g JOIN records USING (doc_id)),
+  CASE WHEN length(trim(coalesce(content, ''))) > 280 THEN substr(trim(content), 1, 280) || '...' ELSE trim(coalesce(content, '')) END AS snip FROM sc JOIN records USING (doc_id)),
 a AS (SELECT question_id, max(citation) FILTER (rank = 1) AS one, string_agg('- ' || rank || '. ' || citation, chr(10) ORDER BY rank) FILTER (rank <= 3) AS footer,
   string_agg('[' || rank || '] ' || citation || chr(10) || snip, chr(10) ORDER BY rank) FILTER (rank <= 5) AS listed FROM c GROUP BY question_id)
 SELECT item_id AS question_id, listed IS NULL AS out_of_scope, listed IS NOT NULL AND item_id % 4 > 0 AS by_model, md5(CASE WHEN listed IS NULL THEN '{answers.UNKNOWN_ANSWER}' ELSE CASE item_id % 4

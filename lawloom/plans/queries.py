@@ -60,14 +60,8 @@ def page_links(spark, sf_dir):
     return links.groupBy("page_id", "href").agg(F.min("pos").cast("long").alias("first_pos"))
 
 
-def page_paragraphs(spark, sf_dir):
-    bare = F.regexp_replace("html", r"(?is)<script\b.*?</script>", "")
-    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all(bare, F.lit("<p>([^<]*)"), F.lit(1))).alias("pos", "body"))
-    return found.where("body <> ''").select("page_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
-
-
 def whole_paragraphs(spark, sf_dir):
-    """The whole text of each paragraph, where ``page_paragraphs`` has what comes before its first inner tag."""
+    """The whole text of each paragraph."""
     found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.paragraphs(F.col("html"))).alias("pos", "body"))
     return found.where("body <> ''").select("page_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
@@ -388,7 +382,7 @@ def asked_scores(spark, sf_dir):
     return top.select("question_id", "doc_id", F.round(score, 4).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, page_paragraphs, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores, part_scope, bm25_filtered, knn_cascade, part_inference, node_id_parse, index_texts, blocked_pages, latest_versions, section_links, base_summary, target_section, retrieval_answers, placeholder_answers, base_chunks, paragraph_ids, section_texts)}
+QUERIES = {f.__name__: f for f in (clean_text, token_counts, record_ids, page_sources, page_links, whole_paragraphs, conversation_intent, term_stats, bm25_topk, knn_topk, rrf_merge, hybrid_rerank, level_chunks, level_summary, best_depth, chunk_overlap, upsert_latest, manifest_counts, embedding_summary, merge_small_siblings, answer_cache_ttl, llm_cooldown, split_oversized, merge_under_min, enforce_limits, citations, context_blocks, citation_footers, asked_scores, part_scope, bm25_filtered, knn_cascade, part_inference, node_id_parse, index_texts, blocked_pages, latest_versions, section_links, base_summary, target_section, retrieval_answers, placeholder_answers, base_chunks, paragraph_ids, section_texts)}
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:\.[a-z0-9]+)?')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
@@ -462,7 +456,6 @@ ORACLE_SQL = {
     "page_sources": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', '') AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_replace(html, '(?is)<(script|style|nav)\b.*?</(script|style|nav)>', '', 'g') AS bare FROM pages)
 SELECT page_id, host || '::' || regexp_extract(path, '([^/]*)$', 1) AS source_name, md5(CASE WHEN length(bare) > 300 THEN substr(bare, 1, 300) || '...' ELSE bare END) AS snippet_md5 FROM p""",
     "page_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos FROM pages) SELECT page_id, href, min(pos) AS first_pos FROM l GROUP BY page_id, href""",
-    "page_paragraphs": r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '<p>([^<]*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS body, generate_subscripts(ps, 1) - 1 AS pos FROM b) SELECT page_id, pos, md5(body) AS body_md5 FROM l WHERE body <> ''""",
     "whole_paragraphs": f"""WITH b AS (SELECT page_id, regexp_extract_all({BARE}, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS pos FROM b), t AS (SELECT page_id, pos, trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body FROM l) SELECT page_id, pos, md5(body) AS body_md5 FROM t WHERE body <> ''""",
     "conversation_intent": rf"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
 q AS (SELECT conv_id, turn, 0 AS variant, text AS q FROM c UNION ALL

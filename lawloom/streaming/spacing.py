@@ -8,7 +8,6 @@ With the cooldown, opening is a model call, and others wait.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut as _cut
+
 #: Seconds an answer stays valid, and between two model calls.
 CACHE_SECONDS = 1800
 COOLDOWN_SECONDS = 45
@@ -90,14 +91,6 @@ def spaced(rows: DataFrame, key: str, ts: str, order: str, seconds: int, strict:
 SPAN = 1024
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder that the cluster names, or in one of its own, without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lawloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def _neighbours(blocks: DataFrame, length: int) -> DataFrame:
     """``blocks`` (key, block, least, most) with the last time ``before`` and the first one ``after`` each, null at the ends of a key.
 

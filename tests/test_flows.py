@@ -3,6 +3,7 @@
 import random
 import re
 import statistics
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -122,7 +123,7 @@ def test_xml_and_dates(spark):
     xml = [(1, "1.2", "<DIV8><HEAD>§ 1.2 A <I>b</I></HEAD><P>Lead.</P><P/><P>(a) ( 1 ) x &lt;y&gt; &amp;amp;</P><P> </P><P>tail</P><PG>no</PG></DIV8>"), (2, "1.3", None), (3, "1.4", "<P>x</P>")]
     found = sections.section_xml(spark.createDataFrame(xml, "k int, s string, x string"), "k", "s", "x").collect()
     assert sorted((x.k, x.heading, x.node_id, x.text) for x in found) == [
-        (1, "§ 1.2 A b", "p-1.2", "Lead."), (1, "§ 1.2 A b", "p-1.2(a)(1)", "(a) (1) x <y> &amp;"), (1, "§ 1.2 A b", "p-1.2(p4)", "tail"), (3, "§ 1.4", "p-1.4", "x"),
+        (1, "§ 1.2 A b", "p-1.2", "Lead."), (1, "§ 1.2 A b", "p-1.2(a)(1)", "(a) (1) x <y> &amp;"), (1, "§ 1.2 A b", "p-1.2(p5)", "tail"), (3, "§ 1.4", "p-1.4", "x"),
     ]
     titles = spark.createDataFrame([(34, " ", 0), (34, "2026-01-02", 1), (34, "2026-01-03", 2), (35, None, 3)], "number int, latest_issue_date string, pos int")
     assert [tuple(x) for x in sections.issue_dates(titles, "34").collect()] == [("34", "2026-01-02")]
@@ -130,6 +131,56 @@ def test_xml_and_dates(spark):
         sections.issue_dates(titles, "35").collect()
 
 
+def test_deep_and_broken_pages():
+    """A p ends however deep what is open in it is; pages of any markup take time in proportion to their length."""
+    content = lambda html: [t for _, t in sections._content(html, None)[2]]
+    assert content("<p>a<b><i><u><s><em><strong><small><code><q>x<p>second") == ["a x", "second"]
+    assert content("<ul><li id='p-1.1(a)'><p>x<li id='p-1.1(b)'><p title='a > b'>y</ul>") == ["x", "y"]
+    big = ("<i>x" * 250_000, "<p" * 500_000, "<!--" * 250_000, "</p " * 250_000, "<p id='p-1.1(a)" * 60_000, "<i>" * 150_000 + "</b>" * 150_000, "<" * 1_000_000, "<script>" * 100_000, "<article>" * 100_000)
+    for html in big:
+        begun = time.monotonic()
+        sections._content(html, None)
+        sections._parsed(html)
+        assert time.monotonic() - begun < 20
+
+
+def test_pages_by_address(spark):
+    pages = [
+        (1, "<h1>No</h1><h2>A § sign</h2><p id='p-600.2(a)'>in</p><p id='p-600.3(a)'>out", "https://www.x.org/part-600/section-600.2"),
+        (2, "<p id='p-bad'>kept<p id='p-600.3(a)'>too", "https://x.org/part-600"),
+        (3, "<article><p>one</article><article><p>two</article><p>three", None),
+    ]
+    found = sections.section_content(spark.createDataFrame(pages, "k int, html string, url string"), "k", "html", "url").collect()
+    assert sorted((x.k, x.section, x.heading, x.n, x.node_id, x.text) for x in found) == [
+        (1, "600.2", "A § sign", 1, "p-600.2(a)", "in"), (2, "", "", 1, "p-bad", "kept"), (2, "", "", 2, "p-600.3(a)", "too"), (3, "", "", 1, None, "one"),
+    ]
+    rows = spark.createDataFrame([(1, "own", " "), (2, "", "x"), (3, None, None)], "k int, title string, part string")
+    side = spark.createDataFrame([(1, "better"), (2, "  ")], "k int, title string")
+    filled = sections.with_defaults(rows, {"title": "T", "part": "600"}, side, "k")
+    assert sorted(tuple(r) for r in filled.select("k", "title", "part").collect()) == [(1, "better", "600"), (2, "T", "x"), (3, "T", "600")]
+
+
+def test_xml_of_all_kinds(spark):
+    xml = ["<D><P>&#167; 600.4 Caf&#233; &#x41;</P><P>(a) <![CDATA[c < d]]></P><HEAD/></D>", "<D><P>a &nbsp; b <I>c</I>d & e<P>f</D>", "<P>a<!-- x -->b <P>in</P></P>"]
+    frame = spark.createDataFrame(list(enumerate(xml)), "k int, x string").withColumn("s", F.lit("1.1"))
+    found = sections.section_xml(frame, "k", "s", "x").collect()
+    assert sorted((r.k, r.heading, r.n, r.text) for r in found) == [
+        (0, "", 1, "§ 600.4 Café A"), (0, "", 2, "(a) c < d"), (1, "§ 1.1", 1, "a b c d & e f"), (1, "§ 1.1", 2, "f"), (2, "§ 1.1", 1, "a b in"), (2, "§ 1.1", 2, "in"),
+    ]
+
+
+def test_search_with_ids_of_text_and_namespaces(spark):
+    rows = [("ab12", "the loan rules of this part", "one"), ("cd", "loan loan loan", "two"), ("ef", "other words entirely", None), ("gh", "a loan again, of rules", "one")]
+    records = spark.createDataFrame(rows, "doc_id string, content string, namespace string")
+    records = records.select("*", *[F.lit(None).cast("string").alias(c) for c in ("node_id", "part", "section_ref", "source_name", "source_url", "source_type", "authority_level")])
+    vectors = spark.createDataFrame([("ab12", [1.0, 0.0]), ("cd", [0.0, 1.0]), ("gh", [0.6, 0.8])], "doc_id string, vector array<double>")
+    asked = spark.createDataFrame([("q1", "loan rules", [1.0, 0.1])], "question_id string, question string, vector array<double>")
+    order = lambda found: [r.doc_id for r in found.orderBy("rank").collect()]
+    assert order(asking.semantic_query(asked, records, vectors, namespace=" one ")) == ["ab12", "gh"]
+    assert order(asking.semantic_query(asked, records, vectors, namespace="")) == []
+    assert set(order(asking.semantic_query(asked, records, vectors))) == {"ab12", "cd", "gh"}
+
+
 DOCS = [(1, "apple bear cat"), (2, "apple apple dog"), (3, None), (4, "bear"), (5, ""), (6, "cat 668.32 apple")]
 
 
