@@ -53,7 +53,7 @@ PUNCTUATION = re.compile(r"[.,;:!?\u2026\u00bf\u00a1\u3002\uff0c]")
 @dataclass
 class Block:
     text: str
-    path: str
+    path: int
     element: int  # the innermost block element
     linked: int  # characters inside links
 
@@ -116,7 +116,8 @@ def scan(markup: str) -> Page:
     stack: list[tuple[str, int]] = []
     opened: dict[str, list[int]] = defaultdict(list)
     block_at: list[int] = []
-    paths: dict[int, str] = {0: ""}
+    paths: dict[int, int] = {0: 0}
+    numbers: dict[tuple[int, str, bool], int] = {}
     pieces: list[str] = []
     linked = 0
     noise_from = -1  # the place in the stack of the outermost noise element
@@ -216,8 +217,9 @@ def scan(markup: str) -> Page:
             page.tag.append(tag)
             page.hinted.append(hinted)
             page.whole.append(in_whole or tag in WHOLE or attrs.get("role", "").lower() in WHOLE)
-            # A path is its parent's, the tag, and a mark for a hint; very deep ones keep their last part.
-            paths[number] = f"{paths[outer]}.{tag}{'!' * hinted}"[-200:]
+            # Paths are numbered by their parent's and the tag, whatever their depth; those with a hint are negative.
+            step = numbers.setdefault((paths[outer], tag, hinted), len(numbers) + 1)
+            paths[number] = -step if hinted or paths[outer] < 0 else step
         opened[tag].append(len(stack))
         if number:
             block_at.append(len(stack))
@@ -240,28 +242,28 @@ HINTED = 0.05
 LINKED = 0.5
 
 
-def path_scores(found: list[Block]) -> dict[str, float]:
+def path_scores(found: list[Block]) -> dict[int, float]:
     """For each tag path: smoothed text-to-path ratio fused with its punctuation-to-path ratio, lowered by links and hints."""
-    size: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    links: dict[str, float] = defaultdict(float)
-    nodes: dict[str, int] = defaultdict(int)
+    size: dict[int, float] = defaultdict(float)
+    marks: dict[int, float] = defaultdict(float)
+    links: dict[int, float] = defaultdict(float)
+    nodes: dict[int, int] = defaultdict(int)
     for b in found:
         size[b.path] += max(0, len(b.text) - b.linked)
         links[b.path] += b.linked
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         nodes[b.path] += 1
     ratio = [math.log1p(size[b.path] / nodes[b.path]) * math.log1p(1 + marks[b.path] / nodes[b.path]) for b in found]
-    sums: dict[str, float] = defaultdict(float)
+    sums: dict[int, float] = defaultdict(float)
     for i, b in enumerate(found):
         near = [(w, ratio[i + k]) for k, w in zip((-1, 0, 1), SMOOTHING, strict=True) if 0 <= i + k < len(found)]
         sums[b.path] += sum(w * r for w, r in near) / sum(w for w, _ in near)
     # Paths with more text in all count for more than a single long advert.
     fused = {p: sums[p] / nodes[p] * math.sqrt(math.log1p(nodes[p] + size[p] / 200)) for p in sums}
-    return {p: x * (size[p] + 1) / (size[p] + links[p] + 1) * (HINTED if "!" in p else 1) for p, x in fused.items()}
+    return {p: x * (size[p] + 1) / (size[p] + links[p] + 1) * (HINTED if p < 0 else 1) for p, x in fused.items()}
 
 
-def chosen_paths(found: list[Block]) -> set[str]:
+def chosen_paths(found: list[Block]) -> set[int]:
     """The paths whose score passes."""
     scores = path_scores(found)
     limit = THRESHOLD * max(scores.values())

@@ -26,3 +26,11 @@ def test_what_lies_beside_the_longest_part_stays(outer):
 def test_selected_text_outside_the_article_stays():
     posts = "".join(f"<article><h2>Title {k}</h2><p>{LONG * n}</p></article>" for k, n in enumerate((9, 1)))
     assert html_text.main_text(f"<body><div><a href=/>All posts</a></div>{posts}</body>").split("\n") == ["Title 0", LONG * 9, "Title 1", LONG]
+
+
+def test_paths_stay_apart_however_deep_they_are():
+    """An article and a list of short lines, each below 60 elements of one kind: two paths, not one."""
+    deep = lambda inner, first: f"<{first}>" + "<div>" * 60 + inner + "</div>" * 60 + f"</{first}>"
+    page = html_text.scan(deep("<p>One, two, three. A long text, of many words, goes on here.</p>" * 4, "main") + deep("<p>More</p>" * 9, "section"))
+    assert len({b.path for b in page.blocks}) == 2
+    assert len(html_text.chosen_paths(page.blocks)) == 1
