@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import intent
 from ..functions.text import blank, infer_part, search_text
 from ..streaming import answering
-from . import answers, bm25, fusion, vectors
+from . import answers, bm25, fusion, segments, vectors
 from .lineage import cut
 
 #: What a question's lists hold at least; keyword candidates for each record asked for.
@@ -38,7 +38,8 @@ def semantic_query(questions: DataFrame, records: DataFrame, embedded: DataFrame
     A question or record without a vector is searched by its words alone.  Ids
     may have any type.  With ``namespace``, only records of it are searched, and
     counted in the statistics of words.  ``keywords`` is the folder of a saved
-    keyword index of the same records, which is read in place of their texts.
+    keyword index (``segments``), which is read in place of the records' texts;
+    its statistics are those of all that it holds.
     """
     if namespace is not None:
         records = in_namespace(records, namespace)
@@ -57,7 +58,7 @@ def semantic_query(questions: DataFrame, records: DataFrame, embedded: DataFrame
     if keywords is None:
         found = bm25.search(asked, records.select("doc_id", words.alias("words")), "doc_id", "words", None).drop("rank")
     else:
-        found = bm25.search_index(asked, keywords, "doc_id", None).drop("rank")
+        found = segments.search(asked, keywords, "doc_id", None, within=records.select("doc_id")).drop("rank")
     hinted = asked.select("question_id", intent.part_hint(q).alias("hint"))
     in_part = found.join(full.select("doc_id", "part"), "doc_id").join(hinted, "question_id").where("hint = '' or part = '' or part = hint")
     keyword = bm25.ranked(in_part, "doc_id", max(top_k * KEYWORD_FACTOR, LEAST_CANDIDATES))

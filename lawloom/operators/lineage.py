@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as written to spark.checkpoint.dir, without its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local session without that setting gets one of its own.
 
-    A local session without that setting gets a folder of its own.  On a cluster
-    a folder of one machine would lose data, so there it is an error.
+    On a cluster a folder of one machine would lose data, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lawloom-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared folder, without its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean_text, url_slug
-from ..operators import answers, asking, bm25, logical, sections, trees, versions
+from ..operators import answers, asking, lineage, logical, sections, segments, trees, versions
 from ..streaming import answering
 from . import queries as base
 
@@ -97,9 +99,13 @@ def issue_dates(spark, sf_dir):
 
 
 def bm25_removed(spark, sf_dir):
-    """Keyword search after every third document was removed: their terms don't count any more."""
-    docs = base.table(spark, sf_dir, "documents").where("doc_id % 3 > 0 or doc_id is null")
-    found = bm25.search(base.questions(spark, sf_dir), docs, "doc_id", "text", 10)
+    """Keyword search in a growing index: documents come in two batches, some of them once more, and every third is removed again."""
+    path = f"{lineage.shared_dir(spark)}/keywords-{uuid.uuid4().hex}"
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    segments.add(docs.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 4 > 0, F.col("text")).otherwise("an earlier text")), path, "doc_id", "text")
+    segments.add(docs.where("doc_id % 2 > 0 or doc_id % 4 = 0"), path, "doc_id", "text")
+    segments.remove(docs.where("doc_id % 3 = 0"), path, "doc_id")
+    found = segments.search(base.questions(spark, sf_dir), path, "doc_id", 10)
     return found.select("question_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -227,7 +233,7 @@ SELECT page_id, regexp_replace(CASE WHEN tail = '' THEN 'page' ELSE tail END, '[
     "document_changes": f"""WITH n AS (SELECT doc_id, {base.CLEANED.format("text")} AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT -item_id - 1, coalesce(text, '') FROM benchmark)
 SELECT coalesce(d.doc_id, n.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.t <> coalesce(d.text, '') THEN 'changed' ELSE 'same' END AS change, sha256(n.t) AS new_hash
 FROM documents d FULL JOIN n ON d.doc_id = n.doc_id""",
-    "bm25_removed": f"WITH {base.BM25.replace('FROM documents', 'FROM documents WHERE doc_id % 3 > 0 OR doc_id IS NULL')} SELECT question_id, doc_id, round(score, 4) AS score, rank FROM kwr WHERE rank <= 10",
+    "bm25_removed": f"WITH {base.BM25.replace('FROM documents', 'FROM documents WHERE doc_id % 3 > 0')} SELECT question_id, doc_id, round(score, 4) AS score, rank FROM kwr WHERE rank <= 10",
     "semantic_query": f"WITH {SEMANTIC} SELECT question_id, doc_id, round(final, 4) AS final, rank, part FROM g",
     "answer_questions": f"""WITH {SEMANTIC},
 fit AS (SELECT g.*, hint <> '' AND part = hint AS fits, max(CASE WHEN hint <> '' AND part = hint THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS any_fits FROM g JOIN hints USING (question_id)),

@@ -12,7 +12,7 @@ from test_limits import n, plain_merge, plain_pieces
 
 from lawloom.__main__ import main
 from lawloom.functions.text import url_slug
-from lawloom.operators import asking, bm25, ingest, logical, sections, trees
+from lawloom.operators import asking, bm25, ingest, logical, sections, segments, trees
 
 PARAS = "doc_id long, section string, n long, node_id string, text string"
 
@@ -241,7 +241,9 @@ def test_ingest(spark, tmp_path):
     records, embedded = ingest.open_index(spark, f"{tmp_path}/2")
     asked = spark.createDataFrame([(1, "loans in part 603", [3.0, 1.0])], "question_id long, question string, vector array<double>")
     assert asking.semantic_query(asked, records, embedded, 2).where("rank = 1").first().doc_id == 3
-    assert {x.doc_id for x in bm25.search_index(asked, f"{tmp_path}/2/keywords", "doc_id").collect()} == {1, 2, 3, 4}
+    assert {x.doc_id for x in segments.search(asked, f"{tmp_path}/2/keywords", "doc_id").collect()} == {1, 2, 3, 4}
+    saved = asking.semantic_query(asked, records, embedded, 4, keywords=f"{tmp_path}/2/keywords").select("doc_id", "rank", F.round("final", 5).alias("f"))
+    assert sorted(saved.collect()) == sorted(asking.semantic_query(asked, records, embedded, 4).select("doc_id", "rank", F.round("final", 5).alias("f")).collect())
     with pytest.raises(ValueError, match="no vector"):
         ingest.ingest(_record(spark, [99]), vectors, f"{tmp_path}/3")
     with pytest.raises(ValueError, match="dimensions"):
@@ -250,6 +252,52 @@ def test_ingest(spark, tmp_path):
         ingest.open_index(spark, f"{tmp_path}/4")
 
 
+def test_the_last_write_stands_with_its_own_vector(spark, tmp_path):
+    twice = _record(spark, [1, 1, 2]).withColumn("seq", F.monotonically_increasing_id())
+    rows = [("zzz old", 1, 1), ("aaa new", 1, 2), ("two", 2, 1)]
+    writes = spark.createDataFrame(rows, "content string, doc_id long, seq long")
+    writes = writes.join(twice.drop("content", "seq").dropDuplicates(["doc_id"]), "doc_id")
+    vectors = spark.createDataFrame([(1, 1, [9.0, 9.0]), (1, 2, [0.0, 1.0]), (2, 1, [1.0, 1.0])], "doc_id long, seq long, vector array<double>")
+    ingest.ingest(writes, vectors, f"{tmp_path}/1", order="seq")
+    records, embedded = ingest.open_index(spark, f"{tmp_path}/1")
+    assert {r.doc_id: r.content for r in records.collect()} == {1: "aaa new", 2: "two"}
+    assert {r.doc_id: r.vector for r in embedded.collect()} == {1: [0.0, 1.0], 2: [1.0, 1.0]}
+    with pytest.raises(ValueError, match="different rows"):
+        ingest.ingest(writes.drop("seq"), vectors.where("seq = 1").drop("seq"), f"{tmp_path}/1")
+    with pytest.raises(PySparkException):
+        ingest.open_index(spark, f"{tmp_path}/1")
+
+
+def test_growing_index_equals_one_made_anew(spark, tmp_path):
+    """Adding, adding again, removing and compacting in turn, against BM25 over what is left."""
+    rng = random.Random(4)
+    path, live = str(tmp_path / "k"), {}
+    asked = spark.createDataFrame([(1, "apple bear apple"), (2, "dog 668.32"), (3, "nothing here"), (4, None)], "question_id long, question string")
+    text = lambda: " ".join(rng.choice(("apple", "bear", "cat", "dog", "668.32", "eel")) for _ in range(rng.randint(0, 9)))
+    for turn in range(6):
+        if turn in (2, 4):
+            gone = rng.sample(sorted(live), 3)
+            segments.remove(spark.createDataFrame([(k,) for k in [*gone, "unknown"]], "k string"), path, "k")
+            live = {k: t for k, t in live.items() if k not in gone}
+        elif turn == 5:
+            segments.compact(spark, path, "k")
+        else:
+            new = {f"k{i}": text() for i in rng.sample(range(20), 9)}
+            rows = [*((k, "overwritten apple", 1) for k in new), *((k, t, 2) for k, t in new.items()), (" ", "apple", 1), (None, "apple", 1)]
+            segments.add(spark.createDataFrame(rows, "k string, t string, o int"), path, "k", "t", "o")
+            live |= new
+        # A segment that was never finished isn't there.
+        segments.bm25.postings(spark.createDataFrame([("x", "apple")], "k string, t string"), "k", "t").write.mode("overwrite").parquet(f"{path}/segment-99/postings")
+        want = bm25.search(asked, spark.createDataFrame(list(live.items()), "k string, t string"), "k", "t", 5)
+        got = segments.search(asked, path, "k", 5)
+        shown = lambda f: sorted((r.question_id, r.k, r["rank"], round(r.score, 6)) for r in f.collect())
+        assert shown(got) == shown(want) and segments.size(spark, path, "k") == len(live)
+    some = spark.createDataFrame([("k1",), ("k3",)], "k string")
+    assert {r.k for r in segments.search(asked, path, "k", 5, within=some).collect()} <= {"k1", "k3"}
+    opened = segments.search(asked.where("question_id = 2"), path, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in opened or "bucket#" in opened and "IN (" in opened
+
+
 def test_slugs(spark):
     urls = ["https://a.org/x/y%20z.html?q#f", "https://a.org", "https://a.org/", "https://a.org/a/b;c", None, "/p/q r/", "https://a.org/a//"]
     found = spark.createDataFrame([(u,) for u in urls], "u string").select(url_slug(F.col("u")).alias("s")).collect()
