@@ -135,3 +135,13 @@ def target_section(paragraphs: DataFrame, by: str, section: str = "section", pos
     counted = paragraphs.where(F.col(section).isNotNull()).groupBy(by, section).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
     return counted.withColumn("_k", best).where("_k = 1").select(by, section, "n")
+
+
+def rollup(chunks: DataFrame, section: str, depth: str, text: str) -> DataFrame:
+    """(section, depth, level, n, chars, tokens, min_tokens, max_tokens): sums for each section and depth (level 0), each section (1) and all (3).
+
+    Null sections are a section of their own; ``level`` tells them from the sums over all.
+    """
+    sized = chunks.select(F.col(section).alias("section"), F.col(depth).alias("depth"), F.char_length(blank(F.col(text))).alias("chars"), F.size(word_tokens(F.col(text))).alias("tokens"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"), F.min("tokens").alias("min_tokens"), F.max("tokens").alias("max_tokens")]
+    return sized.rollup("section", "depth").agg(F.grouping_id().alias("level"), *sums)

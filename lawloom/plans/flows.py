@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean_text, url_slug
-from ..operators import answers, asking, lineage, logical, sections, segments, trees, versions
+from ..operators import answers, asking, chunks, lineage, logical, sections, segments, trees, versions
 from ..streaming import answering
 from . import queries as base
 
@@ -122,6 +122,33 @@ def document_changes(spark, sf_dir):
     return versions.changes(old, new.unionByName(added), "doc_id", "text").select("doc_id", "change", "new_hash")
 
 
+def level_rollup(spark, sf_dir):
+    """Chunks, characters and tokens of each part and depth, of each part and of all."""
+    c = chunks.level_chunks(chunks.paragraphs(base.table(spark, sf_dir, "documents"))).withColumn("part", (F.lit(600) + F.col("doc_id") % 100).cast("string"))
+    found = chunks.rollup(c, "part", "depth", "text")
+    return found.select(F.col("section").alias("part"), *[F.col(x).cast("long").alias(x) for x in ("depth", "level", "n", "chars", "tokens", "min_tokens", "max_tokens")])
+
+
+#: Three days of deliveries.
+DAYS = ("2026-01-01", "2026-01-02", "2026-01-03")
+
+
+def chunk_versions(spark, sf_dir):
+    """Documents delivered whole on one day, cleaned and in part on the next, with some withdrawn on the third: every version and how long it held."""
+    docs = base.table(spark, sf_dir, "documents").select(F.col("source").alias("namespace"), "doc_id", "text", F.lit(1).alias("seq"))
+    day = [F.lit(d).cast("date") for d in DAYS]
+    keys, content = ["namespace", "doc_id"], ["text"]
+    history = versions.begin_versions(docs, keys, content, day[0])
+    history = versions.merge_versions(history, docs, keys, content, day[0], "seq")
+    again = docs.where("doc_id % 3 > 0").withColumn("text", clean_text(F.col("text")))
+    # Each key twice: the later write stands.
+    writes = again.withColumn("text", F.lit("overwritten")).unionByName(again.withColumn("seq", F.lit(2)))
+    history = versions.merge_versions(history, writes, keys, content, day[1], "seq", complete=True)
+    gone = docs.where("doc_id % 5 = 0").withColumn("deleted", F.lit(True))
+    history = versions.merge_versions(history, gone, keys, content, day[2], "seq", deleted="deleted")
+    return history.select(*keys, F.md5(blank(F.col("text")).cast("binary")).alias("text_md5"), *[F.col(c).cast("string").alias(c) for c in versions.SPAN])
+
+
 def _flow(spark, sf_dir):
     """(questions, records, vectors): questions with the vector of their own id, some of them small talk."""
     q = base.asked_questions(spark, sf_dir).withColumn("question", F.when(F.col("question_id") % 16 == 5, "Who are you?").otherwise(F.col("question")))
@@ -165,7 +192,7 @@ def answer_questions(spark, sf_dir):
     return found.select("question_id", "out_of_scope", "by_model", _md5("answer"))
 
 
-QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, semantic_query, request_outcomes, answer_questions)}
+QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, level_rollup, chunk_versions, semantic_query, request_outcomes, answer_questions)}
 
 #: How deep the labels of paragraphs go in the SQL for whole trees.
 DEEPEST = 6
@@ -198,6 +225,13 @@ fused AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY question_id) AS base FROM
 g AS (SELECT question_id, doc_id, final, rank, full_part AS part FROM r WHERE rank <= 10 QUALIFY max(final) OVER (PARTITION BY question_id) >= 0.23)"""
 
 ORACLE_SQL = {
+    "level_rollup": f"""WITH {base.LEVELS}, sized AS (SELECT CAST(600 + doc_id % 100 AS VARCHAR) AS part, depth, length(text) AS c, len({base.WORDS.format('text')}) AS t FROM levels)
+SELECT part, depth::BIGINT AS depth, GROUPING(part, depth)::BIGINT AS level, count(*) AS n, sum(c)::BIGINT AS chars, sum(t)::BIGINT AS tokens, min(t)::BIGINT AS min_tokens, max(t)::BIGINT AS max_tokens FROM sized GROUP BY ROLLUP (part, depth)""",
+    "chunk_versions": f"""WITH d AS (SELECT source AS namespace, doc_id, text, CASE WHEN doc_id % 3 > 0 THEN {base.CLEANED.format("text")} END AS again FROM documents WHERE trim(source) <> '' AND doc_id IS NOT NULL),
+one AS (SELECT *, CASE WHEN doc_id % 3 = 0 OR again <> coalesce(text, chr(0)) THEN '{DAYS[1]}' WHEN doc_id % 5 = 0 THEN '{DAYS[2]}' END AS valid_to FROM d),
+two AS (SELECT namespace, doc_id, again AS text, '{DAYS[1]}' AS valid_from, CASE WHEN doc_id % 5 = 0 THEN '{DAYS[2]}' END AS valid_to FROM d WHERE doc_id % 3 > 0 AND again <> coalesce(text, chr(0)))
+SELECT namespace, doc_id, md5(coalesce(text, '')) AS text_md5, '{DAYS[0]}' AS valid_from, valid_to FROM one
+UNION ALL SELECT namespace, doc_id, md5(text), valid_from, valid_to FROM two""",
     "section_tree": f"WITH {TREE} SELECT doc_id, array_to_string(path, '/') AS path, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS seq, node_id, md5(text) AS text_md5 FROM tree",
     "subtree_texts": f"WITH {SUBTREES} SELECT doc_id, array_to_string(path, '/') AS path, md5(text) AS text_md5 FROM whole",
     "section_chunks": f"""WITH {SUBTREES}, named AS (SELECT doc_id, min(section) AS section FROM marked GROUP BY doc_id),
