@@ -56,7 +56,7 @@ STAGES = [
     ("bpe_encoding", encode_tokens),
 ]
 
-#: SQL can't express these stages; the tests compare each with a brute-force version.
+#: SQL can't express these stages; tests/llm/test_pipeline.py compares each with a brute-force version, the library or the model's own scores.
 ORACLE_SQL = None
 
 
