@@ -52,7 +52,7 @@ def record_ids(spark, sf_dir):
 
 
 def page_sources(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.source_name(F.col("url")).alias("source_name"), F.md5(text.snippet(F.regexp_replace(F.col("html"), r"(?is)<(script|style|nav)\b.*?</(script|style|nav)>", "")).cast("binary")).alias("snippet_md5"))
+    return table(spark, sf_dir, "pages").select("page_id", text.source_name(F.col("url")).alias("source_name"), F.md5(text.snippet(F.regexp_replace(F.col("html"), r"(?is)<(script|style|nav)\b.*?</\1\s*>", "")).cast("binary")).alias("snippet_md5"))
 
 
 def page_links(spark, sf_dir):
@@ -453,7 +453,7 @@ ORACLE_SQL = {
     "clean_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g')), '\(\s*([^)]+?)\s*\)', '(\1)', 'g'), '\s+([,;:.])', '\1', 'g'))) AS clean_md5 FROM documents""",
     "token_counts": f"SELECT doc_id, len({WORDS.format('text')}) AS token_count, len({TOKENS.format('text')}) AS search_tokens, length(coalesce(text, '')) AS char_count FROM documents",
     "record_ids": f"WITH {RECORDS} SELECT doc_id, substr(sha256(section_ref || '|' || coalesce(source_url, '') || '|' || coalesce(content, '')), 1, 32) AS chunk_id, '§' || part || '(a)(' || part || ')' AS ref FROM records",
-    "page_sources": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', '') AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_replace(html, '(?is)<(script|style|nav)\b.*?</(script|style|nav)>', '', 'g') AS bare FROM pages)
+    "page_sources": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', '') AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>', '', 'g') AS bare FROM pages)
 SELECT page_id, host || '::' || regexp_extract(path, '([^/]*)$', 1) AS source_name, md5(CASE WHEN length(bare) > 300 THEN substr(bare, 1, 300) || '...' ELSE bare END) AS snippet_md5 FROM p""",
     "page_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos FROM pages) SELECT page_id, href, min(pos) AS first_pos FROM l GROUP BY page_id, href""",
     "whole_paragraphs": f"""WITH b AS (SELECT page_id, regexp_extract_all({BARE}, chr(1) || '([^' || chr(1) || chr(2) || ']*)', 1) AS ps FROM pages), l AS (SELECT page_id, unnest(ps) AS raw, generate_subscripts(ps, 1) - 1 AS pos FROM b), t AS (SELECT page_id, pos, trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g')) AS body FROM l) SELECT page_id, pos, md5(body) AS body_md5 FROM t WHERE body <> ''""",

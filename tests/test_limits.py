@@ -3,6 +3,7 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import Row
 
 from lawloom.operators import answers, limits
@@ -82,6 +83,20 @@ def test_bundles(spark, tmp_path):
     assert {(r.section, r.n_chunks) for r in bundles.manifest(rows, "section").collect()} == {("s", 1), (None, 1)}
 
 
+def test_lists_counts_and_errors_of_bundles(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"chunk_id": "2", "text": "two"}, {"chunk_id": "1", "text": "one"}, {"chunk_id": "3", "text": "request access"}, {"chunk_id": "4"}]))
+    (tmp_path / "b.json").write_text(json.dumps({"level_chunks": [{"chunk_id": "5", "text": "five"}]}))
+    rows = bundles.read_bundles(spark, f"{tmp_path}/*.json", strict=True)
+    assert [r.chunk_id for r in rows.orderBy("file", "pos").collect()] == ["2", "1", "5"]
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text(json.dumps({"chunks": [{"text": " "}]}))
+    counts = {r.file[-6:]: (r.loaded, r.skipped) for r in bundles.bundle_counts(spark, f"{tmp_path}/*.json").collect()}
+    assert counts == {"a.json": (2, 2), "b.json": (1, 0), "c.json": (0, 0), "d.json": (0, 1)}
+    assert bundles.read_bundles(spark, f"{tmp_path}/*.json").count() == 3
+    with pytest.raises(ValueError, match=r"c\.json.*d\.json"):
+        bundles.read_bundles(spark, f"{tmp_path}/*.json", strict=True)
+
+
 def test_upserts_of_a_stream(spark, tmp_path):
     schema = "id string, v int, gone boolean"
     for k, part in enumerate([[("a", 1, False), ("b", 1, False), (" ", 1, False)], [("a", 2, False), ("b", 2, True), ("c", 1, None)]]):
