@@ -12,9 +12,10 @@ MARKERS = r"^((?:\([^)]+\)\s*)+)"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, path, text): the lines of a document, two labels deep."""
+    """(doc_id, pos, path, text): the lines of a document, two labels deep: a to z for each five of them, then a1 to z1 and so on, so that no two lines share a path."""
     lines = docs.select("doc_id", F.posexplode(F.split(blank(F.col("text")), "\n")).alias("pos", "text"))
-    label = F.char(F.lit(97) + F.floor(F.col("pos") / 5).cast("int") % 26)
+    block = F.floor(F.col("pos") / 5).cast("int")
+    label = F.concat(F.char(F.lit(97) + block % 26), F.when(block >= 26, F.floor(block / 26).cast("string")).otherwise(""))
     return lines.select("doc_id", "pos", F.array(label, (F.col("pos") % 5 + 1).cast("string")).alias("path"), "text")
 
 

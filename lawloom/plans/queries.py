@@ -406,7 +406,7 @@ both_lists AS (SELECT question_id, doc_id, rank FROM kwr WHERE rank <= 40 UNION
 summed AS (SELECT question_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM both_lists GROUP BY ALL),
 fused AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY question_id) AS base FROM summed)"""
 PARAGRAPHS = r"""lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
-paras AS (SELECT doc_id, pos, text, chr(CAST(97 + (pos // 5) % 26 AS INTEGER)) AS a, CAST(pos % 5 + 1 AS VARCHAR) AS b FROM lines)"""
+paras AS (SELECT doc_id, pos, text, chr(CAST(97 + (pos // 5) % 26 AS INTEGER)) || CASE WHEN pos >= 130 THEN CAST(pos // 130 AS VARCHAR) ELSE '' END AS a, CAST(pos % 5 + 1 AS VARCHAR) AS b FROM lines)"""
 LEVELS = PARAGRAPHS + """,
 up AS (SELECT doc_id, pos, text, a AS path, 1 AS depth FROM paras WHERE text <> '' UNION ALL SELECT doc_id, pos, text, a || '/' || b, 2 FROM paras WHERE text <> ''),
 levels AS (SELECT doc_id, path, depth, count(*) AS n_members, string_agg(text, chr(10) ORDER BY pos) AS text FROM up GROUP BY doc_id, path, depth)"""

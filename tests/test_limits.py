@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import Row
 
-from lawloom.operators import answers, limits
+from lawloom.operators import answers, chunks, limits
 from lawloom.sources import bundles
 from lawloom.streaming import upserts
 
@@ -110,3 +110,8 @@ def test_upserts_of_a_stream(spark, tmp_path):
 def test_footer(spark):
     row = spark.createDataFrame([("plain", "- 1. x"), ("see §1", "- 1. x"), ("", "- 1. x"), ("plain", None)], "a string, f string")
     assert [r[0] for r in row.select(answers.with_footer(row.a, row.f)).collect()] == ["plain\n\nCitations:\n- 1. x", "see §1", "", "plain"]
+
+
+def test_no_two_lines_share_a_path(spark):
+    docs = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(700)))], "doc_id long, text string")
+    assert chunks.paragraphs(docs).select("path").distinct().count() == 700
