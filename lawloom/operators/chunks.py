@@ -58,12 +58,13 @@ def with_overlap(rows: DataFrame, n: int = 20, *keep: str) -> DataFrame:
 
 
 def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """(doc_id, path, pos, chunk_id, n_members, member_ids, token_count, text): siblings below ``least`` tokens on average, packed in order.
+    """(doc_id, path, pos, chunk_id, path_label, n_members, member_ids, token_count, text): siblings below ``least`` tokens on average, packed in order.
 
     A buffer below ``least`` takes the next sibling while both have at most
     ``most`` tokens.  Parents whose children are large enough keep them.  What
     is folded is the children of one parent of one document.  Without a
     ``chunk_id`` of their own, ``rows`` are named by document, path and place.
+    The label of several siblings says how many were merged.
     """
     name = F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("path", "/"), F.col("pos").cast("string"))
     sized = rows.withColumns({"tokens": F.size(word_tokens(F.col("text"))), "chunk_id": F.col("chunk_id") if "chunk_id" in rows.columns else name})
@@ -83,8 +84,9 @@ def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:
     texts = F.transform(F.filter("kin", lambda x: x["text"].rlike(r"\S")), lambda x: x["text"])
     total = F.aggregate("kin", F.lit(0), lambda a, x: a + x["tokens"])
     name = F.when(n > 1, F.concat(first["chunk_id"], F.lit("+"), (n - 1).cast("string"))).otherwise(first["chunk_id"])
+    label = F.concat(F.array_join(first["path"], " > "), F.when(n > 1, F.concat(F.lit(" (merged "), n.cast("string"), F.lit(" siblings)"))).otherwise(""))
     return packed.select(
-        "doc_id", first["path"].alias("path"), first["pos"].alias("pos"), name.alias("chunk_id"), n.alias("n_members"),
+        "doc_id", first["path"].alias("path"), first["pos"].alias("pos"), name.alias("chunk_id"), label.alias("path_label"), n.alias("n_members"),
         F.transform("kin", lambda x: x["chunk_id"]).alias("member_ids"), total.alias("token_count"), F.array_join(texts, "\n\n").alias("text"),
     )
 

@@ -298,7 +298,8 @@ def embedding_summary(spark, sf_dir):
 
 def merge_small_siblings(spark, sf_dir):
     m = chunks.merge_small_siblings(chunks.paragraphs(table(spark, sf_dir, "documents")), 40, 120)
-    return m.select("doc_id", "chunk_id", F.col("n_members").cast("long").alias("n_members"), F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("n_members", "token_count")]
+    return m.select("doc_id", "chunk_id", "path_label", *longs, F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def answer_cache_ttl(spark, sf_dir):
@@ -516,7 +517,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a ORDER BY b, pos) AS rn
 f AS (SELECT doc_id, a, rn, t AS held, 1 AS n FROM r WHERE rn = 1
   UNION ALL SELECT r.doc_id, r.a, r.rn, CASE WHEN mean < 40 AND held < 40 AND held + t <= 120 THEN held + t ELSE t END, CASE WHEN mean < 40 AND held < 40 AND held + t <= 120 THEN n ELSE n + 1 END
   FROM f JOIN r ON r.doc_id = f.doc_id AND r.a = f.a AND r.rn = f.rn + 1)
-SELECT doc_id, doc_id || ':' || a || '/' || arg_min(b, rn) || ':' || arg_min(pos, rn) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS chunk_id, count(*) AS n_members, CAST(sum(t) AS BIGINT) AS token_count, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rn) FILTER (regexp_matches(text, '\S')), '')) AS text_md5
+SELECT doc_id, doc_id || ':' || a || '/' || arg_min(b, rn) || ':' || arg_min(pos, rn) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS chunk_id,
+  a || ' > ' || arg_min(b, rn) || CASE WHEN count(*) > 1 THEN ' (merged ' || count(*) || ' siblings)' ELSE '' END AS path_label, count(*) AS n_members, CAST(sum(t) AS BIGINT) AS token_count, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rn) FILTER (regexp_matches(text, '\S')), '')) AS text_md5
 FROM f JOIN r USING (doc_id, a, rn) GROUP BY doc_id, a, n""",
     "answer_cache_ttl": f"WITH {SPACED.format('> 1800000000')} SELECT event_type, event_id, NOT opened AS from_cache, us - last AS elapsed_us FROM f",
     "llm_cooldown": f"WITH {SPACED.format('>= 45000000')} SELECT event_type, event_id, NOT opened AS skipped, CASE WHEN NOT opened THEN CAST(floor((45000000 - (us - last)) / 1000000) AS BIGINT) END AS retry_after FROM f",
