@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BEFORE_SIGN, IN_BRACKETS, NODE_ID, blank, clean_text
+from ..functions.text import BEFORE_SIGN, IN_BRACKETS, NODE_ID, blank
 from ..functions.text import source_name as named_source
 from . import chunks
 
@@ -31,6 +31,8 @@ ENDS = {
     "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)), **{h: (HEADINGS, ()) for h in HEADINGS},
 }
 
+#: Sources of which the results are in memory together.
+ROWS_AT_ONCE = 64
 #: The same white space as ``functions.text.WHITE``: that of ASCII and Unicode's separators.
 _WHITE = re.compile("[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _BRACKETS, _SIGN = re.compile(IN_BRACKETS, re.ASCII), re.compile(BEFORE_SIGN, re.ASCII)
@@ -224,7 +226,7 @@ def _rows(source: DataFrame, key: str, columns: list[str], read: Callable[..., t
     schema = f"page_key {dict(source.dtypes)[key]}, {fields}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             out: list[tuple] = []
             for at, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out += [(at, *row) for row in read(*values)]
