@@ -12,6 +12,8 @@ its own terms only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from . import bm25
 
 #: Folders of one segment's postings.
 BUCKETS = 64
+#: So many terms of questions are sent to every task; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 ADDED, REMOVED, COMPACTED = "added", "removed", "compacted"
 MANIFEST = "segment long, kind string"
 
@@ -95,12 +99,13 @@ def _read(spark: SparkSession, path: str, listed: list[tuple[int, str]], kinds:
     return out
 
 
-def _living(spark: SparkSession, path: str, key: str, what: str) -> DataFrame:
-    """Rows of ``lengths`` or ``postings`` that live, without their segment."""
+def _living(spark: SparkSession, path: str, key: str, what: str, asked: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Rows of ``lengths`` or ``postings`` that live, without their segment; only those that ``asked`` leaves are compared with what died."""
     listed = _segments(spark, path)
     rows = _read(spark, path, listed, (ADDED, COMPACTED), what)
     if rows is None:
         raise ValueError(f"no keyword index under {path}")
+    rows = asked(rows)
     if len(listed) > 1:
         # What died: few keys beside all, of which only their segments' numbers are compared.
         events = _read(spark, path, listed, (ADDED, COMPACTED), "lengths").select(key, "segment")
@@ -120,7 +125,8 @@ def search(questions: DataFrame, path: str, key: str, top_k: int | None = 10, mi
     spark = questions.sparkSession
     terms = bm25._terms(questions)
     opened = [r.b for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS numbers at most
-    found = _living(spark, path, key, "postings").where(F.col("bucket").isin(opened)).join(terms.select("term").distinct(), "term", "left_semi").drop("bucket")
+    wanted = F.broadcast(terms.select("term").distinct()) if terms.count() <= BROADCAST_TERMS else terms.select("term").distinct()
+    found = _living(spark, path, key, "postings", lambda rows: rows.where(F.col("bucket").isin(opened)).join(wanted, "term", "left_semi").drop("bucket"))
     stats = _living(spark, path, key, "lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
     if within is None:
         return bm25._scored(terms, found, stats, key, top_k, min_score)
