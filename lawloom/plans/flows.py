@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, clean_text, url_slug
-from ..operators import answers, asking, chunks, lineage, logical, sections, segments, trees, versions
+from ..operators import answers, asking, chunks, lineage, logical, sections, segments, trees, vectors, versions
 from ..streaming import answering
 from . import queries as base
 
@@ -109,6 +109,17 @@ def bm25_removed(spark, sf_dir):
     return found.select("question_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def knn_scoped(spark, sf_dir):
+    """Nearest vectors of the same label from a saved table of vectors; some questions name none, or one that has no vectors."""
+    path = f"{lineage.shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    e = base.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label"))
+    vectors.save(e, path, "vec_id", "label")
+    named = F.when(F.col("vec_id") % 700 == 0, F.lit("none")).when(F.col("vec_id") % 500 != 0, F.col("label"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), "vector", named.alias("label"))
+    found = vectors.nearest_saved(q, path, 10, "vec_id", "label")
+    return found.select("question_id", "vec_id", F.round("score", 4).alias("score"), (F.col("branch") == 0).alias("in_scope"), F.col("rank").cast("long").alias("rank"))
+
+
 def page_slugs(spark, sf_dir):
     return base.table(spark, sf_dir, "pages").select("page_id", url_slug(F.col("url")).alias("slug"))
 
@@ -158,8 +169,7 @@ def _flow(spark, sf_dir):
         "source_name": F.when(F.col("doc_id") % 2 == 0, F.col("namespace")), "source_type": F.lit("regulation"),
         "part": F.when(F.col("doc_id") % 5 > 0, F.col("part")),
     })
-    vectors = own.select(F.col("question_id").alias("doc_id"), "vector")
-    return q.join(own, "question_id", "left"), r, vectors
+    return q.join(own, "question_id", "left"), r, own.select(F.col("question_id").alias("doc_id"), "vector")
 
 
 def semantic_query(spark, sf_dir):
@@ -187,12 +197,12 @@ def request_outcomes(spark, sf_dir):
 
 def answer_questions(spark, sf_dir):
     """Questions to cited answers."""
-    questions, records, vectors = _flow(spark, sf_dir)
-    found = asking.answer(questions, asking.scoped(asking.semantic_query(questions, records, vectors)), _said)
+    questions, records, embedded = _flow(spark, sf_dir)
+    found = asking.answer(questions, asking.scoped(asking.semantic_query(questions, records, embedded)), _said)
     return found.select("question_id", "out_of_scope", "by_model", _md5("answer"))
 
 
-QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, level_rollup, chunk_versions, semantic_query, request_outcomes, answer_questions)}
+QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, knn_scoped, level_rollup, chunk_versions, semantic_query, request_outcomes, answer_questions)}
 
 #: How deep the labels of paragraphs go in the SQL for whole trees.
 DEEPEST = 6
@@ -225,6 +235,11 @@ fused AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY question_id) AS base FROM
 g AS (SELECT question_id, doc_id, final, rank, full_part AS part FROM r WHERE rank <= 10 QUALIFY max(final) OVER (PARTITION BY question_id) >= 0.23)"""
 
 ORACLE_SQL = {
+    "knn_scoped": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CAST(label AS VARCHAR) AS label FROM embeddings),
+q AS (SELECT vec_id AS question_id, v, CASE WHEN vec_id % 700 = 0 THEN 'none' WHEN vec_id % 500 <> 0 THEN label END AS label FROM e WHERE vec_id % 100 = 0),
+f AS (SELECT *, label IS NOT NULL AND label <> '' AND label IN (SELECT label FROM e) AS in_scope FROM q),
+r AS (SELECT question_id, vec_id, in_scope, list_cosine_similarity(f.v, e.v) AS score FROM f JOIN e ON NOT in_scope OR f.label = e.label)
+SELECT question_id, vec_id, round(score, 4) AS score, coalesce(in_scope, false) AS in_scope, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM r QUALIFY rank <= 10""",
     "level_rollup": f"""WITH {base.LEVELS}, sized AS (SELECT CAST(600 + doc_id % 100 AS VARCHAR) AS part, depth, length(text) AS c, len({base.WORDS.format('text')}) AS t FROM levels)
 SELECT part, depth::BIGINT AS depth, GROUPING(part, depth)::BIGINT AS level, count(*) AS n, sum(c)::BIGINT AS chars, sum(t)::BIGINT AS tokens, min(t)::BIGINT AS min_tokens, max(t)::BIGINT AS max_tokens FROM sized GROUP BY ROLLUP (part, depth)""",
     "chunk_versions": f"""WITH d AS (SELECT source AS namespace, doc_id, text, CASE WHEN doc_id % 3 > 0 THEN {base.CLEANED.format("text")} END AS again FROM documents WHERE trim(source) <> '' AND doc_id IS NOT NULL),
