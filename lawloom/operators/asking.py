@@ -17,6 +17,8 @@ from .lineage import cut
 LEAST_EXACT, LEAST_CANDIDATES, KEYWORD_FACTOR = 3, 20, 4
 #: Fused candidates that are reranked for each record asked for: both lists are merged for twice as many records, and a merge keeps twice what it is asked for.
 FUSED_FACTOR = 4
+#: So many fused candidates are sent to every task, so that records' texts stay where they are; more are joined by a shuffle.
+BROADCAST_CANDIDATES = 200_000
 
 
 def in_namespace(rows: DataFrame, namespace: str, column: str = "namespace") -> DataFrame:
@@ -65,6 +67,9 @@ def semantic_query(questions: DataFrame, records: DataFrame, embedded: DataFrame
 
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("rrf", 8)), "doc_id")
     fused = fusion.fuse(keyword, near, key="doc_id").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top_k * FUSED_FACTOR).drop("_k")
+    # A few rows for each question; without their lineage, nobody after this computes the searches again.
+    fused = cut(fused)
+    fused = F.broadcast(fused) if fused.count() <= BROADCAST_CANDIDATES else fused
     matches = fused.join(full, "doc_id").join(asked.select("question_id", "question"), "question_id")
     return fusion.gate(fusion.rerank(matches, top_k))
 
@@ -85,6 +90,7 @@ def answer(questions: DataFrame, matches: DataFrame, complete: Callable[[DataFra
     has none.  Without it, or where its answer is null, the answer lists the
     first citations; a question without a match gets the unknown answer.
     """
+    matches = cut(matches)
     cited = answers.citations(matches)
     listed = answers.retrieval_answers(questions, cited).withColumnRenamed("answer", "listed")
     out = listed.join(matches.select("question_id").distinct().withColumn("_in", F.lit(True)), "question_id", "left")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import search_tokens
 
 K1, B = 1.5, 0.75
+#: So many terms of questions are sent to every task; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,6 +37,12 @@ def _terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _wanted(terms: DataFrame) -> DataFrame:
+    """The distinct terms of questions, marked for broadcast where they are few."""
+    wanted = terms.select("term").distinct()
+    return F.broadcast(wanted) if terms.count() <= BROADCAST_TERMS else wanted
+
+
 def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: int | None = 10, min_score: float = 0.0) -> DataFrame:
     """(question_id, key, score, rank) of the best documents for each question (question_id, question).
 
@@ -43,7 +51,7 @@ def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: in
     """
     terms = _terms(questions)
     tokens = docs.select(key, search_tokens(F.col(text)).alias("tokens"))
-    asked = tokens.select(key, F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = tokens.select(key, F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).join(_wanted(terms), "term", "left_semi")
     # Terms that nobody asks for go before anything is grouped.
     asked = asked.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return _scored(terms, asked, corpus_stats(docs, text), key, top_k, min_score)
@@ -79,4 +87,4 @@ def search_index(questions: DataFrame, path: str, key: str, top_k: int | None =
         found, lengths = (x.join(removed.select(key), key, "left_anti") for x in (found, lengths))
     terms = _terms(questions)
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
-    return _scored(terms, found.join(terms.select("term").distinct(), "term", "left_semi"), stats, key, top_k, min_score)
+    return _scored(terms, found.join(_wanted(terms), "term", "left_semi"), stats, key, top_k, min_score)

@@ -22,8 +22,6 @@ from . import bm25
 
 #: Folders of one segment's postings.
 BUCKETS = 64
-#: So many terms of questions are sent to every task; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 ADDED, REMOVED, COMPACTED = "added", "removed", "compacted"
 MANIFEST = "segment long, kind string"
 
@@ -125,7 +123,7 @@ def search(questions: DataFrame, path: str, key: str, top_k: int | None = 10, mi
     spark = questions.sparkSession
     terms = bm25._terms(questions)
     opened = [r.b for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS numbers at most
-    wanted = F.broadcast(terms.select("term").distinct()) if terms.count() <= BROADCAST_TERMS else terms.select("term").distinct()
+    wanted = bm25._wanted(terms)
     found = _living(spark, path, key, "postings", lambda rows: rows.where(F.col("bucket").isin(opened)).join(wanted, "term", "left_semi").drop("bucket"))
     stats = _living(spark, path, key, "lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
     if within is None:
