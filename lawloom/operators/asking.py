@@ -62,7 +62,7 @@ def semantic_query(questions: DataFrame, records: DataFrame, embedded: DataFrame
     else:
         found = segments.search(asked, keywords, "doc_id", None, within=records.select("doc_id")).drop("rank")
     hinted = asked.select("question_id", intent.part_hint(q).alias("hint"))
-    in_part = found.join(full.select("doc_id", "part"), "doc_id").join(hinted, "question_id").where("hint = '' or part = '' or part = hint")
+    in_part = found.join(full.select("doc_id", "part").hint("shuffle_hash"), "doc_id").join(hinted, "question_id").where("hint = '' or part = '' or part = hint")
     keyword = bm25.ranked(in_part, "doc_id", max(top_k * KEYWORD_FACTOR, LEAST_CANDIDATES))
 
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("rrf", 8)), "doc_id")

@@ -37,10 +37,13 @@ def _terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _wanted(terms: DataFrame) -> DataFrame:
-    """The distinct terms of questions, marked for broadcast where they are few."""
+def _few(terms: DataFrame) -> bool:
+    return terms.count() <= BROADCAST_TERMS
+
+
+def _wanted(terms: DataFrame, few: bool) -> DataFrame:
     wanted = terms.select("term").distinct()
-    return F.broadcast(wanted) if terms.count() <= BROADCAST_TERMS else wanted
+    return F.broadcast(wanted) if few else wanted
 
 
 def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: int | None = 10, min_score: float = 0.0) -> DataFrame:
@@ -48,25 +51,42 @@ def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: in
 
     A term that a question repeats counts each time.  Ties go to the smaller key.
     Scores below ``min_score`` are left out.
+
+    Texts are dealt by their key and meet the questions' terms there, so that
+    what a document scores is summed, and each task's best are chosen, before
+    anything travels again.  How many documents have a term is counted apart,
+    from each text's distinct terms.
     """
     terms = _terms(questions)
-    tokens = docs.select(key, search_tokens(F.col(text)).alias("tokens"))
-    asked = tokens.select(key, F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).join(_wanted(terms), "term", "left_semi")
+    few = _few(terms)
+    wanted = _wanted(terms, few)
+    dealt = docs.select(key, F.col(text).alias("_text"))
+    dealt = dealt.repartition(key) if few else dealt
+    tokens = dealt.select(key, search_tokens(F.col("_text")).alias("tokens"))
+    asked = tokens.select(key, F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).join(wanted, "term", "left_semi")
     # Terms that nobody asks for go before anything is grouped.
     asked = asked.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return _scored(terms, asked, corpus_stats(docs, text), key, top_k, min_score)
+    df = docs.select(F.explode(F.array_distinct(search_tokens(F.col(text)))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(terms, asked, df, corpus_stats(docs, text), key, top_k, min_score, few)
 
 
-def _scored(terms: DataFrame, asked: DataFrame, stats: DataFrame, key: str, top_k: int | None, min_score: float) -> DataFrame:
-    """The ranked scores of postings ``asked`` for questions' ``terms``; ``stats`` is one row of the corpus."""
-    weights = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
+def _scored(terms: DataFrame, asked: DataFrame, df: DataFrame, stats: DataFrame, key: str, top_k: int | None, min_score: float, few: bool) -> DataFrame:
+    """The ranked scores of postings ``asked`` for questions' ``terms``; ``df`` counts documents of each term, ``stats`` is one row of the corpus."""
+    weights = df.crossJoin(F.broadcast(stats))
     weights = weights.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    matched = asked.join(weights, "term").join(terms, "term")
+    weighed = terms.join(weights, "term")
+    matched = asked.join(F.broadcast(weighed) if few else weighed, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
     scored = matched.groupBy("question_id", key).agg(F.sum(part).alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
     return ranked(scored, key, top_k)
 
 
+def _of_postings(terms: DataFrame, found: DataFrame, stats: DataFrame, key: str, top_k: int | None, min_score: float, few: bool) -> DataFrame:
+    """``_scored`` for saved postings of the terms that are asked for."""
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(terms, found.repartition(key) if few else found, df, stats, key, top_k, min_score, few)
+
+
 def ranked(scored: DataFrame, key: str, top_k: int | None = 10) -> DataFrame:
     """``scored`` with the rank in its question; filters that leave the statistics alone come before it."""
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 6)), F.col(key))
@@ -87,4 +107,5 @@ def search_index(questions: DataFrame, path: str, key: str, top_k: int | None =
         found, lengths = (x.join(removed.select(key), key, "left_anti") for x in (found, lengths))
     terms = _terms(questions)
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
-    return _scored(terms, found.join(_wanted(terms), "term", "left_semi"), stats, key, top_k, min_score)
+    few = _few(terms)
+    return _of_postings(terms, found.join(_wanted(terms, few), "term", "left_semi"), stats, key, top_k, min_score, few)

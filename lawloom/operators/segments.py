@@ -123,12 +123,13 @@ def search(questions: DataFrame, path: str, key: str, top_k: int | None = 10, mi
     spark = questions.sparkSession
     terms = bm25._terms(questions)
     opened = [r.b for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS numbers at most
-    wanted = bm25._wanted(terms)
+    few = bm25._few(terms)
+    wanted = bm25._wanted(terms, few)
     found = _living(spark, path, key, "postings", lambda rows: rows.where(F.col("bucket").isin(opened)).join(wanted, "term", "left_semi").drop("bucket"))
     stats = _living(spark, path, key, "lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
     if within is None:
-        return bm25._scored(terms, found, stats, key, top_k, min_score)
-    scored = bm25._scored(terms, found, stats, key, None, min_score).drop("rank")
+        return bm25._of_postings(terms, found, stats, key, top_k, min_score, few)
+    scored = bm25._of_postings(terms, found, stats, key, None, min_score, few).drop("rank")
     return bm25.ranked(scored.join(within.select(key), key, "left_semi"), key, top_k)
 
 
