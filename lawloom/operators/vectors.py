@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 #: Queries and vectors in one tile; every query meets every vector of its scope in one of the tiles.
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 16384
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 4096
 #: So many scopes that are asked for are sent to every task; more are joined by a shuffle, each spread over SALTS keys.
 BROADCAST_SCOPES, SALTS = 100_000, 32
 #: Folders of a saved table of vectors.
