@@ -22,6 +22,8 @@ MARKUP_STEPS = (
     (r"(?s)</?[a-z!?A-Z][^>]*>", ""),
 )
 PARAGRAPH = "\x01([^\x01\x02]*)"
+#: White space at a text's ends.
+OUTER_WHITE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def blank(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, clean_text, word_tokens
+from ..functions.codecs import WORDS, Codec
+from ..functions.text import OUTER_WHITE, blank, clean_text, word_tokens
 
 #: Fixed value: the labels before a paragraph's text.
 MARKERS = r"^((?:\([^)]+\)\s*)+)"
@@ -43,18 +44,23 @@ def best_depth(stats: DataFrame) -> DataFrame:
     return stats.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-def with_overlap(rows: DataFrame, n: int = 20, *keep: str) -> DataFrame:
-    """Each chunk with its neighbours' positions, its place, the last ``n`` tokens of the one before, and the columns ``keep``."""
+def with_overlap(rows: DataFrame, n: int = 20, *keep: str, codec: Codec = WORDS) -> DataFrame:
+    """Each chunk with its neighbours' positions, its place, the last ``n`` tokens of the one before, and the columns ``keep``.
+
+    Tokens are those of ``codec``; what they give as text has no outer white space.
+    """
     w = Window.partitionBy("doc_id").orderBy("pos")
-    tokens = word_tokens(F.col("text"))
-    before = F.coalesce(F.lag(tokens).over(w), F.array().cast("array<string>"))
-    tail = F.slice(before, F.greatest(F.size(before) - n, F.lit(0)) + 1, n)
-    return rows.select(
+    # Of each chunk only the tail goes to its neighbour.
+    tokens = rows.withColumn("_tokens", codec.encode(F.col("text")))
+    tail = F.slice("_tokens", F.greatest(F.size("_tokens") - n, F.lit(0)) + 1, n)
+    placed = tokens.withColumn("_tail", tail).select(
         "doc_id", "pos",
         F.lag("pos").over(w).alias("prev_pos"), F.lead("pos").over(w).alias("next_pos"),
-        F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"),
-        F.array_join(tail, " ").alias("overlap_text"), (F.size(tail) > 0).alias("has_overlap"), *keep,
+        F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"), F.lag("_tail").over(w).alias("_before"), *keep,
     )
+    before = F.coalesce("_before", F.array().cast(placed.schema["_before"].dataType))
+    shown = F.regexp_replace(codec.decode(before), OUTER_WHITE, "")
+    return placed.withColumn("overlap_text", shown).select("doc_id", "pos", "prev_pos", "next_pos", "total_chunks", "overlap_text", F.size(before).alias("overlap_tokens"), (F.col("overlap_text") != "").alias("has_overlap"), *keep)
 
 
 def merge_small_siblings(rows: DataFrame, least: int, most: int) -> DataFrame:

@@ -13,11 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, word_tokens
+from ..functions.text import OUTER_WHITE, blank, word_tokens
 
 #: Where a sentence or line ends, and white space.
 SEGMENT_END = r"(?<=[.!?;])[\s\p{Z}]+|\n+"
-OUTER_WHITE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 WHITE = r"[\s\p{Z}]+"
 
 

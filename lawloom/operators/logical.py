@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, section_ref, word_tokens
+from ..functions.codecs import WORDS, Codec
+from ..functions.text import blank, section_ref
 from . import chunks, limits, trees
 
 
-def logical_chunks(rows: DataFrame, least: int = 200, most: int = 1400, overlap: int = 200) -> DataFrame:
+def logical_chunks(rows: DataFrame, least: int = 200, most: int = 1400, overlap: int = 200, codec: Codec = WORDS) -> DataFrame:
     """(doc_id, section, pos, chunk_id, prev_chunk_id, next_chunk_id, total_chunks, path, path_label, section_ref, token_count, overlap_tokens, text).
 
     ``rows`` are paragraphs (doc_id, section, n, node_id, text).  Each section
     is cut at its best depth, siblings below ``least`` tokens are merged, none
     keeps more than ``most``, and then each takes the last ``overlap`` tokens of
     the one before in front, which may lead beyond ``most``.  A document
-    without text has no chunks.
+    without text has no chunks.  The overlap and the counts shown are in tokens of
+    ``codec``; limits and depths are in words and signs, whatever the codec.
     """
     base = chunks.base_chunks(trees.level_chunks(rows, "doc_id", "section")).withColumn("pos", F.col("seq"))
     merged = chunks.merge_small_siblings(base.select("doc_id", "path", "pos", "chunk_id", "text"), least, most)
@@ -26,13 +28,13 @@ def logical_chunks(rows: DataFrame, least: int = 200, most: int = 1400, overlap:
     placed = cut.withColumn("pos", F.row_number().over(order))
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
     placed = placed.withColumns({"prev_chunk_id": F.lag("chunk_id").over(by_pos), "next_chunk_id": F.lead("chunk_id").over(by_pos)})
-    out = chunks.with_overlap(placed, overlap, "chunk_id", "path", "part_label", "prev_chunk_id", "next_chunk_id", "text").join(section, "doc_id")
+    out = chunks.with_overlap(placed, overlap, "chunk_id", "path", "part_label", "prev_chunk_id", "next_chunk_id", "text", codec=codec).join(section, "doc_id")
     text = F.when(F.col("has_overlap"), F.concat("overlap_text", F.lit("\n\n"), "text")).otherwise(F.col("text"))
     label = F.trim(F.concat(F.array_join("path", " > "), F.lit(" "), "part_label"))
     return out.select(
         "doc_id", "section", "pos", "chunk_id", "prev_chunk_id", "next_chunk_id", "total_chunks", "path", label.alias("path_label"),
-        section_ref(F.col("section"), F.col("path")).alias("section_ref"), F.size(word_tokens(text)).alias("token_count"),
-        F.size(word_tokens(F.col("overlap_text"))).alias("overlap_tokens"), text.alias("text"),
+        section_ref(F.col("section"), F.col("path")).alias("section_ref"), codec.count(text).alias("token_count"),
+        "overlap_tokens", text.alias("text"),
     )
 
 

@@ -60,7 +60,7 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def add(docs: DataFrame, path: str, key: str, text: str, order: str | None = None) -> int:
+def add(docs: DataFrame, path: str, key: str, text: str, order: str | None = None, tokenizer: bm25.Tokenizer = search_tokens) -> int:
     """Adds (key, text) rows as a segment, in place of what their keys had; its number.
 
     Rows with a null or blank key are skipped; null texts have no words, but
@@ -73,9 +73,9 @@ def add(docs: DataFrame, path: str, key: str, text: str, order: str | None = Non
         rows = rows.groupBy(key).agg(F.max(F.struct("o", "text"))["text"].alias("text"))
     segment = _next(spark, path)
     at = f"{path}/segment-{segment}"
-    found = bm25.postings(rows, key, "text").withColumn("bucket", _bucket(F.col("term")))
+    found = bm25.postings(rows, key, "text", tokenizer).withColumn("bucket", _bucket(F.col("term")))
     found.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-    rows.select(key, F.size(search_tokens(F.col("text"))).alias("dl")).write.mode("overwrite").parquet(f"{at}/lengths")
+    rows.select(key, F.size(tokenizer(F.col("text"))).alias("dl")).write.mode("overwrite").parquet(f"{at}/lengths")
     return _listed(spark, path, segment, ADDED)
 
 
@@ -118,10 +118,10 @@ def size(spark: SparkSession, path: str, key: str) -> int:
     return _living(spark, path, key, "lengths").count()
 
 
-def search(questions: DataFrame, path: str, key: str, top_k: int | None = 10, min_score: float = 0.0, within: DataFrame | None = None) -> DataFrame:
-    """What ``bm25.search`` gives over the texts that live; with ``within`` (key), only those are listed, and the statistics stay those of all."""
+def search(questions: DataFrame, path: str, key: str, top_k: int | None = 10, min_score: float = 0.0, within: DataFrame | None = None, tokenizer: bm25.Tokenizer = search_tokens) -> DataFrame:
+    """What ``bm25.search`` gives over the texts that live; with ``within`` (key), only those are listed, and the statistics stay those of all.  ``tokenizer`` is that of the texts."""
     spark = questions.sparkSession
-    terms = bm25._terms(questions)
+    terms = bm25._terms(questions, tokenizer)
     opened = [r.b for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS numbers at most
     few = bm25._few(terms)
     wanted = bm25._wanted(terms, few)
