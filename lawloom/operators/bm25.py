@@ -75,14 +75,23 @@ def search(questions: DataFrame, docs: DataFrame, key: str, text: str, top_k: in
     return _scored(terms, asked, df, corpus_stats(docs, text, tokenizer), key, top_k, min_score, few)
 
 
-def _scored(terms: DataFrame, asked: DataFrame, df: DataFrame, stats: DataFrame, key: str, top_k: int | None, min_score: float, few: bool) -> DataFrame:
-    """The ranked scores of postings ``asked`` for questions' ``terms``; ``df`` counts documents of each term, ``stats`` is one row of the corpus."""
+def weighed(terms: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """``terms`` of questions with idf and avgdl; ``df`` counts documents of each term, ``stats`` is one row of the corpus."""
     weights = df.crossJoin(F.broadcast(stats))
     weights = weights.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    weighed = terms.join(weights, "term")
-    matched = asked.join(F.broadcast(weighed) if few else weighed, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")), F.lit(1e-9))
-    scored = matched.groupBy("question_id", key).agg(F.sum(part).alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
+    return terms.join(weights, "term")
+
+
+def contribution(tf: Column, dl: Column) -> Column:
+    """What a term of ``weighed`` gives a document of ``dl`` words that has it ``tf`` times: more for a greater ``tf``, less for a greater ``dl``."""
+    return F.col("qtf") * F.col("idf") * tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * dl / F.col("avgdl")), F.lit(1e-9))
+
+
+def _scored(terms: DataFrame, asked: DataFrame, df: DataFrame, stats: DataFrame, key: str, top_k: int | None, min_score: float, few: bool) -> DataFrame:
+    """The ranked scores of postings ``asked`` for questions' ``terms``; ``df`` counts documents of each term, ``stats`` is one row of the corpus."""
+    own = weighed(terms, df, stats)
+    matched = asked.join(F.broadcast(own) if few else own, "term")
+    scored = matched.groupBy("question_id", key).agg(F.sum(contribution(F.col("tf"), F.col("dl"))).alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
     return ranked(scored, key, top_k)
 
 

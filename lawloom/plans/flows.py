@@ -109,6 +109,14 @@ def bm25_removed(spark, sf_dir):
     return found.select("question_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_bounded(spark, sf_dir):
+    """Keyword search in a saved index by the bounds of its blocks of postings."""
+    path = f"{lineage.shared_dir(spark)}/keywords-{uuid.uuid4().hex}"
+    segments.add(base.table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    found = segments.search(base.questions(spark, sf_dir), path, "doc_id", 10, bounded=True)
+    return found.select("question_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def knn_scoped(spark, sf_dir):
     """Nearest vectors of the same label from a saved table of vectors; some questions name none, or one that has no vectors."""
     path = f"{lineage.shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
@@ -202,7 +210,7 @@ def answer_questions(spark, sf_dir):
     return found.select("question_id", "out_of_scope", "by_model", _md5("answer"))
 
 
-QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, knn_scoped, level_rollup, chunk_versions, semantic_query, request_outcomes, answer_questions)}
+QUERIES = {f.__name__: f for f in (section_tree, subtree_texts, section_chunks, logical_chunks, section_pages, section_urls, section_xml, issue_dates, page_slugs, document_changes, bm25_removed, bm25_bounded, knn_scoped, level_rollup, chunk_versions, semantic_query, request_outcomes, answer_questions)}
 
 #: How deep the labels of paragraphs go in the SQL for whole trees.
 DEEPEST = 6
@@ -283,6 +291,7 @@ SELECT page_id, regexp_replace(CASE WHEN tail = '' THEN 'page' ELSE tail END, '[
 SELECT coalesce(d.doc_id, n.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.t <> coalesce(d.text, '') THEN 'changed' ELSE 'same' END AS change, sha256(n.t) AS new_hash
 FROM documents d FULL JOIN n ON d.doc_id = n.doc_id""",
     "bm25_removed": f"WITH {base.BM25.replace('FROM documents', 'FROM documents WHERE doc_id % 3 > 0')} SELECT question_id, doc_id, round(score, 4) AS score, rank FROM kwr WHERE rank <= 10",
+    "bm25_bounded": f"WITH {base.BM25} SELECT question_id, doc_id, round(score, 4) AS score, rank FROM kwr WHERE rank <= 10",
     "semantic_query": f"WITH {SEMANTIC} SELECT question_id, doc_id, round(final, 4) AS final, rank, part FROM g",
     "answer_questions": f"""WITH {SEMANTIC},
 fit AS (SELECT g.*, hint <> '' AND part = hint AS fits, max(CASE WHEN hint <> '' AND part = hint THEN 1 ELSE 0 END) OVER (PARTITION BY question_id) AS any_fits FROM g JOIN hints USING (question_id)),
