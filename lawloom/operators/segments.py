@@ -30,8 +30,8 @@ from .lineage import cut
 
 #: Folders of one segment's postings.
 BUCKETS = 64
-#: Documents of a block, about; documents for which a folder has a file more.
-BLOCK_DOCS, FILE_DOCS = 64, 2_000_000
+#: Documents and words of a block, about; documents for which a folder has a file more.
+BLOCK_DOCS, BLOCK_WORDS, FILE_DOCS = 64, 500_000, 2_000_000
 #: Scores are ranked by six digits: so far below the last of the best a bound may lie and still matter.
 MARGIN = 1e-5
 ADDED, REMOVED, COMPACTED = "added", "removed", "compacted"
@@ -79,18 +79,22 @@ def _grade(dl: Column) -> Column:
     return F.floor(F.log2(dl + 1.0)).cast("int")
 
 
-def _write_packed(found: DataFrame, lengths: DataFrame, at: str, key: str) -> None:
-    """Writes the postings (key, term, tf, dl) of a segment whose ``lengths`` are written."""
-    n_docs = lengths.count()
-    blocks = lengths.groupBy(_grade(F.col("dl")).alias("grade")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("_blocks"))  # 32 rows at most
-    placed = found.withColumn("grade", _grade(F.col("dl"))).join(F.broadcast(blocks), "grade")
-    placed = placed.withColumns({"bucket": _bucket(F.col("term")), "block": F.pmod(F.xxhash64(key), F.col("_blocks"))})
-    # A frequent term's blocks are dealt over as many tasks as the documents need.
-    dealt = placed.withColumn("_file", F.pmod(F.col("block"), F.lit(1 + n_docs // FILE_DOCS))).repartition("bucket", "_file")
-    packed = dealt.groupBy("bucket", "_file", "grade", "term", "block").agg(
+def _placed(rows: DataFrame, dl: Column, lengths: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their grade and block, where all of a block meet in one task."""
+    size = F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("dl") / BLOCK_WORDS)
+    blocks = lengths.groupBy(_grade(F.col("dl")).alias("grade")).agg(F.greatest(F.ceil(size), F.lit(1)).alias("_blocks"))  # 32 rows at most
+    found = rows.withColumn("grade", _grade(dl)).join(F.broadcast(blocks), "grade")
+    return found.withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks"))).drop("_blocks").repartition("grade", "block")
+
+
+def _write_packed(found: DataFrame, n_docs: int, at: str, key: str) -> None:
+    """Writes the postings (grade, block, key, term, tf, dl) of a segment, which were placed, so that they are packed where they are."""
+    packed = found.groupBy("grade", "block", "term").agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct(key, "tf", "dl")).alias("hits")
     )
-    packed.drop("_file").sortWithinPartitions("bucket", "grade", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+    # A frequent term's blocks are dealt over as many tasks as the documents need.
+    dealt = packed.withColumns({"bucket": _bucket(F.col("term")), "_file": F.pmod(F.col("block"), F.lit(1 + n_docs // FILE_DOCS))}).repartition("bucket", "_file")
+    dealt.drop("_file").sortWithinPartitions("bucket", "grade", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
 
 
 def add(docs: DataFrame, path: str, key: str, text: str, order: str | None = None, tokenizer: bm25.Tokenizer = search_tokens) -> int:
@@ -107,7 +111,11 @@ def add(docs: DataFrame, path: str, key: str, text: str, order: str | None = Non
     segment = _next(spark, path)
     at = f"{path}/segment-{segment}"
     rows.select(key, F.size(tokenizer(F.col("text"))).alias("dl")).write.mode("overwrite").parquet(f"{at}/lengths")
-    _write_packed(bm25.postings(rows, key, "text", tokenizer), spark.read.parquet(f"{at}/lengths"), at, key)
+    lengths = spark.read.parquet(f"{at}/lengths")
+    # Texts travel, once; their postings, which are more, are counted and packed where their block is.
+    tokens = _placed(rows, F.size(tokenizer(F.col("text"))), lengths, key).select(key, "grade", "block", tokenizer(F.col("text")).alias("tokens"))
+    each = tokens.select(key, "grade", "block", F.explode("tokens").alias("term"), F.size("tokens").alias("dl"))
+    _write_packed(each.groupBy("grade", "block", key, "term", "dl").agg(F.count(F.lit(1)).alias("tf")), lengths.count(), at, key)
     return _listed(spark, path, segment, ADDED)
 
 
@@ -253,5 +261,6 @@ def compact(spark: SparkSession, path: str, key: str) -> int:
     listed = _segments(spark, path)
     _living_lengths(spark, path, key).write.mode("overwrite").parquet(f"{at}/lengths")
     found = _alive(_unpacked(_held(spark, path, listed, "postings")), _ended(spark, path, key, listed), key).drop("segment")
-    _write_packed(found, spark.read.parquet(f"{at}/lengths"), at, key)
+    lengths = spark.read.parquet(f"{at}/lengths")
+    _write_packed(_placed(found, F.col("dl"), lengths, key), lengths.count(), at, key)
     return _listed(spark, path, segment, COMPACTED)
