@@ -61,6 +61,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept_at(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, of which ``forget`` removes what ``written`` wrote for ``table``."""
+    df.written_to = table.written_to
+    return df
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes what ``written`` wrote for ``tables``, which nothing reads any more."""
     for t in tables:
@@ -68,6 +74,13 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``new``, which is written and in whose place ``old`` stood."""
+    if old is not None:
+        forget(old)
+    return new
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of DataFrames that are gone: it does so when the driver collects its garbage."""
     gc.collect()

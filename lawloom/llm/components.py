@@ -12,28 +12,43 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp) for each node of ``links`` (a, b): ``comp`` is the least node that it reaches.
 
     Each turn takes the least label among the neighbours and then that label's
-    own label, so that long chains shrink quickly; every turn is written to the
-    shared checkpoint folder.  Links to itself and repeated links are allowed.
+    own label, so that long chains shrink quickly; every turn is written as a
+    table, whose small files Spark reads in few tasks and whose size it knows.
+    Links to itself and repeated links are allowed.
     """
-    pairs = links.select("a", "b").where("a <> b")
-    both = common.cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = common.written(links.where("a <> b").select(F.explode(ways).alias("way")).select("way.*").distinct())
+    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("least")), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("least"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("to"))
+        step = labels.select("node", "comp").join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("further"))
-        new = common.cut(step.join(jump, "to", "left").select("node", "old", F.coalesce(F.least("to", "further"), "to").alias("comp")))
-        labels = new.select("node", "comp")
+        new = common.written(step.join(jump, "to", "left").select("node", "old", F.coalesce(F.least("to", "further"), "to").alias("comp")))
+        common.forget(labels)
+        labels = new
         common.sweep(links.sparkSession)
         if new.where("comp <> old").isEmpty():
-            return labels
+            common.forget(both)
+            return common.kept_at(new.select("node", "comp"), new)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``labels`` and of further ``links`` (a, b) between its components, by work on the new links alone.
+
+    A node without a label is a component of its own.
+    """
+    upper = components(links)
+    # A component's label is its least node, so a node that was known may come from both sides, equal.
+    every = labels.join(upper.toDF("comp", "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    out = common.written(every.unionByName(upper).distinct())
+    common.forget(upper)
+    return out
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``components`` of the links behind ``labels`` and of further ``links`` (a, b), by work on the new links alone."""
+    """``merged`` for ``links`` (a, b) between nodes."""
     ends = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
-    upper = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("comp", "top")
-    new = [links.select(F.col(c).alias("node"), F.col(c).alias("comp")) for c in ("a", "b")]
-    # A component's label is its least node, so a node that was known keeps its old label here.
-    every = labels.unionByName(new[0]).unionByName(new[1]).groupBy("node").agg(F.min("comp").alias("comp"))
-    return common.cut(every.join(upper, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    found = merged(labels, ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    # Of links to itself no node came in.
+    own = [links.select(F.col(c).alias("node"), F.col(c).alias("comp")) for c in ("a", "b")]
+    return common.written(found.unionByName(own[0]).unionByName(own[1]).groupBy("node").agg(F.min("comp").alias("comp")))

@@ -176,6 +176,12 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
 
     Without any such row the model knows only ``und``.
     """
+    model = _fitted(docs, text, label, per_language)
+    common.release()  # the sample, so that the driver's Python stays small for what follows
+    return model
+
+
+def _fitted(docs: DataFrame, text: str, label: str, per_language: int) -> Model:
     docs = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).cast("string").alias(text), F.col(label).cast("string").alias(label))
     n = docs.count()
     found = document_frequencies(docs, text).toPandas()  # at most 65,536 rows

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components, joined
+from .components import components, merged
 from .packed import LAST_ID, groups, keyed
 
 #: Registers of a sketch, and the mantissa bits that each keeps.
@@ -165,8 +165,12 @@ def possible(na, nb, ma, mb, percent: int):
     return (F.least(ma, mb) * (100 + percent) >= (na + nb) * percent) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
 
+#: Two nodes, and the component of each.
+PAIR = ("a", "b", "ca", "cb")
+
+
 def _likely(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sizes and estimate allow a link; ``small`` has nid, n, m and sketch."""
+    """Those of ``pairs`` (a, b, ca, cb) whose sizes and estimate allow a link; ``small`` has nid, n, m and sketch."""
     both = pairs.join(small.toDF("a", "na", "ma", "sa"), "a").join(small.toDF("b", "nb", "mb", "sb"), "b")
     both = both.where(possible(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), percent))
 
@@ -174,13 +178,13 @@ def _likely(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("sa", "sb"))
             j, error = estimate(a, b)
-            yield batch.select(["a", "b"]).filter(pa.array(j + DEVIATIONS * error >= percent / 100))
+            yield batch.select([*PAIR]).filter(pa.array(j + DEVIATIONS * error >= percent / 100))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select(*PAIR, "sa", "sb").mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose full shingle sets are similar enough."""
+    """(a, b): the components of those of ``pairs`` whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(common.slices(batches, "ta", last=False), "tb"):
@@ -189,14 +193,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             for x, y in zip(one, two, strict=True):
                 both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch({"a": batch.column("ca"), "b": batch.column("cb")}).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("ca", "cb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, small: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different components that share a key, at least one for each pair of them that has any.
+    """Links (a, b) between different components that share a key, at least one for each pair of them that has any.
 
     ``members`` has (key, nid, comp), ``small`` (nid, n, m, sketch).  In each
     key, those outside its largest component are its outsiders; outsiders join
@@ -206,7 +210,7 @@ def _across(members: DataFrame, small: DataFrame, texts: DataFrame, size: int, p
     """
     by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("m.comp").alias("family"))
-    family = common.cut(members.join(main, "key").select("family", "nid", "comp").distinct())
+    family = common.written(members.join(main, "key").select("family", "nid", "comp").distinct())
     sized = family.join(texts.select("nid", F.length("text").cast("long").alias("chars")), "nid")
     outer = F.when(F.col("comp") != F.col("family"), F.col("chars")).otherwise(0)
     chunks = lambda c: F.greatest(F.least(F.ceil(c / SMALL_CHARS), F.lit(CHUNKS)), F.ceil(c / CHUNK_CHARS), F.lit(1)).cast("long")
@@ -220,7 +224,7 @@ def _across(members: DataFrame, small: DataFrame, texts: DataFrame, size: int, p
 
     def compare(table: pa.Table) -> pa.Table:
         outside = table["outside"].to_numpy(zero_copy_only=False)
-        nid, comp, n, m = (table[k].to_numpy().astype(np.int64) for k in ("nid", "comp", "n", "m"))
+        comp, n, m = (table[k].to_numpy().astype(np.int64) for k in ("comp", "n", "m"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         sets: list[np.ndarray] = []
         for batch in common.slices(iter(table.select(["text"]).to_batches()), last=False):
@@ -245,16 +249,18 @@ def _across(members: DataFrame, small: DataFrame, texts: DataFrame, size: int, p
             linked = near[100 * both >= percent * (n[near] + n[i] - both)]
             # One link for each component will do.
             for j in linked[np.unique(comp[linked], return_index=True)[1]].tolist():
-                a.append(min(nid[i], nid[j]))
-                b.append(max(nid[i], nid[j]))
+                a.append(min(comp[i], comp[j]))
+                b.append(max(comp[i], comp[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.select(*columns).unionByName(right.select(*columns)).groupBy("family", "o", "c").applyInArrow(compare, "a long, b long")
+    found = common.written(left.select(*columns).unionByName(right.select(*columns)).groupBy("family", "o", "c").applyInArrow(compare, "a long, b long"))
+    common.forget(family)
+    return found
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of keys in which more than one component is left, with ``comp``."""
-    marked = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    """Members of keys in which more than one component is left, with the ``comp`` that they have now."""
+    marked = members.drop("comp").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     left = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     return marked.join(left, "key")
 
@@ -277,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     nodes = common.written(every.where("n > 0").groupBy("s1", "s2").agg(least).select("s1", "s2", "r.*", F.monotonically_increasing_id().alias("nid")))
     keys = nodes.select("nid", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    in_keys = common.cut(keys.join(shared, "key").select("key", "nid", "k"))
+    in_keys = common.written(keys.join(shared, "key").select("key", "nid", "k"))
     # A document whose keys many others have is near the middle of its group.
     central = in_keys.groupBy("nid").agg(F.sum("k").alias("degree"))
     texts = central.join(nodes.select("nid", "did", "th", "n"), "nid").join(rows, ["did", "th"])
@@ -285,34 +291,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts = common.written(texts.groupBy("nid").agg(*[F.first(c).alias(c) for c in ("degree", "n", "text")]))
     m = F.col("n") - F.coalesce("alone", F.lit(0))
     partners = texts.select("nid", "degree", "n").join(lone_shingles(texts, size), "nid", "left").withColumn("m", m)
-    partners = common.cut(partners.where(F.col("m") * 100 >= F.col("n") * percent).select("nid", "degree", "n", "m"))
-    in_keys = common.cut(in_keys.join(partners.select("nid", "degree"), "nid").select("key", "nid", "degree"))
-    small = common.cut(nodes.select("nid", "sketch").join(partners.select("nid", "n", "m"), "nid").select("nid", "n", "m", "sketch"))
-
-    tested = labels = None
+    partners = common.written(partners.where(F.col("m") * 100 >= F.col("n") * percent).select("nid", "degree", "n", "m"))
+    # Members of keys, each a component of its own.
+    members = common.written(in_keys.join(partners.select("nid", "degree"), "nid").select("key", "nid", "degree", F.col("nid").alias("comp")))
+    small = common.written(nodes.select("nid", "sketch").join(partners.select("nid", "n", "m"), "nid").select("nid", "n", "m", "sketch"))
+    common.forget(in_keys, partners)
+
+    labels = None
+    tested: list[DataFrame] = []
     for turn in range(PIVOTS):
-        members = in_keys
-        if labels is not None:
-            members = _open(members, labels)
         # First the most central of each key, then any other of another component.
-        choice = F.max(F.struct("degree", "nid")) if labels is None else F.max(F.struct(F.xxhash64("nid", F.lit(turn)), "nid"))
-        pivot = members.groupBy("key").agg(choice.alias("p")).select("key", F.col("p.nid").alias("pivot"))
-        pairs = members.join(pivot, "key").where("nid <> pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
-        if labels is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
-            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = common.cut(_likely(pairs, small, percent))
-        found = common.cut(_verified(pairs, texts.select("nid", "text"), size, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if labels is None:
-            labels = components(found)
-        elif not found.isEmpty():
-            labels = joined(labels, found)
+        by = F.col("degree") if labels is None else F.xxhash64("nid", F.lit(turn))
+        pivot = members.groupBy("key").agg(F.max(F.struct(by.alias("by"), "nid", "comp")).alias("p")).select("key", F.col("p.nid").alias("pivot"), F.col("p.comp").alias("other"))
+        sides = [("nid", "pivot", "comp", "other"), ("pivot", "nid", "other", "comp")]
+        one, two = (F.struct(*[F.col(c).alias(k) for k, c in zip(PAIR, side, strict=True)]) for side in sides)
+        pairs = members.join(pivot, "key").where("comp <> other").select(F.when(F.col("nid") < F.col("pivot"), one).otherwise(two).alias("pair")).select("pair.*").distinct()
+        for before in tested:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = common.written(_likely(pairs, small, percent))
+        found = _verified(pairs, texts.select("nid", "text"), size, percent)
+        labels = common.replaced(labels, components(found) if labels is None else merged(labels, found))
+        tested.append(pairs)
+        members = common.replaced(members, common.written(_open(members, labels)))
         common.sweep(docs.sparkSession)
-    found = common.cut(_across(_open(in_keys, labels).select("key", "nid", "comp"), small, texts, size, percent))
-    common.forget(texts)
-    if not found.isEmpty():
-        labels = joined(labels, found)
+    found = _across(members, small, texts, size, percent)
+    labels = common.replaced(labels, merged(labels, found))
+    common.forget(texts, small, members, found, *tested)
 
     named = nodes.select("s1", "s2", "did", "th", F.col("nid").alias("node")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min(F.struct("did", "th")).alias("least"))
