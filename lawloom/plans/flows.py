@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, clean_text, url_slug
+from ..functions.text import blank, clean_text, normalize_query, url_slug
 from ..operators import answers, asking, chunks, lineage, logical, sections, segments, trees, vectors, versions
 from ..streaming import answering
 from . import queries as base
@@ -197,9 +197,11 @@ def request_outcomes(spark, sf_dir):
     """Events as questions to a model that their types share: answered, answered before, or told to wait."""
     n = F.col("event_id")
     e = base.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", (n % 40).alias("question_id"), (n % 11 == 0).alias("forced"), (n % 7 == 0).alias("fails"))
-    q = base.questions(spark, sf_dir).select("question_id", F.when(F.col("question_id") % 2 == 0, F.upper("question")).otherwise(F.concat(F.lit("  "), "question")).alias("question"))
+    written = F.when(F.col("question_id") % 2 == 0, F.upper("question")).otherwise(F.concat(F.lit("  "), "question"))
+    # Normal forms are taken of the questions, not once more of each event's.
+    q = base.questions(spark, sf_dir).select("question_id", normalize_query(written).alias("question"))
     asked = e.join(q, "question_id", "left")
-    found = answering.decide(asked, "event_id", "ts", "question", "event_type", "forced", "fails")
+    found = answering.decide(asked, "event_id", "ts", "question", "event_type", "forced", "fails", normal=True)
     return found.select("event_id", "outcome", F.col("retry_after").cast("long").alias("retry_after"), "source")
 
 

@@ -65,6 +65,37 @@ def test_blocks_equal_one_pass(spark, monkeypatch, block):
     assert answering.decide(frame.limit(0), *COLUMNS).count() == 0
 
 
+def dense(n=9000):
+    """A request every few seconds, as many questions as the cooldown lets through while an answer holds: what a block begins with is never forgotten."""
+    rng = random.Random(n)
+    rows, at = [], 0
+    for i in range(n):
+        at += rng.choice((0, 5, 10))
+        rows.append((i, at, f"Q{rng.randrange(40)}", "a" if i % 50 else f"b{i}", i % 11 == 0, i % 7 == 0))
+    return rows
+
+
+@pytest.mark.parametrize("make", [dense, lambda: many(9, 3000)], ids=["dense", "many"])
+def test_few_turns(spark, monkeypatch, make):
+    """However states depend on those before, there are few passes, not one for each block, and outcomes are those of one pass."""
+    monkeypatch.setattr(answering, "BLOCK_SECONDS", 900)
+    cuts, cut = [], answering.cut
+    monkeypatch.setattr(answering, "cut", lambda df: cuts.append(1) or cut(df))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = make()
+        assert judged(answering.decide(timed(spark, rows).repartition(8), *COLUMNS)) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 3 < len(cuts) <= 2 + 2 * 4
+
+
+def test_normal_questions(spark):
+    rows = [(1, 0, "q 1", None, False, False), (2, 50, None, None, False, False), (3, 60, "q 1", None, False, False), (4, 100, "", None, False, False)]
+    got = judged(answering.decide(timed(spark, rows), *COLUMNS, normal=True))
+    assert got == plain(rows) and got[4] == ("hit", None, 2)
+
+
 def test_stream_equals_table(spark, tmp_path):
     spark.conf.set(*answering.STATE_STORE)
     rows = sorted(many(5, 600), key=lambda r: (r[1], r[0]))
